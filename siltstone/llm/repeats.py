@@ -1,0 +1,198 @@
+"""Finding every window of a fixed number of symbols that occurs more than once in a corpus.
+
+Symbols are words or bytes.  A window is assigned to an anchor: the place of its least k-gram hash, which depends on the
+window alone, so equal windows have equal anchors.  The windows of one anchor follow each other: they form a run, and a
+corpus has two runs for every ``width - k + 2`` symbols or so.  Runs, not windows, are what Spark sorts and counts:
+
+1. anchors whose k-gram occurs once are dropped, with all windows of their runs;
+2. runs that agree as a whole (their span, from the first window to the end of the last) share all their windows;
+3. only where an anchor has different spans, the windows of one run for each span are compared one by one.
+
+A hot passage is one row a task for each of its spans after the first, partial aggregation; joins on anchors that many
+different spans share can be split by adaptive execution, as only counts are ever grouped.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siltstone.llm.shared import Poly, byte_buffer, chunks, mix, release, text_key, written
+
+#: (symbols as uint64, symbol offsets of the rows) of a byte buffer and its row offsets.
+Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+_SPAN = np.uint64(0xD6E8FEB86659FD93)
+#: Symbols handled at once: places fit the low bits of a hash.
+_MOST = 1 << 22
+_LOW = np.uint64((1 << 24) - 1)
+
+
+def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` neighbours, from running minima within blocks."""
+    n = len(v)
+    padded = np.full(-(-n // width) * width, np.uint64(2**64 - 1))
+    padded[:n] = v
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, 1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+
+
+def runs(poly: Poly, symbols: np.ndarray, off: np.ndarray, width: int, k: int) -> tuple[np.ndarray, ...]:
+    """Row, anchor hash, span hash, first and last window (symbol in the row) of every run."""
+    parts = []
+    row, n_rows = 0, len(off) - 1
+    while row < n_rows:
+        last = max(row + 1, int(np.searchsorted(off, off[row] + _MOST, side="right")) - 1)
+        if last == row + 1 and off[last] - off[row] > _MOST:
+            # A text too long for one go: pieces that overlap by a window less one symbol have all its windows once.
+            for a in range(int(off[row]), int(off[last]) - width + 1, _MOST - width + 1):
+                b = min(a + _MOST, int(off[last]))
+                r, h, s, x, y = _runs(poly, symbols[a:b], np.array([0, b - a]), width, k)
+                parts.append((r + row, h, s, x + (a - off[row]), y + (a - off[row])))
+        else:
+            r, *rest = _runs(poly, symbols[off[row] : off[last]], off[row : last + 1] - off[row], width, k)
+            parts.append((r + row, *rest))
+        row = last
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), *(np.zeros(0, np.uint64),) * 2, *(np.zeros(0, np.int64),) * 2)
+
+
+def _runs(poly: Poly, symbols: np.ndarray, off: np.ndarray, width: int, k: int) -> tuple[np.ndarray, ...]:
+    n = len(symbols)
+    if n < width:
+        return np.zeros(0, np.int64), *(np.zeros(0, np.uint64),) * 2, *(np.zeros(0, np.int64),) * 2
+    sums = poly.sums(symbols)
+    grams = mix(poly.windows(sums, k))
+    order = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
+    anchor = (sliding_least(order, width - k + 1) & _LOW).astype(np.int64)
+    total = n - width + 1
+    sizes = np.diff(off)
+    valid = np.arange(total) <= np.repeat(off[1:] - width, sizes)[:total]
+    edge = np.ones(total, bool)
+    edge[1:] = (anchor[1:] != anchor[:-1]) | ~valid[:-1]
+    edge[off[:-1][off[:-1] < total]] = True
+    first = np.flatnonzero(edge & valid)
+    stops = np.append(np.flatnonzero(edge | ~valid), total)
+    last = stops[np.searchsorted(stops, first, side="right")] - 1
+    row = np.searchsorted(off, first, side="right") - 1
+    at = anchor[first]
+    shape = (at - first).astype(np.uint64) * np.uint64(1 << 20) + (last - first).astype(np.uint64)
+    span = mix(poly.slices(sums, first, last + width) + mix(shape * _SPAN))
+    return row, grams[at], span, first - off[row], last - off[row]
+
+
+_POLY = Poly(7)
+
+
+def run_rows(docs: DataFrame, symbols: Symbols, width: int, k: int, *, with_runs: bool) -> DataFrame:
+    """Anchors of all runs of ``docs``; with the runs themselves and the key of their text, or without."""
+    schema = "anchor long" + ", span long, k1 long, k2 long, first int, last int" * with_runs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = byte_buffer(batch.column("text"))
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2")] if with_runs else []
+            for i, j in chunks(off):
+                row, anchor, span, first, last = runs(_POLY, *symbols(buf[off[i] : off[j]], off[i : j + 1] - off[i]), width, k)
+                cols = [anchor.view(np.int64)]
+                if with_runs:
+                    cols += [span.view(np.int64), *(c[row + i] for c in keys), first.astype(np.int32), last.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [x.split(" ")[0] for x in schema.split(", ")])
+
+    return _texts(docs, keyed=with_runs).mapInArrow(run, schema)
+
+
+def _texts(docs: DataFrame, keyed: bool = True) -> DataFrame:
+    return docs.select(F.col("text").cast("string").alias("text")).select("text", *(text_key() if keyed else []))
+
+
+def different_texts(docs: DataFrame) -> DataFrame:
+    """(k1, k2, text): copies go in the task that reads them, so a group of copies is a row a task when it is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            new = []
+            for key in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True):
+                new.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    rows = _texts(docs)
+    return rows.mapInArrow(run, rows.schema).groupBy("k1", "k2").agg(F.first("text").alias("text"))
+
+
+def repeated_windows(docs: DataFrame, symbols: Symbols, width: int, k: int, name: str) -> DataFrame:
+    """(k1, k2, text, starts): every different text of ``docs`` with a window that starts anywhere else too, and the ranges
+    [first, last, first, last, ...] of such windows.
+
+    The result and what it stands on are written tables in the shared folder.
+    """
+    spark = docs.sparkSession
+    again = run_rows(docs, symbols, width, k, with_runs=False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    met = written(run_rows(docs, symbols, width, k, with_runs=True).join(again, "anchor", "left_semi"), f"{name}-runs")
+    release(spark)
+
+    spans = written(met.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "last")).alias("one")), f"{name}-spans")
+    # Whole runs that agree with another run.
+    whole = met.join(spans.where("n > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("k1", "k2", "first", "last")
+    ranges = F.array_sort(F.collect_set(F.struct("first", "last")))
+    # Runs that stand for one of several spans of an anchor: their windows are compared one by one.
+    several = spans.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    split = spans.join(several, "anchor", "left_semi").select("anchor", "n", "one.*")
+    marks = whole.select("k1", "k2", F.struct("first", "last").alias("w"), F.lit(None).cast("struct<anchor:long,first:int,last:int,open:boolean>").alias("s"))
+    marks = marks.union(split.select("k1", "k2", F.lit(None).cast("struct<first:int,last:int>"), F.struct("anchor", "first", "last", (F.col("n") == 1).alias("open"))))
+    by_text = marks.groupBy("k1", "k2").agg(F.collect_set("w").alias("whole"), F.collect_set("s").alias("split"))
+    held = written(different_texts(docs).join(by_text, ["k1", "k2"]), f"{name}-texts")
+    release(spark)
+
+    windows = window_rows(held.where(F.size("split") > 0), symbols, width)
+    shared = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
+    found = windows.where("open").join(shared, ["anchor", "window"], "left_semi").groupBy("k1", "k2").agg(F.collect_list("first").alias("single"))
+    found = written(found, f"{name}-found")
+    release(spark)
+    joined = held.join(found, ["k1", "k2"], "left")
+    pairs = F.concat(F.col("whole"), F.coalesce(F.transform("single", lambda i: F.struct(i.alias("first"), i.alias("last"))), F.array().cast("array<struct<first:int,last:int>>")))
+    return joined.select("k1", "k2", "text", F.array_sort(pairs).alias("ranges")).where(F.size("ranges") > 0)
+
+
+def window_rows(held: DataFrame, symbols: Symbols, width: int) -> DataFrame:
+    """(anchor, window, k1, k2, first, open) for each window of the runs in ``split``."""
+    schema = "anchor long, window long, k1 long, k2 long, first int, open boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = byte_buffer(batch.column("text"))
+            k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
+            split = batch.column("split")
+            flat, bounds = split.flatten(), np.concatenate([[0], np.cumsum([len(x) for x in split])])
+            anchor, first, last, open_ = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "first", "last", "open"))
+            for i, j in chunks(off, 1_000_000):
+                sym, o = symbols(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                sums = _POLY.sums(sym)
+                a, b = bounds[i], bounds[j]
+                n = (last[a:b] - first[a:b] + 1).astype(np.int64)
+                own = np.repeat(np.arange(a, b), n)
+                row = np.searchsorted(bounds, own, side="right") - 1
+                at = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                start = o[row - i] + at
+                h = mix(_POLY.slices(sums, start, start + width) * np.uint64(5))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[own], h.view(np.int64), k1[row], k2[row], at.astype(np.int32), open_[own])], [x.split(" ")[0] for x in schema.split(", ")])
+
+    return held.select("k1", "k2", "text", "split").mapInArrow(run, schema)
+
+
+def covered(ranges: list[dict], width: int) -> list[tuple[int, int]]:
+    """Maximal spans of symbols [start, end) that windows with starts in the given ranges cover; ranges are sorted."""
+    out: list[list[int]] = []
+    for r in ranges:
+        a, b = r["first"], r["last"] + width
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [tuple(x) for x in out]
