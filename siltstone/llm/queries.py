@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, chat, decontaminate, licenses, line_rules, secret_scan, simhash, substring_dedup, suffix_dedup
+from siltstone.llm import bpe, chat, decontaminate, licenses, line_rules, quality, secret_scan, simhash, substring_dedup, suffix_dedup
 from siltstone.llm.oracles import ORACLES
 from siltstone.llm.shared import table
 
@@ -19,6 +19,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(more)))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +57,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op3_decontamination, op4_simhash, op5_byte_bpe, op6_secrets, op7_substring_dedup, op8_line_rules, op9_suffix_dedup, op10_licenses)}
+    return {f.__name__: f for f in (op1_chat_format, op2_quality, op3_decontamination, op4_simhash, op5_byte_bpe, op6_secrets, op7_substring_dedup, op8_line_rules, op9_suffix_dedup, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
