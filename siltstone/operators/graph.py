@@ -1,0 +1,27 @@
+"""Connected components over DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siltstone.operators.tables import written
+
+
+def spread_labels(edges: DataFrame, *, rounds: int = 40) -> DataFrame:
+    """(node, component) for undirected ``edges`` (a, b): each node takes the least label around it, then its label's label.
+
+    Every round is a written table; the rounds end when no label changes.
+    """
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
+    for _ in range(rounds):
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        met = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("low"))
+        jump = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        now = written(met.join(jump, met.low == jump._n, "left").select("node", F.least("low", F.coalesce("_l", "low")).alias("new"), "label"), "labels")
+        changed = now.where("new <> label").limit(1).count()
+        labels = now.select("node", F.col("new").alias("label"))
+        if not changed:
+            return labels.select("node", F.col("label").alias("component"))
+    raise RuntimeError(f"labels did not settle in {rounds} rounds")
