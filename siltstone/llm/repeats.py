@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import Poly, byte_buffer, chunks, mix, release, text_key, written
+from siltstone.llm.shared import Poly, byte_buffer, chunks, mix, text_key, written
 
 #: (symbols as uint64, symbol offsets of the rows) of a byte buffer and its row offsets.
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -132,10 +132,8 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, width: int, k: int, name
 
     The result and what it stands on are written tables in the shared folder.
     """
-    spark = docs.sparkSession
     again = run_rows(docs, symbols, width, k, with_runs=False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     met = written(run_rows(docs, symbols, width, k, with_runs=True).join(again, "anchor", "left_semi"), f"{name}-runs")
-    release(spark)
 
     spans = written(met.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "last")).alias("one")), f"{name}-spans")
     # Whole runs that agree with another run.
@@ -147,31 +145,30 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, width: int, k: int, name
     marks = whole.select("k1", "k2", F.struct("first", "last").alias("w"), F.lit(None).cast("struct<anchor:long,first:int,last:int,open:boolean>").alias("s"))
     marks = marks.union(split.select("k1", "k2", F.lit(None).cast("struct<first:int,last:int>"), F.struct("anchor", "first", "last", (F.col("n") == 1).alias("open"))))
     by_text = marks.groupBy("k1", "k2").agg(F.collect_set("w").alias("whole"), F.collect_set("s").alias("split"))
-    held = written(different_texts(docs).join(by_text, ["k1", "k2"]), f"{name}-texts")
-    release(spark)
+    held = different_texts(docs).join(by_text, ["k1", "k2"]).withColumn("place", F.monotonically_increasing_id())
+    held = written(held, f"{name}-texts")  # the place is fixed from here on
 
     windows = window_rows(held.where(F.size("split") > 0), symbols, width)
     shared = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
-    found = windows.where("open").join(shared, ["anchor", "window"], "left_semi").groupBy("k1", "k2").agg(F.collect_list("first").alias("single"))
+    found = windows.where("open").join(shared, ["anchor", "window"], "left_semi").groupBy("place").agg(F.collect_list("first").alias("single"))
     found = written(found, f"{name}-found")
-    release(spark)
-    joined = held.join(found, ["k1", "k2"], "left")
+    joined = held.join(found, "place", "left")
     pairs = F.concat(F.col("whole"), F.coalesce(F.transform("single", lambda i: F.struct(i.alias("first"), i.alias("last"))), F.array().cast("array<struct<first:int,last:int>>")))
     return joined.select("k1", "k2", "text", F.array_sort(pairs).alias("ranges")).where(F.size("ranges") > 0)
 
 
 def window_rows(held: DataFrame, symbols: Symbols, width: int) -> DataFrame:
-    """(anchor, window, k1, k2, first, open) for each window of the runs in ``split``."""
-    schema = "anchor long, window long, k1 long, k2 long, first int, open boolean"
+    """(anchor, window, place, first, open) for each window of the runs in ``split``."""
+    schema = "anchor long, window long, place long, first int, open boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = byte_buffer(batch.column("text"))
-            k1, k2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
+            place = batch.column("place").to_numpy(zero_copy_only=False)
             split = batch.column("split")
             flat, bounds = split.flatten(), np.concatenate([[0], np.cumsum([len(x) for x in split])])
             anchor, first, last, open_ = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "first", "last", "open"))
-            for i, j in chunks(off, 1_000_000):
+            for i, j in chunks(off, 500_000):
                 sym, o = symbols(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 sums = _POLY.sums(sym)
                 a, b = bounds[i], bounds[j]
@@ -181,9 +178,9 @@ def window_rows(held: DataFrame, symbols: Symbols, width: int) -> DataFrame:
                 at = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
                 start = o[row - i] + at
                 h = mix(_POLY.slices(sums, start, start + width) * np.uint64(5))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[own], h.view(np.int64), k1[row], k2[row], at.astype(np.int32), open_[own])], [x.split(" ")[0] for x in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[own], h.view(np.int64), place[row], at.astype(np.int32), open_[own])], [x.split(" ")[0] for x in schema.split(", ")])
 
-    return held.select("k1", "k2", "text", "split").mapInArrow(run, schema)
+    return held.select("place", "text", "split").mapInArrow(run, schema)
 
 
 def covered(ranges: list[dict], width: int) -> list[tuple[int, int]]:

@@ -6,7 +6,6 @@ windows are found by whole-array operations.  Every helper takes nulls as empty
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at a time; one longer text is handled alone.
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,20 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Spark then deletes the shuffle files of a query as soon as it ends, not when the driver next collects garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished phases now, not when the driver next collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_key() -> list:
     """Two independent 64-bit hashes that identify a text: equal texts share all results, so they share the key."""
     text = F.coalesce(F.col("text"), F.lit(""))
