@@ -42,7 +42,7 @@ def name_uuid(key: Column) -> Column:
 
 def retry_ceiling(retry_after: Column, retry_count: Column, *, base: float = 5.0, longest: float = 300.0, longest_after: float = 900.0) -> Column:
     """The longest delay before a retry: what the server asked for, within bounds, or base doubled for each retry."""
-    after = F.least(F.greatest(retry_after, F.lit(0.0)), F.lit(longest_after))
+    after = F.when(retry_after.isNotNull(), F.least(F.greatest(retry_after, F.lit(0.0)), F.lit(longest_after)))
     return F.coalesce(after, F.least(F.lit(longest), F.lit(base) * F.pow(F.lit(2.0), retry_count)))
 
 
@@ -59,7 +59,7 @@ def retry_after_header(headers: Column) -> Column:
 
 
 def cadence_delay(value: Column, longest: int) -> Column:
-    return F.greatest(F.lit(1), F.least(F.ceil(value), F.lit(longest))).cast("long")
+    return F.when(value.isNotNull(), F.greatest(F.lit(1), F.least(F.ceil(value), F.lit(longest)))).cast("long")
 
 
 def marker_seconds(delay: Column, deadline: Column, stale: Column) -> Column:

@@ -208,7 +208,7 @@ def cycle_status(spark, sf_dir):
     return schedule.cycle_status(rows)
 
 
-@_query("""SELECT event_id, round(coalesce(least(greatest(CASE WHEN event_id % 4 = 0 THEN value END, 0), 900), least(300, 5 * power(2, event_id % 9))), 6) AS ceiling,
+@_query("""SELECT event_id, round(CASE WHEN event_id % 4 = 0 THEN least(greatest(value, 0), 900) ELSE least(300, 5 * power(2, event_id % 9)) END, 6) AS ceiling,
   CAST(greatest(1, least(ceil(value), 300)) AS BIGINT) AS cadence FROM events""")
 def retry_ceiling(spark, sf_dir):
     asked = F.when(F.col("event_id") % 4 == 0, F.col("value"))
