@@ -30,7 +30,7 @@ PLACEHOLDER = re.compile(r"(?i)change_?me|example|placeholder|your[_-]|dummy|red
 THRESHOLD = 0.6
 
 _MAY_HOLD = re.compile("(?i)pass|pwd|secret|token|key|credential|auth|bearer")
-_ITEM = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9_./+=-]+)"""
+_ITEM = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9_./=-][A-Za-z0-9_./+=-]*)"""
 _PAIR = re.compile(rf"""(?<![\w.])["']?([A-Za-z_][A-Za-z0-9_.-]{{0,80}})["']?[ \t]*(?::=|=>|[:=])(?![=:])[ \t]*({_ITEM}(?:[ \t]*\+[ \t]*{_ITEM})*)""")
 _ITEMS = re.compile(_ITEM)
 
