@@ -90,7 +90,7 @@ def feed_by_ids_ordered(spark, sf_dir):
 
 @_query("""
 WITH b AS (
-  SELECT conv_id, turn, concat_ws(chr(10), concat(CASE conv_id % 4 WHEN 0 THEN 'News' WHEN 1 THEN 'Market data' WHEN 2 THEN 'Official energy data' ELSE 'Company filing' END, ': ', substr(text, 1, 80)),
+  SELECT conv_id, turn, concat_ws(chr(10), concat(CASE conv_id % 4 WHEN 0 THEN 'News' WHEN 1 THEN 'Market data' WHEN 2 THEN 'Official energy data' ELSE 'Company filing' END, ': ', text),
     concat('Source: ', role), concat('Time: ', CAST(turn AS VARCHAR)), CASE WHEN turn % 2 = 0 THEN concat('https://news.test/', conv_id) END) AS block FROM conversations)
 SELECT conv_id, string_agg(block, chr(10) || chr(10) ORDER BY turn, block) AS message, count(*) AS items,
   CASE WHEN length(string_agg(block, chr(10) || chr(10))) > 4096 THEN 'message_too_long' END AS message_error FROM b GROUP BY conv_id
@@ -99,7 +99,7 @@ def notify_message(spark, sf_dir):
     rows = _read(spark, sf_dir, "conversations")
     provider = F.element_at(F.array(*(F.lit(m) for m in METHODS)), (F.col("conv_id") % 4 + 1).cast("int"))
     url = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("https://news.test/"), F.col("conv_id").cast("string")))
-    items = rows.select("conv_id", "turn", feed.block(provider, F.substring("text", 1, 80), F.col("role"), F.col("turn").cast("string"), url).alias("block"))
+    items = rows.select("conv_id", "turn", feed.block(provider, F.col("text"), F.col("role"), F.col("turn").cast("string"), url).alias("block"))
     return feed.messages(items, "conv_id", "turn")
 
 
@@ -203,10 +203,10 @@ def run_counters(spark, sf_dir):
 _STATUS = "CASE status WHEN 'failed' THEN 'FAILED' WHEN 'running' THEN 'RETRY' ELSE 'PASS' END"
 
 
-@_query(f"""SELECT id // 40 AS cycle, CASE WHEN bool_or({_STATUS} IN ('FAILED', 'BLOCKED', 'RETRY') OR (id % 97 = 0)) THEN 'PARTIAL' ELSE 'PASS' END AS cycle_status, count(*) AS providers
-FROM v_runs WHERE id % 10 = 0 GROUP BY 1""")
+@_query(f"""SELECT id // 4 AS cycle, CASE WHEN bool_or({_STATUS} IN ('FAILED', 'BLOCKED', 'RETRY') OR (id % 97 = 0)) THEN 'PARTIAL' ELSE 'PASS' END AS cycle_status, count(*) AS providers
+FROM v_runs GROUP BY 1""")
 def cycle_status(spark, sf_dir):
-    rows = view(spark, sf_dir, "runs").where("id % 10 = 0").select(F.expr("id div 40").alias("cycle"), F.expr(_STATUS).alias("status"), F.when(F.col("id") % 97 == 0, "FAILED").otherwise("PASS").alias("delivery"))
+    rows = view(spark, sf_dir, "runs").select(F.expr("id div 4").alias("cycle"), F.expr(_STATUS).alias("status"), F.when(F.col("id") % 97 == 0, "FAILED").otherwise("PASS").alias("delivery"))
     return schedule.cycle_status(rows)
 
 

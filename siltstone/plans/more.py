@@ -32,17 +32,17 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-@_query("SELECT r.run_id, count(c.id) AS items FROM v_raw r LEFT JOIN (SELECT * FROM v_content WHERE id % 3 <> 0) c ON c.raw_item_id = r.id GROUP BY r.run_id")
+@_query("SELECT r.run_id, count(c.id) AS items FROM v_raw r LEFT JOIN (SELECT * FROM v_content WHERE external_id IS NOT NULL) c ON c.raw_item_id = r.id GROUP BY r.run_id")
 def run_content_counts(spark, sf_dir):
-    content = view(spark, sf_dir, "content").where("id % 3 <> 0").select("raw_item_id", F.col("id").alias("content_id"))
+    content = view(spark, sf_dir, "content").where("external_id is not null").select("raw_item_id", F.col("id").alias("content_id"))
     raw = view(spark, sf_dir, "raw")
     return raw.join(content, raw.id == content.raw_item_id, "left").groupBy("run_id").agg(F.count("content_id").alias("items"))
 
 
 @_query("""SELECT a.id, coalesce(c.cursor, 'none') AS cursor_value, coalesce(c.errors, 0) AS errors FROM v_accounts a LEFT JOIN
-(SELECT source_account_id, CAST(max(id) AS VARCHAR) AS cursor, count(*) FILTER (WHERE status = 'failed') AS errors FROM v_runs WHERE source_account_id IS NOT NULL AND id % 90 = 0 GROUP BY 1) c ON c.source_account_id = a.id""")
+(SELECT source_account_id, CAST(max(id) AS VARCHAR) AS cursor, count(*) FILTER (WHERE status = 'failed') AS errors FROM v_runs WHERE source_account_id IS NOT NULL AND status IN ('running', 'failed') GROUP BY 1) c ON c.source_account_id = a.id""")
 def cursor_defaults(spark, sf_dir):
-    runs = view(spark, sf_dir, "runs").where("source_account_id is not null and id % 90 = 0")
+    runs = view(spark, sf_dir, "runs").where("source_account_id is not null and status in ('running', 'failed')")
     known = runs.groupBy("source_account_id").agg(F.max("id").cast("string").alias("cursor"), F.count_if(F.col("status") == "failed").alias("errors"))
     accounts = view(spark, sf_dir, "accounts")
     return accounts.join(known, accounts.id == known.source_account_id, "left").select("id", F.coalesce("cursor", F.lit("none")).alias("cursor_value"), F.coalesce("errors", F.lit(0).cast("long")).alias("errors"))
@@ -79,9 +79,9 @@ def replay_readiness(spark, sf_dir):
 
 @_query("""
 SELECT r.run_id, count(*) AS raw, count(c.id) AS visible, CASE WHEN count(*) > 0 AND count(c.id) = 0 THEN 'INVALID' ELSE 'OK' END AS guard
-FROM v_raw r LEFT JOIN (SELECT * FROM v_content WHERE title IS NOT NULL AND canonical_url IS NOT NULL AND id % 25 > 4) c ON c.raw_item_id = r.id GROUP BY r.run_id""")
+FROM v_raw r LEFT JOIN (SELECT * FROM v_content WHERE title IS NOT NULL AND canonical_url IS NOT NULL AND source_published_at IS NOT NULL) c ON c.raw_item_id = r.id GROUP BY r.run_id""")
 def feed_guard(spark, sf_dir):
-    visible = view(spark, sf_dir, "content").where("title is not null and canonical_url is not null and id % 25 > 4").select("raw_item_id", F.col("id").alias("c"))
+    visible = view(spark, sf_dir, "content").where("title is not null and canonical_url is not null and source_published_at is not null").select("raw_item_id", F.col("id").alias("c"))
     raw = view(spark, sf_dir, "raw")
     counted = raw.join(visible, raw.id == visible.raw_item_id, "left").groupBy("run_id").agg(F.count("*").alias("raw"), F.count("c").alias("visible"))
     return counted.withColumn("guard", F.when((F.col("raw") > 0) & (F.col("visible") == 0), "INVALID").otherwise("OK"))
@@ -92,16 +92,15 @@ def link_problems(spark, sf_dir):
     return resolve.link_problems(view(spark, sf_dir, "links"))
 
 
-@_query("SELECT DISTINCT evidence_id FROM v_links WHERE evidence_id % 2 = 0 AND evidence_id NOT IN (SELECT evidence_id FROM v_links WHERE active AND candidate_id % 9 = 0)")
+@_query("SELECT DISTINCT evidence_id FROM v_links WHERE evidence_id NOT IN (SELECT evidence_id FROM v_links WHERE active AND candidate_id % 9 = 0)")
 def evidence_unprocessed(spark, sf_dir):
     links = view(spark, sf_dir, "links")
-    return resolve.unprocessed(links.where("evidence_id % 2 = 0").select("evidence_id").distinct(), links.where("candidate_id % 9 = 0"))
+    return resolve.unprocessed(links.select("evidence_id").distinct(), links.where("candidate_id % 9 = 0"))
 
 
-@_query("SELECT source_id, CASE WHEN bool_and(http_status = 200) THEN 'PASS' ELSE 'FAIL' END AS verdict, count(*) AS checks FROM v_runs WHERE id % 300 = 0 GROUP BY source_id")
+@_query("SELECT id // 3 AS verification, CASE WHEN bool_and(http_status = 200) THEN 'PASS' ELSE 'FAIL' END AS verdict, count(*) AS checks FROM v_runs GROUP BY 1")
 def verification_rollup(spark, sf_dir):
-    runs = view(spark, sf_dir, "runs").where("id % 300 = 0")
-    return runs.groupBy("source_id").agg(F.when(F.bool_and(F.col("http_status") == 200), "PASS").otherwise("FAIL").alias("verdict"), F.count("*").alias("checks"))
+    return view(spark, sf_dir, "runs").groupBy(F.expr("id div 3").alias("verification")).agg(F.when(F.bool_and(F.col("http_status") == 200), "PASS").otherwise("FAIL").alias("verdict"), F.count("*").alias("checks"))
 
 
 @_query("SELECT candidate_id, arg_min(CASE WHEN official THEN evidence_id END, evidence_id) AS strong FROM v_links WHERE official GROUP BY candidate_id")

@@ -97,6 +97,33 @@ def delivery_states(actions: DataFrame) -> DataFrame:
     return actions.groupBy("key").applyInPandasWithState(step, "key long, status string, retry_count long", "status string, tries long, since double", "update", GroupStateTimeout.NoTimeout)
 
 
+def cadence_grants(ticks: DataFrame) -> DataFrame:
+    """Which polls of a provider may run, over a stream of (key, at, cadence, action, delay): key, at, attempt.
+
+    A tick is granted when the cadence since the last grant is over, or when a retry that was asked for is due; a retry (with
+    its delay in seconds) opens the gate again and carries the attempt on, a tick by cadence starts at attempt 0.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        granted, retry_at, attempt = state.get if state.exists else (None, None, 0)
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["at", "action"]).itertuples():
+            at = r.at.timestamp()
+            if r.action == "retry":
+                retry_at, attempt = at + r.delay, attempt + 1
+            elif retry_at is not None:
+                if at >= retry_at:
+                    granted, retry_at = at, None
+                    out.append((key[0], r.at, attempt))
+            elif granted is None or at >= granted + r.cadence:
+                granted, attempt = at, 0
+                out.append((key[0], r.at, attempt))
+        state.update((granted, retry_at, attempt))
+        yield pd.DataFrame(out, columns=["key", "at", "attempt"])
+
+    return ticks.groupBy("key").applyInPandasWithState(step, "key string, at timestamp, attempt long", "granted double, retry_at double, attempt long", "append", GroupStateTimeout.NoTimeout)
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(deduplicated(_events(spark, sf_dir), ["user_id", "event_type"]), "stream_dedup").groupBy("user_id", "event_type").agg(F.count("*").alias("kept"))
 

@@ -40,3 +40,14 @@ def test_dedup_keeps_one_across_batches(spark, tmp_path):
     row = (1, datetime(2026, 1, 1))
     stream = stream_of(spark, tmp_path, [[row], [row, (2, datetime(2026, 1, 1))]], "k long, at timestamp")
     assert jobs.run_to_end(jobs.deduplicated(stream, ["k"]), "t").agg(F.count("*").alias("n")).first().n == 2
+
+
+def test_cadence_and_retry_gates(spark, tmp_path):
+    at = lambda s: datetime(2026, 1, 1, 0, s // 60, s % 60)
+    tick, retry = lambda k, s: (k, at(s), 300, "tick", 0), lambda k, s, d: (k, at(s), 300, "retry", d)
+    rows = [tick("a", 0), tick("a", 60), tick("a", 299), tick("a", 300), retry("b", 1, 50), tick("b", 0), tick("b", 40), tick("b", 60), tick("b", 120), retry("b", 130, 0), tick("b", 140), tick("b", 500)]
+    stream = stream_of(spark, tmp_path, [rows], "key string, at timestamp, cadence int, action string, delay int")
+    query = jobs.cadence_grants(stream).writeStream.format("memory").queryName("grants").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((r.key, r.at, r.attempt) for r in spark.table("grants").collect())
+    assert got == [("a", at(0), 0), ("a", at(300), 0), ("b", at(0), 0), ("b", at(60), 1), ("b", at(140), 2), ("b", at(500), 0)]
