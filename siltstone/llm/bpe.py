@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.shared import bounded
+
 #: Entries that the caches of pieces and of neighbour tests may hold in a worker before they are emptied.
 CACHE_ENTRIES = 400_000
 
@@ -180,4 +182,4 @@ def tokenize(docs: DataFrame, path: str, pattern: str, *, keep_ids: bool = True)
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

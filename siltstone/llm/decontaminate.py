@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import LETTERS, LOWER, Poly, byte_buffer, chunks, mix, words
+from siltstone.llm.shared import LETTERS, LOWER, Poly, bounded, byte_buffer, chunks, mix, words
 
 #: Bytes of benchmark text in a broadcast block.  A longer single text makes a block of its own.
 BLOCK_BYTES = 8_000_000
@@ -105,7 +105,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = 10) -> Data
     Null and empty texts have no words and no hits; items without words, text or id are skipped; repeated items and rows
     count as they stand.  Columns of ``docs`` with these three names are replaced, all others are kept.
     """
-    docs = docs.drop("n_words", "hit_words", "hit_items")
+    docs = bounded(docs).drop("n_words", "hit_words", "hit_items")
     base = docs.withColumns({"n_words": F.lit(None).cast("long"), "hit_words": F.array().cast("array<int>"), "hit_items": F.array().cast("array<long>")})
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(g) for g in _blocks(benchmark, width)] or [spark.sparkContext.broadcast(Grams([], width))]

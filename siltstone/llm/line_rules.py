@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import UNSPACED, Poly, byte_buffer, chunks, mix, text_key, words, written
+from siltstone.llm.shared import UNSPACED, Poly, bounded, byte_buffer, chunks, mix, text_key, words, written
 
 #: A line stays while at most so many different documents of its host hold it.
 LINE_DOCUMENTS = 100
@@ -79,28 +80,33 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     host = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), F.col("text").cast("string").alias("text")).select("doc_id", "host", "text", *text_key())
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), F.col("text").cast("string").alias("text")).select("doc_id", "host", "text", *text_key())
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(host, k1, k2, line, n): the key of each different line of each row, and the words in all its occurrences."""
+    """(host, k1, k2, l1, l2, n): two hashes of each different line of each row with its host, and the words in all its
+    occurrences.  Lines don't leave the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, lines, n = [], [], []
-            for r, text in enumerate(batch.column("text")):
+            at, l1, l2, n = [], [], [], []
+            for r, (host, text) in enumerate(zip(batch.column("host"), batch.column("text"), strict=True)):
                 of: dict[str, int] = {}
                 for line in (text.as_py() or "").split("\n"):
                     if normal := normal_line(line):
                         of[normal] = of.get(normal, 0) + normal.count(" ") + 1
                 at += [r] * len(of)
-                lines += of
                 n += of.values()
-            took = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(took.column(k) for k in ("host", "k1", "k2")), pa.array(lines, pa.string()), pa.array(n, pa.int64())], ["host", "k1", "k2", "line", "n"])
-
-    rows = _keyed(docs).mapInArrow(run, "host string, k1 long, k2 long, line string, n long")
-    return rows.select("host", "k1", "k2", F.xxhash64("host", "line").alias("l1"), F.xxhash64("line", F.lit("second"), "host").alias("l2"), "n")
+                begin = host.as_py() + "\0"
+                for line in of:
+                    said = (begin + line).encode()
+                    l1.append(xxhash.xxh64_intdigest(said, 1))
+                    l2.append(xxhash.xxh64_intdigest(said, 2))
+            took = batch.select(["host", "k1", "k2"]).take(pa.array(at, pa.int64()))
+            hashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (l1, l2)]
+            yield pa.RecordBatch.from_arrays([*took.columns, *hashes, pa.array(n, pa.int64())], ["host", "k1", "k2", "l1", "l2", "n"])
+
+    return _keyed(docs).mapInArrow(run, "host string, k1 long, k2 long, l1 long, l2 long, n long")
 
 
 def judge(docs: DataFrame, *, line_documents: int = LINE_DOCUMENTS, least_kept: int = LEAST_KEPT) -> DataFrame:

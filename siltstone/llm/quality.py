@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import byte_buffer, chunks
+from siltstone.llm.shared import bounded, byte_buffer, chunks
 
 #: Bytes under a filter, between neighbouring filters, between neighbouring chunks (which are twice as long).
 WIDTH, STRIDE, HOP = 8, 4, 128
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, s
 def score(docs: DataFrame, net: Network, shift: float = 0.0) -> DataFrame:
     """``docs`` with score (double) and predicted (int): whole texts, empty and null ones too.  Columns of these names are
     replaced; nothing but the text counts."""
-    docs = docs.drop("score", "predicted")
+    docs = bounded(docs).drop("score", "predicted")
     net_everywhere = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,18 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1_000_000
 
 
+#: Rows in an Arrow batch between Spark and Python: texts can be long, and both sides hold whole batches.
+BATCH_ROWS = 1_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold few texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) not in range(1, BATCH_ROWS + 1):
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import components
-from siltstone.llm.shared import LOWER, UNSPACED, byte_buffer, chunks, mix, words, written
+from siltstone.llm.shared import LOWER, UNSPACED, bounded, byte_buffer, chunks, mix, words, written
 
 #: Generator polynomial of the (23, 12) Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
@@ -104,11 +104,11 @@ def fingerprints(docs: DataFrame, *, width: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = byte_buffer(batch.column("text"))
-            out = [shingle_fingerprints(buf[off[i] : off[j]], off[i : j + 1] - off[i], width) for i, j in chunks(off, 2_000_000)]
+            out = [shingle_fingerprints(buf[off[i] : off[j]], off[i : j + 1] - off[i], width) for i, j in chunks(off)]
             fp = np.concatenate([*out, np.zeros(0, np.uint64)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
 
 
 def links(prints: DataFrame) -> DataFrame:
