@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import LETTERS, LOWER, Poly, bounded, byte_buffer, chunks, mix, words
+from siltstone.llm.shared import LETTERS, LOWER, Poly, bounded, byte_buffer, chunks, mix, set_aside, words
 
 #: Bytes of benchmark text in a broadcast block.  A longer single text makes a block of its own.
 BLOCK_BYTES = 8_000_000
@@ -152,9 +152,10 @@ def report(docs: DataFrame, benchmark: DataFrame, *, width: int = 10) -> DataFra
 
 def remove(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, whole_documents: bool = True) -> DataFrame:
     """``docs`` without the contaminated documents, or with the hit words cut out of their texts."""
-    found = find_hits(docs, benchmark, width=width)
+    free, restored = set_aside(docs, ("n_words", "hit_words", "hit_items"))
+    found = find_hits(free, benchmark, width=width)
     if whole_documents:
-        return found.where(F.size("hit_words") == 0).select(docs.columns)
+        return restored(found.where(F.size("hit_words") == 0))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,4 +173,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, whole_docu
                     texts[r] = b"".join([*kept, raw[last:]]).decode()
             yield batch.set_column(at, "text", pa.array(texts, pa.string()))
 
-    return found.mapInArrow(cut, found.schema).select(docs.columns)
+    return restored(found.mapInArrow(cut, found.schema))

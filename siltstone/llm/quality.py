@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import bounded, byte_buffer, chunks
+from siltstone.llm.shared import bounded, byte_buffer, chunks, set_aside
 
 #: Bytes under a filter, between neighbouring filters, between neighbouring chunks (which are twice as long).
 WIDTH, STRIDE, HOP = 8, 4, 128
@@ -208,4 +208,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted to be of good quality."""
     net, shift = fit(docs, labels)
-    return score(docs, net, shift).where("predicted = 1").select(docs.columns)
+    free, restored = set_aside(docs, ("score", "predicted"))
+    return restored(score(free, net, shift).where("predicted = 1"))

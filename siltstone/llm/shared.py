@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,12 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with its own columns of these names out of the way, and what gives a result their names and order back."""
+    own = {c: f"_own_{c}" for c in df.columns if c in names}
+    return df.withColumnsRenamed(own), lambda out: out.drop(*names).withColumnsRenamed({v: k for k, v in own.items()}).select(df.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -145,7 +145,7 @@ def test_quality_awkward(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     assert quality.classify(awkward(spark), labels).count() == 10
     assert quality.classify(awkward(spark).limit(0), labels.limit(0)).count() == 0
-    assert quality.keep_good(awkward(spark), labels).columns == awkward(spark).columns
+    assert quality.keep_good(awkward(spark), labels).dtypes == awkward(spark).dtypes
 
 
 def _buffer(texts):
@@ -191,7 +191,8 @@ def test_decontamination_in_blocks(spark, monkeypatch):
 def test_decontamination_removes(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     df = docs(spark, ["keep, One. two-THREE! end", "nothing here", None])
-    assert [r.doc_id for r in decontaminate.remove(df, bench).orderBy("doc_id").collect()] == [1, 2]
+    kept = decontaminate.remove(df, bench)
+    assert [(r.doc_id, r.n_words, r.hit_words) for r in kept.orderBy("doc_id").collect()] == [(1, "clash", "clash"), (2, "clash", "clash")] and kept.dtypes == df.dtypes
     cut = {r.doc_id: r.text for r in decontaminate.remove(df, bench, whole_documents=False).collect()}
     assert cut == {0: "keep, ! end", 1: "nothing here", 2: None}
 
@@ -542,3 +543,10 @@ def test_stages_return_document_columns(spark, sf_dir):
     for _, stage in p.STAGES[:-1]:
         assert stage(spark, rows.limit(30), sf_dir).dtypes == rows.dtypes
     assert [n for n, _ in p.STAGES][:2] == ["quality classifier", "SimHash near-dedup"]
+
+
+def test_periodic_text_is_few_rows(spark):
+    df = docs(spark, ["be " * 3000, "x", "thaen " * 800])
+    rows = repeats.run_rows(df, suffix_dedup.byte_symbols, 200, 100, with_runs=True).collect()
+    assert len(rows) < 300 and sum(r.times for r in rows) > 3000
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup_bytes(df).collect()} == dict(enumerate(plain_bytes(["be " * 3000, "x", "thaen " * 800])))
