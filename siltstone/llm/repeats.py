@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import Poly, byte_buffer, chunks, mix, text_key, written
+from siltstone.llm.shared import Poly, bounded, byte_buffer, chunks, mix, text_key, written
 
 #: (symbols as uint64, symbol offsets of the rows) of a byte buffer and its row offsets.
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -89,8 +89,12 @@ _POLY = Poly(7)
 
 
 def run_rows(docs: DataFrame, symbols: Symbols, width: int, k: int, *, with_runs: bool) -> DataFrame:
-    """Anchors of all runs of ``docs``; with the runs themselves and the key of their text, or without."""
-    schema = "anchor long" + ", span long, k1 long, k2 long, first int, last int" * with_runs
+    """Anchors of all runs of ``docs``; with the runs themselves and the key of their text, or without.
+
+    Text that repeats with a short period has a run for each period, all alike: such neighbours are one row, ``times`` tells
+    how many there are.
+    """
+    schema = "anchor long, times int" + ", span long, k1 long, k2 long, first int, last int" * with_runs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +102,12 @@ def run_rows(docs: DataFrame, symbols: Symbols, width: int, k: int, *, with_runs
             keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2")] if with_runs else []
             for i, j in chunks(off):
                 row, anchor, span, first, last = runs(_POLY, *symbols(buf[off[i] : off[j]], off[i : j + 1] - off[i]), width, k)
-                cols = [anchor.view(np.int64)]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]) | (span[1:] != span[:-1]) | (first[1:] != last[:-1] + 1)
+                at = np.flatnonzero(new)
+                end = np.append(at[1:], len(row))[: len(at)] - 1
+                row, anchor, span, first, last, times = row[at], anchor[at], span[at], first[at], last[end], (end - at + 1).astype(np.int32)
+                cols = [anchor.view(np.int64), times]
                 if with_runs:
                     cols += [span.view(np.int64), *(c[row + i] for c in keys), first.astype(np.int32), last.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [x.split(" ")[0] for x in schema.split(", ")])
@@ -107,7 +116,7 @@ def run_rows(docs: DataFrame, symbols: Symbols, width: int, k: int, *, with_runs
 
 
 def _texts(docs: DataFrame, keyed: bool = True) -> DataFrame:
-    return docs.select(F.col("text").cast("string").alias("text")).select("text", *(text_key() if keyed else []))
+    return bounded(docs).select(F.col("text").cast("string").alias("text")).select("text", *(text_key() if keyed else []))
 
 
 def different_texts(docs: DataFrame) -> DataFrame:
@@ -132,10 +141,12 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, width: int, k: int, name
 
     The result and what it stands on are written tables in the shared folder.
     """
-    again = run_rows(docs, symbols, width, k, with_runs=False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Counted keys are written before they are joined: each join then has exchanges of its own, whose large partitions
+    # adaptive execution can split.
+    again = written(run_rows(docs, symbols, width, k, with_runs=False).groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"), f"{name}-anchors")
     met = written(run_rows(docs, symbols, width, k, with_runs=True).join(again, "anchor", "left_semi"), f"{name}-runs")
 
-    spans = written(met.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "last")).alias("one")), f"{name}-spans")
+    spans = written(met.groupBy("anchor", "span").agg(F.sum("times").alias("n"), F.min(F.struct("k1", "k2", "first", "last")).alias("one")), f"{name}-spans")
     # Whole runs that agree with another run.
     whole = met.join(spans.where("n > 1").select("anchor", "span"), ["anchor", "span"], "left_semi").select("k1", "k2", "first", "last")
     ranges = F.array_sort(F.collect_set(F.struct("first", "last")))
@@ -149,7 +160,7 @@ def repeated_windows(docs: DataFrame, symbols: Symbols, width: int, k: int, name
     held = written(held, f"{name}-texts")  # the place is fixed from here on
 
     windows = window_rows(held.where(F.size("split") > 0), symbols, width)
-    shared = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
+    shared = written(windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window"), f"{name}-windows")
     found = windows.where("open").join(shared, ["anchor", "window"], "left_semi").groupBy("place").agg(F.collect_list("first").alias("single"))
     found = written(found, f"{name}-found")
     joined = held.join(found, "place", "left")
@@ -180,7 +191,7 @@ def window_rows(held: DataFrame, symbols: Symbols, width: int) -> DataFrame:
                 h = mix(_POLY.slices(sums, start, start + width) * np.uint64(5))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor[own], h.view(np.int64), place[row], at.astype(np.int32), open_[own])], [x.split(" ")[0] for x in schema.split(", ")])
 
-    return held.select("place", "text", "split").mapInArrow(run, schema)
+    return bounded(held).select("place", "text", "split").mapInArrow(run, schema)
 
 
 def covered(ranges: list[dict], width: int) -> list[tuple[int, int]]:
