@@ -78,13 +78,12 @@ def feed_for_run(spark, sf_dir):
 
 
 @_query("""
-WITH ids AS (SELECT row_number() OVER (ORDER BY id % 7, id DESC) AS pos, id FROM v_content WHERE id % 5 = 0)
+WITH ids AS (SELECT (id % 7) * 1000000000000 - id AS pos, id FROM v_content WHERE external_id IS NOT NULL)
 SELECT pos, c.id, title, source_id, access_method FROM ids JOIN v_content c USING (id) JOIN v_sources s ON s.id = c.source_id
 """)
 def feed_by_ids_ordered(spark, sf_dir):
     content = view(spark, sf_dir, "content")
-    wanted = content.where("id % 5 = 0").agg(F.array_sort(F.collect_list(F.struct((F.col("id") % 7).alias("a"), (-F.col("id")).alias("b"), "id"))).alias("ids"))
-    ids = wanted.select(F.posexplode("ids").alias("p", "x")).select((F.col("p") + 1).cast("long").alias("pos"), F.col("x.id").alias("id"))
+    ids = content.where("external_id is not null").select(((F.col("id") % 7) * 1_000_000_000_000 - F.col("id")).alias("pos"), "id")
     return feed.by_ids(content, view(spark, sf_dir, "sources"), ids)
 
 
@@ -289,9 +288,9 @@ def json_shape(spark, sf_dir):
 
 
 _ARRAYS = """
-WITH a AS (SELECT p_brand, list(p_partkey ORDER BY p_partkey) AS k, list(p_name ORDER BY p_partkey) FILTER (WHERE p_size % 3 <> 0) AS n FROM part GROUP BY p_brand),
-z AS (SELECT p_brand, i, k[i] AS k, n[i] AS n, len(k) AS lk, coalesce(len(n), 0) AS ln FROM a, generate_series(1, greatest(len(k), coalesce(len(n), 0))) AS s(i))
-SELECT p_brand, 'cut' AS kind, k, n FROM z WHERE i <= least(lk, ln) UNION ALL SELECT p_brand, 'padded', k, n FROM z
+WITH a AS (SELECT p_partkey // 40 AS lot, list(p_partkey ORDER BY p_partkey) AS k, list(p_name ORDER BY p_partkey) FILTER (WHERE p_size % 3 <> 0) AS n FROM part GROUP BY 1),
+z AS (SELECT lot, i, k[i] AS k, n[i] AS n, len(k) AS lk, coalesce(len(n), 0) AS ln FROM a, generate_series(1, greatest(len(k), coalesce(len(n), 0))) AS s(i))
+SELECT lot, 'cut' AS kind, k, n FROM z WHERE i <= least(lk, ln) UNION ALL SELECT lot, 'padded', k, n FROM z
 """
 
 
@@ -299,8 +298,8 @@ SELECT p_brand, 'cut' AS kind, k, n FROM z WHERE i <= least(lk, ln) UNION ALL SE
 def columnar_zip(spark, sf_dir):
     kept = F.when(F.col("p_size") % 3 != 0, F.struct("p_partkey", "p_name"))
     names = F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["p_name"])
-    arrays = _read(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list("p_partkey")).alias("k"), names.alias("n"))
-    cut, padded = (normalize.zipped(arrays, ("k", "n"), padded=p).select("p_brand", F.lit("padded" if p else "cut").alias("kind"), "k", "n") for p in (False, True))
+    arrays = _read(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 40").alias("lot")).agg(F.array_sort(F.collect_list("p_partkey")).alias("k"), names.alias("n"))
+    cut, padded = (normalize.zipped(arrays, ("k", "n"), padded=p).select("lot", F.lit("padded" if p else "cut").alias("kind"), "k", "n") for p in (False, True))
     return cut.union(padded)
 
 
