@@ -13,22 +13,24 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at a time; one longer text is handled alone.
 CHUNK_BYTES = 1_000_000
 
 
-#: Rows in an Arrow batch between Spark and Python: texts can be long, and both sides hold whole batches.
-BATCH_ROWS = 1_000
+#: Rows and bytes in an Arrow batch between Spark and Python: texts can be long, and both sides hold whole batches.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16_000_000
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Arrow batches hold few texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key)) not in range(1, BATCH_ROWS + 1):
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    """``df``, in a session whose Arrow batches hold few texts, and few long ones."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key).removesuffix("b")  # a number, or one with a unit
+        if not now.isdigit() or int(now) not in range(1, most + 1):
+            conf.set(key, str(most))
     return df
 
 
@@ -68,9 +70,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_key() -> list:
+def text_key(text: str | Column = "text") -> list[Column]:
     """Two independent 64-bit hashes that identify a text: equal texts share all results, so they share the key."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(text, F.lit(""))
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2")]
 
 

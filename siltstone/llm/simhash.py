@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import components
-from siltstone.llm.shared import LOWER, UNSPACED, bounded, byte_buffer, chunks, mix, words, written
+from siltstone.llm.shared import LOWER, UNSPACED, bounded, byte_buffer, chunks, mix, set_aside, text_key, words, written
 
 #: Generator polynomial of the (23, 12) Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+_NAMELESS = -(1 << 63)
 
 
 def _syndrome_of(word: int) -> int:
@@ -98,17 +99,21 @@ def shingle_fingerprints(buf: np.ndarray, off: np.ndarray, width: int) -> np.nda
     return out
 
 
-def fingerprints(docs: DataFrame, *, width: int = 3) -> DataFrame:
-    """Adds ``fingerprint`` (long holding 64 bits) to doc_id; null and empty texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, *, width: int = 3, keyed: bool = False) -> DataFrame:
+    """Adds ``fingerprint`` (long holding 64 bits) to doc_id, and with ``keyed`` to the key of the text (k1, k2) too; null and
+    empty texts have fingerprint zero."""
+    names = ["doc_id", "k1", "k2"] if keyed else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = byte_buffer(batch.column("text"))
             out = [shingle_fingerprints(buf[off[i] : off[j]], off[i : j + 1] - off[i], width) for i, j in chunks(off)]
             fp = np.concatenate([*out, np.zeros(0, np.uint64)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fp.view(np.int64))], [*names, "fingerprint"])
 
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("doc_id", "text", *(text_key() if keyed else []))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fingerprint"]))
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -151,12 +156,21 @@ def near_duplicates(docs: DataFrame, *, width: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, width: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of their group of near-duplicates: one document of each group.
+    """One row of each group of near-duplicates: that with the least doc_id.
 
-    Of several rows with that doc_id one stays, the least text.  Rows without doc_id can't be named; they all stay.
+    Rows without doc_id come after all others.  Where doc_ids tie, the key of the text decides, then the other columns; so
+    repeated rows shrink to one, and a doc_id that stands for texts of two groups stays once in each.
     """
-    heads = near_duplicates(docs, width=width).select(F.col("component_id").alias("head")).where("head is not null").distinct()
-    kept = docs.join(heads, docs["doc_id"] == heads["head"], "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    first = kept.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
-    return first.unionByName(docs.where("doc_id is null"))
+    marks = written(fingerprints(docs, width=width, keyed=True), "fingerprints")
+    roots = components(links(marks.select("fingerprint").distinct()))
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k1", "k2")
+    firsts = marks.groupBy("fingerprint").agg(F.min(first).alias("head"))
+    firsts = firsts.join(roots, firsts.fingerprint == roots.node, "left").groupBy(F.coalesce("component", "fingerprint")).agg(F.min("head").alias("head"))
+    # An id of its own for rows without one makes the three columns plain keys: join and window share one exchange.
+    heads = firsts.select(F.coalesce("head.doc_id", F.lit(_NAMELESS)).alias("a"), F.col("head.k1").alias("b"), F.col("head.k2").alias("c"), F.col("head.nameless").alias("d"))
+    free, restored = set_aside(docs, ("_id", "_k1", "_k2", "_place"))
+    key1, key2 = text_key(F.col("text").cast("string"))
+    free = free.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NAMELESS)), "_k1": key1, "_k2": key2})
+    kept = free.join(heads, (free["_id"] == heads["a"]) & (free["_k1"] == heads["b"]) & (free["_k2"] == heads["c"]) & (free["doc_id"].isNull() == heads["d"]), "left_semi")
+    order = [F.col(c).asc_nulls_first() for c, kind in kept.dtypes if c not in ("text", "_id", "_k1", "_k2") and "map<" not in kind and "variant" not in kind]
+    return restored(kept.withColumn("_place", F.row_number().over(Window.partitionBy("_id", "_k1", "_k2").orderBy(*order))).where("_place = 1"))

@@ -281,10 +281,17 @@ def test_simhash_awkward(spark):
     got = simhash.near_duplicates(awkward(spark)).collect()
     assert len(got) == 10 and {r.component_id for r in got if r.fingerprint == "0" * 16} == {2}
     kept = simhash.keep_one(awkward(spark))
-    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, -1, 1, 2, 5, 6, 7] and kept.columns == awkward(spark).columns
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [1, 2, 5, 6, 7] and kept.columns == awkward(spark).columns
     assert simhash.near_duplicates(awkward(spark).limit(0)).count() == 0
 
 
+def test_keep_one_loses_no_group(spark):
+    rows = [(5, "one two three four", 1), (5, "six seven eight nine", 2), (3, "one two three four", 3), (3, "one two three four", 4), (None, "nobody knows whose text", 5), (None, "nobody knows whose text", 6), (None, "six seven eight nine", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _place long")
+    assert sorted(tuple(r)[1:] for r in simhash.keep_one(docs).collect()) == [("nobody knows whose text", 5), ("one two three four", 3), ("six seven eight nine", 2)]
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
 # --- 5 --------------------------------------------------------------------------------------------------------------
 
 
