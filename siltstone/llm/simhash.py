@@ -166,11 +166,12 @@ def keep_one(docs: DataFrame, *, width: int = 3) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k1", "k2")
     firsts = marks.groupBy("fingerprint").agg(F.min(first).alias("head"))
     firsts = firsts.join(roots, firsts.fingerprint == roots.node, "left").groupBy(F.coalesce("component", "fingerprint")).agg(F.min("head").alias("head"))
-    # An id of its own for rows without one makes the three columns plain keys: join and window share one exchange.
-    heads = firsts.select(F.coalesce("head.doc_id", F.lit(_NAMELESS)).alias("a"), F.col("head.k1").alias("b"), F.col("head.k2").alias("c"), F.col("head.nameless").alias("d"))
+    # With an id for rows without one the three columns are plain keys: join and window share one exchange.
+    heads = firsts.select(F.coalesce("head.doc_id", F.lit(_NAMELESS)).alias("a"), F.col("head.k1").alias("b"), F.col("head.k2").alias("c"))
     free, restored = set_aside(docs, ("_id", "_k1", "_k2", "_place"))
     key1, key2 = text_key(F.col("text").cast("string"))
     free = free.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NAMELESS)), "_k1": key1, "_k2": key2})
-    kept = free.join(heads, (free["_id"] == heads["a"]) & (free["_k1"] == heads["b"]) & (free["_k2"] == heads["c"]) & (free["doc_id"].isNull() == heads["d"]), "left_semi")
-    order = [F.col(c).asc_nulls_first() for c, kind in kept.dtypes if c not in ("text", "_id", "_k1", "_k2") and "map<" not in kind and "variant" not in kind]
+    kept = free.join(heads, (free["_id"] == heads["a"]) & (free["_k1"] == heads["b"]) & (free["_k2"] == heads["c"]), "left_semi")
+    rest = [F.col(c).asc_nulls_first() for c, kind in kept.dtypes if c not in ("doc_id", "text", "_id", "_k1", "_k2") and "map<" not in kind and "variant" not in kind]
+    order = [F.col("doc_id").asc_nulls_last(), *rest]
     return restored(kept.withColumn("_place", F.row_number().over(Window.partitionBy("_id", "_k1", "_k2").orderBy(*order))).where("_place = 1"))
