@@ -20,8 +20,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the least doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates stays: that with the least doc_id.  Near are texts that share 80 % of
+    their five-word shingles, and those within two bits."""
+    return simhash.keep_one(docs, similar=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

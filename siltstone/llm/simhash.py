@@ -5,6 +5,10 @@ is within three bits of one codeword.  The codewords that the words within one b
 two segments that differ in at most two bits share one of them, as they share a word half way.  Of at most two differing
 bits in all, one of the three segments has none: the keys of a fingerprint are, for each segment, the segment itself with
 the codeword indices of the next one.  Fingerprints that share a key with another are verified.
+
+Texts of which a fifth of the shingles differ are about ten of 64 bits apart, where no such key is selective.  Where these
+count too (``keep_one(similar=...)``), candidates are texts that share a band of least shingle hashes, and each pair of them
+is verified by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -18,12 +22,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import components
-from siltstone.llm.shared import LOWER, UNSPACED, bounded, byte_buffer, chunks, mix, set_aside, text_key, words, written
+from siltstone.llm.shared import LOWER, UNSPACED, Poly, bounded, byte_buffer, chunks, mix, set_aside, text_key, words, written
 
 #: Generator polynomial of the (23, 12) Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _NAMELESS = -(1 << 63)
+#: Bands of so many least hashes each: of texts with a Jaccard similarity of 0.8, one pair in 30,000 shares no band.
+BANDS, BAND_ROWS = 20, 4
+#: In a band that more texts share, each is compared with two of them instead of all.
+ALL_PAIRS = 8
+_POLY = Poly(11)
+_FACTORS = np.random.default_rng(12).integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 
 
 def _syndrome_of(word: int) -> int:
@@ -99,6 +109,90 @@ def shingle_fingerprints(buf: np.ndarray, off: np.ndarray, width: int) -> np.nda
     return out
 
 
+def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different word shingles of the rows of a byte buffer, row by row, and each row's offset in them.  A text
+    of fewer words is one shingle; one without words has none."""
+    low = LOWER[buf]
+    starts, ends, woff = words(low, off, UNSPACED)
+    per_row = np.diff(woff)
+    n = np.where(per_row >= width, per_row - width + 1, np.minimum(per_row, 1))
+    row = np.repeat(np.arange(len(n)), n)
+    first = np.repeat(woff[:-1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    sums = _POLY.sums(_POLY.word_hashes(low, starts, ends))
+    h = mix(_POLY.slices(sums, first, first + np.minimum(per_row, width)[row]))
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(n)))])
+
+
+def band_keys(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """BANDS keys for each row that has shingles: texts share one with probability similarity ** BAND_ROWS."""
+    begin = off[:-1][off[1:] > off[:-1]]
+    keys = np.zeros((len(begin), BANDS), np.uint64)
+    if len(begin):
+        for i, factor in enumerate(_FACTORS):
+            band = i // BAND_ROWS
+            keys[:, band] = mix(keys[:, band] * np.uint64(_POLY.BASE) + mix(np.minimum.reduceat(hashes * factor, begin)) + np.uint64(i + 1))
+    return keys
+
+
+def _shingled(texts: DataFrame, width: int, keys: bool) -> DataFrame:
+    """(k1, hashes) of rows of (k1, text): the band keys, or all shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = byte_buffer(batch.column("text"))
+            for i, j in chunks(off):
+                values, at = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], width)
+                if keys:
+                    values, at = band_keys(values, at).ravel(), np.concatenate([[0], np.cumsum((at[1:] > at[:-1]) * BANDS)])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("k1").slice(i, j - i), lists], ["k1", "hashes"])
+
+    return texts.mapInArrow(run, "k1 long, hashes array<long>")
+
+
+def candidates(keys: DataFrame) -> DataFrame:
+    """Pairs (a < b) of texts to compare, from rows (k1, key) that are different.
+
+    Up to ALL_PAIRS texts of a band are compared each with each.  Of more, each text is compared with two: that which meets
+    most others over all bands, in the whole band and in a salted part of it of about ALL_PAIRS.  A text that the others were
+    made from meets most, so no hot band turns into pairs and copies still find what they are near to.
+    """
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(keys.join(shared, "key"), "bands")
+    degree = met.groupBy("k1").agg(F.sum("n").alias("degree"))
+    few = met.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.array_sort(F.collect_list("k1")).alias("all")).select(F.posexplode("all").alias("i", "a"), "all")
+    pairs = few.select("a", F.explode(F.slice("all", F.col("i") + 2, ALL_PAIRS)).alias("b"))
+    part = F.pmod(F.xxhash64("k1", "key"), F.ceil(F.col("n") / ALL_PAIRS))
+    hot = written(met.where(F.col("n") > ALL_PAIRS).join(degree, "k1").select("key", "k1", "degree", part.alias("part")), "hot")
+    hub = F.max(F.struct("degree", "k1"))
+    parts = hot.groupBy("key", "part").agg(hub.alias("hub"))
+    wholes = parts.groupBy("key").agg(F.max("hub").alias("hub"))
+    stars = [hot.join(wholes, "key"), hot.join(parts, ["key", "part"])]
+    for s in stars:
+        pairs = pairs.union(s.select(F.col("k1").alias("a"), F.col("hub.k1").alias("b")))
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_links(docs: DataFrame, marks: DataFrame, width: int, similar: int) -> DataFrame:
+    """Edges (a, b) among fingerprints of texts whose ``width``-word shingles have a Jaccard similarity of ``similar``
+    hundredths or more.  ``marks`` has k1 and fingerprint of every row."""
+    texts = bounded(docs).select(F.col("text").cast("string").alias("text")).select(text_key()[0], "text")
+    keys = _shingled(texts, width, True).select("k1", F.explode("hashes").alias("key")).distinct()
+    pairs = written(candidates(keys), "pairs")
+    wanted = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
+    # A text that stands in many rows is read once: rows shrink to one for each key in the tasks that read them.
+    sets = _shingled(texts.join(wanted, "k1", "left_semi"), width, False).groupBy("k1").agg(F.first("hashes").alias("hashes"))
+    sets = written(sets.join(marks.groupBy("k1").agg(F.min("fingerprint").alias("fingerprint")), "k1"), "sets")
+    side = lambda c: sets.select(F.col("k1").alias(c), F.col("hashes").alias(f"{c}_hashes"), F.col("fingerprint").alias(f"{c}_print"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("same", F.size(F.array_intersect("a_hashes", "b_hashes")))
+    near = 100 * F.col("same") >= similar * (F.size("a_hashes") + F.size("b_hashes") - F.col("same"))
+    return both.where(near).select(F.col("a_print").alias("a"), F.col("b_print").alias("b")).where("a <> b").distinct()
+
+
 def fingerprints(docs: DataFrame, *, width: int = 3, keyed: bool = False) -> DataFrame:
     """Adds ``fingerprint`` (long holding 64 bits) to doc_id, and with ``keyed`` to the key of the text (k1, k2) too; null and
     empty texts have fingerprint zero."""
@@ -155,14 +249,20 @@ def near_duplicates(docs: DataFrame, *, width: int = 3) -> DataFrame:
     return marks.join(of, marks.fingerprint == of.f).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, *, width: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, *, width: int = 3, similar: int | None = None, shingle: int = 5) -> DataFrame:
     """One row of each group of near-duplicates: that with the least doc_id.
 
+    Texts link where their fingerprints differ in two bits at most, and with ``similar`` also where that many hundredths of
+    their ``shingle``-word shingles are the same (Jaccard similarity of the sets).
+
     Rows without doc_id come after all others.  Where doc_ids tie, the key of the text decides, then the other columns; so
     repeated rows shrink to one, and a doc_id that stands for texts of two groups stays once in each.
     """
     marks = written(fingerprints(docs, width=width, keyed=True), "fingerprints")
-    roots = components(links(marks.select("fingerprint").distinct()))
+    edges = links(marks.select("fingerprint").distinct())
+    if similar is not None:
+        edges = edges.union(similar_links(docs, marks, shingle, similar))
+    roots = components(edges)
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k1", "k2")
     firsts = marks.groupBy("fingerprint").agg(F.min(first).alias("head"))
     firsts = firsts.join(roots, firsts.fingerprint == roots.node, "left").groupBy(F.coalesce("component", "fingerprint")).agg(F.min("head").alias("head"))
