@@ -27,14 +27,28 @@ _HEX = re.compile(r"[0-9a-f]+")
 _HEX_LONG = re.compile(r"[0-9a-f]{24,}")
 
 #: Parts of names by how surely their value is secret.
-SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.8, "apikey": 1.0, "api_key": 1.0, "access_key": 1.0, "private_key": 1.0, "credential": 0.8, "credentials": 0.8, "auth": 0.6, "client_secret": 1.0, "bearer": 0.7}
+SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.8, "apikey": 1.0, "api_key": 1.0, "access_key": 1.0, "private_key": 1.0, "credential": 0.8, "credentials": 0.8, "auth": 0.6, "authorization": 0.7, "client_secret": 1.0, "bearer": 0.7}
 PLACEHOLDER = re.compile(r"(?i)change_?me|example|placeholder|your[_-]|dummy|redacted|none|null|true|false|undefined|\*{3,}|x{4,}|\$\{|\{\{|<.*>|%\(")
 THRESHOLD = 0.6
 
+#: A literal of which so much is a placeholder says nothing, however long it is; in short ones any part does.
+SHORT, PLACEHOLDER_PART = 400, 0.25
+#: Characters of a joined literal by which its form is judged; its entropy covers all of it.
+FORM_CHARS = 10_000
+
 _MAY_HOLD = re.compile("(?i)pass|pwd|secret|token|key|credential|auth|bearer")
-_ITEM = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z0-9_./=-][A-Za-z0-9_./+=-]*)"""
-_PAIR = re.compile(rf"""(?<![\w.])["']?([A-Za-z_][A-Za-z0-9_.-]{{0,80}})["']?[ \t]*(?::=|=>|[:=])(?![=:])[ \t]*({_ITEM}(?:[ \t]*\+[ \t]*{_ITEM})*)""")
+_SCHEME = r"(?:[Bb]earer|[Bb]asic|[Dd]igest|BEARER|BASIC|DIGEST)[ \t]+[A-Za-z0-9+/_.=~-]+"
+_ITEM = rf"""(?:\"\"\"(?:[^"\\]|\\[\s\S]|"(?!""))*+\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|`(?:[^`\\]|\\[\s\S])*+`|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|{_SCHEME}|[A-Za-z0-9_./=-][A-Za-z0-9_./+=-]*)"""
+_NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+"
+_PAIR = re.compile(rf"""(?<![\w.])(?<![A-Za-z_]-)["']?({_NAME})["']?[ \t]*(?::=|=>|[:=])(?![=:])[ \t]*({_ITEM}(?:[ \t]*\+[ \t]*{_ITEM})*)""")
 _ITEMS = re.compile(_ITEM)
+_BLOCK = re.compile(rf"""^([ \t]*(?:- +)?)["']?({_NAME})["']?[ \t]*:[ \t]*[|>][0-9+-]*[ \t]*\n""", re.M)
+_LINE_BEFORE = re.compile(r"[ \t]*(?:(?:export|set|const|let|var|final|-)[ \t]+)*[\"']?")
+_LINE_AFTER = re.compile(r"[ \t]*[;,]?[ \t\r]*(?:(?:#|//).*)?$", re.M)
+_PRIVATE = re.compile(r"\s*-----BEGIN [A-Z0-9 ]*PRIVATE KEY")
+_PUBLIC = re.compile(r"\s*-----BEGIN ")
+_SCHEMED = re.compile(r"\s*(?:bearer|basic|digest|token)\s+(\S+)\s*", re.I)
+_SENTENCE = re.compile(r"[.!?:;,](?:\s|$)")
 
 
 def _name_weight(name: str) -> float:
@@ -43,44 +57,135 @@ def _name_weight(name: str) -> float:
     return max([0.0, *(SENSITIVE.get(p, 0.0) for p in parts), *(SENSITIVE.get(f"{a}_{b}", 0.0) for a, b in zip(parts, parts[1:], strict=False))])
 
 
-def _literal_weight(value: str) -> float:
-    if len(value) < 8 or len(value) > 400 or " " in value or PLACEHOLDER.search(value):
+class Value:
+    """A literal with its span, or a join of values.  Joins share their parts, so names that are joined again and again don't
+    grow; counts and lengths of parts are added up once."""
+
+    __slots__ = ("parts", "text", "span", "counts", "seen")
+
+    def __init__(self, parts: list[Value] | None = None, text: str = "", span: tuple[int, int] | None = None):
+        self.parts, self.text, self.span, self.counts, self.seen = parts or [], text, span, None, False
+
+    def count(self) -> Counter:
+        todo = [self]
+        while todo:
+            v = todo[-1]
+            open_parts = [p for p in v.parts if p.counts is None] if v.counts is None else []
+            if open_parts:
+                todo += open_parts
+                continue
+            todo.pop()
+            if v.counts is None:
+                v.counts = Counter(v.text)
+                for p in v.parts:
+                    v.counts.update(p.counts)
+        return self.counts
+
+    def begin(self, most: int) -> str:
+        out, size, todo = [], 0, [self]
+        while todo and size < most:
+            v = todo.pop()
+            out.append(v.text)
+            size += len(v.text)
+            todo += reversed(v.parts)
+        return "".join(out)
+
+    def spans(self) -> list[tuple[int, int]]:
+        """Spans of all parts that were not given before."""
+        out, todo = [], [self]
+        while todo:
+            v = todo.pop()
+            if not v.seen:
+                v.seen = True
+                out += [v.span] if v.span else []
+                todo += v.parts
+        return out
+
+
+def _literal_weight(value: Value) -> float:
+    text = value.begin(FORM_CHARS)
+    if _PUBLIC.match(text):
+        return 1.0 if _PRIVATE.match(text) else 0.0
+    counts = value.count()
+    if (m := _SCHEMED.fullmatch(text)) and len(text) == sum(counts.values()):
+        text = m[1]
+        counts = Counter(text)
+    elif re.search(r"\s", text.strip()) and _SENTENCE.search(text):
+        return 0.0
+    n = sum(counts.values())
+    held = sum(m.end() - m.start() for m in PLACEHOLDER.finditer(text))
+    if n < 8 or (held and (n <= SHORT or held >= PLACEHOLDER_PART * len(text))):
         return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = bool(re.search("[a-z]", value)) + bool(re.search("[A-Z]", value)) + bool(re.search("[0-9]", value)) + bool(re.search("[^A-Za-z0-9]", value))
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    said = "".join(counts)
+    classes = bool(re.search("[a-z]", said)) + bool(re.search("[A-Z]", said)) + bool(re.search("[0-9]", said)) + bool(re.search("[^A-Za-z0-9]", said))
     return min(1.0, entropy / 3.0) * (1.0 if classes >= 2 else 0.6)
 
 
+def _blocks(text: str) -> list[tuple[int, str, list[tuple[str, int, int, bool]]]]:
+    """Block literals (``name: |`` and the deeper lines behind): place, name and the one operand."""
+    out = []
+    for m in _BLOCK.finditer(text):
+        at, first, last, lines = m.end(), None, m.end(), []
+        while at < len(text):
+            stop = text.find("\n", at)
+            stop = len(text) if stop < 0 else stop
+            line = text[at:stop]
+            body = line.lstrip(" \t")
+            if body.strip():
+                if len(line) - len(body) <= len(m[1]):
+                    break
+                first = at + len(line) - len(body) if first is None else first
+                last = at + len(line.rstrip())
+                lines.append(body.rstrip())
+            at = stop + 1
+        if first is not None:
+            out.append((m.start(2), m[2], [("\n".join(lines), first, last, True)]))
+    return out
+
+
 def lex(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]:
-    """(name, operands) of each assignment; an operand is (content, start, end, quoted), its span without the quotes."""
+    """(name, operands) of each assignment; an operand is (content, start, end, literal), its span without the quotes.
+
+    Bare words are literal where name and word are a whole line, unless the word is itself the name of a secret.
+    """
     pairs = []
     for m in _PAIR.finditer(text):
         operands = []
         for x in _ITEMS.finditer(text, m.start(2), m.end(2)):
-            quoted = x[0][0] in "\"'" and len(x[0]) > 1
-            operands.append((x[0][1:-1], x.start() + 1, x.end() - 1, True) if quoted else (x[0], x.start(), x.end(), False))
-        pairs.append((m[1], operands))
-    return pairs
+            said, a, b = x[0], x.start(), x.end()
+            if said[0] in "\"'`" and len(said) > 1:
+                k = 3 if len(said) >= 6 and said[:3] in ('"""', "'''") else 1
+                operands.append((said[k:-k], a + k, b - k, True))
+            elif re.fullmatch(_SCHEME, said):
+                token = said.split()[-1]
+                operands.append((token, b - len(token), b, True))
+            else:
+                operands.append((said, a, b, False))
+        if len(operands) == 1 and not operands[0][3] and re.fullmatch(r"[A-Za-z_.]+", operands[0][0]) and not _name_weight(operands[0][0]):
+            line = text.rfind("\n", 0, m.start()) + 1
+            if _LINE_BEFORE.fullmatch(text, line, m.start(1)) and _LINE_AFTER.match(text, m.end()):
+                operands = [(*operands[0][:3], None)]
+        pairs.append((m.start(1), m[1], operands))
+    return [(name, operands) for _, name, operands in sorted(pairs + _blocks(text), key=lambda p: p[0])]
 
 
 def sensitive_literals(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that reach a sensitive name, directly or through constants defined before."""
     if not _MAY_HOLD.search(text):
         return []
-    known: dict[str, list[tuple[str, int, int]]] = {}
+    known: dict[str, Value] = {}
     found: set[tuple[int, int]] = set()
     for name, operands in lex(text):
-        parts: list[tuple[str, int, int]] = []
-        for content, start, end, quoted in operands:
-            if not quoted and content in known:
-                parts += known[content]
-            elif quoted or not re.fullmatch(r"[A-Za-z_.]+", content):
-                parts.append((content, start, end))
-        if len(parts) <= 64:
-            known[name] = parts
-        if (weight := _name_weight(name)) and weight * _literal_weight("".join(p[0] for p in parts)) >= THRESHOLD:
-            found.update((a, b) for _, a, b in parts)
+        parts: list[Value] = []
+        for content, start, end, literal in operands:
+            if not literal and content in known:
+                parts.append(known[content])
+            elif literal or literal is None or not re.fullmatch(r"[A-Za-z_.]+", content):
+                parts.append(Value(text=content, span=(start, end)))
+        known[name] = value = parts[0] if len(parts) == 1 else Value(parts)
+        if (weight := _name_weight(name)) and weight * _literal_weight(value) >= THRESHOLD:
+            found.update(value.spans())
     return sorted(found)
 
 
