@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import LETTERS, LOWER, Poly, bounded, byte_buffer, chunks, mix, set_aside, words
+from siltstone.llm.shared import LETTERS, LOWER, Poly, bounded, byte_buffer, chunks, mix, set_aside, text_key, words, written
 
 #: Bytes of benchmark text in a broadcast block.  A longer single text makes a block of its own.
 BLOCK_BYTES = 8_000_000
@@ -59,13 +59,20 @@ def window_hashes(texts: list[list[bytes]], m: int) -> np.ndarray:
 
 
 def _blocks(benchmark: DataFrame, width: int) -> Iterator[Grams]:
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Each different text once, however many items have it: a hash then deals out about BLOCK_BYTES to a block.
+    texts = _items(benchmark).select("k1", "text").distinct()
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // BLOCK_BYTES) + 1
     for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()  # about BLOCK_BYTES of text
+        rows = texts.where(F.pmod("k1", F.lit(n)) == b).collect()
         if rows:
-            yield Grams([(r.item_id, r.text) for r in rows], width)
+            yield Grams([(r.k1, r.text) for r in rows], width)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, text and its key k1 of the items that have a text."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return items.select("item_id", "text", text_key()[0])
 
 
 def _scan(low: np.ndarray, off: np.ndarray, grams: Grams) -> dict[int, tuple[list[tuple[int, int]], set]]:
@@ -99,11 +106,11 @@ def _scan(low: np.ndarray, off: np.ndarray, grams: Grams) -> dict[int, tuple[lis
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = 10) -> DataFrame:
     """Adds to ``docs``: n_words (long), hit_words (array of word numbers [start, end, start, end, ...] of merged spans)
-    and hit_items (array of long).
+    and hit_items (array of long: the keys of the benchmark texts, which ``report`` turns into items).
 
     A window is ``width`` consecutive words of an item (a shorter item is one window); hits are compared word by word.
-    Null and empty texts have no words and no hits; items without words, text or id are skipped; repeated items and rows
-    count as they stand.  Columns of ``docs`` with these three names are replaced, all others are kept.
+    Null and empty texts have no words and no hits; items without words or text are skipped, those without id hit
+    like any other; repeated items and rows count as they stand.  Columns of ``docs`` with these three names are replaced, all others are kept.
     """
     docs = bounded(docs).drop("n_words", "hit_words", "hit_items")
     base = docs.withColumns({"n_words": F.lit(None).cast("long"), "hit_words": F.array().cast("array<int>"), "hit_items": F.array().cast("array<long>")})
@@ -141,13 +148,20 @@ def merged(old: list[int], new: list[tuple[int, int]]) -> list[int]:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, *, width: int = 10) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    ids = F.array_join(F.array_sort(F.transform("hit_items", lambda x: x.cast("string"))), ",")
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Items without id contaminate, but are not among the items that n_items and items_sha256 cover.
+    """
     hit = F.aggregate(F.sequence(F.lit(0), F.size("hit_words") - 2, F.lit(2)), F.lit(0).cast("long"), lambda s, i: s + F.get("hit_words", i + 1) - F.get("hit_words", i))
     n_hit = F.when(F.size("hit_words") > 0, hit).otherwise(F.lit(0).cast("long"))
-    return find_hits(docs.select("doc_id", "text"), benchmark, width=width).select(
-        F.col("doc_id").cast("long").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
-        F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"))
+    found = find_hits(docs.select("doc_id", "text"), benchmark, width=width)
+    rows = written(found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", n_hit.alias("n_hit"), "hit_items"), "hits")
+    # Items of each different set of texts that documents hit; they join behind the scan, so none goes through the driver.
+    ids = _items(benchmark).where("item_id is not null").select("k1", "item_id").distinct()
+    sets = rows.where(F.size("hit_items") > 0).select(F.col("hit_items").alias("hit_set")).distinct()
+    of = sets.select("hit_set", F.explode("hit_set").alias("k1")).join(ids, "k1").groupBy("hit_set").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+    met = rows.join(of, rows.hit_items == of.hit_set, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
+    return met.select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("ids"), ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, whole_documents: bool = True) -> DataFrame:

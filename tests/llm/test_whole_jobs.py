@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from siltstone.llm import secret_scan, simhash
+from siltstone.llm import decontaminate, secret_scan, simhash
 
 
 def _copies(seed, n, edits):
@@ -62,3 +62,16 @@ def test_constants_of_many_parts():
     text = "".join(f"{n} = 'Zq{i}x'\n" for i, n in enumerate(names)) + "all = 'stale-Value-1'\nall = " + " + ".join(names) + "\nclient_secret = all\n"
     assert _said(text) == [f"Zq{i}x" for i in range(100)]
     assert _said("a = 'Xk29fj'\n" + "a = a + a\n" * 200 + "secret_key = a\n" + "password = a\n") == ["Xk29fj"]
+
+
+def test_benchmark_without_ids_and_with_one_hot_text(spark, monkeypatch):
+    rows = [(None, "one two three"), *((i, "four five six") for i in range(300)), (300, "seven eight nine"), (None, "seven eight nine")]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    texts = ["so one two three", "four five six", "seven eight nine, four five six", "nothing"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 30)
+    sent, init = [], decontaminate.Grams.__init__
+    monkeypatch.setattr(decontaminate.Grams, "__init__", lambda self, items, width: (sent.append(len(items)), init(self, items, width))[1])
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(docs, bench).collect()}
+    assert got == {0: (3, 0, True), 1: (3, 300, True), 2: (6, 301, True), 3: (0, 0, False)} and sum(sent) == 3
+    assert [r.doc_id for r in decontaminate.remove(docs, bench).collect()] == [3]
