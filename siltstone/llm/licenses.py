@@ -1,6 +1,7 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised and looked up among known license sentences; the identifiers found, in
+A text is normalised with its ends of sentences and lines marked, and known license sentences are found between two
+marks, over wrapped lines too; the identifiers found, in
 order, are matched against the ordered sequences of identifiers that make up each license.
 """
 
@@ -69,7 +70,17 @@ RULES = (
     ("proprietary", False, (30,)),
 )
 
-#: A sentence ends at a line end, or after . ! ? or ; with white space behind.
+#: Other wordings of known sentences, as real notices have them, by the identifier they stand for.
+WORDINGS = {
+    "licensed under the apache license version 2 0 the license": 1,
+    "this project is licensed under the mit license": 7,
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": 9,
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": 28,
+}
+#: The names that this sentence may hold.
+_HELD = "neither the name of(?:[ \\x02][a-z0-9]+){1,12}?[ \\x02]nor"
+
+#: In the SQL a sentence ends at a line end, or after . ! ? or ; with white space behind.
 BREAK = r"\n+|(?<=[.!?;])[ \t\r]+"
 
 
@@ -78,31 +89,57 @@ def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
+def _pattern() -> str:
+    """Known sentences between two ends; lines and sentence marks may lie between their words, but no blank line."""
+    said = sorted([*SENTENCES, *WORDINGS], key=len, reverse=True)
+    plain = [x.replace(" ", "[ \\x02]") for x in said]
+    held = [x.replace("neither[ \\x02]the[ \\x02]name[ \\x02]of[ \\x02]the[ \\x02]copyright[ \\x02]holder[ \\x02]nor", _HELD) for x in plain]
+    return "(?<=[\\x01\\x02])(?:" + "|".join(held) + ")(?=[\\x01\\x02])"
+
+
+def marked(text: Column) -> Column:
+    """The text normalised, with \x01 for blank lines and list marks and \x02 for other line ends and sentence marks."""
+    text = F.translate(F.lower(text), "\x01\x02", "  ")
+    text = F.regexp_replace(text, r"\n[^a-z0-9\n]*\(?[0-9a-z]{1,2}[.)][ \t]+", "\n\n")
+    text = F.regexp_replace(text, r"(?m)^[ \t]*(?:dnl|rem)\b", "")
+    text = F.regexp_replace(text, r"\n[^a-z0-9\n]*\n", "\x01")
+    text = F.regexp_replace(text, r"[.!?;:][ \t\r]|\n", "\x02")
+    text = F.regexp_replace(text, r"[^a-z0-9\x01\x02]*\x01[^a-z0-9]*", "\x01")
+    text = F.regexp_replace(text, r"[^a-z0-9\x01\x02]*\x02[^a-z0-9\x01]*", "\x02")
+    text = F.regexp_replace(text, r"[^a-z0-9\x01\x02]+", " ")
+    # White space beside a mark and at the ends goes.
+    text = F.regexp_replace(F.concat(F.lit("\x01"), F.trim(text), F.lit("\x01")), r" *([\x01\x02]) *", "$1")
+    return text
+
+
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in its order."""
-    known = F.array(*(F.lit(s) for s in SENTENCES))
-    # The least and greatest lengths of known sentences spare most sentences the lookup.
-    found = F.transform(F.split(F.coalesce(text, F.lit("")), BREAK), lambda s: F.when(s.rlike("(?i)licen|copyright|permi|redistribut|reserved|software|names|warrant"), F.array_position(known, normal(s))).otherwise(F.lit(0).cast("long")))
-    return F.filter(found, lambda i: i > 0)
+    known = F.array(*(F.lit(s) for s in [*SENTENCES, *WORDINGS]))
+    ids = F.array(*(F.lit(i).cast("long") for i in [*range(1, len(SENTENCES) + 1), *WORDINGS.values()]))
+    found = F.regexp_extract_all(marked(F.coalesce(text, F.lit(""))), F.lit(_pattern()), F.lit(0))
+    plain = F.transform(found, lambda s: F.regexp_replace(F.translate(s, "\x02", " "), "^neither the name of .* nor the names", "neither the name of the copyright holder nor the names"))
+    # Few texts hold one of these words.
+    held = F.coalesce(text, F.lit("")).rlike("(?i)licen|copyright|permi|redistribut|reserved|software|names|warrant")
+    return F.when(held, F.transform(plain, lambda s: F.element_at(ids, F.array_position(known, s).cast("int")))).otherwise(F.array().cast("array<bigint>"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, sentence_ids (string, comma-joined, in order), licenses (string: the names of matched rules, sorted,
     comma-joined), n_licenses (long), restricted (boolean: one of them forbids commercial reuse).
 
-    A rule matches where its identifiers follow each other among the known sentences.  Of rules of which one holds the
-    other's sequence the longer wins.  Null and empty texts have no sentences; repeated rows and null doc_ids stay; other
+    A rule matches where its identifiers follow each other among the known sentences, unless that place lies inside the
+    match of a longer rule.  Null and empty texts have no sentences; repeated rows and null doc_ids stay; other
     columns are dropped.  No exchange and no code outside the JVM.
     """
-    listed = F.concat(F.lit(","), F.array_join(F.transform(F.col("ids"), lambda i: i.cast("string")), ","), F.lit(","))
-    code = lambda rule: "," + ",".join(map(str, rule[2])) + ","
-    longer = {r: [x for x in RULES if len(x[2]) > len(r[2]) and code(r) in code(x)] for r in RULES}
+    listed = F.array_join(F.transform(F.col("ids"), lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))), "")
+    code = lambda rule: "".join(f"<{i}>" for i in rule[2])
+    longer = {r: sorted((x for x in RULES if len(x[2]) > len(r[2]) and code(r) in code(x)), key=lambda x: -len(x[2])) for r in RULES}
 
     def matched(rule) -> Column:
-        here = F.col("listed").contains(code(rule))
+        here = F.col("listed")
         for x in longer[rule]:
-            here = here & ~F.col("listed").contains(code(x))
-        return here
+            here = F.replace(here, F.lit(code(x)), F.lit("-"))
+        return here.contains(code(rule))
 
     names = F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(matched(r), F.lit(r[0])) for r in RULES)))))
     bound = F.lit(False)

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from siltstone.llm import decontaminate, secret_scan, simhash
+from siltstone.llm import decontaminate, licenses, secret_scan, simhash
 
 
 def _copies(seed, n, edits):
@@ -75,3 +75,48 @@ def test_benchmark_without_ids_and_with_one_hot_text(spark, monkeypatch):
     got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(docs, bench).collect()}
     assert got == {0: (3, 0, True), 1: (3, 300, True), 2: (6, 301, True), 3: (0, 0, False)} and sum(sent) == 3
     assert [r.doc_id for r in decontaminate.remove(docs, bench).collect()] == [3]
+
+
+APACHE = """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+// See the License for the specific language governing permissions and
+// limitations under the License.
+int main() {}"""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """3. Neither the name of the Example University nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+"""
+
+
+def test_whole_wrapped_license_texts(spark):
+    cases = {APACHE: "Apache-2.0", BSD2: "BSD-2-Clause", BSD3: "BSD-3-Clause", BSD3 + "\n" + BSD2: "BSD-2-Clause,BSD-3-Clause", GPL: "GPL-2.0-or-later", "Released under the MIT\n\nLicense.": ""}
+    ids = {APACHE: "1,2,3,4,5", BSD3: "23,24,25,26", GPL: "14,15,16"}
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert [got[i].licenses for i in range(len(cases))] == list(cases.values())
+    assert all(got[i].sentence_ids == ids[t] for i, t in enumerate(cases) if t in ids)
