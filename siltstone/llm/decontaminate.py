@@ -14,59 +14,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import LETTERS, LOWER, Poly, bounded, byte_buffer, chunks, mix, set_aside, text_key, words, written
+from siltstone.llm.shared import LETTERS, LOWER, bounded, byte_buffer, chunks, dispose, set_aside, text_key, window_ranks, word_hashes, words, written
 
-#: Bytes of benchmark text in a broadcast block.  A longer single text makes a block of its own.
+#: Bytes of benchmark text in a broadcast block: with its windows at most 12 times as much, in words of one letter.
 BLOCK_BYTES = 8_000_000
-_POLY = Poly(3)
-
-
-def split_words(text: str | None) -> list[bytes]:
-    buf, off = byte_buffer(pa.array([text], pa.string()))
-    low = LOWER[buf]
-    raw = low.tobytes()
-    starts, ends, _ = words(low, off, LETTERS)
-    return [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 class Grams:
-    """Windows of a block of items: for each length the sorted hashes, a bit table before them, words and items."""
+    """The windows of a block of texts as arrays, for each length in words: sorted hashes and a bit table before them, and where
+    each window stands in the normalised texts.  About 20 bytes a window, besides the texts."""
 
     def __init__(self, items: list[tuple[int, str]], width: int):
-        found: dict[int, dict[int, dict[bytes, set]]] = {}
-        for item, text in items:
-            ws = split_words(text)
-            if not ws:
-                continue
-            m = min(width, len(ws))
-            hashes = window_hashes([ws], m)
-            for i, h in enumerate(hashes.tolist()):
-                found.setdefault(m, {}).setdefault(h, {}).setdefault(b" ".join(ws[i : i + m]), set()).add(item)
+        self.keys = np.array([k for k, _ in items], np.int64)
+        buf, off = byte_buffer(pa.array([t for _, t in items], pa.string()))
+        low = LOWER[buf]
+        starts, ends, woff = words(low, off, LETTERS)
+        self.said, at = spaced(low, starts, ends)
+        sizes, hashes = np.diff(woff), word_hashes(low, starts, ends)
         self.by_length = []
-        for m, table in sorted(found.items()):
-            hashes = np.array(sorted(table), np.uint64)
+        for m in np.unique(np.minimum(sizes[sizes > 0], width)).tolist():
+            fits = (np.minimum(sizes, width) == m) & (sizes > 0)
+            first = np.flatnonzero(np.repeat(fits, sizes) & (np.arange(len(starts)) <= np.repeat(woff[1:] - m, sizes)))
+            h = window_ranks(hashes, m)[first]
+            order = np.argsort(h, kind="stable")
+            h, first = h[order], first[order]
+            text = (np.searchsorted(woff, first, side="right") - 1).astype(np.int32)
             bits = np.zeros(1 << 20, bool)
-            bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
-            self.by_length.append((m, hashes, bits, {h: {w: sorted(x, key=lambda v: (v is None, v)) for w, x in t.items()} for h, t in table.items()}))
+            bits[(h >> np.uint64(44)).astype(np.int64)] = True
+            last = first + m - 1
+            self.by_length.append((m, h, bits, at[first].astype(np.int32), (at[last] + (ends - starts)[last]).astype(np.int32), text))
+
 
+def spaced(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """All words with one space after each, and where each begins."""
+    sizes = ends - starts
+    at = np.cumsum(sizes + 1) - sizes - 1
+    out = np.full(int((sizes + 1).sum()), 0x20, np.uint8)
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(at, sizes) + place] = low[np.repeat(starts, sizes) + place]
+    return out.tobytes(), at
 
-def window_hashes(texts: list[list[bytes]], m: int) -> np.ndarray:
-    ws = [w for t in texts for w in t]
-    buf = np.frombuffer(b"".join(ws), np.uint8)
-    ends = np.cumsum([len(w) for w in ws])
-    starts = ends - np.array([len(w) for w in ws])
-    return mix(_POLY.windows(_POLY.sums(_POLY.word_hashes(buf, starts, ends)), m))
+
+def _pieces(benchmark: DataFrame, width: int) -> DataFrame:
+    """(k1, part, text): each different text once, however many items have it; a text of over BLOCK_BYTES in parts, which
+    overlap by ``width`` - 1 words, so that each window is in one of them."""
+    most = BLOCK_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column("k1").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                raw = text.encode()
+                if len(raw) <= most:
+                    rows.append((key, 0, text))
+                    continue
+                starts, ends, _ = words(LOWER[np.frombuffer(raw, np.uint8)], np.array([0, len(raw)]), LETTERS)
+                a = 0
+                while a == 0 or a + width <= len(starts):
+                    b = max(a + 1, int(np.searchsorted(starts, starts[a] + most))) if len(starts) else 1
+                    if len(starts):
+                        rows.append((key, a, raw[starts[a] : ends[min(b + width - 1, len(ends)) - 1]].decode()))
+                    a = b
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))], ["k1", "part", "text"])
+
+    return bounded(_items(benchmark).select("k1", "text").distinct()).mapInArrow(run, "k1 long, part long, text string")
 
 
 def _blocks(benchmark: DataFrame, width: int) -> Iterator[Grams]:
-    # Each different text once, however many items have it: a hash then deals out about BLOCK_BYTES to a block.
-    texts = _items(benchmark).select("k1", "text").distinct()
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pieces = written(_pieces(benchmark, width), "benchmark")
+    total = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // BLOCK_BYTES) + 1
     for b in range(n):
-        rows = texts.where(F.pmod("k1", F.lit(n)) == b).collect()
+        # A hash deals out about BLOCK_BYTES to a block, as no piece is larger.
+        rows = pieces.where(F.pmod(F.xxhash64("k1", "part"), F.lit(n)) == b).collect()
         if rows:
             yield Grams([(r.k1, r.text) for r in rows], width)
+    dispose(pieces)
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -81,26 +104,24 @@ def _scan(low: np.ndarray, off: np.ndarray, grams: Grams) -> dict[int, tuple[lis
     hits: dict[int, tuple[list, set]] = {}
     if not len(starts):
         return hits
-    raw = None
-    sums = _POLY.sums(_POLY.word_hashes(low, starts, ends))
-    for m, hashes, bits, table in grams.by_length:
-        h = mix(_POLY.windows(sums, m))
+    said, at_byte, sizes = None, None, ends - starts
+    hashes = word_hashes(low, starts, ends)
+    for m, known, bits, begin, end, text in grams.by_length:
+        h = window_ranks(hashes, m)
         at = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)])
-        if not len(at):
-            continue
-        k = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
-        at = at[hashes[k] == h[at]]
+        lo, hi = np.searchsorted(known, h[at]), np.searchsorted(known, h[at], side="right")
         row = np.searchsorted(woff, at, side="right") - 1
-        inside = at + m <= woff[row + 1]
-        for i, r in zip(at[inside].tolist(), row[inside].tolist(), strict=True):
-            raw = raw if raw is not None else low.tobytes()
-            said = b" ".join(raw[starts[j] : ends[j]] for j in range(i, i + m))
-            items = table[int(h[i])].get(said)
-            if items is not None:
+        fits = (hi > lo) & (at + m <= woff[row + 1])
+        for i, r, a, b in zip(at[fits].tolist(), row[fits].tolist(), lo[fits].tolist(), hi[fits].tolist(), strict=True):
+            if said is None:
+                said, at_byte = spaced(low, starts, ends)
+            window = said[at_byte[i] : at_byte[i + m - 1] + sizes[i + m - 1]]
+            same = [k for k in range(a, b) if grams.said[begin[k] : end[k]] == window]
+            if same:
                 spans, seen = hits.setdefault(r, ([], set()))
                 first = i - int(woff[r])
                 spans.append((first, first + m))
-                seen.update(items)
+                seen.update(grams.keys[text[same]].tolist())
     return hits
 
 
@@ -109,8 +130,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, width: int = 10) -> Data
     and hit_items (array of long: the keys of the benchmark texts, which ``report`` turns into items).
 
     A window is ``width`` consecutive words of an item (a shorter item is one window); hits are compared word by word.
-    Null and empty texts have no words and no hits; items without words or text are skipped, those without id hit
-    like any other; repeated items and rows count as they stand.  Columns of ``docs`` with these three names are replaced, all others are kept.
+    Null and empty texts have no words and no hits, empty tables give empty results or none hit, and very long texts are
+    scanned whole; items without words or text are skipped, those without id hit like any other; repeated items and rows
+    count as they stand.  Columns of ``docs`` with these three names are replaced, all others are kept.
     """
     docs = bounded(docs).drop("n_words", "hit_words", "hit_items")
     base = docs.withColumns({"n_words": F.lit(None).cast("long"), "hit_words": F.array().cast("array<int>"), "hit_items": F.array().cast("array<long>")})

@@ -15,13 +15,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import UNSPACED, Poly, bounded, byte_buffer, chunks, mix, text_key, words, written
+from siltstone.llm.shared import UNSPACED, bounded, byte_buffer, chunks, mix, text_key, window_ranks, word_hashes, words, written
 
-#: A line stays while at most so many different documents of its host hold it.
+#: A line stays while at most so many documents of its host hold it.
 LINE_DOCUMENTS = 100
 #: A document needs more than this share (in hundredths) of its words in lines that stay.
 LEAST_KEPT = 30
-_POLY = Poly(8)
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -42,7 +41,7 @@ def text_statistics(buf: np.ndarray, off: np.ndarray, window: int = 5) -> dict[s
     out = {"n_words": np.diff(woff), "word_chars": begin(UNSPACED[buf] & ((buf & 0xC0) != 0x80)), "n_symbols": begin(_SYMBOLS[buf])}
     covered = np.zeros(len(starts) + 1, np.int64)
     if len(starts) >= window:
-        h = mix(_POLY.windows(_POLY.sums(_POLY.word_hashes(buf, starts, ends)), window))
+        h = window_ranks(word_hashes(buf, starts, ends), window)
         row = np.repeat(np.arange(len(off) - 1), np.diff(woff))
         valid = np.flatnonzero(row[: len(h)] == row[window - 1 :])
         key = mix(h[valid] + row[valid].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -113,13 +112,14 @@ def judge(docs: DataFrame, *, line_documents: int = LINE_DOCUMENTS, least_kept:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_line_words, kept.
 
     base_failed: fewer than 10 words, or over a fifth of the words in 5-word windows that repeat in the text.  n_line_words:
-    the words in lines that more than ``line_documents`` different texts of the host hold; exact copies count as one.  A
+    the words in lines that more than ``line_documents`` documents of the host hold; every row is a document, copies too.  A
     document is kept unless base_failed or ``least_kept`` per cent of its words at most would be left.  Null texts are
-    empty and rows without a host share the host ""; repeated rows stay; other columns are dropped.
+    empty and rows without a host share the host ""; repeated rows stay; an empty table gives an empty result; a very long
+    text is judged whole; other columns, clashing names too, are dropped.
     """
-    # One row for each different text of a host: copies shrink in the tasks that read them, before any exchange.
-    lines = written(line_rows(docs).groupBy("host", "k1", "k2", "l1", "l2").agg(F.max("n").alias("n")), "lines")
-    common = lines.groupBy("l1", "l2").agg(F.count("*").alias("held")).where(F.col("held") > line_documents).select("l1", "l2")
+    # One row for each different text of a host and how many documents have it: copies shrink in the tasks that read them, before any exchange.
+    lines = written(line_rows(docs).groupBy("host", "k1", "k2", "l1", "l2").agg(F.max("n").alias("n"), F.count("*").alias("copies")), "lines")
+    common = lines.groupBy("l1", "l2").agg(F.sum("copies").alias("held")).where(F.col("held") > line_documents).select("l1", "l2")
     lost = lines.join(common, ["l1", "l2"], "left_semi").groupBy("host", "k1", "k2").agg(F.sum("n").alias("lost"))
     lost = lost.select(F.col("host").alias("h"), F.col("k1").alias("a"), F.col("k2").alias("b"), "lost")
     base = statistics(docs)

@@ -71,7 +71,7 @@ raw AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_match
 norm AS (
   SELECT r, host, text, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM l
 ), per AS (SELECT r, host, text, line, sum(length(line) - length(replace(line, ' ', '')) + 1) AS n FROM norm WHERE line <> '' GROUP BY ALL),
-common AS (SELECT host, line FROM per GROUP BY host, line HAVING count(DISTINCT text) > {LINE_DOCUMENTS}),
+common AS (SELECT host, line FROM per GROUP BY host, line HAVING count(*) > {LINE_DOCUMENTS}),
 lost AS (SELECT r, sum(n) AS n FROM per SEMI JOIN common USING (host, line) GROUP BY r),
 m AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,

@@ -6,8 +6,6 @@ windows are found by whole-array operations.  Every helper takes nulls as empty
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators.tables import dispose, written
+
+__all__ = ["dispose", "written"]
+
 #: Bytes of text that a task handles at a time; one longer text is handled alone.
 CHUNK_BYTES = 1_000_000
 
@@ -44,32 +46,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_siltstone_dir", None) or tempfile.mkdtemp(prefix="siltstone-")
-        spark._siltstone_dir = base
-    return base.rstrip("/")
-
-
-#: Spark then deletes the shuffle files of a query as soon as it ends, not when the driver next collects garbage.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_key(text: str | Column = "text") -> list[Column]:
     """Two independent 64-bit hashes that identify a text: equal texts share all results, so they share the key."""
     text = F.coalesce(text, F.lit(""))
@@ -139,36 +115,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Poly:
-    """Hashes of slices of a symbol sequence, all from one running sum: sum(symbol[i] * base**i), taken modulo 2**64."""
+_FOLD = np.uint64(0x9E3779B97F4A7C15)
+_TURN = np.uint64(0xD6E8FEB86659FD93)
 
-    BASE = 0x9E3779B97F4A7C15
 
-    def __init__(self, seed: int = 1):
-        self.letters = np.random.default_rng(seed).integers(0, 2**64, 256, dtype=np.uint64)
-        self.up = self.down = np.ones(1, np.uint64)
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each word: the sum of what each byte gives at its place in the word, mixed with the length.
 
-    def _grow(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 1 << 20)
-            powers = [np.full(n, np.uint64(b)) for b in (self.BASE, pow(self.BASE, -1, 2**64))]
-            for p in powers:
-                p[0] = 1
-            self.up, self.down = (np.multiply.accumulate(p) for p in powers)
+    Bytes and places are mixed together before they are summed, so no repeated pattern cancels out.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(before, sizes)
+    value = mix(((place << 8) | buf[np.repeat(starts, sizes) + place]).astype(np.uint64) * _FOLD + np.uint64(seed))
+    return mix(np.add.reduceat(value, before) + sizes.astype(np.uint64) * _TURN)
 
-    def sums(self, symbols: np.ndarray) -> np.ndarray:
-        self._grow(len(symbols) + 1)
-        out = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(symbols * self.up[: len(symbols)], out=out[1:])
-        return out
 
-    def slices(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A value for each slice that depends only on its symbols; ``mix`` it before use as a key."""
-        return (sums[ends] - sums[starts]) * self.down[starts]
+def paired(ranks: np.ndarray, width: int, target: int) -> np.ndarray:
+    """Ranks of strings of ``target`` symbols from ranks of their parts of ``width``: at offsets that double, the rank of a
+    string is made from those of its first and its last part.  Equal strings have equal ranks, others only by chance."""
+    while width < target:
+        step = min(width, target - width)
+        # In place, and one step after the other: this is where most time goes.
+        out = ranks[:-step] * _FOLD
+        out += ranks[step:]
+        out ^= out >> np.uint64(32)
+        out *= _TURN
+        ranks, width = out, width + step
+    return ranks
 
-    def windows(self, sums: np.ndarray, width: int) -> np.ndarray:
-        n = len(sums) - width
-        return (sums[width:] - sums[:n]) * self.down[:n] if n > 0 else np.zeros(0, np.uint64)
 
-    def word_hashes(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix(self.slices(self.sums(self.letters[buf]), starts, ends))
+def window_ranks(symbols: np.ndarray, width: int) -> np.ndarray:
+    """A rank for each window of ``width`` symbols (uint64 hashes); none where there are fewer symbols."""
+    return mix(paired(symbols, 1, width)) if len(symbols) >= width else np.zeros(0, np.uint64)

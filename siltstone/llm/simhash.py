@@ -22,17 +22,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import components
-from siltstone.llm.shared import LOWER, UNSPACED, Poly, bounded, byte_buffer, chunks, mix, set_aside, text_key, words, written
+from siltstone.llm.shared import LOWER, UNSPACED, bounded, byte_buffer, chunks, dispose, mix, set_aside, text_key, window_ranks, word_hashes, words, written
 
 #: Generator polynomial of the (23, 12) Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Fingerprints of a Golay key that are compared each with each.
+SMALL = 16
 _NAMELESS = -(1 << 63)
 #: Bands of so many least hashes each: of texts with a Jaccard similarity of 0.8, one pair in 30,000 shares no band.
 BANDS, BAND_ROWS = 20, 4
 #: In a band that more texts share, each is compared with two of them instead of all.
 ALL_PAIRS = 8
-_POLY = Poly(11)
+_CHAIN = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(12).integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -118,8 +120,10 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarr
     n = np.where(per_row >= width, per_row - width + 1, np.minimum(per_row, 1))
     row = np.repeat(np.arange(len(n)), n)
     first = np.repeat(woff[:-1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    sums = _POLY.sums(_POLY.word_hashes(low, starts, ends))
-    h = mix(_POLY.slices(sums, first, first + np.minimum(per_row, width)[row]))
+    hashes, size = word_hashes(low, starts, ends), np.minimum(per_row, width)[row]
+    h = np.empty(len(first), np.uint64)
+    for m in np.unique(size).tolist():
+        h[size == m] = window_ranks(hashes, m)[first[size == m]]
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
@@ -134,7 +138,7 @@ def band_keys(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
     if len(begin):
         for i, factor in enumerate(_FACTORS):
             band = i // BAND_ROWS
-            keys[:, band] = mix(keys[:, band] * np.uint64(_POLY.BASE) + mix(np.minimum.reduceat(hashes * factor, begin)) + np.uint64(i + 1))
+            keys[:, band] = mix(keys[:, band] * _CHAIN + mix(np.minimum.reduceat(hashes * factor, begin)) + np.uint64(i + 1))
     return keys
 
 
@@ -213,9 +217,10 @@ def fingerprints(docs: DataFrame, *, width: int = 3, keyed: bool = False) -> Dat
 def links(prints: DataFrame) -> DataFrame:
     """Edges (a, b) among distinct fingerprints, such that two within two differing bits are always connected.
 
-    Keys bring candidates together.  A candidate is then verified through the words within one bit of it: two fingerprints
-    are within two bits exactly if they share one.  At most 65 fingerprints can share such a word, each is linked with the
-    least of them, and every edge is checked once more; so copies and dense groups never turn into pairs.
+    Fingerprints are joined on their Golay keys, and each pair within a key is verified.  Keys that over SMALL fingerprints
+    share, dense groups of near copies, would turn into too many pairs: there, a fingerprint is verified through the words
+    within one bit of it.  Two fingerprints are within two bits exactly if they share such a word, at most 65 can share
+    one, and each is linked with the least of them, so nothing is lost.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,12 +230,21 @@ def links(prints: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[rows])], ["key", "fingerprint"])
 
     keys = prints.mapInArrow(keyed, "key long, fingerprint long")
-    shared = keys.groupBy("key").agg(F.min("fingerprint").alias("x"), F.max("fingerprint").alias("y")).where("x <> y").select("key")
-    met = keys.join(shared, "key", "left_semi").select("fingerprint").distinct()
-    near = met.select("fingerprint", F.explode(F.array(F.col("fingerprint"), *(F.col("fingerprint").bitwiseXOR(F.lit(v).cast("long")) for v in [*(1 << i for i in range(63)), -(1 << 63)]))).alias("word"))
-    stars = near.groupBy("word").agg(F.min("fingerprint").alias("least"), F.max("fingerprint").alias("most")).where("least <> most")
-    found = near.join(stars.select("word", "least"), "word").where("fingerprint <> least")
-    return found.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("least"))) <= 2).select(F.col("fingerprint").alias("a"), F.col("least").alias("b")).distinct()
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(keys.join(sizes, "key"), "golay")
+    apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    few = met.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_set("fingerprint")).alias("all"))
+    each = few.select(F.posexplode("all").alias("i", "a"), "all")
+    near = each.select("a", F.explode(F.filter(F.slice("all", F.col("i") + 2, SMALL), lambda b: apart(F.col("a"), b) <= 2)).alias("b"))
+    many = met.where(F.col("n") > SMALL).select("fingerprint").distinct()
+    flips = [F.lit(v).cast("long") for v in [*(1 << i for i in range(63)), -(1 << 63)]]
+    around = many.select("fingerprint", F.explode(F.array(F.col("fingerprint"), *(F.col("fingerprint").bitwiseXOR(v) for v in flips))).alias("word"))
+    stars = around.groupBy("word").agg(F.min("fingerprint").alias("least"), F.max("fingerprint").alias("most")).where("least <> most")
+    found = around.join(stars.select("word", "least"), "word").where("fingerprint <> least")
+    found = found.where(apart(F.col("fingerprint"), F.col("least")) <= 2).select(F.col("fingerprint").alias("a"), F.col("least").alias("b"))
+    edges = written(near.union(found).distinct(), "links")
+    dispose(met)
+    return edges
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3) -> DataFrame:
@@ -238,7 +252,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 3) -> DataFrame:
 
     Fingerprints link at two or fewer differing bits; texts without words, null ones too, have fingerprint zero and link
     like any other.  A null doc_id never names a component unless all its members lack one (component_id is then null).
-    Repeated rows stay; other columns are dropped; an empty table gives an empty result.
+    Repeated rows stay; other columns, clashing names too, are dropped; a very long text counts whole; an empty table gives
+    an empty result.
     """
     marks = written(fingerprints(docs, width=width), "fingerprints")
     roots = components(links(marks.select("fingerprint").distinct()))
@@ -256,7 +271,8 @@ def keep_one(docs: DataFrame, *, width: int = 3, similar: int | None = None, shi
     their ``shingle``-word shingles are the same (Jaccard similarity of the sets).
 
     Rows without doc_id come after all others.  Where doc_ids tie, the key of the text decides, then the other columns; so
-    repeated rows shrink to one, and a doc_id that stands for texts of two groups stays once in each.
+    repeated rows shrink to one, and a doc_id that stands for texts of two groups stays once in each.  Columns whose names
+    clash with our own stay as they are; very long texts count whole; an empty table gives an empty result.
     """
     marks = written(fingerprints(docs, width=width, keyed=True), "fingerprints")
     edges = links(marks.select("fingerprint").distinct())

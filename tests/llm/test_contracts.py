@@ -13,7 +13,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siltstone.llm import bpe, chat, components, decontaminate, licenses, line_rules, quality, queries, repeats, secret_scan, simhash, substring_dedup, suffix_dedup
+from siltstone.llm import blocks, bpe, chat, components, decontaminate, licenses, line_rules, quality, queries, secret_scan, simhash, substring_dedup, suffix_dedup
 from siltstone.llm.shared import byte_buffer
 from tests.oracle import assert_same
 
@@ -218,7 +218,12 @@ def plain_simhash(t):
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
 
 
-def plain_components(prints):
+def plain_shingles(t, width=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def plain_components(prints, also=lambda i, j: False):
     """doc_id -> least doc_id, by comparing all pairs."""
     ids, root = list(prints), {i: i for i in prints}
 
@@ -229,7 +234,7 @@ def plain_components(prints):
 
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
+            if (prints[a] ^ prints[b]).bit_count() <= 2 or also(a, b):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in ids}
@@ -429,16 +434,61 @@ def test_suffix_query(spark, sf_dir):
     assert {r.doc_id: tuple(r)[1:] for r in queries.op9_suffix_dedup(spark, sf_dir).collect()} == want
 
 
-def test_runs_hold_every_window_once():
-    rng = np.random.default_rng(2)
-    symbols = rng.integers(0, 3, 5000).astype(np.uint64)
-    off = np.array([0, 0, 10, 300, 2900, 2900, 5000])
-    for most in (1 << 22, 400):
-        repeats._MOST, kept = most, repeats._MOST
-        row, _, _, first, last = repeats.runs(repeats._POLY, symbols, off, 50, 20)
-        repeats._MOST = kept
-        got = sorted((r, i) for r, a, b in zip(row.tolist(), first.tolist(), last.tolist(), strict=True) for i in range(a, b + 1))
-        assert got == [(r, i) for r in range(6) for i in range(off[r + 1] - off[r] - 49)]
+@pytest.mark.parametrize("block", [400, 3000])
+def test_repeats_over_many_small_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", block)
+    monkeypatch.setattr(blocks, "BUCKET_ENTRIES", 700)
+    texts = corpus(7, 30)
+    df = docs(spark, texts)
+    assert {r.doc_id: tuple(r)[1:] for r in substring_dedup.dedup_substrings(df).collect()} == dict(enumerate(plain_substrings(texts)))
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup_bytes(df).collect()} == dict(enumerate(plain_bytes(texts)))
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n)), "".join("ba"[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_that_sum_to_one_value_stay_apart(spark):
+    one, other = thue_morse(2048)
+    pad = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*pad[:20], one, *pad[20:]]), " ".join([*pad[:20], other, *pad[20:]]), f"{one} a b c d {other} a b c d"]
+    df = docs(spark, texts)
+    assert {r.doc_id: tuple(r)[1:] for r in substring_dedup.dedup_substrings(df).collect()} == dict(enumerate(plain_substrings(texts)))
+    assert [r.n_repeat_words for r in line_rules.judge(df.where("doc_id = 2")).collect()] == [0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab ", max_size=60), min_size=1, max_size=5), st.integers(1, 6))
+def test_window_ranks_tell_windows_apart(texts, width):
+    from siltstone.llm.shared import UNSPACED, window_ranks, word_hashes, words
+
+    found = {}
+    for t in texts:
+        buf, off = _buffer([t])
+        starts, ends, _ = words(buf, off, UNSPACED)
+        for i, h in enumerate(window_ranks(word_hashes(buf, starts, ends), width).tolist()):
+            assert found.setdefault(h, t.split()[i : i + width]) == t.split()[i : i + width]
+    assert len(found) == len({tuple(v) for v in found.values()})
+
+
+def test_factors_and_what_crosses_them():
+    import pyarrow as pa
+
+    shared, rng = [f"s{i}" for i in range(40)], random.Random(1)
+    own = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    # The second text follows the first for 20 words and itself for the rest, so its windows cross factors.
+    texts = [" ".join(own(5) + shared + own(5)), " ".join(shared + own(3)), " ".join(own(60))]
+    data = "".join(texts).encode()
+    batch = pa.RecordBatch.from_pylist([{"data": data, "sizes": [len(t) for t in texts], "copied": [False] * 3, "block": 7}])
+    block = blocks.Block(batch, 0)
+    words = substring_dedup.Words(block)
+    k, n = substring_dedup.ANCHOR, 1
+    at, ranks, order, begin = substring_dedup._grams(words, 35, k)
+    entries = np.zeros(len(begin), substring_dedup.GRAM)
+    entries["rank"], entries["at"] = ranks[order[begin]].astype(np.uint32), at[order[begin]]
+    said = substring_dedup.sources([entries], [len(entries)], np.array([7]))
+    inside, crossing = substring_dedup.parse(words, 7, 35, k, said, n)
+    assert np.flatnonzero(inside).tolist() == [*range(5, 11), *range(50, 56)] and not crossing.any()
 
 
 def test_repeats_awkward(spark):
@@ -463,11 +513,17 @@ def test_common_lines_by_host(spark):
     texts = [f"{body(i)}\nAccept  all Cookies" for i in range(6)] + ["accept all cookies\n" * 3 + "a b c d e f g"] + [f"{body(9)}\nAccept all cookies"] + [f"{body(0)}\nAccept  all Cookies"] * 30
     df = docs(spark, texts, {7: "other host"})
     got = {r.doc_id: (r.n_line_words, r.kept, r.base_failed) for r in line_rules.judge(df, line_documents=6, least_kept=50).collect()}
-    assert got[0] == (3, True, False) and got[7] == (0, True, False)
+    assert got[0] == (15, False, False) and got[1] == (3, True, False) and got[7] == (0, True, False)
     assert got[6][:2] == (9, False)
-    # Copies count as one document: without the seventh text the line is not common.
+    # Every row is a document: with its copies the first text makes the line common, in its own host only.
     got = {r.doc_id: r.n_line_words for r in line_rules.judge(df.where("doc_id <> 6"), line_documents=6).collect()}
-    assert set(got.values()) == {0}
+    assert got[0] == 15 and got[1] == 3 and got[7] == 0
+
+
+def test_lines_of_many_copies(spark):
+    df = docs(spark, ["This one page stands here many times over, with all of its lines.\nSecond line of it."] * 200 + ["Quite another page of more than ten words, that nobody has copied so far."])
+    got = {r.doc_id: (r.n_line_words, r.kept) for r in line_rules.judge(df).collect()}
+    assert got[0] == got[199] == (17, False) and got[200] == (0, True)
 
 
 def test_lines_awkward(spark):
@@ -525,7 +581,9 @@ def test_pipeline_equals_plain_stages(spark, sf_dir, encoders):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs0 = {r.doc_id: r.text for r in rows.collect()}
     good = {r.doc_id for r in queries.op2_quality(spark, sf_dir).collect() if r.predicted == 1}
-    roots = plain_components({i: plain_simhash(docs0[i]) for i in sorted(good)})
+    shingles = {i: plain_shingles(docs0[i]) for i in good}
+    near = lambda i, j: bool(shingles[i]) and 100 * len(shingles[i] & shingles[j]) >= 80 * len(shingles[i] | shingles[j])
+    roots = plain_components({i: plain_simhash(docs0[i]) for i in sorted(good)}, near)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     kept = {i: docs0[i] for i in good if roots[i] == i and not plain_hits(docs0[i], items)[4]}
     assert 0 < len(kept) < len(docs0)
@@ -552,8 +610,7 @@ def test_stages_return_document_columns(spark, sf_dir):
     assert [n for n, _ in p.STAGES][:2] == ["quality classifier", "SimHash near-dedup"]
 
 
-def test_periodic_text_is_few_rows(spark):
-    df = docs(spark, ["be " * 3000, "x", "thaen " * 800])
-    rows = repeats.run_rows(df, suffix_dedup.byte_symbols, 200, 100, with_runs=True).collect()
-    assert len(rows) < 300 and sum(r.times for r in rows) > 3000
-    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup_bytes(df).collect()} == dict(enumerate(plain_bytes(["be " * 3000, "x", "thaen " * 800])))
+def test_periodic_text(spark):
+    texts = ["be " * 3000, "x", "thaen " * 800]
+    assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup_bytes(docs(spark, texts)).collect()} == dict(enumerate(plain_bytes(texts)))
+    assert {r.doc_id: tuple(r)[1:] for r in substring_dedup.dedup_substrings(docs(spark, texts)).collect()} == dict(enumerate(plain_substrings(texts)))
