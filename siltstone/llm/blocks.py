@@ -5,8 +5,8 @@ ranked by whole-array operations, equal ranks of a block are one entry, and entr
 shuffles a row for each block and bucket; a bucket sorts its entries and answers each block which of its entries tie.  So a
 string that a third of all texts hold is one entry for each block, however often it occurs.
 
-At N bytes there are N / BLOCK_BYTES blocks and N / BUCKET_ENTRIES buckets; beyond some terabytes a shuffled row holds few
-entries only, and costs what any row of Spark costs.
+At N bytes there are N / BLOCK_BYTES blocks and N / BUCKET_ENTRIES buckets, so rows grow faster than N at first; but never
+beyond one for each entry: from some terabytes on a shuffled row holds few entries, and costs what any row of Spark costs.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from siltstone.llm.shared import bounded, byte_buffer, text_key, written
 
 #: Bytes in a block; a longer text is cut into pieces that overlap by a window less one symbol.
 BLOCK_BYTES = 2_000_000
-#: Entries in a bucket, were all positions to be dealt out.
-BUCKET_ENTRIES = 1_000_000
+#: Entries in a bucket, were all positions to be dealt out: 16 MB of short ones.
+BUCKET_ENTRIES = 4_000_000
 
 #: (first byte, end byte, number of the first symbol) of the pieces of a text.
 Pieces = Callable[[bytes, int], list[tuple[int, int, int]]]
@@ -66,9 +66,9 @@ def in_blocks(docs: DataFrame, pieces: Pieces, name: str) -> DataFrame:
     return written(different_texts(docs).mapInArrow(run, PIECES).withColumn("block", F.monotonically_increasing_id()), name)
 
 
-def buckets_of(blocks: DataFrame) -> int:
-    """How many buckets the positions of all blocks fill."""
-    return int((blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // BUCKET_ENTRIES) + 1
+def buckets_of(blocks: DataFrame, share: float = 1.0) -> int:
+    """How many buckets are filled by this share of the positions of all blocks."""
+    return int((blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0) * share // BUCKET_ENTRIES) + 1
 
 
 class Block:

@@ -1,13 +1,16 @@
 """Suffix-array dedup of byte strings by distributed prefix doubling.
 
-Every position of every text gets a rank for the bytes that begin there: first for a quarter of the threshold, and then, at
-offsets that double, from the pair of its own rank and the rank that many bytes on, until the pairs cover the threshold.  In
-each round Spark deals the ranks out in order, tasks sort them, and positions whose rank is unique go, as no longer string
-from there can tie; the rest is ranked again at the doubled length.  What still ties at the threshold occurs elsewhere.
+Positions get a rank for the bytes that begin there: first for a quarter of the threshold, and then, at offsets that double,
+from the pair of their own rank and the rank that many bytes on, until the pairs cover the threshold.  In each round Spark
+deals the ranks out in order, tasks sort them, and positions whose rank is unique go, as no longer string from there can
+tie; the rest is ranked again at the doubled length.  What still ties at the threshold occurs elsewhere.
+
+The first round need not rank all positions: a string of the threshold's length can only tie if the least of the ranks in it
+does.  So only those least ranks, one for every 76 bytes or so, are dealt out, and strings whose least rank is unique go.
 
 Ranks are named by hashes of the pairs, so both sides of a tie find the name by themselves and only the ranks move, not the
-positions: 32 bits and the bucket in rounds that only drop positions, 128 bits in the last.  The first round, with most
-positions, is done in parts, so that its shuffle stays below twice the text.
+positions: 32 bits and the bucket in rounds that only drop positions, 128 bits in the last.  The last round is done in parts,
+so that its shuffle stays below twice the text.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from siltstone.llm import blocks as B
 from siltstone.llm.shared import bounded, dispose, mix, paired, text_key, written
 
 WIDTH = 200
-#: Ranges of ranks that the first round handles one after the other.
+#: Ranges of ranks that the last round handles one after the other.
 PARTS = 2
 #: Positions ranked at a time: arrays of them stay in a core's cache.
 _SLICE = 1 << 15
@@ -53,26 +56,60 @@ def ranks_at(buf: np.ndarray, places: np.ndarray, ladder: list[int], which: int
     return out
 
 
+def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` neighbours, from running minima within stretches of that length."""
+    n = len(v)
+    padded = np.full(-(-n // width) * width, np.uint64(2**64 - 1))
+    padded[:n] = v
+    rows = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(rows, 1).ravel()
+    behind = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+
+
+def least_in(buf: np.ndarray, places: np.ndarray, width: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the strings of ``width`` bytes at sorted ``places``: the number of the place of the least rank of ``length`` bytes in
+    each, equal ranks from the left, and the ranks at these places."""
+    number, ranks, done, span = np.empty(len(places), np.int64), [], 0, width - length + 1
+    last = -1
+    low = np.uint64((1 << 16) - 1)
+    while done < len(places):
+        a = int(places[done])
+        b = int(np.searchsorted(places, a + _SLICE))
+        r = mix(paired(_LETTERS[0][buf[a : a + _SLICE + width - 1]], 1, length))
+        order = (r & ~low) | np.arange(len(r), dtype=np.uint64)
+        at = (sliding_least(order, span)[places[done:b] - a] & low).astype(np.int64)
+        new = np.concatenate([[a + at[0] != last], at[1:] != at[:-1]])
+        number[done:b] = np.cumsum(new) - 1 + sum(map(len, ranks))
+        ranks.append(r[at[new]])
+        last = a + int(at[-1])
+        done = b
+    return number, np.concatenate([*ranks, np.zeros(0, np.uint64)])
+
+
 def whole(text: bytes, most: int, width: int = WIDTH) -> list[tuple[int, int, int]]:
     """The text as one piece, or pieces that overlap by ``width`` - 1 bytes, so that each window is in one of them."""
     return [(a, min(len(text), a + most + width - 1), a) for a in range(0, max(1, len(text) - width + 1), most)]
 
 
 def _ranked(block: B.Block, width: int, length: int) -> tuple:
+    """Windows in question and known ones, places of the former, ranks of both at this length (two at the last), and for each
+    place the number of its rank."""
     asks, known = block.windows(block.off, width)
     places = [np.flatnonzero(x) for x in (asks, known)]
-    second = length == width
     ladder = [x for x in lengths(width) if x <= length]
-    parts = [[ranks_at(block.buf, p, ladder, k) for p in places] for k in range(1 + second)]
-    first, *rest = (np.concatenate(p) for p in parts)
-    return asks, known, places[0], first, rest[0] if rest else None
+    if length < width and len(ladder) == 1:
+        (number, first), (_, other) = (least_in(block.buf, p, width, length) for p in places)
+        return asks, known, places[0], number, len(first), np.concatenate([first, other]), None
+    both = [np.concatenate([ranks_at(block.buf, p, ladder, k) for p in places]) for k in range(1 + (length == width))]
+    return asks, known, places[0], np.arange(len(places[0])), len(places[0]), both[0], both[1] if length == width else None
 
 
 def _offers(held: DataFrame, width: int, length: int, n: int, part: range) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.each_block(batches):
-            _, _, places, first, second = _ranked(block, width, length)
-            yield from B.offer_ranks(block.number, first, second, len(places), n, part)
+            *_, n_asks, first, second = _ranked(block, width, length)
+            yield from B.offer_ranks(block.number, first, second, n_asks, n, part)
 
     return held.mapInArrow(run, B.DEALT)
 
@@ -82,10 +119,10 @@ def _settled(held: DataFrame, said: DataFrame, width: int, length: int, n: int,
         for batch in batches:
             for row in range(batch.num_rows):
                 block = B.Block(batch, row)
-                asks, known, places, first, second = _ranked(block, width, length)
+                asks, known, places, number, n_asks, first, second = _ranked(block, width, length)
                 bits = [x.as_buffer() for x in batch.column("said")[row].values]
                 asks = np.zeros_like(asks)
-                asks[places[B.settle_ranks(first, second, len(places), bits, n)]] = True
+                asks[places[B.settle_ranks(first, second, n_asks, bits, n)[number]]] = True
                 out = left(block, asks, known)
                 if out is not None:
                     yield out
@@ -97,10 +134,10 @@ def repeated_strings(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     """(k1, k2, ranges) of the different texts with strings of ``width`` bytes that start anywhere else too; ``ranges`` are
     those of their first bytes, (first, last)."""
     held = B.in_blocks(docs, lambda text, most: whole(text, most, width), "blocks")
-    n = B.buckets_of(held)
     for length in lengths(width):
         last = length == width
-        parts = PARTS if length == lengths(width)[0] else 1
+        parts = PARTS if last else 1
+        n = B.buckets_of(held, 2 / (width - length + 2) if length == lengths(width)[0] else 1.0)
         kind = B.LONG if last else B.SHORT
         said = [B.answers(_offers(held, width, length, n, range(n * p // parts, n * (p + 1) // parts)), B.tied, kind, "ties") for p in range(parts)]
         every = said[0] if parts == 1 else _joined(said)
