@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Query keys that only track a reader.
 TRACKING_KEYS = ("fbclid", "gclid", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
 #: Lower-case characters whose case folding differs from themselves.
-FOLDED = (("ß", "ss"), ("ſ", "s"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
+FOLDED = (("ß", "ss"), ("ſ", "s"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("ŉ", "ʼn"), ("ǰ", "ǰ"), ("ẖ", "ẖ"), ("ẗ", "ẗ"), ("ẘ", "ẘ"), ("ẙ", "ẙ"), ("ẚ", "aʾ"))
 #: Prefixes of references to stored payloads, and marks of secrets in references.
 REFERENCE_PREFIXES = ("capture://", "internal://", "local-ref://")
 SECRET_MARKS = ("api_key", "apikey", "authorization", "bearer", "cookie", "password", "secret", "token")
@@ -115,10 +115,36 @@ def canonical_json(value: Column) -> Column:
     return F.to_json(F.try_parse_json(value))
 
 
+def json_string(value: Column) -> Column:
+    """A text as JSON in ASCII: all but space to ``~`` is escaped, beyond the first plane as two escapes."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    short = {34: '\\"', 92: "\\\\", 8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+
+    def escaped(c: Column) -> Column:
+        n = F.ascii(c)
+        out = F.when(n > 0xFFFF, F.concat(unit(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), unit(F.lit(0xDC00) + (n - 0x10000) % 1024)))
+        for code, said in short.items():
+            out = out.when(n == code, said)
+        return out.when((n < 32) | (n > 126), unit(n)).otherwise(c)
+
+    plain = value.rlike(r'^[ !#-\[\]-~]*$')
+    body = F.when(plain, value).otherwise(F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), escaped), ""))
+    return F.concat(F.lit('"'), body, F.lit('"'))
+
+
+def json_list(*parts: Column) -> Column:
+    """JSON texts as one JSON list, null if one is missing."""
+    return F.concat(F.lit("["), *(x for i, p in enumerate(parts) for x in ([F.lit(",")] if i else []) + [p]), F.lit("]"))
+
+
+def opaque_json(namespace: str, value: Column) -> Column:
+    """``namespace:hash`` of a JSON text."""
+    return F.concat(F.lit(namespace + ":"), stable_hash(value))
+
+
 def opaque_ref(namespace: str, value: Column) -> Column:
-    """``namespace:hash`` of the value's JSON text; a string hashes with its quotes."""
-    quoted = F.to_json(F.array(value))
-    return F.concat(F.lit(namespace + ":"), stable_hash(F.substring(quoted, 2, 1 << 30).substr(F.lit(1), F.char_length(quoted) - 2)))
+    """``namespace:hash`` of a string's JSON text, quotes included."""
+    return opaque_json(namespace, json_string(value))
 
 
 def opaque_refs(namespace: str, values: Column) -> Column:

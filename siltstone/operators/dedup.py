@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fields in which a row must agree with a stored one to be the same evidence; when it was observed does not count.
-EQUIVALENCE = ("provider", "provider_item_id", "provider_item_hash", "source_id", "source_account_id", "raw_item_id", "content_item_id", "event_time", "processing_status", "official_source_flag")
+#: Fields in which a row must agree with a stored one to be the same evidence; when it was observed does not count.
+EQUIVALENCE = (
+    "evidence_version", "provider", "provider_item_type", "evidence_kind", "source_type", "source_id", "source_account_id", "raw_item_id", "content_item_id", "provider_item_id", "provider_item_hash", "event_time", "access_level",
+    "processing_status", "official_source_flag", "market_data_flag", "disclosure_flag", "news_signal_flag", "content_presence", "numeric_presence", "entity_refs", "asset_refs", "topic_refs", "raw_payload_reference", "errors",
+)
 
 
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:

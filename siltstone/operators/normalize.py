@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import canonical_json, first_instant, instant, opaque_ref, opaque_refs, present, stable_hash
+from siltstone.functions.text import canonical_json, first_instant, instant, json_list, json_string, opaque_json, opaque_refs, present, stable_hash
 from siltstone.operators.validate import ENVELOPE_VERSION, FLAGS, by_item_type
 
 NEWS = "data array<struct<uuid:string,title:string,url:string,snippet:string,description:string,published_at:string,source:string,entities:array<string>,keywords:array<string>,language:string>>"
-ENERGY = "response struct<data:array<struct<period:string,price:string,value:string,stateid:string,stateDescription:string,sectorid:string,sectorName:string>>>"
+ENERGY = "response struct<data:array<struct<period:string,price:variant,value:variant,stateid:string,stateDescription:string,sectorid:string,sectorName:string>>>"
 FILING_FIELDS = ("accessionNumber", "filingDate", "acceptanceDateTime", "reportDate", "form", "primaryDocument")
 FILINGS = "filings struct<recent:struct<" + ",".join(f"{f}:array<string>" for f in FILING_FIELDS) + ">>"
 QUOTE_FIELDS = ("c", "d", "dp", "h", "l", "o", "pc")
@@ -31,11 +31,15 @@ def energy_rows(df: DataFrame, body: str = "body") -> DataFrame:
     return rows.withColumn("item_id", F.when(complete, F.concat_ws(":", "period", "geography", "sector")))
 
 
+def _is_number(value: Column) -> Column:
+    """1 for a JSON number, 0 for strings, booleans, null and what is missing."""
+    return F.coalesce(F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|INT|TINYINT|SMALLINT)"), F.lit(False)).cast("int")
+
+
 def quote_rows(df: DataFrame, body: str = "body") -> DataFrame:
     """The one quote of a response, with the numbers counted; strings and booleans don't count."""
     v = F.try_parse_json(body)
-    kind = lambda f: F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
-    number = lambda f: F.coalesce(kind(f).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|INT|TINYINT|SMALLINT)"), F.lit(False)).cast("int")
+    number = lambda f: _is_number(F.try_variant_get(v, f"$.{f}", "variant"))
     rows = df.select("*", F.try_variant_get(v, "$.t", "bigint").alias("t"), reduce(lambda a, b: a + b, map(number, QUOTE_FIELDS)).alias("numeric_field_count"))
     return rows.withColumn("item_id", F.when(present(F.col("symbol")) & F.col("t").isNotNull(), F.concat_ws(":", "symbol", F.col("t").cast("string"))))
 
@@ -60,21 +64,23 @@ def response_shape(df: DataFrame, body: str = "body") -> DataFrame:
     return df.withColumn("top_level_keys", F.array_join(F.array_sort(F.json_object_keys(body)), ","))
 
 
-def envelope(df: DataFrame, item_type: str, *, item_id: Column, event_time: Column, item_hash: Column, observed_at: Column, **more: Column) -> DataFrame:
-    """The common envelope of one item type; rows without an id are blocked and say so."""
+def envelope(df: DataFrame, item_type: str, *, item_json: Column, event_time: Column, item_hash: Column, observed_at: Column, **more: Column) -> DataFrame:
+    """The common envelope of one item type; ``item_json`` is the provider's id as JSON, and rows without it are blocked and
+    say so.  The columns are those of ``schemas.TABLES["evidence_items"]``, without the references of stored rows."""
     no_refs = F.array().cast("array<string>")
     false = F.lit(False)
-    missing = ~present(item_id)
+    missing = item_json.isNull()
     error = F.struct(F.lit("provider_item_id_missing").alias("code"), F.lit("provider_item_id").alias("field"), F.lit("Provider item ID is unavailable.").alias("safe_message"))
     kind = F.lit(item_type)
     provider = by_item_type(kind, 1)
+    numbers = more.get("numeric_field_count", F.lit(0))
     return df.select(
         F.lit(ENVELOPE_VERSION).alias("evidence_version"), provider.alias("provider"), kind.alias("provider_item_type"), by_item_type(kind, 2).alias("evidence_kind"), by_item_type(kind, 3).alias("source_type"),
-        F.when(~missing, opaque_ref("provider-item", item_id)).alias("provider_item_id"), item_hash.alias("provider_item_hash"), observed_at.alias("observed_at"), event_time.alias("event_time"),
+        F.when(~missing, opaque_json("provider-item", item_json)).alias("provider_item_id"), item_hash.alias("provider_item_hash"), observed_at.alias("observed_at"), event_time.alias("event_time"),
         F.lit("link_only").alias("access_level"), F.when(missing, "blocked").otherwise("validated").alias("processing_status"),
         *(by_item_type(kind, 4 + i).alias(f) for i, f in enumerate(FLAGS)),
-        *(more.get(c, false).alias(c) for c in ("has_title", "has_body", "has_url", "has_snippet", "has_description")),
-        (more.get("numeric_field_count", F.lit(0)) > 0).alias("has_numeric_value"), more.get("numeric_field_count", F.lit(0)).alias("numeric_field_count"), F.lit(item_type == "eia_energy_timeseries").alias("numeric_nullable"),
+        F.struct(*(more.get(c, false).alias(c) for c in ("has_title", "has_body", "has_url", "has_snippet", "has_description"))).alias("content_presence"),
+        F.struct((numbers > 0).alias("has_numeric_value"), numbers.alias("numeric_field_count"), F.lit(item_type == "eia_energy_timeseries").alias("nullable_allowed")).alias("numeric_presence"),
         *(more.get(c, no_refs).alias(c) for c in ("entity_refs", "asset_refs", "topic_refs")),
         F.concat(F.lit("internal://evidence/"), provider, F.lit("/"), item_hash).alias("raw_payload_reference"),
         F.when(missing, F.array(error)).otherwise(F.array().cast("array<struct<code:string,field:string,safe_message:string>>")).alias("errors"))
@@ -84,21 +90,26 @@ def _hash_of(df: DataFrame) -> Column:
     return stable_hash(canonical_json(F.to_json(F.struct(*(F.col(c) for c in df.columns)))))
 
 
+def _named(value: Column) -> Column:
+    return F.when(present(value), json_string(value))
+
+
 def news_evidence(rows: DataFrame, observed_at: Column) -> DataFrame:
-    return envelope(rows, "marketaux_news", item_id=F.col("uuid"), event_time=instant(F.col("published_at")), item_hash=_hash_of(rows), observed_at=observed_at, entity_refs=opaque_refs("entity", F.col("entities")), topic_refs=opaque_refs("topic", F.col("keywords")), **{f"has_{c}": present(F.col(c)) for c in ("title", "url", "snippet", "description")})
+    return envelope(rows, "marketaux_news", item_json=_named(F.col("uuid")), event_time=instant(F.col("published_at")), item_hash=_hash_of(rows), observed_at=observed_at, entity_refs=opaque_refs("entity", F.col("entities")), topic_refs=opaque_refs("topic", F.col("keywords")), **{f"has_{c}": present(F.col(c)) for c in ("title", "url", "snippet", "description")})
 
 
 def quote_evidence(rows: DataFrame, observed_at: Column) -> DataFrame:
-    return envelope(rows, "finnhub_quote", item_id=F.col("item_id"), event_time=F.timestamp_seconds("t"), item_hash=_hash_of(rows), observed_at=observed_at, asset_refs=opaque_refs("asset", F.array("symbol")), numeric_field_count=F.col("numeric_field_count"))
+    return envelope(rows, "finnhub_quote", item_json=F.when(F.col("item_id").isNotNull(), json_list(json_string(F.col("symbol")), F.col("t").cast("string"))), event_time=F.timestamp_seconds("t"), item_hash=_hash_of(rows), observed_at=observed_at, asset_refs=opaque_refs("asset", F.array("symbol")), numeric_field_count=F.col("numeric_field_count"))
 
 
 def energy_evidence(rows: DataFrame, observed_at: Column) -> DataFrame:
-    numbers = F.coalesce(F.col("price").try_cast("double").isNotNull(), F.lit(False)).cast("int") + F.coalesce(F.col("value").try_cast("double").isNotNull(), F.lit(False)).cast("int")
-    return envelope(rows, "eia_energy_timeseries", item_id=F.col("item_id"), event_time=instant(F.col("period")), item_hash=_hash_of(rows), observed_at=observed_at, entity_refs=opaque_refs("entity", F.array("stateid", "stateDescription")), topic_refs=opaque_refs("topic", F.array("sectorid", "sectorName")), numeric_field_count=numbers)
+    numbers = _is_number(F.col("price")) + _is_number(F.col("value"))
+    item = F.when(F.col("item_id").isNotNull(), json_list(*(json_string(F.col(c)) for c in ("period", "geography", "sector"))))
+    return envelope(rows, "eia_energy_timeseries", item_json=item, event_time=instant(F.col("period")), item_hash=_hash_of(rows), observed_at=observed_at, entity_refs=opaque_refs("entity", F.array("stateid", "stateDescription")), topic_refs=opaque_refs("topic", F.array("sectorid", "sectorName")), numeric_field_count=numbers)
 
 
 def filing_evidence(rows: DataFrame, observed_at: Column) -> DataFrame:
-    return envelope(rows, "sec_filing", item_id=F.col("accessionNumber"), event_time=first_instant(F.col("acceptanceDateTime"), F.col("filingDate"), F.col("reportDate")), item_hash=_hash_of(rows), observed_at=observed_at, has_url=present(F.col("primaryDocument")), asset_refs=opaque_refs("asset", F.array("ticker")), topic_refs=opaque_refs("topic", F.array("form")))
+    return envelope(rows, "sec_filing", item_json=_named(F.col("accessionNumber")), event_time=first_instant(F.col("acceptanceDateTime"), F.col("filingDate"), F.col("reportDate")), item_hash=_hash_of(rows), observed_at=observed_at, has_url=present(F.col("primaryDocument")), asset_refs=opaque_refs("asset", F.array("ticker")), topic_refs=opaque_refs("topic", F.array("form")))
 
 
 def display_title(provider: Column, *, symbol: Column, period: Column, place: Column, form: Column, title: Column) -> Column:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.scoring import confidence, importance, importance_reasons
 from siltstone.functions.text import canonical_url, present, stable_hash, title_fingerprint
 from siltstone.operators.graph import spread_labels
 
@@ -52,19 +53,46 @@ def rank_of(signature: Column) -> Column:
 
 
 def signature_matches(evidence: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(evidence_id, candidate_id, rank) by shared signatures: an equi join on exploded signatures."""
+    """(evidence_id, candidate_id, rank) by shared signatures: an equi join on exploded signatures.
+
+    A match needs one candidate and whether there are others, so of the candidates of a signature the least and the greatest
+    stand for all: no signature turns into pairs, however many share it.
+    """
     e = evidence.select("evidence_id", F.explode("signatures").alias("signature"))
     c = candidates.select(F.col("id").alias("candidate_id"), F.explode(F.array_distinct("identity_signatures")).alias("signature"))
+    c = c.groupBy("signature").agg(F.min("candidate_id").alias("a"), F.max("candidate_id").alias("b"))
+    c = c.select("signature", F.explode(F.array_distinct(F.array("a", "b"))).alias("candidate_id"))
     return e.join(c, "signature").select("evidence_id", "candidate_id", rank_of(F.col("signature")).alias("rank"))
 
 
 def time_window_matches(evidence: DataFrame, candidates: DataFrame, *, hours: int = 24) -> DataFrame:
-    """Same title, a shared entity, and a time within ``hours`` of the candidate's span, both ends included."""
-    e = evidence.where("title_fingerprint is not null").select("evidence_id", F.col("title_fingerprint").alias("fingerprint"), seen_at().alias("at"), "entity_refs")
-    c = candidates.select(F.col("id").alias("candidate_id"), "first_seen_at", "latest_seen_at", "entities", F.explode(F.array_distinct("title_fingerprints")).alias("fingerprint"))
-    gap = F.expr(f"interval {hours} hours")
-    near = (F.col("at") >= F.col("first_seen_at") - gap) & (F.col("at") <= F.col("latest_seen_at") + gap) & F.arrays_overlap("entity_refs", "entities")
-    return e.join(c, "fingerprint").where(near).select("evidence_id", "candidate_id", F.lit(4).alias("rank"))
+    """Same title, a shared entity, and a time within ``hours`` of the candidate's span, both ends included.
+
+    The least and the greatest candidate stand for all, as for signatures.  Evidence and spans meet by title, entity and day.
+    The candidates that cover a whole day are two ids; those whose span begins in a day are running ids up to the time of the
+    evidence, and those whose span ends there the same from the other side.  So rows grow with evidence and days of spans,
+    not with their product.
+    """
+    gap, day = F.expr(f"interval {hours} hours"), F.expr("interval 1 day")
+    e = evidence.where("title_fingerprint is not null").select("evidence_id", F.col("title_fingerprint").alias("fingerprint"), seen_at().alias("at"), F.explode(F.array_distinct("entity_refs")).alias("entity"))
+    e = e.withColumn("day", F.date_trunc("day", "at"))
+    c = candidates.select(F.col("id").alias("candidate_id"), (F.col("first_seen_at") - gap).alias("begin"), (F.col("latest_seen_at") + gap).alias("end"), "entities", F.explode(F.array_distinct("title_fingerprints")).alias("fingerprint"))
+    c = c.where("begin <= end").select("*", F.explode(F.array_distinct("entities")).alias("entity")).drop("entities")
+    days = c.select("*", F.explode(F.sequence(F.date_trunc("day", "begin"), F.date_trunc("day", "end"), day)).alias("day"))
+    begins, stops = F.col("begin") > F.col("day"), F.col("end") < F.col("day") + day
+    on = ["fingerprint", "entity", "day"]
+    ends = lambda df, *by: df.groupBy(*by).agg(F.min("candidate_id").alias("a"), F.max("candidate_id").alias("b"))
+    found = e.join(ends(days.where(~begins & ~stops), *on), on).select("evidence_id", "a", "b")
+    inner = e.join(ends(days.where(begins & stops), *on, "begin", "end"), on).where(F.col("at").between(F.col("begin"), F.col("end")))
+    found = found.union(inner.select("evidence_id", "a", "b"))
+    for edge, which in (("begin", begins & ~stops), ("end", ~begins & stops)):
+        spans = ends(days.where(which), *on, edge).select(*on, F.col(edge).alias("at"), F.lit(None).cast("long").alias("evidence_id"), "a", "b")
+        line = e.select(*on, F.col("at").cast(spans.schema["at"].dataType), F.col("evidence_id").cast("long"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b")).union(spans)
+        order = F.col("at").asc() if edge == "begin" else F.col("at").desc()
+        seen = Window.partitionBy(*on).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        found = found.union(line.select("evidence_id", F.min("a").over(seen).alias("a"), F.max("b").over(seen).alias("b")).where("evidence_id is not null and a is not null"))
+    met = found.groupBy("evidence_id").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return met.select("evidence_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("candidate_id"), F.lit(4).alias("rank"))
 
 
 def match(evidence: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -87,12 +115,20 @@ def match(evidence: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def new_candidates(matched: DataFrame) -> DataFrame:
-    """Candidates to create: one for each cluster_key of unmatched evidence, from its first row by time and id."""
+    """Candidates to create: one for each cluster_key of unmatched evidence, from its first row by time and id.  Title and
+    summary are left to review; ``asset_refs``, ``topic_refs`` and ``source_priority`` count where the rows have them."""
     rows = matched.where("matched_candidate_id is null")
     place = F.row_number().over(Window.partitionBy("cluster_key").orderBy(seen_at(), "evidence_id"))
+    none, texts = F.lit(None), F.array().cast("array<string>")
+    either = lambda c: F.col(c) if c in rows.columns else texts
+    priority = F.col("source_priority") if "source_priority" in rows.columns else none
+    args = [F.lit(1), F.col("official_source"), F.lit(1), F.size("entity_refs"), priority]
     return rows.withColumn("_place", place).where("_place = 1").select(
-        "cluster_key", "anchor_type", "anchor_value_hash", "strong_identity_hash", F.array_sort("signatures").alias("identity_signatures"), F.array_compact(F.array("title_fingerprint")).alias("title_fingerprints"),
-        F.col("title").alias("canonical_title"), seen_at().alias("first_seen_at"), seen_at().alias("latest_seen_at"), F.get("entity_refs", F.lit(0)).alias("primary_entity"), F.col("entity_refs").alias("entities"))
+        "cluster_key", "anchor_type", "anchor_value_hash", "strong_identity_hash", F.col("signatures").alias("identity_signatures"), F.array_compact(F.array("title_fingerprint")).alias("title_fingerprints"),
+        F.lit("information_event").alias("event_type"), F.lit("candidate").alias("status"), none.cast("string").alias("canonical_title"), none.cast("string").alias("fact_summary"), seen_at().alias("first_seen_at"), seen_at().alias("latest_seen_at"),
+        F.col("event_time").alias("occurred_at"), F.col("event_time").alias("published_at"), F.get("entity_refs", F.lit(0)).alias("primary_entity"), F.col("entity_refs").alias("entities"), F.col("entity_refs").alias("companies"),
+        either("asset_refs").alias("assets"), texts.alias("sectors"), either("topic_refs").alias("topics"), F.lit(1).alias("evidence_count"), F.lit(1).alias("source_count"),
+        confidence(F.lit(1), F.col("official_source"), F.lit(1)).alias("confidence"), importance(*args).alias("importance_score"), importance_reasons(*args).alias("importance_reasons"))
 
 
 def unprocessed(evidence: DataFrame, links: DataFrame) -> DataFrame:

@@ -49,9 +49,25 @@ def deactivate(links: DataFrame, which: DataFrame) -> DataFrame:
     return met.withColumn("active", F.col("active") & F.col("_off").isNull()).drop("_off").select(links.columns)
 
 
+def regroup_errors(links: DataFrame, moves: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``moves`` with ``move_error``: the target is the same or missing, the evidence is unknown, or its one active link is
+    not with the candidate that it is to leave."""
+    held = links.groupBy("evidence_id").agg(F.count_if("active").alias("_n"), F.min(F.when(F.col("active"), F.col("candidate_id"))).alias("_held"))
+    known = candidates.select(F.col("id").alias("_to"))
+    met = moves.join(held, "evidence_id", "left").join(known, F.col("to_id") == F.col("_to"), "left")
+    error = (
+        F.when(F.col("from_id") == F.col("to_id"), "event_candidate_regroup_target_unchanged").when(F.col("_n").isNull(), "evidence_item_not_found")
+        .when((F.col("_n") != 1) | (F.col("_held") != F.col("from_id")), "event_candidate_association_ambiguous").when(F.col("_to").isNull(), "event_candidate_not_found")
+    )
+    return met.select(*moves.columns, error.alias("move_error"))
+
+
 def regroup(links: DataFrame, moves: DataFrame) -> DataFrame:
-    """Links after ``moves`` (evidence_id, from_id, to_id): old links are closed, new ones added by review, history stays."""
-    closed = deactivate(links, moves.select(F.col("from_id").alias("candidate_id"), "evidence_id"))
-    moved = links.where("active").join(moves, (links.evidence_id == moves.evidence_id) & (links.candidate_id == moves.from_id)).drop(moves.evidence_id)
-    added = moved.withColumn("candidate_id", F.col("to_id")).select(*links.columns, F.lit("reviewed_regroup").alias("match_rule"))
-    return closed.withColumn("match_rule", F.lit("existing_association")).unionByName(added)
+    """Links after ``moves`` (evidence_id, from_id, to_id): old links are closed and keep the rule they were made by, new ones
+    are added by review, so history stays.  Links without ``match_rule`` get it, null for old ones."""
+    if "match_rule" not in links.columns:
+        links = links.withColumn("match_rule", F.lit(None).cast("string"))
+    marks = moves.select("evidence_id", F.col("from_id").alias("candidate_id"), "to_id")
+    closed = deactivate(links, marks)
+    added = links.where("active").join(marks, ["evidence_id", "candidate_id"]).withColumns({"candidate_id": F.col("to_id"), "match_rule": F.lit("reviewed_regroup")})
+    return closed.unionByName(added.select(links.columns))

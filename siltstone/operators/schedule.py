@@ -87,6 +87,15 @@ def run_outcome(fetched: Column, failed: Column) -> Column:
     return F.when(~failed, "succeeded").when(fetched > 0, "partial").otherwise("failed")
 
 
+def provider_outcome(processed: Column, raw: Column, evidence: Column, collection: Column, errors: Column) -> Column:
+    """(status, no_new_items) of one provider's run: PASS needs raw rows and evidence, or a collection that succeeded and had
+    nothing new; ``errors`` are the codes that were met."""
+    clean = F.coalesce(processed, F.lit(False)) & (F.size(F.coalesce(errors, F.array().cast("array<string>"))) == 0)
+    quiet = F.coalesce(clean & (raw == 0) & (collection == "succeeded"), F.lit(False))
+    ok = F.coalesce(clean & (quiet | ((raw > 0) & (evidence > 0))), F.lit(False))
+    return F.struct(F.when(ok, "PASS").otherwise("FAIL").alias("status"), quiet.alias("no_new_items"))
+
+
 def cycle_status(statuses: DataFrame, by: str = "cycle") -> DataFrame:
     """PARTIAL if any provider failed, was blocked or must retry, or if delivery failed or was blocked."""
     bad = F.bool_or(F.col("status").isin("FAILED", "BLOCKED", "RETRY") | F.col("delivery").isin("BLOCKED", "FAILED"))

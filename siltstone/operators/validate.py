@@ -75,11 +75,11 @@ def envelope_errors() -> Column:
         (differs("evidence_kind", 2), "evidence_kind_mismatch"),
         (differs("source_type", 3), "source_type_mismatch"),
         (known & ~flags_consistent(), "evidence_flags_mismatch"),
-        ((kind == "eia_energy_timeseries") & ~F.coalesce(F.col("numeric_nullable"), F.lit(False)), "eia_numeric_nullable_required"),
+        ((kind == "eia_energy_timeseries") & ~F.coalesce(F.col("numeric_presence.nullable_allowed"), F.lit(False)), "eia_numeric_nullable_required"),
         (F.col("access_level") == "unknown", "access_level_unknown"),
         (~F.coalesce(F.col("provider_item_hash").rlike("^[0-9a-f]{64}$"), F.lit(False)), "provider_item_hash_invalid"),
         (F.col("event_time").isNull(), "event_time_missing"),
-        (F.col("numeric_field_count") < 0, "numeric_field_count_invalid"),
+        (F.col("numeric_presence.numeric_field_count") < 0, "numeric_field_count_invalid"),
         (unsafe_reference(F.col("raw_payload_reference")), "unsafe_raw_payload_reference"),
         (~embedded_errors_safe(F.col("errors")), "unsafe_embedded_error"),
     )
@@ -95,30 +95,49 @@ def projection_error(provider: Column, keys: Column) -> Column:
     return out
 
 
-def display_error(title: Column, summary: Column, url: Column) -> Column:
-    """What makes a row unfit for display."""
+#: Keys of a display row and of a news request's configuration, and the bounds of both.
+DISPLAY_KEYS = ("provider_item_id", "published_at", "display_title", "display_url", "field_names", "has_title", "has_description", "has_snippet", "has_source_url")
+TITLE_CHARS, URL_CHARS, NEWS_RECORDS, NEWS_SYMBOLS = 2000, 4000, 3, 10
+_SECRET_VALUE = r"(?i)(secret|token|password|api_?key)="
+
+
+def _secret(value: Column) -> Column:
+    return F.coalesce(value.rlike(_SECRET_VALUE), F.lit(False))
+
+
+def display_error(item_id: Column, published_at: Column, title: Column, url: Column) -> Column:
+    """What makes a row unfit for display: id and time are required, title and address may be missing, but not unsafe."""
     return (
-        F.when(~present(F.trim(title)), "title_required").when(F.char_length(title) > 2000, "title_too_long").when(F.char_length(summary) > 4000, "summary_too_long")
-        .when(title.rlike("(?i)(secret|token|password|api_?key)=") | F.coalesce(summary, F.lit("")).rlike("(?i)(secret|token|password|api_?key)="), "secret_in_text")
-        .when(url.isNotNull() & safe_public_url(url).isNull(), "url_unsafe")
+        F.when(~present(item_id), "provider_item_id_required").when(~present(published_at), "published_at_required")
+        .when(title.isNotNull() & ((title == "") | (F.char_length(title) > TITLE_CHARS) | _secret(title)), "title_unsafe")
+        .when(url.isNotNull() & ((F.char_length(url) > URL_CHARS) | safe_public_url(url).isNull()), "url_unsafe")
     )
 
 
-def request_error(limit: Column, language: Column, symbols: Column, timeout: Column) -> Column:
-    """The first thing wrong with a news request."""
+def request_error(limit: Column, deadline: Column, now: Column, config: Column, known: tuple[str, ...], timeout: Column, language: Column, symbols: Column) -> Column:
+    """The first thing wrong with a news request; ``config`` is a map of texts, ``known`` the keys it may have."""
+    keys = F.map_keys(config)
+    unsafe = F.exists(F.map_entries(config), lambda e: F.coalesce(has_secret_mark(e["key"]) | has_secret_mark(e["value"]), F.lit(False)))
+    odd = lambda s: s.isNull() | (s == "") | has_secret_mark(s)
     return (
-        F.when(~limit.between(1, 3), "limit_out_of_range").when(~timeout.between(1, 120), "timeout_out_of_range")
-        .when(language.isNotNull() & ~language.rlike("^[a-z]{2}$"), "language_invalid").when(F.size(symbols) > 10, "too_many_symbols")
-        .when(F.exists(symbols, has_secret_mark), "secret_in_request")
+        F.when(~F.coalesce(limit.between(1, NEWS_RECORDS), F.lit(False)), "provider_record_limit_invalid").when(F.coalesce(deadline <= now, F.lit(True)), "provider_deadline_invalid")
+        .when(F.size(F.array_except(keys, F.array(*(F.lit(k) for k in known)))) > 0, "provider_config_fields_invalid").when(unsafe, "provider_config_unsafe")
+        .when(F.coalesce(timeout, F.lit(10.0)) <= 0, "provider_timeout_invalid").when(language.isNotNull() & odd(language), "provider_language_invalid")
+        .when(symbols.isNotNull() & ((F.size(symbols) == 0) | (F.size(symbols) > NEWS_SYMBOLS) | F.exists(symbols, odd)), "provider_symbols_invalid")
     )
 
 
 def news_item(df: DataFrame) -> DataFrame:
-    """Sanitised news items: id and time required and free of secrets, presence flags, safe title and address."""
-    item, when = safe_identifier(F.col("uuid"), 200), safe_identifier(F.col("published_at"), 64)
+    """Sanitised news items: id and time required and free of secrets; a title or address that is unsafe or too long is left
+    out, and flags say what is left."""
+    free = lambda c: F.when(present(F.col(c)) & ~has_secret_mark(F.col(c)), F.col(c))
+    item, when = free("uuid"), free("published_at")
+    title, url = squeeze(F.col("title")), safe_public_url(F.col("url"))
+    title = F.when(present(title) & (F.char_length(title) <= TITLE_CHARS) & ~_secret(title), title)
+    url = F.when(F.char_length(url) <= URL_CHARS, url)
     return df.select(
-        item.alias("provider_item_id"), when.alias("published_at"), F.left(squeeze(F.col("title")), F.lit(2000)).alias("title"), safe_public_url(F.col("url")).alias("url"),
-        *(present(F.col(c)).alias(f"has_{c}") for c in ("title", "description", "snippet", "url")), (item.isNotNull() & when.isNotNull()).alias("is_valid"))
+        item.alias("provider_item_id"), when.alias("published_at"), title.alias("title"), url.alias("url"), title.isNotNull().alias("has_title"), present(F.col("description")).alias("has_description"),
+        present(F.col("snippet")).alias("has_snippet"), url.isNotNull().alias("has_url"), (item.isNotNull() & when.isNotNull()).alias("is_valid"))
 
 
 def smoke_result(status: Column, valid_json: Column, count: Column, fields: Column, required: Column) -> Column:
@@ -139,10 +158,14 @@ def retryable(code: Column) -> Column:
     return F.coalesce(code.isin(*RETRYABLE), F.lit(False))
 
 
-def capture_too_large(provider: Column, size: Column) -> Column:
-    """Whether a captured response exceeds its provider's bound."""
-    bounds = {"marketaux": 200_000, "finnhub": 20_000, "eia": 500_000, "sec_edgar": 5_000_000}
-    return reduce(or_, ((provider == p) & (size > n) for p, n in bounds.items()))
+#: The greatest limit of a captured request by provider; of its response, marketaux may hold 15 items at most.
+CAPTURE_LIMITS = {"marketaux": 3, "finnhub": 1, "eia": 5, "sec_edgar": 10}
+
+
+def capture_within_limit(provider: Column, limit: Column, count: Column) -> Column:
+    """Whether a capture asked for, and holds, no more items than its provider allows; false where either is unknown."""
+    ok = reduce(or_, ((provider == p) & limit.between(1, n) & (count <= limit) for p, n in CAPTURE_LIMITS.items()))
+    return F.coalesce(ok, F.lit(False))
 
 
 def result_counts_match(raw: Column, metadata: Column, display: Column) -> Column:

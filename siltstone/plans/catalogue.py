@@ -315,7 +315,7 @@ def content_dedup_precedence(spark, sf_dir):
 
 
 @_query("""
-WITH stored AS (SELECT * FROM v_content WHERE id % 3 = 0),
+WITH stored AS (SELECT * FROM v_content WHERE source_published_at < TIMESTAMP '2024-01-02 00:00:00'),
 fresh AS (SELECT * FROM v_content c WHERE raw_item_id NOT IN (SELECT raw_item_id FROM stored)
   AND NOT EXISTS (SELECT 1 FROM stored s WHERE s.source_id = c.source_id AND s.external_id = c.external_id)),
 one AS (SELECT *, row_number() OVER (PARTITION BY raw_item_id ORDER BY id) AS a, CASE WHEN external_id IS NOT NULL THEN row_number() OVER (PARTITION BY source_id, external_id ORDER BY id) ELSE 1 END AS b FROM fresh)
@@ -323,46 +323,63 @@ SELECT id, source_id, external_id FROM one WHERE a = 1 AND b = 1
 """)
 def content_new_only(spark, sf_dir):
     content = view(spark, sf_dir, "content")
-    return dedup.new_only(content, content.where("id % 3 = 0")).select("id", "source_id", "external_id")
+    return dedup.new_only(content, content.where("source_published_at < timestamp_ntz'2024-01-02 00:00:00'")).select("id", "source_id", "external_id")
 
 
-_CLASSIFY = """
-WITH stored AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY provider, provider_item_hash ORDER BY id) AS a, row_number() OVER (PARTITION BY provider, coalesce(provider_item_id, 'none' || id) ORDER BY id) AS b FROM v_evidence WHERE id % 2 = 0) WHERE a = 1 AND b = 1),
+#: Evidence that repeats by hash and item, and agrees with what is stored in some of the fields that count.
+_REPEATED = """SELECT id, provider, concat('q', id % 300) AS provider_item_id, provider_item_hash, id % 50 AS raw_item_id, observed_at, event_time IS NULL AS timeless, official_source, processing_status, title IS NOT NULL AS titled,
+  entity, source_id, source_account_id, content_item_id, id AS own_raw FROM v_evidence"""
+_CLASSIFY = f"""
+WITH x AS ({_REPEATED}),
+stored AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY provider, provider_item_hash ORDER BY id) AS a, row_number() OVER (PARTITION BY provider, provider_item_id ORDER BY id) AS b FROM x WHERE observed_at < TIMESTAMP '2024-01-11 00:00:00') WHERE a = 1 AND b = 1),
 met AS (
-  SELECT e.*, h.id IS NOT NULL AS has_h, i.id IS NOT NULL AS has_i, i.provider_item_hash AS i_hash,
-    (e.id = h.id OR (e.provider_item_id IS NOT DISTINCT FROM h.provider_item_id AND e.source_id IS NOT DISTINCT FROM h.source_id AND e.source_account_id IS NOT DISTINCT FROM h.source_account_id AND e.raw_item_id = h.raw_item_id)) AS same_h,
-    (e.id = i.id) AS same_i
-  FROM v_evidence e LEFT JOIN stored h ON h.provider = e.provider AND h.provider_item_hash = e.provider_item_hash LEFT JOIN stored i ON i.provider = e.provider AND i.provider_item_id = e.provider_item_id),
-d AS (SELECT *, CASE WHEN has_h THEN CASE WHEN same_h THEN 'existing' ELSE 'provider_hash_conflict' END WHEN has_i THEN CASE WHEN i_hash <> provider_item_hash THEN 'provider_item_id_conflict' WHEN same_i THEN 'existing' ELSE 'provider_hash_conflict' END ELSE 'inserted' END AS decision FROM met)
+  SELECT x.*, h.id IS NOT NULL AS has_h, i.id IS NOT NULL AS has_i, i.provider_item_hash AS i_hash,
+    (x.provider_item_id = h.provider_item_id AND x.raw_item_id = h.raw_item_id AND x.timeless = h.timeless AND x.official_source = h.official_source AND x.processing_status = h.processing_status AND x.titled = h.titled AND x.entity = h.entity) AS same_h,
+    (x.raw_item_id = i.raw_item_id AND x.timeless = i.timeless AND x.official_source = i.official_source AND x.processing_status = i.processing_status AND x.titled = i.titled AND x.entity = i.entity) AS same_i
+  FROM x LEFT JOIN stored h ON h.provider = x.provider AND h.provider_item_hash = x.provider_item_hash LEFT JOIN stored i ON i.provider = x.provider AND i.provider_item_id = x.provider_item_id),
+d AS (SELECT * EXCLUDE (raw_item_id), own_raw AS raw_item_id, CASE WHEN has_h THEN CASE WHEN same_h THEN 'existing' ELSE 'provider_hash_conflict' END WHEN has_i THEN CASE WHEN i_hash <> provider_item_hash THEN 'provider_item_id_conflict' WHEN same_i THEN 'existing' ELSE 'provider_hash_conflict' END ELSE 'inserted' END AS decision FROM met)
 """
 
 
-def _stored(evidence: DataFrame) -> DataFrame:
-    """Evidence as if stored before: every second row, unique by hash and by item."""
+def _repeated(evidence: DataFrame) -> DataFrame:
+    """Evidence with all fields in which it must agree with what is stored; those that tell every row apart stand aside."""
+    kind = F.element_at(F.array(*(F.lit(t[0]) for t in validate.ITEM_TYPES)), F.array_position(F.array(*(F.lit(m) for m in METHODS)), F.col("provider")).cast("int"))
+    by = lambda place: validate.by_item_type(F.col("provider_item_type"), place)
+    none, no_refs = F.lit(None).cast("string"), F.array().cast("array<string>")
+    timeless = F.col("event_time").isNull()
+    missing = F.struct(F.lit("event_time_missing").alias("code"), F.lit("event_time").alias("field"), F.lit("Time is unavailable.").alias("safe_message"))
+    return evidence.withColumns({"own_raw": F.col("raw_item_id"), "own_source": F.col("source_id"), "own_account": F.col("source_account_id"), "own_content": F.col("content_item_id"), "own_time": F.col("event_time"), "provider_item_type": kind}).withColumns({
+        "evidence_version": F.lit(1), "evidence_kind": by(2), "source_type": by(3), "source_id": none, "source_account_id": none, "raw_item_id": F.col("id") % 50, "content_item_id": none,
+        "provider_item_id": F.concat(F.lit("q"), (F.col("id") % 300).cast("string")), "event_time": F.lit(None).cast("timestamp"), "access_level": F.when(timeless, "unknown").otherwise("link_only"), "official_source_flag": F.col("official_source"),
+        "market_data_flag": by(5), "disclosure_flag": by(6), "news_signal_flag": by(7), "content_presence": F.struct(F.col("title").isNotNull().alias("has_title")), "numeric_presence": F.struct(F.lit(0).alias("numeric_field_count")),
+        "entity_refs": F.array("entity"), "asset_refs": no_refs, "topic_refs": no_refs, "raw_payload_reference": F.concat(F.lit("internal://evidence/"), F.col("provider_item_hash")),
+        "errors": F.when(timeless, F.array(missing)).otherwise(F.array().cast("array<struct<code:string,field:string,safe_message:string>>"))})
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    """What was observed before a day, unique by hash and by item."""
     from pyspark.sql import Window
 
     by = lambda key: F.row_number().over(Window.partitionBy("provider", key).orderBy("id"))
-    item = F.coalesce("provider_item_id", F.concat(F.lit("none"), F.col("id").cast("string")))
-    return evidence.where("id % 2 = 0").withColumns({"_a": by("provider_item_hash"), "_b": by(item)}).where("_a = 1 and _b = 1").drop("_a", "_b")
+    return rows.where("observed_at < timestamp_ntz'2024-01-11 00:00:00'").withColumns({"_a": by("provider_item_hash"), "_b": by("provider_item_id")}).where("_a = 1 and _b = 1").drop("_a", "_b")
 
 
 @_query(_CLASSIFY + "SELECT id, decision FROM d")
 def evidence_classify(spark, sf_dir):
-    evidence = view(spark, sf_dir, "evidence").withColumn("official_source_flag", F.col("official_source"))
-    return dedup.classify(evidence, _stored(evidence)).select("id", "decision")
+    rows = _repeated(view(spark, sf_dir, "evidence"))
+    return dedup.classify(rows, _stored(rows)).select("id", "decision")
 
 
 _PROVENANCE = """
 p AS (SELECT d.*, CASE WHEN r.id IS NULL THEN 'raw_item_id:reference_not_found' WHEN r.source_id <> d.source_id OR r.source_account_id IS DISTINCT FROM d.source_account_id THEN 'raw_item_id:provenance_mismatch'
   WHEN d.source_account_id IS NOT NULL AND a.id IS NULL THEN 'source_account_id:reference_not_found' WHEN d.source_account_id IS NOT NULL AND a.source_id <> d.source_id THEN 'source_account_id:provenance_mismatch'
   WHEN d.content_item_id IS NOT NULL AND c.id IS NULL THEN 'content_item_id:reference_not_found' WHEN d.content_item_id IS NOT NULL AND (c.source_id <> d.source_id OR c.raw_item_id <> d.raw_item_id) THEN 'content_item_id:provenance_mismatch' END AS provenance_error
-  FROM {rows} d LEFT JOIN v_raw r ON r.id = d.raw_item_id AND r.id % 11 <> 0 LEFT JOIN v_accounts a ON a.id = d.source_account_id LEFT JOIN v_content c ON c.id = d.content_item_id AND c.id % 5 <> 0)
+  FROM {rows} d LEFT JOIN v_raw r ON r.id = d.raw_item_id AND r.run_id <> 3 LEFT JOIN v_accounts a ON a.id = d.source_account_id LEFT JOIN v_content c ON c.id = d.content_item_id AND c.title IS NOT NULL)
 """
 
 
 def _provenance(spark, sf_dir, rows):
-    return dedup.provenance_error(rows, view(spark, sf_dir, "raw").where("id % 11 <> 0"), view(spark, sf_dir, "accounts"), view(spark, sf_dir, "content").where("id % 5 <> 0"))
+    return dedup.provenance_error(rows, view(spark, sf_dir, "raw").where("run_id <> 3"), view(spark, sf_dir, "accounts"), view(spark, sf_dir, "content").where("title is not null"))
 
 
 @_query("WITH " + _PROVENANCE.format(rows="v_evidence") + "SELECT id, provenance_error FROM p")
@@ -393,8 +410,8 @@ def _envelopes(evidence: DataFrame) -> DataFrame:
     safe = F.concat(F.lit("internal://evidence/"), F.col("provider_item_hash"))
     return df.withColumns({
         "evidence_version": fault(23, F.lit(2), F.lit(1)), "evidence_kind": by(2), "source_type": by(3), "access_level": fault(19, F.lit("odd"), fault(29, F.lit("unknown"), F.lit("link_only"))),
-        "official_source_flag": F.col("official_source"), "market_data_flag": by(5), "disclosure_flag": by(6), "news_signal_flag": by(7), "numeric_nullable": F.col("id") % 2 == 0,
-        "provider_item_hash": fault(31, F.lit("no hash"), F.col("provider_item_hash")), "numeric_field_count": fault(37, F.lit(-1), F.lit(1)),
+        "official_source_flag": F.col("official_source"), "market_data_flag": by(5), "disclosure_flag": by(6), "news_signal_flag": by(7),
+        "numeric_presence": F.struct((F.col("id") % 2 == 0).alias("nullable_allowed"), fault(37, F.lit(-1), F.lit(1)).alias("numeric_field_count")), "provider_item_hash": fault(31, F.lit("no hash"), F.col("provider_item_hash")),
         "raw_payload_reference": fault(41, F.lit("https://x.test/a"), fault(43, F.concat(safe, F.lit("?token=1")), safe)),
         "errors": F.array(F.struct(fault(47, F.lit("Bad Code"), F.lit("some_code")).alias("code"), F.lit(None).cast("string").alias("field"), F.lit("x").alias("safe_message")))})
 
@@ -404,21 +421,24 @@ def evidence_validate(spark, sf_dir):
     return _envelopes(view(spark, sf_dir, "evidence")).select("id", F.array_join(validate.envelope_errors(), ",").alias("codes"))
 
 
-@_query(_CLASSIFY + ", " + _PROVENANCE.format(rows="d") + """, o AS (
-  SELECT CASE WHEN event_time IS NULL OR provenance_error IS NOT NULL THEN 'invalid' WHEN decision LIKE '%conflict' THEN 'conflict' WHEN decision = 'existing' THEN 'existing' WHEN id % 41 = 0 THEN 'blocked' ELSE 'inserted' END AS outcome FROM p)
+@_query(_CLASSIFY + ", " + _PROVENANCE.format(rows="d") + ", v AS (" + _ENVELOPE + """), o AS (
+  SELECT CASE WHEN v.codes <> '' OR provenance_error IS NOT NULL THEN 'invalid' WHEN decision LIKE '%conflict' THEN 'conflict' WHEN decision = 'existing' THEN 'existing' WHEN p.id % 41 = 0 THEN 'blocked' ELSE 'inserted' END AS outcome FROM p JOIN v USING (id))
 SELECT count(*) AS total, count(*) FILTER (WHERE outcome = 'inserted') AS inserted, count(*) FILTER (WHERE outcome = 'existing') AS existing, count(*) FILTER (WHERE outcome = 'blocked') AS blocked,
   count(*) FILTER (WHERE outcome = 'invalid') AS invalid, count(*) FILTER (WHERE outcome = 'conflict') AS conflict, true AS conserved FROM o""")
 def write_summary(spark, sf_dir):
-    evidence = view(spark, sf_dir, "evidence").withColumn("official_source_flag", F.col("official_source"))
-    rows = _provenance(spark, sf_dir, dedup.classify(evidence, _stored(evidence)))
-    errors = validate.codes((F.col("event_time").isNull(), "event_time_missing"))
-    return dedup.write_summary(rows.withColumn("outcome", dedup.write_decision(F.col("id") % 41 == 0, errors, F.col("provenance_error"), F.col("decision"))))
+    evidence = view(spark, sf_dir, "evidence")
+    codes = _envelopes(evidence).select(F.col("id").alias("_id"), validate.envelope_errors().alias("codes"))
+    rows = _repeated(evidence)
+    rows = dedup.classify(rows, _stored(rows)).select("id", "decision", F.col("own_raw").alias("raw_item_id"), F.col("own_source").alias("source_id"), F.col("own_account").alias("source_account_id"), F.col("own_content").alias("content_item_id"))
+    rows = _provenance(spark, sf_dir, rows)
+    rows = rows.join(codes, rows.id == F.col("_id"))
+    return dedup.write_summary(rows.withColumn("outcome", dedup.write_decision(F.col("id") % 41 == 0, F.col("codes"), F.col("provenance_error"), F.col("decision"))))
 
 
 @_query("""SELECT count(*) FILTER (WHERE o_orderkey IS NULL) AS missing, count(*) FILTER (WHERE o_custkey % 10 <> l_suppkey % 10) AS differs, count(*) AS links
-FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 6 <> 0) ON l_orderkey = o_orderkey""")
+FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey""")
 def provenance_audit(spark, sf_dir):
-    links, orders = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), _read(spark, sf_dir, "orders").where("o_orderkey % 6 <> 0").select("o_orderkey", "o_custkey")
+    links, orders = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), _read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey")
     met = links.join(orders, links.l_orderkey == orders.o_orderkey, "left")
     return met.agg(F.count_if(F.col("o_orderkey").isNull()).alias("missing"), F.count_if(F.col("o_custkey") % 10 != F.col("l_suppkey") % 10).alias("differs"), F.count("*").alias("links"))
 
@@ -459,15 +479,15 @@ def evidence_anchor_bucket(spark, sf_dir):
     return resolve.with_anchor(resolve.with_signatures(rows)).select("evidence_id", "anchor_type", "anchor_value_hash", "cluster_key")
 
 
-_CANDIDATES = """, c AS (SELECT evidence_id // 10 AS id, list_distinct(flatten(list(sigs))) AS sigs, list_distinct(list(fp)) AS fps, list_distinct(list(entity)) AS entities, min(seen) AS first_at, max(seen) AS last_at FROM s WHERE evidence_id % 4 <> 1 GROUP BY 1),
-i AS (SELECT * FROM s WHERE evidence_id % 4 = 1)"""
+_CANDIDATES = """, c AS (SELECT evidence_id // 10 AS id, list_distinct(flatten(list(sigs))) AS sigs, list_distinct(list(fp)) AS fps, list_distinct(list(entity)) AS entities, min(seen) AS first_at, max(seen) AS last_at FROM s WHERE observed_at < TIMESTAMP '2024-01-11 00:00:00' GROUP BY 1),
+i AS (SELECT * FROM s)"""
 
 
 def _candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Incoming evidence, and candidates that stand for the rest of it."""
-    rest = signed.where("evidence_id % 4 <> 1").withColumns({"id": F.expr("evidence_id div 10"), "at": resolve.seen_at(), "fps": F.array_compact(F.array("title_fingerprint"))})
+    """All evidence as incoming, and candidates that stand for what was observed before a day."""
+    rest = signed.where("observed_at < timestamp_ntz'2024-01-11 00:00:00'").withColumns({"id": F.expr("evidence_id div 10"), "at": resolve.seen_at(), "fps": F.array_compact(F.array("title_fingerprint"))})
     rolled = rollup.accumulated(rest, "id", ["signatures", "fps", "entity_refs"], "at")
-    return signed.where("evidence_id % 4 = 1"), rolled.select("id", F.col("signatures").alias("identity_signatures"), F.col("fps").alias("title_fingerprints"), F.col("entity_refs").alias("entities"), "first_seen_at", "latest_seen_at")
+    return signed, rolled.select("id", F.col("signatures").alias("identity_signatures"), F.col("fps").alias("title_fingerprints"), F.col("entity_refs").alias("entities"), "first_seen_at", "latest_seen_at")
 
 
 @_query(_SIGNED + _CANDIDATES + """, r AS (
@@ -483,16 +503,22 @@ def event_match_ranked(spark, sf_dir):
     return resolve.match(*_candidates(_signed(spark, sf_dir))).select("evidence_id", "matched_candidate_id", "match_rule")
 
 
-@_query(_SIGNED + _CANDIDATES + "SELECT evidence_id, c.id AS candidate_id, 4 AS rank FROM i, c WHERE list_contains(fps, fp) AND list_contains(entities, entity) AND seen >= first_at - INTERVAL 24 HOUR AND seen <= last_at + INTERVAL 24 HOUR")
+@_query(_SIGNED + _CANDIDATES + """, t AS (SELECT evidence_id, min(c.id) AS a, max(c.id) AS b FROM i, c WHERE list_contains(fps, fp) AND list_contains(entities, entity) AND seen >= first_at - INTERVAL 24 HOUR AND seen <= last_at + INTERVAL 24 HOUR GROUP BY 1)
+SELECT evidence_id, unnest(list_distinct([a, b])) AS candidate_id, 4 AS rank FROM t""")
 def event_match_time_window(spark, sf_dir):
     return resolve.time_window_matches(*_candidates(_signed(spark, sf_dir)))
 
 
-@_query(_SIGNED + _CANDIDATES + ", k AS (SELECT seen, split_part(sigs[1], ':', 1) AS anchor_type, sha256(split_part(sigs[1], ':', 1) || ':' || split_part(sigs[1], ':', 2)) AS cluster_key FROM i) SELECT cluster_key, min(anchor_type) AS anchor_type, min(seen) AS first_seen_at FROM k GROUP BY 1")
+@_query(_SIGNED + """, k AS (SELECT *, split_part(sigs[1], ':', 1) AS anchor_type, sha256(split_part(sigs[1], ':', 1) || ':' || split_part(sigs[1], ':', 2)) AS cluster_key FROM s),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_key ORDER BY seen, evidence_id) AS n FROM k) WHERE n = 1)
+SELECT cluster_key, anchor_type, array_to_string(sigs, ',') AS identity_signatures, coalesce(fp, '') AS title_fingerprints, 'information_event' AS event_type, 'candidate' AS status, CAST(NULL AS VARCHAR) AS canonical_title,
+  seen AS first_seen_at, seen AS latest_seen_at, event_time AS occurred_at, entity AS primary_entity, entity AS companies, '' AS assets, 1 AS evidence_count, 1 AS source_count, round(CASE WHEN official_source THEN 0.65 ELSE 0.45 END, 4) AS confidence FROM f""")
 def event_new_candidates(spark, sf_dir):
-    incoming = _candidates(_signed(spark, sf_dir))[0]
-    rows = resolve.with_anchor(incoming).withColumn("matched_candidate_id", F.lit(None).cast("long"))
-    return resolve.new_candidates(rows).select("cluster_key", "anchor_type", "first_seen_at")
+    rows = resolve.with_anchor(_signed(spark, sf_dir)).withColumn("matched_candidate_id", F.lit(None).cast("long"))
+    text_of = lambda c: F.array_join(c, ",").alias(c)
+    return resolve.new_candidates(rows).select(
+        "cluster_key", "anchor_type", text_of("identity_signatures"), text_of("title_fingerprints"), "event_type", "status", "canonical_title", "first_seen_at", "latest_seen_at", "occurred_at", "primary_entity", text_of("companies"),
+        text_of("assets"), "evidence_count", "source_count", F.round("confidence", 4).alias("confidence"))
 
 
 _ROLLED = """SELECT candidate_id, count(DISTINCT CASE WHEN active THEN evidence_id END) AS evidence_count, count(DISTINCT CASE WHEN active THEN source_id END) AS source_count,
@@ -524,16 +550,35 @@ def event_deactivate_recalc(spark, sf_dir):
     return rollup.candidate_status(rollup.active_counts(rollup.deactivate(links, links.where("candidate_id % 3 = 0"))))
 
 
-@_query("""WITH moved AS (SELECT * FROM v_links WHERE active AND candidate_id % 5 = 0), o AS (
-  SELECT candidate_id, evidence_id, source_id, official, entity, active AND candidate_id % 5 <> 0 AND true AS active FROM v_links
-  UNION ALL SELECT candidate_id + 1, evidence_id, source_id, official, entity, true FROM moved), r AS (""" + _ROLLED.format("o") + """)
-SELECT r.*, coalesce(m.n, 0) AS moved_in FROM r LEFT JOIN (SELECT candidate_id + 1 AS candidate_id, count(*) AS n FROM moved GROUP BY 1) m USING (candidate_id)""")
+_MOVES = """
+WITH l AS (SELECT *, CASE WHEN official THEN 'official_identity' ELSE 'canonical_url' END AS match_rule FROM v_links),
+m AS (SELECT evidence_id, max(candidate_id) AS from_id, max(candidate_id) + CASE WHEN evidence_id % 5 = 0 THEN 0 ELSE 1 END AS to_id FROM l GROUP BY 1),
+h AS (SELECT evidence_id, count(*) FILTER (WHERE active) AS n, min(candidate_id) FILTER (WHERE active) AS held FROM l GROUP BY 1),
+e AS (SELECT m.*, CASE WHEN from_id = to_id THEN 'event_candidate_regroup_target_unchanged' WHEN n <> 1 OR held <> from_id THEN 'event_candidate_association_ambiguous'
+  WHEN to_id NOT IN (SELECT candidate_id FROM l) THEN 'event_candidate_not_found' END AS move_error FROM m JOIN h USING (evidence_id)),
+g AS (SELECT * FROM e WHERE move_error IS NULL),
+o AS (SELECT l.* REPLACE (active AND g.evidence_id IS NULL AS active) FROM l LEFT JOIN g ON g.evidence_id = l.evidence_id AND g.from_id = l.candidate_id
+  UNION ALL SELECT l.* REPLACE (g.to_id AS candidate_id, 'reviewed_regroup' AS match_rule) FROM l JOIN g ON g.evidence_id = l.evidence_id AND g.from_id = l.candidate_id WHERE l.active)
+"""
+
+
+def _moves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Links with the rule they were made by, and a move of each evidence from its greatest candidate, with what forbids it."""
+    links = view(spark, sf_dir, "links").withColumn("match_rule", F.when(F.col("official"), "official_identity").otherwise("canonical_url"))
+    moves = links.groupBy("evidence_id").agg(F.max("candidate_id").alias("from_id")).withColumn("to_id", F.col("from_id") + F.when(F.col("evidence_id") % 5 == 0, 0).otherwise(1))
+    return links, rollup.regroup_errors(links, moves, links.select(F.col("candidate_id").alias("id")).distinct())
+
+
+@_query(_MOVES + "SELECT evidence_id, from_id, to_id, move_error FROM e")
+def event_regroup_errors(spark, sf_dir):
+    return _moves(spark, sf_dir)[1]
+
+
+@_query(_MOVES + "SELECT candidate_id, match_rule, count(*) AS links, count(*) FILTER (WHERE active) AS active FROM o GROUP BY ALL")
 def event_regroup(spark, sf_dir):
-    links = view(spark, sf_dir, "links")
-    moves = links.where("candidate_id % 5 = 0").select("evidence_id", F.col("candidate_id").alias("from_id"), (F.col("candidate_id") + 1).alias("to_id")).distinct()
-    after = rollup.regroup(links, moves)
-    moved = after.where("match_rule = 'reviewed_regroup'").groupBy("candidate_id").agg(F.count("*").alias("moved_in"))
-    return rollup.active_counts(after).join(moved, "candidate_id", "left").na.fill(0, ["moved_in"])
+    links, moves = _moves(spark, sf_dir)
+    after = rollup.regroup(links, moves.where("move_error is null").drop("move_error"))
+    return after.groupBy("candidate_id", "match_rule").agg(F.count("*").alias("links"), F.count_if("active").alias("active"))
 
 
 @_query("""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text, timing
-from siltstone.operators import dedup, normalize, resolve, rollup, validate
+from siltstone.operators import dedup, normalize, resolve, rollup, schedule, validate
 from siltstone.plans.views import view, with_views
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,20 +49,20 @@ def cursor_defaults(spark, sf_dir):
 
 
 @_query("""
-WITH p AS (SELECT external_id, content_hash, concat('loc', id % 3) AS loc, id AS seq FROM v_content WHERE id % 2 = 0),
+WITH p AS (SELECT external_id, content_hash, concat('loc', id % 3) AS loc, id AS seq FROM v_content WHERE source_published_at IS NOT NULL),
 l AS (SELECT external_id, content_hash, loc, max(seq) AS meta FROM p GROUP BY ALL)
 SELECT c.id, meta FROM v_content c LEFT JOIN l ON l.external_id IS NOT DISTINCT FROM c.external_id AND l.content_hash = c.content_hash AND l.loc = concat('loc', c.id % 3)""")
 def sidecar_bind(spark, sf_dir):
-    rows = view(spark, sf_dir, "content").select("id", "external_id", F.col("content_hash").alias("payload_hash"), F.concat(F.lit("loc"), (F.col("id") % 3).cast("string")).alias("payload_location"))
-    pending = rows.where("id % 2 = 0").select("external_id", "payload_hash", "payload_location", F.col("id").alias("seq"), F.col("id").alias("meta"))
-    return normalize.bound_sidecar(rows, pending).select("id", "meta")
+    rows = view(spark, sf_dir, "content").select("id", "source_published_at", "external_id", F.col("content_hash").alias("payload_hash"), F.concat(F.lit("loc"), (F.col("id") % 3).cast("string")).alias("payload_location"))
+    pending = rows.where("source_published_at is not null").select("external_id", "payload_hash", "payload_location", F.col("id").alias("seq"), F.col("id").alias("meta"))
+    return normalize.bound_sidecar(rows.drop("source_published_at"), pending).select("id", "meta")
 
 
 @_query("""
 SELECT e.id, concat_ws(',', CASE WHEN r.source_id IS DISTINCT FROM e.source_id THEN 'source' END, CASE WHEN r.source_account_id IS DISTINCT FROM e.source_account_id THEN 'account' END, CASE WHEN r.run_id IS DISTINCT FROM e.id % 20 THEN 'run' END) AS mismatch
-FROM v_evidence e LEFT JOIN v_raw r ON r.id = e.raw_item_id AND r.id % 13 <> 0""")
+FROM v_evidence e LEFT JOIN v_raw r ON r.id = e.raw_item_id AND r.run_id <> 3""")
 def raw_projection_mismatch(spark, sf_dir):
-    raw = view(spark, sf_dir, "raw").where("id % 13 <> 0").select(F.col("id").alias("r"), F.col("source_id").alias("rs"), F.col("source_account_id").alias("ra"), "run_id")
+    raw = view(spark, sf_dir, "raw").where("run_id <> 3").select(F.col("id").alias("r"), F.col("source_id").alias("rs"), F.col("source_account_id").alias("ra"), "run_id")
     e = view(spark, sf_dir, "evidence")
     differs = lambda a, b, name: F.when(~a.eqNullSafe(b), F.lit(name))
     met = e.join(raw, e.raw_item_id == raw.r, "left")
@@ -92,10 +92,10 @@ def link_problems(spark, sf_dir):
     return resolve.link_problems(view(spark, sf_dir, "links"))
 
 
-@_query("SELECT DISTINCT evidence_id FROM v_links WHERE evidence_id NOT IN (SELECT evidence_id FROM v_links WHERE active AND candidate_id % 9 = 0)")
+@_query("SELECT DISTINCT evidence_id FROM v_links WHERE evidence_id NOT IN (SELECT evidence_id FROM v_links WHERE active AND official)")
 def evidence_unprocessed(spark, sf_dir):
     links = view(spark, sf_dir, "links")
-    return resolve.unprocessed(links.select("evidence_id").distinct(), links.where("candidate_id % 9 = 0"))
+    return resolve.unprocessed(links.select("evidence_id").distinct(), links.where("official"))
 
 
 @_query("SELECT id // 3 AS verification, CASE WHEN bool_and(http_status = 200) THEN 'PASS' ELSE 'FAIL' END AS verdict, count(*) AS checks FROM v_runs GROUP BY 1")
@@ -140,3 +140,84 @@ def retry_headers(spark, sf_dir):
 @_query(r"""SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/?#@\s]+([/?#]\S*)?$', 'i') AND NOT regexp_matches(url, '(api_?key|token|secret|password)=', 'i') THEN url END AS safe_url FROM pages""")
 def safe_urls(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.safe_public_url(F.col("url")).alias("safe_url"))
+
+
+# --- mappers: provider payloads made of the tables, as evidence -----------------------------------------------------
+
+def _observed():
+    return F.lit("2024-01-31 12:00:00").cast("timestamp")
+
+
+@_query("""SELECT p_partkey AS part, 'provider-item:' || sha256('["' || p_brand || '",' || CAST(1700000000 + p_partkey AS VARCHAR) || ']') AS provider_item_id, 'asset:' || sha256('"' || p_brand || '"') AS asset,
+  CAST(2 AS INT) AS numbers, 'validated' AS processing_status FROM part""")
+def quote_mapping(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    body = F.to_json(F.struct(F.col("p_retailprice").alias("c"), F.col("p_size").alias("d"), F.lit("1.5").alias("dp"), F.lit(True).alias("h"), (1700000000 + F.col("p_partkey")).alias("t")))
+    rows = normalize.quote_rows(part.select("p_partkey", F.col("p_brand").alias("symbol"), body.alias("body")))
+    out = normalize.quote_evidence(rows.select(F.col("p_partkey").alias("part"), "symbol", "t", "item_id", "numeric_field_count"), _observed())
+    # The envelope has no key of the row it was made from: the raw hash tells them apart, so the part comes from the item.
+    named = rows.select(F.col("p_partkey").alias("part"), text.opaque_json("provider-item", text.json_list(text.json_string(F.col("symbol")), F.col("t").cast("string"))).alias("provider_item_id")).distinct()
+    return out.join(named, "provider_item_id").select("part", "provider_item_id", F.get("asset_refs", F.lit(0)).alias("asset"), F.col("numeric_presence.numeric_field_count").alias("numbers"), "processing_status")
+
+
+@_query("""SELECT n_nationkey AS nation, CASE WHEN n_nationkey % 5 <> 0 THEN 'provider-item:' || sha256('["2024-0' || CAST(1 + n_nationkey % 9 AS VARCHAR) || '","' || n_name || '","RES"]') END AS provider_item_id,
+  CAST(CASE WHEN n_nationkey % 3 = 0 THEN 2 ELSE 1 END AS INT) AS numbers, CASE WHEN n_nationkey % 5 <> 0 THEN 'validated' ELSE 'blocked' END AS processing_status FROM nation""")
+def energy_mapping(spark, sf_dir):
+    k = F.col("n_nationkey")
+    row = F.struct(F.concat(F.lit("2024-0"), (1 + k % 9).cast("string")).alias("period"), F.lit("1.5").alias("price"), F.lit("").alias("stateid"), F.col("n_name").alias("stateDescription"), F.when(k % 5 != 0, "RES").alias("sectorid"))
+    body = F.to_json(F.struct(F.struct(F.array(row).alias("data")).alias("response")))
+    # A number as text does not count, one as number does.
+    body = F.regexp_replace(body, '"price":"1.5"', F.when(k % 3 == 0, '"price":1.5,"value":2').otherwise('"price":"1.5","value":2'))
+    rows = normalize.energy_rows(spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", body.alias("body")))
+    out = normalize.energy_evidence(rows, _observed()).select(F.col("entity_refs"), "provider_item_id", F.col("numeric_presence.numeric_field_count").alias("numbers"), "processing_status")
+    names = rows.select(F.col("n_nationkey").alias("nation"), F.array(text.opaque_ref("entity", F.col("stateDescription"))).alias("entity_refs"))
+    return out.join(names, "entity_refs").select("nation", "provider_item_id", "numbers", "processing_status")
+
+
+@_query("""SELECT 'provider-item:' || sha256('"d' || CAST(doc_id AS VARCHAR) || '"') AS provider_item_id, text IS NOT NULL AND text <> '' AS has_title, doc_id % 3 = 0 AS has_url, 'entity:' || sha256('"' || lang || '"') AS entity FROM documents""")
+def news_mapping(spark, sf_dir):
+    i = F.col("doc_id")
+    url = F.when(i % 3 == 0, F.concat(F.lit("https://news.test/"), i.cast("string")))
+    item = F.struct(F.concat(F.lit("d"), i.cast("string")).alias("uuid"), F.col("text").alias("title"), url.alias("url"), F.lit("2024-01-05T10:00:00Z").alias("published_at"), F.array("lang").alias("entities"))
+    body = F.to_json(F.struct(F.array(item).alias("data")))
+    rows = normalize.news_rows(spark.read.parquet(f"{sf_dir}/documents.parquet").select(body.alias("body"))).drop("body")
+    return normalize.news_evidence(rows, _observed()).select("provider_item_id", "content_presence.has_title", "content_presence.has_url", F.get("entity_refs", F.lit(0)).alias("entity"))
+
+
+@_query("""SELECT s_suppkey AS supplier, CASE WHEN s_nationkey < 20 THEN s_suppkey % 12 BETWEEN 1 AND [3, 1, 5, 10][1 + s_suppkey % 4] AND s_nationkey % 11 <= s_suppkey % 12 ELSE false END AS within FROM supplier""")
+def capture_limits(spark, sf_dir):
+    i = F.col("s_suppkey")
+    provider = F.element_at(F.array(*(F.lit(p) for p in validate.CAPTURE_LIMITS)), (i % 4 + 1).cast("int"))
+    count = F.when(F.col("s_nationkey") < 20, F.col("s_nationkey") % 11)
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(i.alias("supplier"), validate.capture_within_limit(provider, i % 12, count).alias("within"))
+
+
+@_query("""SELECT c_custkey AS customer, CASE WHEN c_custkey % 7 = 0 THEN 'provider_item_id_required' WHEN c_custkey % 11 = 0 THEN 'published_at_required' WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN 'title_unsafe'
+  WHEN c_custkey % 13 = 0 THEN 'url_unsafe' END AS display_error FROM customer""")
+def display_errors(spark, sf_dir):
+    i = F.col("c_custkey")
+    title = F.when(i % 3 == 0, F.repeat(F.lit("x"), F.lit(2001))).when(i % 5 == 0, "my password=abc").when(i % 2 == 0, F.col("c_name"))
+    url = F.when(i % 13 == 0, "https://user@host.test/a").when(i % 2 == 0, "https://host.test/a")
+    error = validate.display_error(F.when(i % 7 != 0, F.col("c_name")), F.when(i % 11 != 0, F.lit("2024-01-01")), title, url)
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(i.alias("customer"), error.alias("display_error"))
+
+
+@_query("""SELECT c_custkey AS customer, CASE WHEN c_custkey % 5 NOT BETWEEN 1 AND 3 THEN 'provider_record_limit_invalid' WHEN c_custkey % 7 = 0 THEN 'provider_deadline_invalid' WHEN c_custkey % 11 = 0 THEN 'provider_config_fields_invalid'
+  WHEN c_custkey % 13 = 0 THEN 'provider_config_unsafe' WHEN c_custkey % 3 = 0 THEN 'provider_timeout_invalid' WHEN c_custkey % 17 = 0 THEN 'provider_language_invalid' WHEN c_custkey % 19 = 0 THEN 'provider_symbols_invalid' END AS request_error FROM customer""")
+def request_errors(spark, sf_dir):
+    i = F.col("c_custkey")
+    now = F.lit("2024-01-31 12:00:00").cast("timestamp")
+    key = F.when(i % 11 == 0, "odd").otherwise("language")
+    config = F.create_map(key, F.when(i % 13 == 0, "token x").otherwise("en"))
+    symbols = F.when(i % 19 == 0, F.array_repeat(F.lit("S"), 11)).when(i % 2 == 0, F.array(F.lit("S")))
+    error = validate.request_error(i % 5, F.when(i % 7 == 0, now).otherwise(now + F.expr("interval 1 minute")), now, config, ("language", "symbols", "timeout_seconds"), F.when(i % 3 == 0, 0.0), F.when(i % 17 == 0, ""), symbols)
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(i.alias("customer"), error.alias("request_error"))
+
+
+@_query("""SELECT id, CASE WHEN status = 'succeeded' AND (fetched_count = 0 OR http_status = 200) THEN 'PASS' ELSE 'FAIL' END AS verdict, status = 'succeeded' AND fetched_count = 0 AS no_new_items FROM v_runs""")
+def provider_outcomes(spark, sf_dir):
+    runs = view(spark, sf_dir, "runs")
+    evidence = F.when(F.col("http_status") == 200, F.col("fetched_count")).otherwise(0)
+    errors = F.when(F.col("status") == "failed", F.array(F.lit("COLLECTION_UPSTREAM_5XX")))
+    out = schedule.provider_outcome(F.col("status").isin("succeeded", "failed"), F.col("fetched_count"), evidence, F.col("status"), errors)
+    return runs.select("id", out.alias("o")).select("id", F.col("o.status").alias("verdict"), "o.no_new_items")

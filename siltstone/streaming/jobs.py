@@ -9,20 +9,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siltstone.operators.delivery import ATTEMPTS, STALE_SECONDS
 from siltstone.operators.tables import fresh_path
 
 
-def source(spark: SparkSession, sf_dir: str, name: str, *, files: int = 1) -> DataFrame:
-    """A table of files as a stream, ``files`` a micro-batch."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files).parquet(sf_dir)
+def source(spark: SparkSession, sf_dir: str, name: str, *, files: int | None = None) -> DataFrame:
+    """A table as a stream, be it one file or a folder of many: ``files`` a micro-batch, or all that are there."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = reader if files is None else reader.option("maxFilesPerTrigger", files)
+    # A stream takes a folder or a pattern, and a table may be one file: as a pattern, its path stands for both.
+    return reader.parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
 
 
-def run_to_end(stream: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
-    """Runs a stream until its source is exhausted and returns what it wrote: exactly once, by checkpoint and file sink."""
+def run_to_end(stream: DataFrame, name: str, *, mode: str = "append", trigger: dict | None = None) -> DataFrame:
+    """Runs a stream until its source is exhausted and returns what it wrote: exactly once, by checkpoint and file sink.
+
+    ``trigger`` is what ``DataStreamWriter.trigger`` takes, for all that is there (``availableNow``) unless given; one that
+    never ends is left to the caller to stop.
+    """
     spark = stream.sparkSession
     out = fresh_path(spark, name)
-    query = stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
+    query = stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").outputMode(mode).trigger(**(trigger or {"availableNow": True})).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
@@ -53,23 +61,28 @@ class WatermarkRegression(ValueError):
 def guarded_append(path: str, by: str, at: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink that fails a batch whose rows are older than what was stored, instead of dropping them.
 
-    Batches are folders named by their id, so a repeated batch replaces itself.
+    Batches are folders named by their id, so a repeated batch replaces itself.  Beside them stands the greatest time of each
+    key after each batch, so a batch reads what the one before it left and no older rows; of these tables the last two stay.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        now = batch.groupBy(by).agg(F.min(at).alias("_least"))
+        now = batch.groupBy(by).agg(F.min(at).alias("_least"), F.max(at).alias("_most"))
+        marks = lambda i: f"{path}/_marks/{i}"
         if batch_id:
-            stored = spark.read.parquet(*(f"{path}/batch={i}" for i in range(batch_id))).groupBy(by).agg(F.max(at).alias("_most"))
-            if now.join(stored, by).where("_least < _most").limit(1).count():
+            stored = spark.read.parquet(marks(batch_id - 1))
+            if now.join(stored.withColumnRenamed("_most", "_stored"), by).where("_least < _stored").limit(1).count():
                 raise WatermarkRegression("COLLECTION_CONTRACT_INVALID")
+            now = now.select(by, "_most").unionByName(stored).groupBy(by).agg(F.max("_most").alias("_most"))
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        now.select(by, "_most").write.mode("overwrite").parquet(marks(batch_id))
+        if batch_id > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(marks(batch_id - 2))
+            old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
 
     return write
 
 
-#: Attempts and seconds after which a notification that is being sent counts as stuck.
-ATTEMPTS, STALE_SECONDS = 3, 300
 
 
 def delivery_states(actions: DataFrame) -> DataFrame:
@@ -133,10 +146,16 @@ def _window_columns(start: Column) -> Column:
 
 
 def _closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events and one row far ahead, whose time closes all windows before it."""
-    end = F.lit("2100-01-01 00:00:00").cast("timestamp")
+    """The events and one row far ahead, from a table of its own, whose time closes all windows before it.
+
+    Files of a table are in no order of time, so they are one micro-batch: the watermark then moves behind all of them, and
+    no row is late.
+    """
     events = _events(spark, sf_dir).select("event_id", "user_id", "event_type", "at")
-    return events.union(events.where("event_id = 0").select(F.lit(-1).cast("long"), F.lit(-1).cast("long"), F.lit("end"), end))
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), F.lit("2100-01-01 00:00:00").cast("timestamp").alias("at"))
+    path = fresh_path(spark, "end")
+    end.write.parquet(path)
+    return events.union(spark.readStream.schema(end.schema).parquet(path))
 
 
 def stream_tumbling_24h(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,9 +60,9 @@ def test_instant(spark, value, want):
     assert got == (want and f"{want:%Y-%m-%d %H:%M:%S}")
 
 
-@pytest.mark.parametrize("value", ["plain", 'with "quotes" and \\', "é", ""])
+@pytest.mark.parametrize("value", ["plain", 'with "quotes" and \\', "é", "", "\U0001f600 \t\n\x01\x1f\x7f ẞ"])
 def test_opaque_ref(spark, value):
-    want = "entity:" + hashlib.sha256(json.dumps(value, ensure_ascii=False).encode()).hexdigest()
+    want = "entity:" + hashlib.sha256(json.dumps(value).encode()).hexdigest()
     assert one(spark, value, lambda c: text.opaque_ref("entity", c)) == want
 
 

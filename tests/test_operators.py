@@ -117,7 +117,7 @@ def test_filings_cut_and_padded(spark):
     cut = normalize.filing_rows(df)
     assert cut.count() == 2 and normalize.filing_rows(df, padded=True).count() == 3
     rows = normalize.filing_evidence(cut, F.lit(T)).orderBy("event_time").collect()
-    assert [(str(r.event_time), r.has_url, r.processing_status) for r in rows] == [("2026-01-01 10:00:00", True, "validated"), ("2026-01-02 00:00:00", False, "validated")]
+    assert [(str(r.event_time), r.content_presence.has_url, r.processing_status) for r in rows] == [("2026-01-01 10:00:00", True, "validated"), ("2026-01-02 00:00:00", False, "validated")]
 
 
 def test_mappers_make_valid_envelopes(spark):
@@ -126,7 +126,7 @@ def test_mappers_make_valid_envelopes(spark):
     assert [(r.processing_status, len(r.entity_refs), len(r.errors)) for r in rows.collect()] == [("validated", 1, 0), ("blocked", 0, 1)]
     quotes = spark.createDataFrame([('{"c":1.5,"d":2,"dp":"x","h":true,"t":1700000000}', "S")], "body string, symbol string")
     quote = normalize.quote_evidence(normalize.quote_rows(quotes), F.lit(T))
-    assert (quote.first().numeric_field_count, str(quote.first().event_time)) == (2, "2023-11-14 22:13:20")
+    assert (quote.first().numeric_presence.numeric_field_count, str(quote.first().event_time)) == (2, "2023-11-14 22:13:20")
     energy = spark.createDataFrame([('{"response":{"data":[{"period":"2026-01","price":"1.5","stateid":"","stateDescription":"Texas","sectorid":"RES"}]}}',)], "body string")
     power = normalize.energy_evidence(normalize.energy_rows(energy), F.lit(T))
     assert normalize.energy_rows(energy).first().item_id == "2026-01:Texas:RES"
@@ -137,8 +137,11 @@ def test_mappers_make_valid_envelopes(spark):
 def test_classify_null_ids_never_match(spark):
     schema = "id long, provider string, provider_item_id string, provider_item_hash string, source_id string, source_account_id string, raw_item_id long, content_item_id long, event_time timestamp, processing_status string, official_source_flag boolean"
     row = lambda i, item, h, raw=1: (i, "p", item, h, "s", None, raw, None, T, "validated", False)
-    stored = spark.createDataFrame([row(1, None, "a"), row(2, "x", "b")], schema)
-    incoming = spark.createDataFrame([row(10, None, "a"), row(11, None, "c"), row(12, "x", "d"), row(13, "x", "b", 5)], schema)
+    rest = {c: F.lit("same") for c in dedup.EQUIVALENCE if f"{c} " not in schema}
+    whole = lambda rows: spark.createDataFrame(rows, schema).withColumns(rest)
+    stored = whole([row(1, None, "a"), row(2, "x", "b")])
+    assert dedup.classify(stored.withColumn("access_level", F.lit("other")), stored).select("decision").distinct().collect() == [("provider_hash_conflict",)]
+    incoming = whole([row(10, None, "a"), row(11, None, "c"), row(12, "x", "d"), row(13, "x", "b", 5)])
     assert {r.id: r.decision for r in dedup.classify(incoming, stored).collect()} == {10: "existing", 11: "inserted", 12: "provider_item_id_conflict", 13: "provider_hash_conflict"}
 
 
@@ -169,3 +172,38 @@ def test_sidecar_binds_nulls_and_last_wins(spark):
     raw = spark.createDataFrame([(1, None, "h", "l"), (2, "x", "h", "l")], "id long, external_id string, payload_hash string, payload_location string")
     pending = spark.createDataFrame([(None, "h", "l", 1, "old"), (None, "h", "l", 2, "new")], "external_id string, payload_hash string, payload_location string, seq int, meta string")
     assert {r.id: r.meta for r in normalize.bound_sidecar(raw, pending).collect()} == {1: "new", 2: None}
+
+
+def test_matches_of_one_title_grow_with_the_rows(spark):
+    """Every row shares title and entity: evidence times candidates would be 4 million rows."""
+    n = 2000
+    at = lambda c: F.expr(f"timestamp_ntz'2026-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast({c} % 50 as int), 0, 0)")
+    e = spark.range(n).select(F.col("id").alias("evidence_id"), F.lit("t").alias("title_fingerprint"), at("id").alias("event_time"), F.lit(None).cast("timestamp_ntz").alias("observed_at"), F.array(F.lit("e")).alias("entity_refs"), F.array(F.lit("url:x")).alias("signatures"))
+    c = spark.range(n).select("id", at("id").alias("first_seen_at"), at("id").alias("latest_seen_at"), F.array(F.lit("e")).alias("entities"), F.array(F.lit("t")).alias("title_fingerprints"), F.array(F.lit("url:x")).alias("identity_signatures"))
+    got = {}
+    for r in resolve.time_window_matches(e, c).collect():
+        got.setdefault(r.evidence_id, set()).add(r.candidate_id)
+    near = lambda i: [k for k in range(n) if abs(i % 50 - k % 50) <= 24]
+    assert all(got[i] == {near(i)[0], near(i)[-1]} for i in range(0, n, 97)) and sum(map(len, got.values())) <= 2 * n
+    assert resolve.signature_matches(e, c).count() == 2 * n
+
+
+def test_whole_envelope_fits_the_declared_table(spark):
+    from siltstone.schemas import TABLES
+
+    df = spark.createDataFrame([("{}", "S")], "body string, symbol string")
+    made = dict(normalize.quote_evidence(normalize.quote_rows(df), F.lit(T)).dtypes)
+    wanted = dict(spark.createDataFrame([], TABLES["evidence_items"]).dtypes)
+    assert {c: made[c] for c in made} == {c: wanted[c] for c in made}
+
+
+def test_provider_outcome_and_news_item(spark):
+    from siltstone.operators import schedule
+
+    rows = [(True, 0, 0, "succeeded", None), (True, 2, 2, "succeeded", []), (True, 0, 0, "failed", None), (True, 2, 0, "succeeded", None), (True, 0, 0, "succeeded", ["x"]), (None, 1, 1, None, None)]
+    df = spark.createDataFrame(rows, "p boolean, raw long, ev long, c string, e array<string>")
+    got = [tuple(r.o) for r in df.select(schedule.provider_outcome(*(F.col(x) for x in ("p", "raw", "ev", "c", "e"))).alias("o")).collect()]
+    assert got == [("PASS", True), ("PASS", False), ("FAIL", False), ("FAIL", False), ("FAIL", False), ("FAIL", False)]
+    news = spark.createDataFrame([("u", "t", "x" * 2001, "https://a.test/"), ("u", "t", " ok  title", "https://u@a.test/"), ("my token", "t", "password=1", None)], "uuid string, published_at string, title string, url string")
+    got = [(r.title, r.has_title, r.has_url, r.is_valid) for r in validate.news_item(news.withColumns({"description": F.lit(""), "snippet": F.lit("s")})).collect()]
+    assert got == [(None, False, True, True), ("ok title", True, False, True), (None, False, False, False)]
