@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and assignment-aware lexing of source and configuration syntax.
 
-Lexing turns a text into (name, expression) pairs: ``name = "literal"``, ``name: literal``, ``"name": "literal"``,
-``export NAME=literal``, ``const name = 'a' + OTHER``.  Constants are propagated through names and joins, and every literal
+Lexing turns a text into (name, expression) pairs.  Targets are names, quoted keys, subscripts (``cfg["name"] =``), annotated
+names (``name: str =``) and elements (``<name>literal</name>``).  An expression is read operand by operand: strings with any
+prefix and quotes, over lines in brackets, joined by signs or side by side; bare words; values of the next line or of a
+block in YAML.  A call or a subscript is no literal.  Constants are propagated through names and joins, and every literal
 that reaches a sensitive name is scored by the name and by its own form.
 """
 
@@ -38,10 +40,15 @@ FORM_CHARS = 10_000
 
 _MAY_HOLD = re.compile("(?i)pass|pwd|secret|token|key|credential|auth|bearer")
 _SCHEME = r"(?:[Bb]earer|[Bb]asic|[Dd]igest|BEARER|BASIC|DIGEST)[ \t]+[A-Za-z0-9+/_.=~-]+"
-_ITEM = rf"""(?:\"\"\"(?:[^"\\]|\\[\s\S]|"(?!""))*+\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|`(?:[^`\\]|\\[\s\S])*+`|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|{_SCHEME}|[A-Za-z0-9_./=-][A-Za-z0-9_./+=-]*)"""
+_STRING = re.compile(r'''(?:[rRbBuUfF]{1,2}(?=["']))?(?:"""((?:[^"\\]|\\[\s\S]|"(?!""))*+)"""|\'\'\'((?:[^'\\]|\\[\s\S]|'(?!\'\'))*+)\'\'\'|`((?:[^`\\]|\\[\s\S])*+)`|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)')''')
+_WORD = re.compile(r"[A-Za-z0-9_./=-][A-Za-z0-9_./+=~-]*")
+_SCHEME_WORD = re.compile(_SCHEME)
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+"
-_PAIR = re.compile(rf"""(?<![\w.])(?<![A-Za-z_]-)["']?({_NAME})["']?[ \t]*(?::=|=>|[:=])(?![=:])[ \t]*({_ITEM}(?:[ \t]*\+[ \t]*{_ITEM})*)""")
-_ITEMS = re.compile(_ITEM)
+_TARGET = re.compile(rf"""(?<![\w.])(?<![A-Za-z_]-)(?:[A-Za-z_][\w.]*+\[[ \t]*["']([^"'\n\[\]]+)["'][ \t]*\]|["']?({_NAME})["']?)[ \t]*(?::[ \t]*[A-Za-z_][\w.]*(?:\[[\w., |\[\]]*\])?(?:[ \t]*\|[ \t]*\w+)*[ \t]*(?==(?![=>])))?(:=|=>|[:=])(?![=:])""")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*)(?:\s[^<>]*)?>\s*([^<>\s](?:[^<>]*[^<>\s])?)\s*</\1\s*>")
+_JOIN = re.compile(r"[ \t]*(?:\+|\.\.?|\|\||~)(?=\s)|[ \t]*\+")
+_GAP, _WIDE_GAP = re.compile(r"(?:[ \t]|\\\r?\n)*"), re.compile(r"(?:\s|\\\r?\n|(?:#|//)[^\n]*\n)*")
+_NEXT_LINE = re.compile(r"[ \t]*(?:#[^\n]*)?\r?\n([ \t]+)(?![ \t#-])([^\n]*?)[ \t\r]*$", re.M)
 _BLOCK = re.compile(rf"""^([ \t]*(?:- +)?)["']?({_NAME})["']?[ \t]*:[ \t]*[|>][0-9+-]*[ \t]*\n""", re.M)
 _LINE_BEFORE = re.compile(r"[ \t]*(?:(?:export|set|const|let|var|final|-)[ \t]+)*[\"']?")
 _LINE_AFTER = re.compile(r"[ \t]*[;,]?[ \t\r]*(?:(?:#|//).*)?$", re.M)
@@ -144,29 +151,70 @@ def _blocks(text: str) -> list[tuple[int, str, list[tuple[str, int, int, bool]]]
     return out
 
 
-def lex(text: str) -> list[tuple[str, list[tuple[str, int, int, bool]]]]:
+Operand = tuple[str, int, int, "bool | None"]
+
+
+def _operand(text: str, at: int) -> tuple[Operand, int] | None:
+    """The literal or word at a place, and where it ends; nothing where a call, a subscript or anything else stands there."""
+    if (m := _STRING.match(text, at)) is not None:
+        k = next(i for i in range(1, 6) if m[i] is not None)
+        return (m[k], m.start(k), m.end(k), True), m.end()
+    if (m := _SCHEME_WORD.match(text, at)) is not None:
+        token = m[0].split()[-1]
+        return (token, m.end() - len(token), m.end(), True), m.end()
+    if (m := _WORD.match(text, at)) is not None:
+        after = _GAP.match(text, m.end()).end()
+        return None if text[after : after + 1] in ("(", "[") else ((m[0], m.start(), m.end(), False), m.end())
+    return None
+
+
+def _expression(text: str, at: int) -> tuple[list[Operand], int]:
+    """The operands from a place on, and where they end.  Inside brackets they go on over lines; strings side by side join."""
+    operands: list[Operand] = []
+    depth, gap = 0, _GAP
+    at = gap.match(text, at).end()
+    while text[at : at + 1] == "(":
+        depth, gap = depth + 1, _WIDE_GAP
+        at = gap.match(text, at + 1).end()
+    while True:
+        got = _operand(text, at)
+        if got is None:
+            return ([], at) if depth or not operands else (operands, at)
+        operands.append(got[0])
+        end = got[1]
+        next_ = gap.match(text, end).end()
+        if (m := _JOIN.match(text, end)) is not None or (m := _JOIN.match(text, next_)) is not None:
+            at = gap.match(text, m.end()).end()
+        elif got[0][3] and next_ > end and _STRING.match(text, next_):
+            at = next_
+        else:
+            # A list of several values in brackets is no one literal.
+            return ([] if depth and text[next_ : next_ + 1] == "," else operands), end
+
+
+def lex(text: str) -> list[tuple[str, list[Operand]]]:
     """(name, operands) of each assignment; an operand is (content, start, end, literal), its span without the quotes.
 
     Bare words are literal where name and word are a whole line, unless the word is itself the name of a secret.
     """
     pairs = []
-    for m in _PAIR.finditer(text):
-        operands = []
-        for x in _ITEMS.finditer(text, m.start(2), m.end(2)):
-            said, a, b = x[0], x.start(), x.end()
-            if said[0] in "\"'`" and len(said) > 1:
-                k = 3 if len(said) >= 6 and said[:3] in ('"""', "'''") else 1
-                operands.append((said[k:-k], a + k, b - k, True))
-            elif re.fullmatch(_SCHEME, said):
-                token = said.split()[-1]
-                operands.append((token, b - len(token), b, True))
-            else:
-                operands.append((said, a, b, False))
-        if len(operands) == 1 and not operands[0][3] and re.fullmatch(r"[A-Za-z_.]+", operands[0][0]) and not _name_weight(operands[0][0]):
+    for m in _TARGET.finditer(text):
+        name = m[1] or m[2]
+        start = m.start(1) if m[1] else m.start(2)
+        operands, end = _expression(text, m.end())
+        if not operands and m[3] == ":" and (n := _NEXT_LINE.match(text, m.end())) is not None:
             line = text.rfind("\n", 0, m.start()) + 1
-            if _LINE_BEFORE.fullmatch(text, line, m.start(1)) and _LINE_AFTER.match(text, m.end()):
+            deeper = len(n[1]) > len(text[line : m.start()]) - len(text[line : m.start()].lstrip(" \t"))
+            got = _operand(text, n.start(2)) if deeper else None
+            if got is not None and got[1] == n.end(2):
+                operands = [(*got[0][:3], got[0][3] or None)]
+        elif len(operands) == 1 and operands[0][3] is False and re.fullmatch(r"[A-Za-z_.]+", operands[0][0]) and not _name_weight(operands[0][0]):
+            line = text.rfind("\n", 0, m.start()) + 1
+            if _LINE_BEFORE.fullmatch(text, line, start) and _LINE_AFTER.match(text, end):
                 operands = [(*operands[0][:3], None)]
-        pairs.append((m.start(1), m[1], operands))
+        if operands:
+            pairs.append((start, name, operands))
+    pairs += [(m.start(1), m[1], [(m[2], m.start(2), m.end(2), True)]) for m in _ELEMENT.finditer(text)]
     return [(name, operands) for _, name, operands in sorted(pairs + _blocks(text), key=lambda p: p[0])]
 
 
@@ -203,7 +251,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, n_literal, base_sha256, spans.
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start and kind, comma-joined; base_sha256 covers the
-    fixed patterns.  Null texts are empty; repeated rows and null doc_ids stay; other columns are dropped.
+    fixed patterns.  Null texts are empty, and an empty table gives an empty result; very long texts, names and literals are
+    read whole; repeated rows and null doc_ids stay; other columns, clashing names too, are dropped.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +271,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret in its text replaced by ``mark``; names before an assigned secret stay."""
+    """``docs`` with every secret in its text replaced by ``mark``; names before an assigned secret stay.  All columns stay as
+    they are, whatever their names; null texts stay null, and an empty table stays empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -120,3 +120,47 @@ def test_whole_wrapped_license_texts(spark):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert [got[i].licenses for i in range(len(cases))] == list(cases.values())
     assert all(got[i].sentence_ids == ids[t] for i, t in enumerate(cases) if t in ids)
+
+
+V = "Zx81kkQpW0a9"
+#: Texts of source and configuration and the literals in them that are secrets.
+LABELLED = [
+    (f'password: str = "{V}"', [V]), (f"token: Optional[str] = '{V}'", [V]), (f'const apiKey: string = "{V}";', [V]), (f'cfg["password"] = "{V}"', [V]), (f"os.environ['API_TOKEN'] = '{V}'", [V]), (f'settings.DB["passwd"] = b"{V}"', [V]),
+    (f'password = (\n    "{V[:6]}"\n    "{V[6:]}"\n)\n', [V[:6], V[6:]]), (f'secret = ("{V[:6]}" +\n  "{V[6:]}")', [V[:6], V[6:]]), (f'token = f"{V}"', [V]), (f'api_key = rb"{V}"', [V]), (f"api_key = u'{V}'", [V]), (f'password:\n  {V}\n', [V]), (f'db:\n  password:\n    "{V}"\n  port: 5\n', [V]),
+    (f"<password>{V}</password>", [V]), (f'<api-key type="x">\n {V}\n</api-key>', [V]), (f'<add name="password" value="x"/><secret>{V}</secret>', [V]), (f'{{"client_secret": "{V}", "id": 5}}', [V]), (f"{{'auth_token': '{V}'}}", [V]), (f"passwd={V}", [V]), (f"export SECRET_KEY={V}", [V]),
+    (f"connect(host='h', password='{V}')", [V]), (f"$password = '{V}';", [V]), (f'secret := "{V}"', [V]), (f'"secret" => "{V}"', [V]), (f"db.password = {V}", [V]), (f"private_key: '{V}' # comment", [V]), (f"// token = '{V}'", [V]), (f'let accessKey = `{V}`;', [V]),
+    (f"A = '{V[:6]}'\nB = A + '{V[6:]}'\nmy_secret = B\n", [V[:6], V[6:]]), (f'base = "{V}"\npassword = base', [V]), (f'String password = "{V}";', [V]), (f'private static final String API_KEY = "{V}";', [V]), (f'password = "{V[:6]}" . "{V[6:]}";', [V[:6], V[6:]]), (f'credentials = "{V[:6]}" \\\n  "{V[6:]}"', [V[:6], V[6:]]),
+    ("passphrase = 'correct horse battery staple'", ["correct horse battery staple"]), (f"Authorization: Bearer {V}", [V]), ("pwd: Hunter2-Hunter2", ["Hunter2-Hunter2"]), (f'auth = """{V}"""', [V]),
+    ("token = get_token9()", []), ("token = tokens[0]", []), ("password = os.environ['PASSWORD9']", []), ("password = input('Password9x: ')", []), ("secret = load(path)", []), ("token = None", []), ("password = ''", []), ("password = 'changeme'", []), ("api_key = '<your api key>'", []), ("api_key = '${API_KEY}'", []),
+    (f"color = '{V}'", []), (f"checksum = '{V}'", []), (f'<title>{V}</title>', []), ("password == 'abc12345x'", []), ("if token != other9x9x9: pass", []), ("the token: people like words", []), ("My secret: never give up, they said.", []), ("password: str", []), ("token: Token9 | None", []), ("def f(password: str) -> Token: ...", []),
+    ("tokens = ['abcdef12', 'ghijkl34']", []), ("secret = (first9x, second9x)", []), ("password_hint: 'your first pet, if you had one.'", []), (f'key = "{V}"', []), ("tokenizer = 'gpt2-large-v9'", []), ("author = 'Jane9 Doe9'", []), ("password = user.password", []), ("secretary = 'Miss Smith-99'", []),
+]
+
+
+def test_labelled_snippets():
+    assert len(LABELLED) >= 60
+    found = [(text, want, _said(text)) for text, want in LABELLED]
+    wrong = [x for x in found if sorted(x[1]) != sorted(x[2])]
+    hit = sum(len(set(want) & set(got)) for _, want, got in found)
+    recall, precision = hit / sum(len(w) for _, w, _ in found), hit / max(1, sum(len(g) for _, _, g in found))
+    assert recall >= 0.97 and precision >= 0.97, (recall, precision, wrong)
+
+
+def test_secrets_of_empty_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, spans string")
+    assert secret_scan.find_secrets(empty).count() == 0 and secret_scan.redact(empty).count() == 0
+
+
+def test_more_operators_on_empty_tables(spark):
+    import public_tokenizers
+
+    from siltstone.llm import bpe
+
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert bpe.tokenize(empty, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+    assert decontaminate.remove(empty, bench).count() == 0 and corpus_pipeline.near_duplicates_stage(spark, empty, "").count() == 0
+    assert corpus_pipeline.secrets_stage(spark, empty, "").count() == 0
+    odd = spark.createDataFrame([(1, None, None, None, None), (None, "", None, None, None), (2, "x " * 100_000, None, None, None), (2, "x " * 100_000, None, None, None)], empty.schema)
+    assert decontaminate.remove(odd, bench).count() == 4 and corpus_pipeline.secrets_stage(spark, odd, "").count() == 4
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates_stage(spark, odd, "").collect()} == {1, 2}
