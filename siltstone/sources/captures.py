@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import SECRET_MARKS, canonical_json, stable_hash
 from siltstone.operators.coverage import capture_state, replay_ready, secret_in
-from siltstone.operators.validate import PROVIDERS, capture_too_large
+from siltstone.operators.validate import PROVIDERS, capture_within_limit
 
 #: Places of the items in each provider's body.
 ITEM_PATHS = {"marketaux": "$.data", "finnhub": None, "eia": "$.response.data", "sec_edgar": "$.filings.recent"}
@@ -21,7 +21,7 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     field = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
     return files.select(
         F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), text.alias("text"), field("capture_version", "int").alias("capture_version"),
-        field("provider", "string").alias("provider"), field("captured_at", "string").alias("captured_at"), field("http_status", "int").alias("http_status"), field("error", "string").alias("error"),
+        field("provider", "string").alias("provider"), field("captured_at", "string").alias("captured_at"), field("http_status", "int").alias("http_status"), field("error", "string").alias("error"), F.try_variant_get(v, "$.request.limit", "int").alias("limit"),
         F.to_json(field("response_body", "variant")).alias("body"))
 
 
@@ -35,10 +35,11 @@ def item_count(provider: Column, body: Column) -> Column:
 
 
 def audit(captures: DataFrame) -> DataFrame:
-    """Per capture: what it is, whether it is too large or holds secrets, and whether it can be replayed."""
+    """Per capture: what it is, whether it keeps to its provider's limit of items or holds secrets, and whether it can be
+    replayed."""
     n = item_count(F.col("provider"), F.col("body"))
     return captures.select(
-        "file", "provider", "size", "sha256", F.array_join(F.array_sort(F.json_object_keys("body")), ",").alias("top_level_keys"), n.alias("items"), F.coalesce(capture_too_large(F.col("provider"), F.col("size")), F.lit(False)).alias("too_large"),
+        "file", "provider", "size", "sha256", F.array_join(F.array_sort(F.json_object_keys("body")), ",").alias("top_level_keys"), n.alias("items"), capture_within_limit(F.col("provider"), F.col("limit"), n).alias("within_limit"),
         secret_in(F.col("text")).alias("secret"), capture_state(F.col("text"), F.coalesce("provider", F.lit("")), n, list(PROVIDERS)).alias("state"), F.coalesce(replay_ready(F.col("http_status"), F.col("error")), F.lit(False)).alias("replay_ready"))
 
 

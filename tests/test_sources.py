@@ -64,3 +64,11 @@ def test_integrity(spark):
     assert schemas.schema_differences(spark.createDataFrame([], schemas.TABLES["notifications"]).drop("reason").withColumn("more", F.lit(1)).withColumn("retry_count", F.lit("x")), "notifications") == ["missing reason", "type of retry_count", "unknown more"]
     for name in schemas.TABLES:
         assert schemas.schema_differences(spark.createDataFrame([], schemas.TABLES[name]), name) == []
+
+
+def test_captures_keep_to_their_limit(spark, tmp_path):
+    said = {"a": ("marketaux", 2, {"data": [{}, {}]}), "b": ("marketaux", 1, {"data": [{}, {}]}), "c": ("marketaux", 4, {"data": []}), "d": ("finnhub", 1, {"c": 1}), "e": ("eia", None, {"response": {"data": []}})}
+    for name, (provider, limit, body) in said.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps({"provider": provider, "request": {"limit": limit}, "response_body": body}))
+    got = {r.file[0]: r.within_limit for r in captures.audit(captures.read_captures(spark, str(tmp_path))).collect()}
+    assert got == {"a": True, "b": False, "c": False, "d": True, "e": False}
