@@ -182,7 +182,10 @@ def report(docs: DataFrame, benchmark: DataFrame, *, width: int = 10) -> DataFra
     ids = _items(benchmark).where("item_id is not null").select("k1", "item_id").distinct()
     sets = rows.where(F.size("hit_items") > 0).select(F.col("hit_items").alias("hit_set")).distinct()
     of = sets.select("hit_set", F.explode("hit_set").alias("k1")).join(ids, "k1").groupBy("hit_set").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    met = rows.join(of, rows.hit_items == of.hit_set, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
+    # Most rows hit nothing: they don't join, or all would meet in the task of the empty set.
+    none = F.array().cast("array<string>")
+    hit = rows.where(F.size("hit_items") > 0).join(of, F.col("hit_items") == F.col("hit_set"), "left").withColumn("ids", F.coalesce("ids", none)).drop("hit_set")
+    met = rows.where(F.size("hit_items") == 0).withColumn("ids", none).unionByName(hit)
     return met.select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("ids"), ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
