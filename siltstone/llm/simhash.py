@@ -7,8 +7,8 @@ bits in all, one of the three segments has none: the keys of a fingerprint are,
 the codeword indices of the next one.  Fingerprints that share a key with another are verified.
 
 Texts of which a fifth of the shingles differ are about ten of 64 bits apart, where no such key is selective.  Where these
-count too (``keep_one(similar=...)``), candidates are texts that share a band of least shingle hashes, and each pair of them
-is verified by the shingles themselves.
+count too (``keep_one(similar=...)``), candidates are texts that share a band of least shingle hashes; each pair of a small
+band, and what is not linked yet in a large one, is verified by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ SMALL = 16
 _NAMELESS = -(1 << 63)
 #: Bands of so many least hashes each: of texts with a Jaccard similarity of 0.8, one pair in 30,000 shares no band.
 BANDS, BAND_ROWS = 20, 4
-#: In a band that more texts share, each is compared with two of them instead of all.
+#: In a band that more texts share, each is compared with two of them at first, and then by its rarest shingles.
 ALL_PAIRS = 8
+#: Texts of one rare shingle that a task compares with all others of it.
+PART = 256
 _CHAIN = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(12).integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -158,15 +160,13 @@ def _shingled(texts: DataFrame, width: int, keys: bool) -> DataFrame:
     return texts.mapInArrow(run, "k1 long, hashes array<long>")
 
 
-def candidates(keys: DataFrame) -> DataFrame:
-    """Pairs (a < b) of texts to compare, from rows (k1, key) that are different.
+def candidates(met: DataFrame) -> DataFrame:
+    """Pairs (a < b) of texts to compare first, from rows (k1, key, n) of bands that n texts share.
 
     Up to ALL_PAIRS texts of a band are compared each with each.  Of more, each text is compared with two: that which meets
     most others over all bands, in the whole band and in a salted part of it of about ALL_PAIRS.  A text that the others were
-    made from meets most, so no hot band turns into pairs and copies still find what they are near to.
+    made from meets most.  What these comparisons leave open is found by ``unsettled_pairs``.
     """
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = written(keys.join(shared, "key"), "bands")
     degree = met.groupBy("k1").agg(F.sum("n").alias("degree"))
     few = met.where(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.array_sort(F.collect_list("k1")).alias("all")).select(F.posexplode("all").alias("i", "a"), "all")
     pairs = few.select("a", F.explode(F.slice("all", F.col("i") + 2, ALL_PAIRS)).alias("b"))
@@ -181,20 +181,72 @@ def candidates(keys: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_links(docs: DataFrame, marks: DataFrame, width: int, similar: int) -> DataFrame:
-    """Edges (a, b) among fingerprints of texts whose ``width``-word shingles have a Jaccard similarity of ``similar``
-    hundredths or more.  ``marks`` has k1 and fingerprint of every row."""
-    texts = bounded(docs).select(F.col("text").cast("string").alias("text")).select(text_key()[0], "text")
-    keys = _shingled(texts, width, True).select("k1", F.explode("hashes").alias("key")).distinct()
-    pairs = written(candidates(keys), "pairs")
+def unsettled_pairs(met: DataFrame, texts: DataFrame, rooted: DataFrame, width: int, similar: int) -> DataFrame:
+    """Pairs (a < b) that may be similar and are not in one component yet, of texts in bands of more than ALL_PAIRS.
+
+    Bands whose texts are all in one component have nothing left to find.  The texts of the others are joined by their rarest
+    shingles: of two texts that share ``similar`` hundredths, the first ``n - ceil(similar * n / 100) + 1`` of n shingles of
+    each, in one order, have one in common, so no link is lost.  The order is by the number of these texts that hold a
+    shingle, which keeps passages that many share out.  ``rooted`` has k1 and root.
+    """
+    hot = met.where(F.col("n") > ALL_PAIRS).join(rooted, "k1")
+    split = hot.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
+    open_ = written(hot.join(split, "key", "left_semi").groupBy("k1").agg(F.first("root").alias("root")), "open")
+    sets = _shingled(texts.join(open_, "k1", "left_semi"), width, False).groupBy("k1").agg(F.first("hashes").alias("hashes"))
+    each = written(sets.select("k1", F.size("hashes").alias("size"), F.explode("hashes").alias("h")), "shingles")
+    held = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    # Shingles of one text alone come first in its order; they are counted, not listed.
+    mine = each.join(held, "h").groupBy("k1", "size").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    left = F.col("size") - F.expr(f"({similar} * size + 99) div 100") + 1 - (F.col("size") - F.size("shared"))
+    first = mine.where(left > 0).select("k1", "size", F.posexplode(F.slice("shared", F.lit(1), left.cast("int"))).alias("i", "x"), F.size("shared").alias("of"))
+    # What follows a shingle in the order bounds what two texts can share if it is their first one in common.
+    first = first.select("k1", "size", "x", (F.col("of") - F.col("i")).alias("after"))
+    rows = written(first.join(open_, "k1"), "prefixes")
+    # Of shingles that the same texts hold, the first one counts.
+    group = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("k1").cast("decimal(38,0)")).alias("of"))
+    groups = rows.groupBy("x").agg(group.alias("g"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
+    groups = groups.groupBy("g").agg(F.min("x").alias("x")).select("x", F.ceil(F.col("g.n") / PART).cast("int").alias("parts"))
+    now = written(rows.join(groups, "x").select("x.h", "k1", "size", "after", "root", "parts"), "groups")
+    salt = F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int")
+    side = lambda c: [F.col(v).alias(f"{c}_{v}") for v in ("root", "size", "after")]
+    one = now.select("h", salt.alias("part"), F.col("k1").alias("a"), *side("a"))
+    two = now.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("k1").alias("b"), *side("b"))
+    enough = (100 + similar) * F.least("a_after", "b_after") >= similar * (F.col("a_size") + F.col("b_size"))
+    return one.join(two, ["h", "part"]).where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & enough).select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similar: int) -> DataFrame:
+    """The pairs (a, b) whose texts share ``similar`` hundredths of their shingles or more (Jaccard similarity)."""
     wanted = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
     # A text that stands in many rows is read once: rows shrink to one for each key in the tasks that read them.
-    sets = _shingled(texts.join(wanted, "k1", "left_semi"), width, False).groupBy("k1").agg(F.first("hashes").alias("hashes"))
-    sets = written(sets.join(marks.groupBy("k1").agg(F.min("fingerprint").alias("fingerprint")), "k1"), "sets")
-    side = lambda c: sets.select(F.col("k1").alias(c), F.col("hashes").alias(f"{c}_hashes"), F.col("fingerprint").alias(f"{c}_print"))
+    sets = written(_shingled(texts.join(wanted, "k1", "left_semi"), width, False).groupBy("k1").agg(F.first("hashes").alias("hashes")), "sets")
+    side = lambda c: sets.select(F.col("k1").alias(c), F.col("hashes").alias(f"{c}_hashes"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("same", F.size(F.array_intersect("a_hashes", "b_hashes")))
     near = 100 * F.col("same") >= similar * (F.size("a_hashes") + F.size("b_hashes") - F.col("same"))
-    return both.where(near).select(F.col("a_print").alias("a"), F.col("b_print").alias("b")).where("a <> b").distinct()
+    return both.where(near).select("a", "b")
+
+
+def similar_roots(docs: DataFrame, marks: DataFrame, near: DataFrame, width: int, similar: int) -> DataFrame:
+    """(node, component) of fingerprints by the edges ``near`` and by links of texts whose ``width``-word shingles have a
+    Jaccard similarity of ``similar`` hundredths or more.  ``marks`` has k1 and fingerprint of every row."""
+    texts = bounded(docs).select(F.col("text").cast("string").alias("text")).select(text_key()[0], "text")
+    prints = written(marks.groupBy("k1").agg(F.min("fingerprint").alias("fingerprint")), "prints")
+    keys = _shingled(texts, width, True).select("k1", F.explode("hashes").alias("key")).distinct()
+    met = written(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "bands")
+
+    def between(pairs: DataFrame, names: DataFrame) -> DataFrame:
+        side = lambda c: names.toDF(c, f"{c}_name")
+        return pairs.join(side("a"), "a").join(side("b"), "b").select(F.col("a_name").alias("a"), F.col("b_name").alias("b")).where("a <> b").distinct()
+
+    found = verified(written(candidates(met), "pairs"), texts, width, similar)
+    roots = written(components(near.union(between(found, prints))), "roots")
+    rooted = prints.join(roots, prints.fingerprint == roots.node, "left").select("k1", F.coalesce("component", "fingerprint").alias("root"))
+    rooted = written(rooted, "rooted")
+    rest = verified(written(unsettled_pairs(met, texts, rooted, width, similar), "unsettled"), texts, width, similar)
+    joined = components(between(rest, rooted))
+    lone = joined.select("node", F.col("component").alias("into"))
+    merged = roots.select(F.col("node").alias("of"), "component").join(lone, F.col("component") == lone.node, "left").select(F.col("of").alias("node"), F.coalesce("into", "component").alias("component"))
+    return merged.union(joined.join(roots.select("node"), "node", "left_anti"))
 
 
 def fingerprints(docs: DataFrame, *, width: int = 3, keyed: bool = False) -> DataFrame:
@@ -276,9 +328,7 @@ def keep_one(docs: DataFrame, *, width: int = 3, similar: int | None = None, shi
     """
     marks = written(fingerprints(docs, width=width, keyed=True), "fingerprints")
     edges = links(marks.select("fingerprint").distinct())
-    if similar is not None:
-        edges = edges.union(similar_links(docs, marks, shingle, similar))
-    roots = components(edges)
+    roots = components(edges) if similar is None else similar_roots(docs, marks, edges, shingle, similar)
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k1", "k2")
     firsts = marks.groupBy("fingerprint").agg(F.min(first).alias("head"))
     firsts = firsts.join(roots, firsts.fingerprint == roots.node, "left").groupBy(F.coalesce("component", "fingerprint")).agg(F.min("head").alias("head"))

@@ -2,6 +2,10 @@
 
 import random
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from siltstone.llm import decontaminate, licenses, secret_scan, simhash
 
@@ -37,6 +41,40 @@ def test_near_duplicates_stage_finds_edited_copies(spark):
     assert simhash.keep_one(docs.limit(0), similar=80).count() == 0
 
 
+def _chains(seed):
+    """Texts that move on by four words each: neighbours are similar, ends are not; the second chain starts too far off."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    return [" ".join(base[4 * i : 4 * i + 120]) for i in [*range(20), *range(26, 46)]]
+
+
+def test_chains_in_bands_of_many_texts(spark):
+    texts = [t for seed in range(3) for t in _chains(seed)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id for r in simhash.keep_one(docs, similar=80).collect()} == {0, 20, 40, 60, 80, 100}
+
+
+@settings(max_examples=5, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(0, 10**6))
+def test_rare_shingles_lose_no_link_of_a_large_band(spark, seed):
+    """All texts in one band, none linked yet: what is verified is every similar pair of different texts, by brute force."""
+    rng = random.Random(seed)
+    common = [f"c{i}" for i in range(40)]
+    own = [[*common[: rng.randrange(41)], *(f"w{rng.randrange(60)}" for _ in range(rng.randrange(30)))] for _ in range(12)]
+    texts = {" ".join(t) for t in own} | set(_chains(seed)[:9]) | set(_copies(seed, 12, 5))
+    texts |= {" ".join([*t[:-1], "end"]) for t in own if t}
+    rows = [(k, t) for k, t in enumerate(sorted(texts))]
+    docs = spark.createDataFrame(rows, "k1 long, text string")
+    met = docs.select("k1", F.lit(1).cast("long").alias("key"), F.lit(len(rows)).alias("n"))
+    pairs = simhash.unsettled_pairs(met, docs, docs.select("k1", F.col("k1").alias("root")), 5, 80)
+    got = {(r.a, r.b) for r in simhash.verified(pairs, docs, 5, 80).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))} for w in (t.split() for _, t in rows)]
+    wanted = {(i, j) for j in range(len(rows)) for i in range(j) if sets[i] and sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert got == wanted and len(wanted) > 20
+    # One component: nothing is left to compare.
+    assert simhash.unsettled_pairs(met, docs, docs.select("k1", F.lit(0).cast("long").alias("root")), 5, 80).count() == 0
+
+
 def _said(text):
     return [text[a:b] for a, b in secret_scan.sensitive_literals(text)]
 
