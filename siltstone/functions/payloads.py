@@ -1,0 +1,114 @@
+"""Secrets in JSON payloads of any depth.
+
+Built-in functions reach a fixed depth only, so texts pass through Python in Arrow batches: one small recursive rewrite a row.
+Null gives null, and so does what is no JSON or is nested deeper than Python reads: what can't be read can't be cleared.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Parts of keys whose values a log hides.
+HIDDEN = ("password", "token", "cookie", "secret", "authorization")
+#: Keys that a stored response may not have, and marks of secrets in its texts.
+FORBIDDEN_KEYS = ("api_key", "api_token", "token", "authorization", "x-finnhub-token")
+SECRET_QUERY = ("api_key=", "api_token=", "token=")
+
+
+def _marked(value: object) -> bool:
+    return isinstance(value, str) and any(mark in value.lower() for mark in SECRET_QUERY)
+
+
+def _hide(value: object) -> object:
+    if isinstance(value, dict):
+        return {k: "[REDACTED]" if any(mark in k.lower() for mark in HIDDEN) else _hide(v) for k, v in value.items()}
+    return [_hide(v) for v in value] if isinstance(value, list) else value
+
+
+def _clean(value: object) -> object:
+    if isinstance(value, dict):
+        return {k: _clean(v) for k, v in value.items() if k.lower() not in FORBIDDEN_KEYS and not _marked(v)}
+    return [_clean(v) for v in value if not _marked(v)] if isinstance(value, list) else value
+
+
+def _risky(value: object) -> bool:
+    if isinstance(value, dict):
+        return any(k.lower() in FORBIDDEN_KEYS or _risky(v) for k, v in value.items())
+    return any(map(_risky, value)) if isinstance(value, list) else _marked(value)
+
+
+def _no_constant(name: str) -> object:
+    raise ValueError(name)
+
+
+def _each(texts: pd.Series, rewrite: Callable[[object], object]) -> pd.Series:
+    def one(text: object) -> object:
+        try:
+            return rewrite(json.loads(text, parse_constant=_no_constant)) if isinstance(text, str) else None
+        except (ValueError, RecursionError):
+            return None
+
+    return texts.map(one).astype(object)
+
+
+def _compact(value: object) -> str:
+    return json.dumps(value, separators=(",", ":"))
+
+
+def redacted(payload: Column) -> Column:
+    """The JSON text with the values of keys that tell of a secret replaced, at any depth; compact and in ASCII."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return _each(texts, lambda v: _compact(_hide(v)))
+
+    return run(payload)
+
+
+def cleaned(payload: Column) -> Column:
+    """The JSON text without forbidden keys, and without entries and elements whose text holds a secret, at any depth."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return _each(texts, lambda v: _compact(_clean(v)))
+
+    return run(payload)
+
+
+def has_secret(payload: Column) -> Column:
+    """Whether a forbidden key or a text with a secret stands anywhere in the JSON text."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return _each(texts, _risky)
+
+    return run(payload)
+
+
+def shortened(provider: Column, payload: Column, limit: int) -> Column:
+    """``cleaned`` with the provider's list of items, or each of its columns of items, cut to the first ``limit``."""
+
+    def cut(name: object, value: object) -> object:
+        path = {"marketaux": ["data"], "eia": ["response", "data"], "sec_edgar": ["filings", "recent"]}.get(name, [])
+        at = value
+        for key in path[:-1]:
+            at = at.get(key) if isinstance(at, dict) else None
+        if path and isinstance(at, dict):
+            last = at.get(path[-1])
+            if name == "sec_edgar" and isinstance(last, dict):
+                at[path[-1]] = {k: v[:limit] if isinstance(v, list) else v for k, v in last.items()}
+            elif name != "sec_edgar" and isinstance(last, list):
+                at[path[-1]] = last[:limit]
+        return value
+
+    @F.pandas_udf("string")
+    def run(names: pd.Series, texts: pd.Series) -> pd.Series:
+        values = _each(texts, lambda v: (_clean(v),))
+        return pd.Series([None if v is None else _compact(cut(n, v[0])) for n, v in zip(names, values)], dtype=object)
+
+    return run(provider, payload)

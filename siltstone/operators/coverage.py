@@ -40,3 +40,12 @@ def capture_state(text: Column, provider: Column, items: Column, providers: list
 
 def replay_ready(status: Column, error: Column) -> Column:
     return status.between(200, 299) & error.isNull()
+
+
+def merged(summaries: DataFrame) -> DataFrame:
+    """Summaries of files as one, in rows (name, key, n): sums by name for ``counts`` (map of numbers), by name and key for
+    ``nested`` (map of maps of numbers), and the number of files as ``captures_seen``.  Missing maps count nothing."""
+    flat = summaries.select(F.explode("counts").alias("name", "n")).select("name", F.lit(None).cast("string").alias("key"), "n")
+    deep = summaries.select(F.explode("nested").alias("name", "inner")).select("name", F.explode("inner").alias("key", "n"))
+    sums = flat.union(deep).groupBy("name", "key").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return sums.union(summaries.agg(F.lit("captures_seen").alias("name"), F.lit(None).cast("string").alias("key"), F.count("*").alias("n")))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions import text, timing
-from siltstone.operators import dedup, normalize, resolve, rollup, schedule, validate
+from siltstone.functions import payloads, text, timing
+from siltstone.operators import coverage, dedup, normalize, projections, resolve, rollup, schedule, validate
 from siltstone.plans.views import view, with_views
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +221,63 @@ def provider_outcomes(spark, sf_dir):
     errors = F.when(F.col("status") == "failed", F.array(F.lit("COLLECTION_UPSTREAM_5XX")))
     out = schedule.provider_outcome(F.col("status").isin("succeeded", "failed"), F.col("fetched_count"), evidence, F.col("status"), errors)
     return runs.select("id", out.alias("o")).select("id", F.col("o.status").alias("verdict"), "o.no_new_items")
+
+
+# --- projections of items, and payloads of any depth ----------------------------------------------------------------
+
+def _projections(spark, sf_dir):
+    """Projections of all four providers made of orders; some break one rule each."""
+    i = F.col("o_orderkey")
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    item = F.when(i % 23 == 0, F.lit("7")).when(i % 29 == 0, F.lit('"a token"')).otherwise(q(F.concat(F.lit("o"), i.cast("string"))))
+    names = F.when(i % 31 == 0, F.lit('["a",null]')).when(i % 37 == 0, F.lit('"a"')).otherwise(F.lit('["a","b"]'))
+    hashed = F.when(i % 41 == 0, F.lit('"ff"')).otherwise(q(F.sha2(i.cast("string"), 256)))
+    place = F.when(i % 43 == 0, F.lit('"https://a.test/"')).otherwise(F.lit('"internal://a"'))
+    flag = F.when(i % 47 == 0, F.lit('"yes"')).when(i % 2 == 0, F.lit("true")).otherwise(F.lit("false"))
+    own = F.element_at(F.array(
+        F.concat(F.lit('"has_title":'), flag, F.lit(',"has_description":false,"has_snippet":true,"has_source_url":false')), F.concat(F.lit('"symbol":"S","numeric_field_count":'), F.when(i % 47 == 0, F.lit("1.5")).otherwise((i % 8).cast("string"))),
+        F.concat(F.lit('"geography":"G","sector":"R","has_numeric_value":'), flag), F.concat(F.lit('"ticker":"T","form":"10-K","has_primary_document":'), flag)), (i % 4 + 1).cast("int"))
+    more = F.when(i % 53 == 0, F.lit(',"more":1')).otherwise(F.lit(""))
+    body = F.concat(F.lit('{"provider_item_id":'), item, F.lit(',"published_at":"2024-01-05T10:00:00Z","field_names":'), names, F.lit(',"payload_hash":'), hashed, F.lit(',"payload_reference":'), place, F.lit(","), own, more, F.lit("}"))
+    provider = F.when(i % 59 == 0, F.lit("odd")).otherwise(F.element_at(F.array(*(F.lit(p) for p in validate.PROVIDERS)), (i % 4 + 1).cast("int")))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(i.alias("id"), provider.alias("provider"), body.alias("projection"), _observed().alias("observed_at"))
+
+
+_PROJECTION_ERROR = """CASE WHEN o_orderkey % 59 = 0 THEN 'unknown_provider' WHEN o_orderkey % 53 = 0 THEN 'projection_keys_mismatch' WHEN o_orderkey % 23 = 0 OR o_orderkey % 29 = 0 THEN 'projection_identity_invalid'
+  WHEN o_orderkey % 31 = 0 OR o_orderkey % 37 = 0 THEN 'field_names_invalid' WHEN o_orderkey % 41 = 0 THEN 'payload_hash_invalid' WHEN o_orderkey % 43 = 0 THEN 'payload_reference_invalid' WHEN o_orderkey % 47 = 0 THEN 'provider_fields_invalid' END"""
+
+
+@_query(f"SELECT o_orderkey AS id, {_PROJECTION_ERROR} AS projection_error FROM orders")
+def projection_errors(spark, sf_dir):
+    rows = _projections(spark, sf_dir)
+    return rows.select("id", projections.content_error(F.col("provider"), F.col("projection")).alias("projection_error"))
+
+
+@_query(f"""
+WITH ok AS (SELECT o_orderkey AS i, 'o' || CAST(o_orderkey AS VARCHAR) AS item, CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'null' END AS said FROM orders WHERE ({_PROJECTION_ERROR}) IS NULL),
+made AS (SELECT CASE i % 4
+    WHEN 0 THEN '{{"description":null,"published_at":"2024-01-05T10:00:00Z","snippet":true,"title":' || said || ',"url":null,"uuid":"' || item || '"}}'
+    WHEN 1 THEN '{{' || array_to_string(list_transform(['c','d','dp','h','l','o','pc'][1:i % 8], lambda f: '"' || f || '":0,'), '') || '"published_at":"2024-01-05T10:00:00Z","t":"2024-01-05T10:00:00Z"}}'
+    WHEN 2 THEN '{{"period":"2024-01-05T10:00:00Z","price":' || replace(said, 'true', '0') || ',"published_at":"2024-01-05T10:00:00Z","sectorid":"R","stateid":"G"}}'
+    ELSE '{{"accessionNumber":"' || item || '","filingDate":"2024-01-05T10:00:00Z","form":"10-K","primaryDocument":' || said || ',"published_at":"2024-01-05T10:00:00Z"}}' END AS body,
+  CASE i % 4 WHEN 1 THEN '["S","2024-01-05T10:00:00Z"]' WHEN 2 THEN '["2024-01-05T10:00:00Z","G","R"]' ELSE '"' || item || '"' END AS ident, CASE i % 4 WHEN 1 THEN i % 8 WHEN 2 THEN CAST(said = 'true' AS INT) ELSE 0 END AS numbers, i % 4 AS p FROM ok)
+SELECT ['marketaux', 'finnhub', 'eia', 'sec_edgar'][1 + p] AS provider, 'provider-item:' || sha256(ident) AS provider_item_id, sha256(body) AS provider_item_hash, CAST(numbers AS INT) AS numbers FROM made""")
+def projection_mapping(spark, sf_dir):
+    out = projections.projection_evidence(_projections(spark, sf_dir))
+    return out.select("provider", "provider_item_id", "provider_item_hash", F.col("numeric_presence.numeric_field_count").alias("numbers"))
+
+
+@_query("""SELECT s_suppkey AS id, '{"a":{"Access_Token":"[REDACTED]","b":[1,{"secret":"[REDACTED]","n":' || CAST(s_suppkey AS VARCHAR) || '}]},"u":"x?token=1"}' AS redacted,
+  '{"a":{"Access_Token":[1],"b":[1,{"secret":{"k":2},"n":' || CAST(s_suppkey AS VARCHAR) || '}]}' || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE ',"u":"x"' END || '}' AS cleaned, s_suppkey % 2 = 0 AS has_secret FROM supplier""")
+def payload_secrets(spark, sf_dir):
+    i = F.col("s_suppkey").cast("string")
+    body = lambda url: F.concat(F.lit('{"a":{"Access_Token":[1],"b":[1,{"secret":{"k":2},"n":'), i, F.lit('}]},"u":"'), url, F.lit('"}'))
+    some = body(F.when(F.col("s_suppkey") % 2 == 0, "x?token=1").otherwise("x"))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"), payloads.redacted(body(F.lit("x?token=1"))).alias("redacted"), payloads.cleaned(some).alias("cleaned"), payloads.has_secret(some).alias("has_secret"))
+
+
+@_query("""SELECT 'items' AS name, CAST(NULL AS VARCHAR) AS key, CAST(sum(l_linenumber) AS BIGINT) AS n FROM lineitem UNION ALL SELECT 'types', l_returnflag, count(*) FROM lineitem GROUP BY l_returnflag UNION ALL SELECT 'captures_seen', NULL, count(*) FROM lineitem""")
+def summaries_merged(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    one = lambda k, v: F.create_map(k, v.cast("long"))
+    return coverage.merged(lines.select(one(F.lit("items"), F.col("l_linenumber")).alias("counts"), F.create_map(F.lit("types"), one(F.col("l_returnflag"), F.lit(1))).alias("nested")))

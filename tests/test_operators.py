@@ -1,3 +1,5 @@
+import hashlib
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -207,3 +209,50 @@ def test_provider_outcome_and_news_item(spark):
     news = spark.createDataFrame([("u", "t", "x" * 2001, "https://a.test/"), ("u", "t", " ok  title", "https://u@a.test/"), ("my token", "t", "password=1", None)], "uuid string, published_at string, title string, url string")
     got = [(r.title, r.has_title, r.has_url, r.is_valid) for r in validate.news_item(news.withColumns({"description": F.lit(""), "snippet": F.lit("s")})).collect()]
     assert got == [(None, False, True, True), ("ok title", True, False, True), (None, False, False, False)]
+
+
+def test_projection_rules_one_by_one(spark):
+    from siltstone.operators import projections
+
+    good = {"provider_item_id": "i", "published_at": "2024-01-05", "field_names": [], "payload_hash": "a" * 64, "payload_reference": "capture://x", "symbol": "S", "numeric_field_count": 7}
+    change = lambda **more: json.dumps(good | more)
+    cases = [
+        (json.dumps(good), None), (change(numeric_field_count=True), None), (change(numeric_field_count=-1), None), (change(numeric_field_count=8), "provider_fields_invalid"), (change(numeric_field_count="1"), "provider_fields_invalid"),
+        (change(symbol=""), "provider_fields_invalid"), (change(provider_item_id=None), "projection_identity_invalid"), (change(published_at="my secret"), "projection_identity_invalid"), (change(field_names=[1]), "field_names_invalid"),
+        (change(field_names=["x", ""]), "field_names_invalid"), (change(field_names=[None]), "field_names_invalid"), (change(field_names=None), "field_names_invalid"), (change(payload_hash="A" * 64), "payload_hash_invalid"), (change(payload_hash="a" * 64 + "\n"), "payload_hash_invalid"),
+        (change(payload_reference="capture://token"), "payload_reference_invalid"), (change(payload_reference=1), "payload_reference_invalid"), (change(more=1), "projection_keys_mismatch"), ("[]", "projection_keys_mismatch"), ("no json", "projection_keys_mismatch"), (None, "projection_keys_mismatch"),
+    ]
+    df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(cases)], "i long, p string").repartition(2)
+    got = {r.i: r.e for r in df.select("i", projections.content_error(F.lit("finnhub"), F.col("p")).alias("e")).collect()}
+    assert got == {i: e for i, (_, e) in enumerate(cases)}
+    rows = df.select(F.lit("finnhub").alias("provider"), F.col("p").alias("projection"), F.lit(T).alias("observed_at"))
+    out = projections.projection_evidence(rows).collect()
+    assert sorted(r.numeric_presence.numeric_field_count for r in out) == [0, 1, 7] and {r.processing_status for r in out} == {"validated"}
+    item = {k: 0 for k in ("c", "d", "dp", "h", "l", "o", "pc")} | {"published_at": "2024-01-05", "t": "2024-01-05"}
+    assert hashlib.sha256(json.dumps(item, sort_keys=True, separators=(",", ":")).encode()).hexdigest() in {r.provider_item_hash for r in out}
+    assert projections.projection_evidence(rows.limit(0)).count() == 0
+
+
+def test_nested_payloads(spark):
+    from siltstone.functions import payloads
+
+    deep = "[" * 100_000 + "]" * 100_000
+    rows = [("marketaux", '{"data":[1,{"TOKEN":"a","b":["api_key=1","ok"]},3],"u":"é TOKEN=x"}'), ("sec_edgar", '{"filings":{"recent":{"form":["a","b","c"],"n":1}}}'), ("eia", '{"response":{"data":[1,2,3]},"data":[1,2,3]}'),
+            ("finnhub", '{"c":NaN}'), (None, "no json"), ("eia", None), ("eia", deep), ("marketaux", '"a token=1"'), ("marketaux", '{"data":{"x":[1,2,3]}}')]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, p string, b string").repartition(3)
+    got = sorted(df.select("i", payloads.redacted(F.col("b")), payloads.shortened(F.col("p"), F.col("b"), 2), payloads.has_secret(F.col("b"))).collect())
+    none = (None, None, None)
+    assert [tuple(r)[1:] for r in got] == [
+        ('{"data":[1,{"TOKEN":"[REDACTED]","b":["api_key=1","ok"]},3],"u":"\\u00e9 TOKEN=x"}', '{"data":[1,{"b":["ok"]}]}', True), (rows[1][1], '{"filings":{"recent":{"form":["a","b"],"n":1}}}', False),
+        (rows[2][1], '{"response":{"data":[1,2]},"data":[1,2,3]}', False), none, none, none, none, ('"a token=1"', '"a token=1"', True), (rows[8][1], rows[8][1], False),
+    ]
+
+
+def test_merged_summaries_without_rows_or_maps(spark):
+    from siltstone.operators import coverage
+
+    schema = "counts map<string,long>, nested map<string,map<string,long>>"
+    assert [tuple(r) for r in coverage.merged(spark.createDataFrame([], schema)).collect()] == [("captures_seen", None, 0)]
+    rows = [({"items": 2, "odd": None}, {"t": {"a": 1}}), (None, None), ({"items": 3}, {"t": {"a": 4, "b": 1}, "u": None})]
+    got = {(r["name"], r["key"]): r["n"] for r in coverage.merged(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {("items", None): 5, ("odd", None): 0, ("t", "a"): 5, ("t", "b"): 1, ("captures_seen", None): 3}
