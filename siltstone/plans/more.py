@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions import payloads, text, timing
-from siltstone.operators import coverage, dedup, normalize, projections, resolve, rollup, schedule, validate
+from siltstone.functions import text, timing
+from siltstone.operators import coverage, dedup, normalize, payloads, projections, resolve, rollup, schedule, validate
 from siltstone.plans.views import view, with_views
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -273,7 +273,8 @@ def payload_secrets(spark, sf_dir):
     i = F.col("s_suppkey").cast("string")
     body = lambda url: F.concat(F.lit('{"a":{"Access_Token":[1],"b":[1,{"secret":{"k":2},"n":'), i, F.lit('}]},"u":"'), url, F.lit('"}'))
     some = body(F.when(F.col("s_suppkey") % 2 == 0, "x?token=1").otherwise("x"))
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"), payloads.redacted(body(F.lit("x?token=1"))).alias("redacted"), payloads.cleaned(some).alias("cleaned"), payloads.has_secret(some).alias("has_secret"))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("id"), body(F.lit("x?token=1")).alias("all"), some.alias("some"))
+    return payloads.with_secret_flag(payloads.cleaned(payloads.redacted(rows, "all", "redacted"), "some", "cleaned"), "some", "has_secret").drop("all", "some")
 
 
 @_query("""SELECT 'items' AS name, CAST(NULL AS VARCHAR) AS key, CAST(sum(l_linenumber) AS BIGINT) AS n FROM lineitem UNION ALL SELECT 'types', l_returnflag, count(*) FROM lineitem GROUP BY l_returnflag UNION ALL SELECT 'captures_seen', NULL, count(*) FROM lineitem""")

@@ -234,13 +234,15 @@ def test_projection_rules_one_by_one(spark):
 
 
 def test_nested_payloads(spark):
-    from siltstone.functions import payloads
+    from siltstone.operators import payloads
 
     deep = "[" * 100_000 + "]" * 100_000
     rows = [("marketaux", '{"data":[1,{"TOKEN":"a","b":["api_key=1","ok"]},3],"u":"é TOKEN=x"}'), ("sec_edgar", '{"filings":{"recent":{"form":["a","b","c"],"n":1}}}'), ("eia", '{"response":{"data":[1,2,3]},"data":[1,2,3]}'),
             ("finnhub", '{"c":NaN}'), (None, "no json"), ("eia", None), ("eia", deep), ("marketaux", '"a token=1"'), ("marketaux", '{"data":{"x":[1,2,3]}}')]
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, p string, b string").repartition(3)
-    got = sorted(df.select("i", payloads.redacted(F.col("b")), payloads.shortened(F.col("p"), F.col("b"), 2), payloads.has_secret(F.col("b"))).collect())
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, p string, b string").withColumn("risk", F.lit("clash")).repartition(3)
+    made = payloads.with_secret_flag(payloads.shortened(payloads.redacted(df, "b", "r"), "b", "s", 2, provider="p"), "b", "risk")
+    assert made.limit(0).count() == 0 and payloads.redacted(df.where("false"), "b", "r").count() == 0
+    got = sorted(made.select("i", "r", "s", "risk").collect())
     none = (None, None, None)
     assert [tuple(r)[1:] for r in got] == [
         ('{"data":[1,{"TOKEN":"[REDACTED]","b":["api_key=1","ok"]},3],"u":"\\u00e9 TOKEN=x"}', '{"data":[1,{"b":["ok"]}]}', True), (rows[1][1], '{"filings":{"recent":{"form":["a","b"],"n":1}}}', False),
