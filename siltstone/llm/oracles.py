@@ -106,4 +106,93 @@ SELECT doc_id, sentence_ids, array_to_string(names, ',') AS licenses, CAST(len(n
 """
 
 
-ORACLES = {"op1_chat_format": CHAT, "op3_decontamination": DECONTAMINATION, "op7_substring_dedup": SUBSTRINGS, "op8_line_rules": LINES, "op10_licenses": _licenses()}
+
+#: CRC-32 of an ASCII text in SQL: the table from the polynomial, then byte by byte.
+CRC_TABLE = "(SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t)"
+
+
+def _crc(text: str) -> str:
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+def _paid(weight: str, cost: int, letters: str) -> str:
+    """A weight as text: six digits of cost, then the letters so far.  Null is no way at all."""
+    return f"(printf('%06d', CAST(left({weight}, 6) AS BIGINT) + {cost}) || substr({weight}, 7) || '{letters}')"
+
+
+def _repaired_sql() -> str:
+    none, after_s, after_u, after_a = (f"w[{k}]" for k in (1, 2, 3, 4))
+    others = f"least({none}, {after_s}, {after_a})"
+    # Before a row stand no, one or two insertions: (nothing, after system, after user, after assistant).
+    user = f"least({after_u}, {_paid(others, 5, 'I')}, {_paid(after_u, 10, 'II')})"
+    assistant = f"least({after_a}, {_paid(after_u, 5, 'I')}, {_paid(others, 10, 'II')})"
+    stays = lambda weight, role: f"CASE WHEN c[2] IN ('n', 't') THEN CASE WHEN c[2] = 't' THEN CASE WHEN c[1] = '{role}' THEN {_paid(weight, 5, 'K')} ELSE {_paid(weight, 6, 'R')} END WHEN c[1] = '{role}' THEN {_paid(weight, 0, 'K')} ELSE {_paid(weight, 1, 'R')} END END"
+    system = f"CASE WHEN c[1] = 's' AND c[2] = 'n' THEN {_paid(none, 0, 'K')} WHEN c[1] = 's' AND c[2] = 't' THEN {_paid(none, 5, 'K')} END"
+    step = f"[{_paid(none, 2, 'D')}, least({_paid(after_s, 2, 'D')}, {system}), least({_paid(user, 2, 'D')}, {stays(f'least({none}, {after_s}, {assistant})', 'u')}), least({_paid(assistant, 2, 'D')}, {stays(user, 'a')})]"
+    return rf"""
+WITH crc AS {CRC_TABLE}, kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k
+  FROM conversations, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) FROM kinds WHERE k <> 0)
+), faults AS (
+  SELECT *, left(role, 1) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM damaged
+), judged AS (
+  SELECT *, CASE
+    WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+    WHEN seen > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE 'n' END AS f
+  FROM faults
+), listed AS (
+  SELECT conv_id, list([i, f] ORDER BY turn NULLS FIRST, role, text, seen) AS codes, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text, seen) AS turns,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(f = 'b') AS blank, count_if(f = 'd') AS duplicate, count_if(f = 't') AS truncated
+  FROM judged GROUP BY conv_id
+), weighed AS (
+  SELECT *, list_reduce(codes, lambda w, c: {step}, ['000000', NULL, NULL, NULL]) AS w FROM listed
+), chosen AS (
+  SELECT *, least(w[1], w[4], {_paid('w[3]', 5, 'I')}, {_paid('w[2]', 10, 'II')}) AS best,
+    len(list_filter(range(1, len(codes)), lambda n: (codes[n][1] || codes[n + 1][1]) NOT IN ('su', 'ua', 'au'))) AS illegal
+  FROM weighed
+), audited AS (
+  SELECT *, CAST(left(best, 6) AS BIGINT) AS cost, substr(best, 7) AS audit FROM chosen
+), steps AS (
+  SELECT conv_id, n, audit[n] AS edit, turns[len(regexp_replace(audit[1:n], 'I', '', 'g'))] AS t, len(regexp_replace(audit[1:n], 'D', '', 'g')) AS place,
+    CASE WHEN left(regexp_replace(audit, 'D', '', 'g'), 1) = 'K' AND left(turns[len(regexp_extract(audit, '^D*')) + 1].role, 1) = 's' THEN 1 ELSE 0 END AS systems
+  FROM audited, generate_series(1, len(audit)) AS s(n)
+), hashed AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN t.role WHEN (place - systems) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE t.text END, chr(10) ORDER BY n)) AS sha
+  FROM steps WHERE edit <> 'D' GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN audited a ON o.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN hashed h ON o.conv_id IS NOT DISTINCT FROM h.conv_id
+"""
+
+
+PERIODIC = rf"""
+WITH crc AS {CRC_TABLE}, hashed AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc("CAST(doc_id AS VARCHAR)")} AS h FROM documents, crc
+), sized AS (
+  SELECT *, h // 10 AS g, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM hashed
+), planted AS (
+  SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM sized
+), numbered AS (
+  SELECT r, doc_id, n, i, CASE WHEN i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS word FROM planted, generate_series(0, n - 1) AS s(i)
+), pairs AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM numbered x JOIN numbered y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 4
+), islands AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs) GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+  SELECT * FROM islands x WHERE NOT EXISTS (SELECT 1 FROM islands y WHERE x.r = y.r AND y.q < x.q AND y.start <= x.start AND y.start + y.length >= x.start + x.length)
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS words FROM numbered m WHERE NOT EXISTS (SELECT 1 FROM runs x WHERE x.r = m.r AND m.i >= x.start + x.q AND m.i < x.start + x.length) GROUP BY r
+), summed AS (
+  SELECT r, count(*) AS n_runs, min({{'l': -length, 's': start, 'q': q}}) AS best, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM runs GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, -best.l AS length, best.q AS period, 1000 * -best.l // best.q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM planted LEFT JOIN summed USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLES = {"op1_chat_format": CHAT, "op3_decontamination": DECONTAMINATION, "op7_substring_dedup": SUBSTRINGS, "op8_line_rules": LINES, "op10_licenses": _licenses(), "op11_repair": _repaired_sql(), "op12_periodic_runs": PERIODIC}

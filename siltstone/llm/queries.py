@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, chat, decontaminate, licenses, line_rules, quality, secret_scan, simhash, substring_dedup, suffix_dedup
+from siltstone.llm import bpe, chat, decontaminate, licenses, line_rules, packing, periodic_runs, quality, repair, secret_scan, simhash, substring_dedup, suffix_dedup
 from siltstone.llm.oracles import ORACLES
 from siltstone.llm.shared import table
 
@@ -56,8 +56,22 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, lost = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.digests(repair.repair(rows, lost))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periodic_runs.digests(periodic_runs.collapse_runs(docs, planted=periodic_runs.planted_period()))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_quality, op3_decontamination, op4_simhash, op5_byte_bpe, op6_secrets, op7_substring_dedup, op8_line_rules, op9_suffix_dedup, op10_licenses)}
+    return {f.__name__: f for f in (op1_chat_format, op2_quality, op3_decontamination, op4_simhash, op5_byte_bpe, op6_secrets, op7_substring_dedup, op8_line_rules, op9_suffix_dedup, op10_licenses, op11_repair, op12_periodic_runs, op13_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
