@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.scoring import confidence, importance, importance_reasons
 from siltstone.functions.text import canonical_url, present, stable_hash, title_fingerprint
-from siltstone.operators.graph import spread_labels
 
 DAY_MICROS = 86_400_000_000
 #: Rules by rank.
@@ -139,56 +137,3 @@ def unprocessed(evidence: DataFrame, links: DataFrame) -> DataFrame:
 def link_problems(links: DataFrame) -> DataFrame:
     """Evidence with more than one active link."""
     return links.where("active").groupBy("evidence_id").agg(F.count_distinct("candidate_id").alias("n")).where("n > 1")
-
-
-def influence_components(evidence: DataFrame) -> DataFrame:
-    """(evidence_id, component): evidence can influence other evidence only through a shared signature or title."""
-    keys = evidence.select("evidence_id", F.explode(F.array_compact(F.concat("signatures", F.array(F.concat(F.lit("title:"), F.col("title_fingerprint")))))).alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("evidence_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    edges = keys.join(hubs, "key").where("evidence_id <> hub").select(F.col("evidence_id").alias("a"), F.col("hub").alias("b"))
-    labels = spread_labels(edges)
-    return evidence.select("evidence_id").join(labels, F.col("evidence_id") == F.col("node"), "left").select("evidence_id", F.coalesce("component", "evidence_id").alias("component"))
-
-
-def fold(evidence: DataFrame) -> DataFrame:
-    """Clusters by the order-dependent process: within each component rows are taken by time and id, each joins the one best
-    candidate so far or opens its own.  Returns evidence_id, cluster_key, match_rule.
-
-    ``evidence`` has signatures and both anchors.  A component is folded in one task, as its rows depend on each other in
-    order; components of copies are small, since identical signatures are reduced to one lookup each.
-    """
-    ready = with_anchor(evidence.drop("anchor_type", "anchor_value_hash", "cluster_key"))
-    lone = with_anchor(evidence.select("evidence_id", "signatures", "entity_refs", "title_fingerprint", "event_time", "observed_at"), F.lit(True)).select("evidence_id", F.col("cluster_key").alias("lone_key"))
-    rows = ready.join(lone, "evidence_id").join(influence_components(evidence), "evidence_id").withColumn("at", F.unix_micros(seen_at().cast("timestamp")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[dict] = []
-        by_key: dict[str, set[int]] = {}
-        out = []
-        for r in pdf.sort_values(["at", "evidence_id"]).itertuples():
-            ranks: dict[int, int] = {}
-            for s in r.signatures:
-                for c in by_key.get(s, ()):
-                    ranks[c] = min(ranks.get(c, 9), {"official": 1, "url": 2, "provider": 3}.get(s.split(":")[0], 5))
-            for c in by_key.get(f"title:{r.title_fingerprint}", ()) if r.title_fingerprint else ():
-                k = clusters[c]
-                if k["entities"] & set(r.entity_refs) and k["first"] - DAY_MICROS <= r.at <= k["last"] + DAY_MICROS:
-                    ranks[c] = min(ranks.get(c, 9), 4)
-            best = min(ranks.values(), default=0)
-            at_best = [c for c, rank in ranks.items() if rank == best]
-            if len(at_best) == 1:
-                c, rule = at_best[0], RULES[best]
-            else:
-                key, rule = (r.lone_key, "ambiguous_new_candidate") if at_best else (r.cluster_key, "new_candidate")
-                c = next((i for i, k in enumerate(clusters) if k["key"] == key), len(clusters))
-                if c == len(clusters):
-                    clusters.append({"key": key, "entities": set(), "first": r.at, "last": r.at})
-            k = clusters[c]
-            k["entities"] |= set(r.entity_refs)
-            k["first"], k["last"] = min(k["first"], r.at), max(k["last"], r.at)
-            for s in [*r.signatures, *([f"title:{r.title_fingerprint}"] if r.title_fingerprint else [])]:
-                by_key.setdefault(s, set()).add(c)
-            out.append((r.evidence_id, k["key"], rule))
-        return pd.DataFrame(out, columns=["evidence_id", "cluster_key", "match_rule"])
-
-    return rows.select("evidence_id", "signatures", "title_fingerprint", "entity_refs", "cluster_key", "lone_key", "at", "component").groupBy("component").applyInPandas(run, "evidence_id long, cluster_key string, match_rule string")

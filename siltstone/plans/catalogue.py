@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import scoring, text, timing
-from siltstone.operators import coverage, dedup, delivery, feed, normalize, resolve, rollup, schedule, validate
+from siltstone.operators import coverage, dedup, delivery, feed, fold, normalize, resolve, rollup, schedule, validate
 from siltstone.plans.views import NOW, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -592,9 +592,27 @@ def event_impact_mock(spark, sf_dir):
     return rows.select("candidate_id", "confidence", F.array_join(scoring.analysis_errors(F.col("confidence"), F.lit(1), F.col("said")), ",").alias("errors"))
 
 
-@_query(None)
+_FOLDED = "WITH RECURSIVE " + _SIGNED.strip()[5:] + """, r AS (
+  SELECT row_number() OVER (ORDER BY seen, evidence_id) AS n, evidence_id, sigs, fp, entity, seen, sha256('ambiguous_evidence:' || sha256(CAST(evidence_id AS VARCHAR))) AS lone,
+    sha256(CASE WHEN split_part(sigs[1], ':', 1) = 'hash' AND fp IS NOT NULL THEN 'entity_title_time:' || sha256('[''' || entity || ''']:' || fp || ':' || CAST(CAST(floor(epoch(seen) / 86400) AS BIGINT) AS VARCHAR)) ELSE sigs[1] END) AS own FROM s),
+f(n, clusters, evidence_id, cluster_key, rank) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(k VARCHAR, sigs VARCHAR[], fps VARCHAR[], entities VARCHAR[], last TIMESTAMP)[]), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER)
+  UNION ALL
+  SELECT n, CASE WHEN list_contains(list_transform(clusters, lambda c: c.k), key)
+      THEN list_transform(clusters, lambda c: CASE WHEN c.k = key THEN {'k': c.k, 'sigs': list_distinct(list_concat(c.sigs, sigs)), 'fps': list_distinct(list_append(c.fps, fp)), 'entities': list_distinct(list_append(c.entities, entity)), 'last': greatest(c.last, seen)} ELSE c END)
+      ELSE list_append(clusters, {'k': key, 'sigs': sigs, 'fps': [fp], 'entities': [entity], 'last': seen}) END, evidence_id, key, CASE WHEN ways > 1 THEN 0 ELSE best END
+  FROM (SELECT *, CASE WHEN best = 9 THEN own WHEN ways > 1 THEN lone ELSE clusters[list_position(ranks, best)].k END AS key
+    FROM (SELECT *, coalesce(list_min(ranks), 9) AS best, CASE WHEN coalesce(list_min(ranks), 9) = 9 THEN 0 ELSE len(list_filter(ranks, lambda x: x = list_min(ranks))) END AS ways
+      FROM (SELECT r.*, clusters, list_transform(clusters, lambda c: CASE WHEN list_has_any(c.sigs, list_filter(r.sigs, lambda x: starts_with(x, 'official:'))) THEN 1 WHEN list_has_any(c.sigs, list_filter(r.sigs, lambda x: starts_with(x, 'url:'))) THEN 2
+          WHEN list_has_any(c.sigs, list_filter(r.sigs, lambda x: starts_with(x, 'provider:'))) THEN 3 WHEN list_contains(c.fps, r.fp) AND list_contains(c.entities, r.entity) AND r.seen <= c.last + INTERVAL 24 HOUR THEN 4
+          WHEN list_has_any(c.sigs, r.sigs) THEN 5 ELSE 9 END) AS ranks FROM f JOIN r ON r.n = f.n + 1))))
+SELECT evidence_id, cluster_key, CASE rank WHEN 0 THEN 'ambiguous_new_candidate' WHEN 9 THEN 'new_candidate' ELSE ['official_identity', 'canonical_url', 'provider_external_id', 'entity_title_time', 'approved_hash'][rank] END AS match_rule FROM f WHERE n > 0"""
+
+
+#: The SQL is the process itself: one row after the other, with all clusters so far in a list.
+@_query(_FOLDED)
 def event_fold_components(spark, sf_dir):
-    return resolve.fold(_signed(spark, sf_dir))
+    return fold.fold(_signed(spark, sf_dir))
 
 
 # --- delivery -------------------------------------------------------------------------------------------------------

@@ -60,7 +60,10 @@ def sql(name: str) -> str:
 def with_views(query: str) -> str:
     """DuckDB SQL with the views it names in front."""
     used = [v for v in _views(DUCK) if f"v_{v}" in query]
-    return "WITH " + ", ".join(f"v_{v} AS ({_views(DUCK)[v]})" for v in used) + (", " + query[5:] if query.startswith("WITH ") else " " + query) if used else query
+    if not used:
+        return query
+    head = "WITH RECURSIVE " if query.startswith("WITH RECURSIVE ") else "WITH "
+    return head + ", ".join(f"v_{v} AS ({_views(DUCK)[v]})" for v in used) + (", " + query[len(head) :] if query.startswith("WITH ") else " " + query)
 
 
 _TABLES = {"sources": ["documents"], "accounts": ["supplier"], "runs": ["events"], "content": ["documents"], "raw": ["documents"], "evidence": ["labels", "documents"], "notifications": ["orders"], "links": ["lineitem", "part"]}

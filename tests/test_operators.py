@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import dedup, delivery, feed, normalize, resolve, validate
+from siltstone.operators import dedup, delivery, feed, fold, normalize, resolve, validate
 
 T = datetime(2026, 1, 10, 12)
 EVIDENCE = "evidence_id long, provider string, provider_item_id string, provider_item_hash string, official_source boolean, canonical_url string, title string, event_time timestamp, observed_at timestamp, entity_refs array<string>"
@@ -101,16 +101,32 @@ def plain_fold(rows):
     return out
 
 
-def test_fold_equals_the_sequential_process(spark):
+def keyed_rows(df):
+    return resolve.with_anchor(df).join(resolve.with_anchor(df, F.lit(True)).select("evidence_id", F.col("cluster_key").alias("lone_key")), "evidence_id").collect()
+
+
+@pytest.mark.parametrize(("seed", "n", "hours"), [(5, 60, 200), (6, 90, 60)])
+def test_fold_equals_the_sequential_process(spark, seed, n, hours, monkeypatch):
     import random
 
-    rng = random.Random(5)
-    rows = [dict(evidence_id=i, provider=rng.choice(["marketaux", "eia"]), provider_item_id=rng.choice([None, "a", "b", "c"]), provider_item_hash=rng.choice("xyzuvw") * 3, official_source=rng.random() < 0.3, canonical_url=rng.choice([None, None, f"https://t.test/{rng.randint(0, 12)}"]), title=rng.choice([None, "One", "Two", "Three"]), event_time=T + timedelta(hours=rng.randint(0, 200)), entity_refs=[rng.choice("pqr")]) for i in range(60)]
+    monkeypatch.setattr(fold, "BUCKET_BITS", 3)  # several buckets a key
+    rng = random.Random(seed)
+    rows = [dict(evidence_id=i, provider=rng.choice(["marketaux", "eia"]), provider_item_id=rng.choice([None, None, *"abcdefgh"]), provider_item_hash=f"h{rng.randint(0, n // 2)}", official_source=rng.random() < 0.3, canonical_url=rng.choice([None, None, None, f"https://t.test/{rng.randint(0, n // 3)}"]), title=rng.choice([None, "One", "Two", "Three", "Four"]), event_time=T + timedelta(hours=rng.randint(0, hours)), entity_refs=rng.sample("pqrst", rng.randint(0, 3))) for i in range(n)]
     df = evidence(spark, *rows)
-    keyed = resolve.with_anchor(df).join(resolve.with_anchor(df, F.lit(True)).select("evidence_id", F.col("cluster_key").alias("lone_key")), "evidence_id").collect()
-    want = plain_fold(keyed)
-    got = {r.evidence_id: r.cluster_key for r in resolve.fold(df).collect()}
-    assert got == want
+    want = plain_fold(keyed_rows(df))
+    got = {r.evidence_id: (r.cluster_key, r.match_rule) for r in fold.fold(df).collect()}
+    assert {k: v for k, (v, _) in got.items()} == want
+    assert len({r for _, r in got.values()}) >= 4
+
+
+def test_fold_of_one_chain_takes_few_rounds(spark, monkeypatch):
+    """Rows that all share one address, and then rows of one title an hour apart: no round for each of them."""
+    rows = [dict(evidence_id=i, provider_item_hash=f"a{i}", provider_item_id=f"x{i}", canonical_url="https://t.test/1") for i in range(40)] + [dict(evidence_id=100 + i, provider_item_hash=f"b{i}", provider_item_id=f"y{i}", title="Long story", entity_refs=["p"], event_time=T + timedelta(hours=i)) for i in range(120)]
+    rounds, decided = [], fold._decided
+    monkeypatch.setattr(fold, "_decided", lambda *a: rounds.append(1) or decided(*a))
+    got = {r.evidence_id: r.cluster_key for r in fold.fold(evidence(spark, *rows)).collect()}
+    assert len({v for k, v in got.items() if k < 100}) == 1 and len({v for k, v in got.items() if k >= 100}) == 1 and len(rounds) == 1
+    assert fold.fold(evidence(spark).limit(0)).collect() == []
 
 
 def test_filings_cut_and_padded(spark):
