@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.scoring import confidence, importance, importance_reasons
 from siltstone.functions.text import canonical_url, present, stable_hash, title_fingerprint
+from siltstone.operators.running import running
 
 DAY_MICROS = 86_400_000_000
 #: Rules by rank.
@@ -63,32 +64,73 @@ def signature_matches(evidence: DataFrame, candidates: DataFrame) -> DataFrame:
     return e.join(c, "signature").select("evidence_id", "candidate_id", rank_of(F.col("signature")).alias("rank"))
 
 
-def time_window_matches(evidence: DataFrame, candidates: DataFrame, *, hours: int = 24) -> DataFrame:
-    """Same title, a shared entity, and a time within ``hours`` of the candidate's span, both ends included.
+def _windowed(evidence: DataFrame, candidates: DataFrame, hours: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Looks (evidence_id, at, class), spans (candidate_id, class, begin, end) and classes (class, fingerprint, entities).
 
-    The least and the greatest candidate stand for all, as for signatures.  Evidence and spans meet by title, entity and day.
-    The candidates that cover a whole day are two ids; those whose span begins in a day are running ids up to the time of the
-    evidence, and those whose span ends there the same from the other side.  So rows grow with evidence and days of spans,
-    not with their product.
+    A class is a title with a set of entities.  Each candidate is in one class of each of its titles, and an evidence looks
+    into every class of its title that shares an entity with it, once.  So classes never count a candidate twice, however many
+    entities it shares, and candidates of equal entities are one class.
     """
-    gap, day = F.expr(f"interval {hours} hours"), F.expr("interval 1 day")
+    gap = F.expr(f"interval {hours} hours")
+    spans = candidates.select(F.col("id").alias("candidate_id"), (F.col("first_seen_at") - gap).alias("begin"), (F.col("latest_seen_at") + gap).alias("end"), F.array_sort(F.array_distinct("entities")).alias("entities"), F.explode(F.array_distinct("title_fingerprints")).alias("fingerprint"))
+    spans = spans.where("begin <= end and fingerprint is not null").withColumn("class", F.sha2(F.to_json(F.struct("fingerprint", "entities")), 256))
+    classes = spans.groupBy("class").agg(F.first("fingerprint").alias("fingerprint"), F.first("entities").alias("entities"))
     e = evidence.where("title_fingerprint is not null").select("evidence_id", F.col("title_fingerprint").alias("fingerprint"), seen_at().alias("at"), F.explode(F.array_distinct("entity_refs")).alias("entity"))
-    e = e.withColumn("day", F.date_trunc("day", "at"))
-    c = candidates.select(F.col("id").alias("candidate_id"), (F.col("first_seen_at") - gap).alias("begin"), (F.col("latest_seen_at") + gap).alias("end"), "entities", F.explode(F.array_distinct("title_fingerprints")).alias("fingerprint"))
-    c = c.where("begin <= end").select("*", F.explode(F.array_distinct("entities")).alias("entity")).drop("entities")
-    days = c.select("*", F.explode(F.sequence(F.date_trunc("day", "begin"), F.date_trunc("day", "end"), day)).alias("day"))
+    looks = e.join(classes.select("class", "fingerprint", F.explode("entities").alias("entity")), ["fingerprint", "entity"]).select("evidence_id", "at", "class").distinct()
+    return looks, spans.select("candidate_id", "class", F.col("begin").cast(looks.schema["at"].dataType).alias("begin"), F.col("end").cast(looks.schema["at"].dataType).alias("end")), classes
+
+
+def time_window_counts(evidence: DataFrame, candidates: DataFrame, *, hours: int = 24) -> DataFrame:
+    """(evidence_id, matches): of how many candidates the title is the same, an entity is shared, and the time is within
+    ``hours`` of the span, both ends included.  Evidence without any is left out.
+
+    Spans open and close along the time of their class: how many are open at a time is a running sum of +1 and -1, summed per
+    moment first.  Days are buckets, so a class is dealt out by days; rows grow with evidence and spans, not with matches.
+    Nulls match nothing; rows of equal evidence_id count as one.
+    """
+    looks, spans, _ = _windowed(evidence, candidates, hours)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    turns = spans.select("class", micros("begin").alias("ord"), F.lit(1).alias("step")).union(spans.select("class", micros("end") + 1, F.lit(-1)))
+    turns = turns.groupBy("class", "ord").agg(F.sum("step").alias("step"))
+    none = F.lit(None).cast(looks.schema["evidence_id"].dataType)
+    lines = turns.select("class", "ord", "step", F.lit(0).alias("kind"), none.alias("evidence_id")).union(looks.select("class", micros("at").alias("ord"), F.lit(None).cast("long"), F.lit(1), "evidence_id"))
+    open_now = running(lines.where("ord is not null").withColumn("bucket", F.floor(F.col("ord") / DAY_MICROS)), ["class"], "bucket", ["ord", "kind"], {"open": ("sum", "step")})
+    return open_now.where("kind = 1").groupBy("evidence_id").agg(F.sum("open").alias("matches")).where("matches > 0")
+
+
+def time_window_pairs(evidence: DataFrame, candidates: DataFrame, *, hours: int = 24) -> DataFrame:
+    """(evidence_id, candidate_id, rank) of all matches by title, entity and time: as many rows as there are matches, so ask
+    ``time_window_counts`` first.  Evidence and spans meet by class and day, so a large class is dealt out by days."""
+    looks, spans, _ = _windowed(evidence, candidates, hours)
+    day = F.expr("interval 1 day")
+    days = spans.withColumn("day", F.explode(F.sequence(F.date_trunc("day", "begin"), F.date_trunc("day", "end"), day)))
+    met = looks.withColumn("day", F.date_trunc("day", "at")).join(days, ["class", "day"]).where(F.col("at").between(F.col("begin"), F.col("end")))
+    return met.select("evidence_id", "candidate_id", F.lit(4).alias("rank")).distinct()
+
+
+def time_window_matches(evidence: DataFrame, candidates: DataFrame, *, hours: int = 24) -> DataFrame:
+    """(evidence_id, candidate_id, rank): of the matches of ``time_window_pairs`` the least and the greatest candidate.
+
+    Two are enough to tell a unique match from several, and they grow with evidence and spans, not with their product.  The
+    candidates that cover a whole day are two ids; those whose span begins in a day are running ids up to the time of the
+    evidence, and those whose span ends there the same from the other side; hours are buckets.
+    """
+    looks, spans, _ = _windowed(evidence, candidates, hours)
+    day = F.expr("interval 1 day")
+    days = spans.withColumn("day", F.explode(F.sequence(F.date_trunc("day", "begin"), F.date_trunc("day", "end"), day)))
     begins, stops = F.col("begin") > F.col("day"), F.col("end") < F.col("day") + day
-    on = ["fingerprint", "entity", "day"]
+    on = ["class", "day"]
+    e = looks.withColumn("day", F.date_trunc("day", "at"))
     ends = lambda df, *by: df.groupBy(*by).agg(F.min("candidate_id").alias("a"), F.max("candidate_id").alias("b"))
     found = e.join(ends(days.where(~begins & ~stops), *on), on).select("evidence_id", "a", "b")
     inner = e.join(ends(days.where(begins & stops), *on, "begin", "end"), on).where(F.col("at").between(F.col("begin"), F.col("end")))
     found = found.union(inner.select("evidence_id", "a", "b"))
-    for edge, which in (("begin", begins & ~stops), ("end", ~begins & stops)):
-        spans = ends(days.where(which), *on, edge).select(*on, F.col(edge).alias("at"), F.lit(None).cast("long").alias("evidence_id"), "a", "b")
-        line = e.select(*on, F.col("at").cast(spans.schema["at"].dataType), F.col("evidence_id").cast("long"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b")).union(spans)
-        order = F.col("at").asc() if edge == "begin" else F.col("at").desc()
-        seen = Window.partitionBy(*on).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        found = found.union(line.select("evidence_id", F.min("a").over(seen).alias("a"), F.max("b").over(seen).alias("b")).where("evidence_id is not null and a is not null"))
+    for edge, which, sign in (("begin", begins & ~stops, 1), ("end", ~begins & stops, -1)):
+        at = lambda c: (sign * F.unix_micros(F.col(c).cast("timestamp"))).alias("ord")  # noqa: B023, E731
+        lines = ends(days.where(which), *on, edge).select(*on, at(edge), F.lit(0).alias("kind"), F.lit(None).cast(e.schema["evidence_id"].dataType).alias("evidence_id"), "a", "b")
+        lines = lines.union(e.select(*on, at("at"), F.lit(1), "evidence_id", F.lit(None).cast(lines.schema["a"].dataType), F.lit(None).cast(lines.schema["b"].dataType)))
+        seen = running(lines.withColumn("bucket", F.floor(F.col("ord") / (DAY_MICROS // 24))), on, "bucket", ["ord", "kind"], {"lo": ("min", "a"), "hi": ("max", "b")})
+        found = found.union(seen.where("kind = 1 and lo is not null").select("evidence_id", "lo", "hi"))
     met = found.groupBy("evidence_id").agg(F.min("a").alias("a"), F.max("b").alias("b"))
     return met.select("evidence_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("candidate_id"), F.lit(4).alias("rank"))
 

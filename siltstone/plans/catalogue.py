@@ -503,10 +503,18 @@ def event_match_ranked(spark, sf_dir):
     return resolve.match(*_candidates(_signed(spark, sf_dir))).select("evidence_id", "matched_candidate_id", "match_rule")
 
 
-@_query(_SIGNED + _CANDIDATES + """, t AS (SELECT evidence_id, min(c.id) AS a, max(c.id) AS b FROM i, c WHERE list_contains(fps, fp) AND list_contains(entities, entity) AND seen >= first_at - INTERVAL 24 HOUR AND seen <= last_at + INTERVAL 24 HOUR GROUP BY 1)
-SELECT evidence_id, unnest(list_distinct([a, b])) AS candidate_id, 4 AS rank FROM t""")
+_WINDOWED = """, t AS (SELECT evidence_id, c.id AS candidate_id FROM i, c WHERE list_contains(fps, fp) AND list_contains(entities, entity) AND seen >= first_at - INTERVAL 24 HOUR AND seen <= last_at + INTERVAL 24 HOUR)
+"""
+
+
+@_query(_SIGNED + _CANDIDATES + _WINDOWED + "SELECT evidence_id, candidate_id, 4 AS rank FROM t")
 def event_match_time_window(spark, sf_dir):
-    return resolve.time_window_matches(*_candidates(_signed(spark, sf_dir)))
+    return resolve.time_window_pairs(*_candidates(_signed(spark, sf_dir)))
+
+
+@_query(_SIGNED + _CANDIDATES + _WINDOWED + "SELECT evidence_id, count(*) AS matches FROM t GROUP BY evidence_id")
+def event_match_time_window_counts(spark, sf_dir):
+    return resolve.time_window_counts(*_candidates(_signed(spark, sf_dir)))
 
 
 @_query(_SIGNED + """, k AS (SELECT *, split_part(sigs[1], ':', 1) AS anchor_type, sha256(split_part(sigs[1], ':', 1) || ':' || split_part(sigs[1], ':', 2)) AS cluster_key FROM s),

@@ -203,6 +203,8 @@ def test_matches_of_one_title_grow_with_the_rows(spark):
         got.setdefault(r.evidence_id, set()).add(r.candidate_id)
     near = lambda i: [k for k in range(n) if abs(i % 50 - k % 50) <= 24]
     assert all(got[i] == {near(i)[0], near(i)[-1]} for i in range(0, n, 97)) and sum(map(len, got.values())) <= 2 * n
+    counts = {r.evidence_id: r.matches for r in resolve.time_window_counts(e, c).collect()}
+    assert all(counts[i] == len(near(i)) for i in range(n))
     assert resolve.signature_matches(e, c).count() == 2 * n
 
 
@@ -274,3 +276,26 @@ def test_merged_summaries_without_rows_or_maps(spark):
     rows = [({"items": 2, "odd": None}, {"t": {"a": 1}}), (None, None), ({"items": 3}, {"t": {"a": 4, "b": 1}, "u": None})]
     got = {(r["name"], r["key"]): r["n"] for r in coverage.merged(spark.createDataFrame(rows, schema)).collect()}
     assert got == {("items", None): 5, ("odd", None): 0, ("t", "a"): 5, ("t", "b"): 1, ("captures_seen", None): 3}
+
+
+def test_time_windows_equal_brute_force(spark):
+    """Several entities shared by one candidate count once; nulls match nothing; ends are included."""
+    import random
+
+    rng = random.Random(9)
+    rows = [dict(evidence_id=i, title=rng.choice([None, "One", "Two"]), entity_refs=rng.sample("pqrs", rng.randint(0, 3)), event_time=T + timedelta(hours=rng.randint(0, 150))) for i in range(80)]
+    e = evidence(spark, *rows)
+    fps = sorted({r.title_fingerprint for r in e.collect() if r.title_fingerprint})
+    cands = [dict(id=k, title_fingerprints=rng.sample(fps, rng.randint(0, 2)), entities=rng.sample("pqrs", rng.randint(0, 4)), first_seen_at=T + timedelta(hours=(h := rng.randint(0, 150))), latest_seen_at=T + timedelta(hours=h + rng.choice([0, 1, 30, 90]))) for k in range(60)]
+    c = candidate(spark, *cands)
+    day = timedelta(days=1)
+    want = {(r.evidence_id, k["id"]) for r in e.collect() for k in cands if r.title_fingerprint in k["title_fingerprints"] and set(r.entity_refs) & set(k["entities"]) and k["first_seen_at"] - day <= r.event_time <= k["latest_seen_at"] + day}
+    assert {(r.evidence_id, r.candidate_id) for r in resolve.time_window_pairs(e, c).collect()} == want
+    counts = {}
+    for i, _ in want:
+        counts[i] = counts.get(i, 0) + 1
+    assert {r.evidence_id: r.matches for r in resolve.time_window_counts(e, c).collect()} == counts
+    two = {}
+    for r in resolve.time_window_matches(e, c).collect():
+        two.setdefault(r.evidence_id, set()).add(r.candidate_id)
+    assert two == {i: {min(k for j, k in want if j == i), max(k for j, k in want if j == i)} for i in counts}
