@@ -8,8 +8,11 @@ some hundred sequences: nothing is shuffled, no key groups rows, and a lost task
 
 from __future__ import annotations
 
+import functools
 import heapq
 import os
+import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,8 +26,8 @@ from siltstone.llm.shared import bounded
 CAPACITY, END_ID = 4096, 2
 #: Sequences that are filled together, and so hold this many times the tokens in memory, besides the longest text.
 GROUP = 256
-#: Words whose ids a worker keeps: words between white space are encoded once, as no token spans white space.
-KEPT_WORDS = 300_000
+#: Words whose ids a worker keeps, twice: those met last, and those met before.
+KEPT_WORDS = 500_000
 #: The cost of n tokens is n + n * n / QUADRATIC: at that length attention costs as much as everything else.
 QUADRATIC = 8192
 
@@ -36,29 +39,78 @@ def cost_of(n: int) -> float:
     return n + n * n / QUADRATIC
 
 
+#: The tokenizer's own split of lower-cased ASCII words.
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: A word of Latin letters with ASCII signs around it; an apostrophe before letters may belong to them.
+_SIGNED_WORD = re.compile("([!-&(-@[-`{-~]*)([^\x00-@[-`{-\x7f\u0250-\U0010ffff]+)([!-@[-`{-~]*)")
+
+
+class _Words(dict):
+    """The ids of words, made when first asked for.
+
+    No token spans the parts that the tokenizer splits words into, so words of printable ASCII, and Latin words with signs
+    around them, are put together from parts; all other words are encoded whole.
+    """
+
+    def __init__(self, tokenizer) -> None:  # noqa: ANN001
+        super().__init__()
+        self.tokenizer, self.older, self.parts = tokenizer, {}, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = b"".join([self.parts.get(p) or self._part(p) for p in self._split(word.decode())])
+        self[word] = ids
+        return ids
+
+    def _split(self, text: str) -> list[str]:
+        if text.isascii():
+            return _ASCII_PIECES.findall(text.lower()) if text.isprintable() else [text]
+        m = _SIGNED_WORD.fullmatch(text)
+        return [x for x in (*_ASCII_PIECES.findall(m[1]), m[2], *_ASCII_PIECES.findall(m[3])) if x] if m and m[2].lower().isalpha() else [text]
+
+    def _part(self, part: str) -> bytes:
+        if part.isascii() and part.isprintable():  # its bytes stand for themselves, and it is one part
+            ids = [t.id for t in self.tokenizer.model.tokenize(part)]
+        else:
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        made = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return made
+
+    def make_room(self) -> None:
+        """Forgets what was not asked for lately; common words come back from the older ones."""
+        if len(self) > KEPT_WORDS:
+            self.older = dict(self)
+            self.clear()
+        if len(self.parts) > KEPT_WORDS:
+            self.parts = {}
+
+
 def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Texts to their ids as little-endian unsigned 32-bit integers.  Strings of special tokens in a text are text."""
+    """Texts to their ids as little-endian unsigned 32-bit integers.  Strings of special tokens in a text are text.
+
+    No token spans white space, so each word between ASCII white space, all of which the tokenizer drops, is encoded once.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    known: dict[bytes, bytes] = {}
+    words = _Words(tokenizer)
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]  # ASCII white space only, all of which the tokenizer drops
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for word, found in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        words.make_room()
+        return [b"".join(map(words.__getitem__, t.encode().split())) for t in texts]
 
     return encode
 
 
+@functools.cache
+def _encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """One for all tasks of a worker, which so share the words they have met."""
+    return word_encoder(path)
+
+
 def fill(lengths: list[int], room: list[int]) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
     """Pieces (sequence, offset, document, start, length) that fill ``room``, and what is left (document, start, length).
 
@@ -95,7 +147,7 @@ def pack(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end_id: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = _encoder(path), np.array([end_id], "<u4").tobytes()
         base, sequence = TaskContext.get().partitionId() << 33, 0
         waiting: list[tuple[int | None, int, bytes, int]] = []  # doc_id, start, ids, tokens of the document
         tokens = 0
