@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.scoring import confidence, importance, importance_reasons
@@ -32,9 +32,15 @@ def scored(rolled: DataFrame) -> DataFrame:
 
 
 def accumulated(rows: DataFrame, by: str, sets: list[str], at: str) -> DataFrame:
-    """Sorted unions of array columns, and the first and latest time; these never shrink."""
-    unions = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in sets]
-    return rows.groupBy(by).agg(*unions, F.min(at).alias("first_seen_at"), F.max(at).alias("latest_seen_at"))
+    """Sorted unions of array columns, and the first and latest time; these never shrink.
+
+    Values are made distinct as rows, so of a hot key only its different values come together, never its rows.
+    """
+    times = rows.groupBy(by).agg(F.min(at).alias("first_seen_at"), F.max(at).alias("latest_seen_at"))
+    values = rows.select(by, F.explode(F.map_from_arrays(F.array(*(F.lit(c) for c in sets)), F.array(*sets))).alias("_set", "_values")).select(by, "_set", F.explode("_values").alias("_value")).distinct()
+    unions = values.groupBy(by).agg(*(F.array_sort(F.collect_list(F.when(F.col("_set") == c, F.col("_value")))).alias(c) for c in sets))
+    empty = F.array().cast("array<string>")
+    return times.join(unions, by, "left").select(by, *(F.coalesce(c, empty).alias(c) for c in sets), "first_seen_at", "latest_seen_at")
 
 
 def sticky_first(rows: DataFrame, by: str, value: str, order: str) -> DataFrame:
@@ -42,11 +48,67 @@ def sticky_first(rows: DataFrame, by: str, value: str, order: str) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).groupBy(by).agg(F.min_by(value, order).alias(value))
 
 
-def deactivate(links: DataFrame, which: DataFrame) -> DataFrame:
-    """Links with those in ``which`` (candidate_id, evidence_id) closed; evidence itself stays."""
+def deactivate_errors(links: DataFrame, which: DataFrame) -> DataFrame:
+    """``which`` (candidate_id, evidence_id) with ``close_error``: there is no active link to close, or more than one."""
+    held = links.where("active").groupBy("candidate_id", "evidence_id").agg(F.count("*").alias("_n"))
+    met = which.join(held, ["candidate_id", "evidence_id"], "left")
+    error = F.when(F.col("_n").isNull(), "event_candidate_evidence_not_found").when(F.col("_n") > 1, "event_candidate_association_ambiguous")
+    return met.select(*which.columns, error.alias("close_error"))
+
+
+def deactivate(links: DataFrame, which: DataFrame, at: Column | None = None) -> DataFrame:
+    """Links with those in ``which`` (candidate_id, evidence_id) closed; evidence itself stays.  With ``at``, links that are
+    closed now get it as ``removed_at``; those closed before keep theirs."""
     marks = which.select("candidate_id", "evidence_id", F.lit(True).alias("_off")).distinct()
     met = links.join(marks, ["candidate_id", "evidence_id"], "left")
-    return met.withColumn("active", F.col("active") & F.col("_off").isNull()).drop("_off").select(links.columns)
+    closing = F.col("active") & F.col("_off").isNotNull()
+    columns = links.columns if at is None or "removed_at" in links.columns else [*links.columns, "removed_at"]
+    if at is not None:
+        met = met.withColumn("removed_at", F.when(closing, at).otherwise(F.col("removed_at") if "removed_at" in links.columns else F.lit(None)))
+    return met.withColumn("active", F.col("active") & ~closing).select(columns)
+
+
+# --- roll-ups kept up to date ---------------------------------------------------------------------------------------
+
+
+def multiplicities(links: DataFrame) -> DataFrame:
+    """(candidate_id, kind, value, n): how many active links give a candidate each of its values.
+
+    ``kind`` is evidence, source, entity or official.  This is the state that roll-ups are kept by: a link adds one to each of
+    its values and takes one away when it is closed, and a value counts while its n is above zero.
+    """
+    text = lambda c: F.col(c).cast("string")
+    values = F.map_from_arrays(F.array(*map(F.lit, ("evidence", "source", "entity", "official"))), F.array(text("evidence_id"), text("source_id"), text("entity"), F.when(F.col("official"), "true")))
+    rows = links.where("active").select("candidate_id", F.explode(values).alias("kind", "value")).where("value is not null")
+    return rows.groupBy("candidate_id", "kind", "value").agg(F.count("*").alias("n"))
+
+
+def link_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(candidate_id, kind, value, n): what changed, from the links that a change touched as they were and as they are."""
+    gone = multiplicities(before).withColumn("n", -F.col("n"))
+    return gone.unionByName(multiplicities(after)).groupBy("candidate_id", "kind", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def with_deltas(state: DataFrame, deltas: DataFrame) -> DataFrame:
+    """The state after ``deltas``: sums by value, so that a hot candidate is dealt out by its values."""
+    return state.unionByName(deltas).groupBy("candidate_id", "kind", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def counts_of(state: DataFrame) -> DataFrame:
+    """``active_counts`` from the state: values are rows, so they are counted, never collected.  Candidates without active
+    links are not among them."""
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    return state.where("n > 0").groupBy("candidate_id").agg(of("evidence").alias("evidence_count"), of("source").alias("source_count"), (of("official") > 0).alias("official"), of("entity").alias("entity_count"))
+
+
+def refreshed(counts: DataFrame, state: DataFrame, deltas: DataFrame) -> DataFrame:
+    """``counts`` brought up to date: only the candidates in ``deltas`` are counted anew, from the state after them; those
+    that have no active link any more, and those that are new, are among them."""
+    touched = deltas.select("candidate_id").distinct()
+    now = touched.join(counts_of(state.join(touched, "candidate_id", "left_semi")), "candidate_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    now = now.select("candidate_id", zero("evidence_count"), zero("source_count"), F.coalesce("official", F.lit(False)).alias("official"), zero("entity_count"))
+    return counts.join(touched, "candidate_id", "left_anti").select(now.columns).unionByName(now)
 
 
 def regroup_errors(links: DataFrame, moves: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -62,12 +124,15 @@ def regroup_errors(links: DataFrame, moves: DataFrame, candidates: DataFrame) ->
     return met.select(*moves.columns, error.alias("move_error"))
 
 
-def regroup(links: DataFrame, moves: DataFrame) -> DataFrame:
+def regroup(links: DataFrame, moves: DataFrame, at: Column | None = None) -> DataFrame:
     """Links after ``moves`` (evidence_id, from_id, to_id): old links are closed and keep the rule they were made by, new ones
-    are added by review, so history stays.  Links without ``match_rule`` get it, null for old ones."""
+    are added by review, so history stays.  Links without ``match_rule`` get it, null for old ones; with ``at``, closed links
+    get it as ``removed_at``, and new ones none."""
     if "match_rule" not in links.columns:
         links = links.withColumn("match_rule", F.lit(None).cast("string"))
     marks = moves.select("evidence_id", F.col("from_id").alias("candidate_id"), "to_id")
-    closed = deactivate(links, marks)
+    closed = deactivate(links, marks, at)
     added = links.where("active").join(marks, ["evidence_id", "candidate_id"]).withColumns({"candidate_id": F.col("to_id"), "match_rule": F.lit("reviewed_regroup")})
-    return closed.unionByName(added.select(links.columns))
+    if at is not None:
+        added = added.withColumn("removed_at", F.lit(None).cast(closed.schema["removed_at"].dataType))
+    return closed.unionByName(added.select(closed.columns))

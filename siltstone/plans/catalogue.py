@@ -31,17 +31,17 @@ def _query(sql: str | None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from siltstone.plans import more
+    from siltstone.plans import changes, more
     from siltstone.streaming import jobs
 
-    return _QUERIES | more.queries() | jobs.queries()
+    return _QUERIES | more.queries() | changes.queries() | jobs.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from siltstone.plans import more
+    from siltstone.plans import changes, more
     from siltstone.streaming import jobs
 
-    return _SQL | more.oracle_sql() | jobs.oracle_sql()
+    return _SQL | more.oracle_sql() | changes.oracle_sql() | jobs.oracle_sql()
 
 
 def _now():

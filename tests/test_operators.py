@@ -299,3 +299,54 @@ def test_time_windows_equal_brute_force(spark):
     for r in resolve.time_window_matches(e, c).collect():
         two.setdefault(r.evidence_id, set()).add(r.candidate_id)
     assert two == {i: {min(k for j, k in want if j == i), max(k for j, k in want if j == i)} for i in counts}
+
+
+LINKS = "candidate_id long, evidence_id long, source_id string, official boolean, entity string, active boolean, removed_at timestamp"
+
+
+def test_rollups_by_deltas_equal_recomputation(spark):
+    """Random closings, moves and new links: what the changes make of the roll-up is what all links give."""
+    import random
+
+    from siltstone.operators import rollup
+
+    rng = random.Random(11)
+    new = lambda c, e: (c, e, f"s{e % 4}", e % 5 == 0, rng.choice([None, "x", "y", f"z{e}"]), True, None)
+    rows = [new(rng.randint(0, 6), e) for e in range(40)]
+    links = spark.createDataFrame(rows, LINKS)
+    counts, state = rollup.active_counts(links), rollup.multiplicities(links)
+    for step in range(3):
+        held = [r for r in links.collect() if r.active]
+        off = [(r.candidate_id, r.evidence_id) for r in held if r.candidate_id == step or rng.random() < 0.2]
+        moved = [(r.evidence_id, r.candidate_id, 10 + step) for r in held if (r.candidate_id, r.evidence_id) not in off and rng.random() < 0.2]
+        which = spark.createDataFrame(off, "candidate_id long, evidence_id long")
+        moves = spark.createDataFrame(moved, "evidence_id long, from_id long, to_id long")
+        after = rollup.regroup(rollup.deactivate(links, which, F.lit(T)), moves, F.lit(T)).drop("match_rule")
+        after = after.unionByName(spark.createDataFrame([new(rng.randint(4, 8), 100 * (step + 1) + k) for k in range(5)], LINKS))
+        after = spark.createDataFrame(after.collect(), LINKS)
+        deltas = rollup.link_deltas(links, after)
+        state = rollup.with_deltas(state, deltas)
+        counts = rollup.refreshed(counts, state, deltas)
+        counts, state = (spark.createDataFrame(df.collect(), df.schema) for df in (counts, state))
+        cols = ("candidate_id", "evidence_count", "source_count", "official", "entity_count")
+        as_set = lambda df: {tuple(r[c] for c in cols) for r in df.collect()}
+        assert as_set(counts) == as_set(rollup.active_counts(after))
+        assert as_set(rollup.counts_of(state)) == {r for r in as_set(counts) if r[1]}
+        assert not after.where("active = (removed_at is not null)").count()
+        links = after
+
+
+def test_claims_of_a_channel_are_bounded_before_the_exchange(spark):
+    rows = spark.range(5000).select("id", F.lit("failed").alias("status"), F.lit(0).alias("retry_count"), F.lit(None).cast("timestamp").alias("scheduled_at"), F.lit(None).cast("string").alias("failure_code"), F.lit("telegram").alias("channel"), F.when(F.col("id") < 4990, "a").otherwise("b").alias("policy_rule_id"))
+    limits = spark.createDataFrame([("telegram", "a", 3), ("telegram", "b", 50), ("mail", "a", 5)], "channel string, policy_rule_id string, claims int")
+    got = delivery.claim_retries_by(rows, limits, F.lit(T), most=4)
+    assert sorted(r.id for r in got.collect()) == [0, 1, 2, 4990, 4991, 4992, 4993]
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_message_is_delivered_as_a_whole(spark):
+    rows = [(1, 0, "ok", False), (1, 1, "x" * 20, False), (2, 0, "ok", False), (2, 1, None, False), (3, 0, "ok", True), (3, 9, "beyond the limit", False), (4, 0, "y" * 31, None), (5, 0, "a", False), (6, 0, "b", False)]
+    items = spark.createDataFrame(rows, "m long, o long, block string, unsafe boolean")
+    answers = spark.createDataFrame([(1, 204, None), (5, 200, "socket"), (6, None, None)], "m long, http_status int, failure string")
+    got = {(r.m, r.o): (r.status, r.failure_code) for r in delivery.deliver(items, answers, "m", "o", limit=2, message_chars=30).collect()}
+    assert got == {(1, 0): ("sent", None), (1, 1): ("sent", None), (2, 0): ("failed", delivery.UNSUPPORTED), (2, 1): ("failed", delivery.UNSUPPORTED), (3, 0): ("failed", delivery.LEAKING), (3, 9): ("failed", delivery.LEAKING), (4, 0): ("failed", delivery.TOO_LONG), (5, 0): ("failed", delivery.FAILED), (6, 0): ("failed", delivery.REJECTED)}
