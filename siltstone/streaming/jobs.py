@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from siltstone.operators.delivery import ATTEMPTS, STALE_SECONDS
 from siltstone.operators.tables import fresh_path
+from siltstone.streaming import machines
 
 
 def source(spark: SparkSession, sf_dir: str, name: str, *, files: int | None = None) -> DataFrame:
@@ -83,60 +81,6 @@ def guarded_append(path: str, by: str, at: str) -> Callable[[DataFrame, int], No
     return write
 
 
-
-
-def delivery_states(actions: DataFrame) -> DataFrame:
-    """The notification machine over a stream of actions (key, at, action in claim, sent, failed): key, status, retry_count.
-
-    PENDING -> SENDING -> SENT or FAILED; a claim of a failed or stuck notification costs an attempt, the first claim does
-    not; after three attempts nothing more is claimed.  State is one small row a key.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, tries, since = state.get if state.exists else ("pending", 0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["at", "action"])
-        for r in rows.itertuples():
-            at = r.at.timestamp()
-            if r.action == "claim":
-                stuck = status == "sending" and at - since > STALE_SECONDS
-                if tries < ATTEMPTS and (status in ("pending", "failed") or stuck):
-                    tries += status != "pending"
-                    status, since = "sending", at
-            elif status == "sending":
-                status = r.action
-        state.update((status, tries, since))
-        yield pd.DataFrame({"key": [key[0]], "status": [status], "retry_count": [tries]})
-
-    return actions.groupBy("key").applyInPandasWithState(step, "key long, status string, retry_count long", "status string, tries long, since double", "update", GroupStateTimeout.NoTimeout)
-
-
-def cadence_grants(ticks: DataFrame) -> DataFrame:
-    """Which polls of a provider may run, over a stream of (key, at, cadence, action, delay): key, at, attempt.
-
-    A tick is granted when the cadence since the last grant is over, or when a retry that was asked for is due; a retry (with
-    its delay in seconds) opens the gate again and carries the attempt on, a tick by cadence starts at attempt 0.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        granted, retry_at, attempt = state.get if state.exists else (None, None, 0)
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["at", "action"]).itertuples():
-            at = r.at.timestamp()
-            if r.action == "retry":
-                retry_at, attempt = at + r.delay, attempt + 1
-            elif retry_at is not None:
-                if at >= retry_at:
-                    granted, retry_at = at, None
-                    out.append((key[0], r.at, attempt))
-            elif granted is None or at >= granted + r.cadence:
-                granted, attempt = at, 0
-                out.append((key[0], r.at, attempt))
-        state.update((granted, retry_at, attempt))
-        yield pd.DataFrame(out, columns=["key", "at", "attempt"])
-
-    return ticks.groupBy("key").applyInPandasWithState(step, "key string, at timestamp, attempt long", "granted double, retry_at double, attempt long", "append", GroupStateTimeout.NoTimeout)
-
-
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(deduplicated(_events(spark, sf_dir), ["user_id", "event_type"]), "stream_dedup").groupBy("user_id", "event_type").agg(F.count("*").alias("kept"))
 
@@ -166,20 +110,32 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_end(sessions(_closed(spark, sf_dir)), "stream_sessions").where("user_id >= 0").select("user_id", _window_columns(F.col("session_window.start")).alias("session_start"), "n")
 
 
+def _machine_to_end(stream: DataFrame, name: str) -> DataFrame:
+    """What a machine said until its source was exhausted."""
+    spark = stream.sparkSession
+    out = fresh_path(spark, name)
+    machines.start(stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True), spark).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/data")
+
+
 def stream_delivery_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last state of each notification after a stream of actions made from events."""
-    events = _events(spark, sf_dir)
+    """Last state of each notification after a stream of actions made from events; the row far ahead lets all timers run."""
+    rows = _closed(spark, sf_dir)
     action = F.when(F.col("event_type").isin("view", "click", "signup"), "claim").when(F.col("event_type") == "purchase", "sent").otherwise("failed")
-    spark_ = events.sparkSession
-    out = fresh_path(spark_, "stream_delivery")
+    changes = _machine_to_end(machines.delivery_states(rows.select(F.col("user_id").alias("key"), "at", action.alias("action"))), "stream_delivery").where("key >= 0")
+    return changes.groupBy("key").agg(F.max_by("status", "change").alias("status"), F.max_by("retry_count", "change").alias("retry_count"), F.max("change").alias("changes"))
 
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
 
-    machine = delivery_states(events.select(F.col("user_id").alias("key"), "at", action.alias("action")))
-    machine.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    rows = spark_.read.parquet(f"{out}/data")
-    return rows.groupBy("key").agg(F.max_by("status", "batch_id").alias("status"), F.max_by("retry_count", "batch_id").alias("retry_count"))
+def stream_run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How runs ended: each event starts a run that has one to six minutes, and says after half a minute to five how it ended."""
+    rows = _closed(spark, sf_dir)
+    said = F.when(F.col("event_id") % 7 == 0, "cancelled").when(F.col("event_id") % 11 == 0, "COLLECTION_NETWORK").otherwise("succeeded")
+    run = F.col("event_id").cast("string")
+    begun = F.struct(run.alias("key"), F.col("at"), F.lit("started").alias("event"), (60 + F.col("event_id") % 6 * 60).alias("deadline"))
+    ended = F.struct(run.alias("key"), (F.col("at") + F.expr("make_dt_interval(0, 0, 0, 30 + event_id % 10 * 30)")).alias("at"), said.alias("event"), F.lit(None).cast("long").alias("deadline"))
+    events = rows.select(F.explode(F.when(F.col("event_id") < 0, F.array(begun)).otherwise(F.array(begun, ended))).alias("e")).select("e.*")
+    found = _machine_to_end(machines.run_outcomes(events), "stream_outcomes").where("cast(key as long) >= 0")
+    return found.groupBy("outcome").agg(F.count("*").alias("runs"), F.max(F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("last_at"))
 
 
 _SQL = {
@@ -188,11 +144,25 @@ _SQL = {
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 24 HOUR THEN 0 ELSE 1 END AS new FROM events),
         s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
         SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM s GROUP BY user_id, k""",
+    # All users one action further in each round; what is still sending in the end turns stale, as time goes on.
+    "stream_delivery_states": """WITH RECURSIVE e AS (SELECT user_id AS key, ts, a, row_number() OVER (PARTITION BY user_id ORDER BY ts, a) AS n
+          FROM (SELECT user_id, ts, CASE WHEN event_type IN ('view', 'click', 'signup') THEN 'claim' WHEN event_type = 'purchase' THEN 'sent' ELSE 'failed' END AS a FROM events)),
+        m(key, n, status, tries, since, changes) AS (
+          SELECT DISTINCT user_id, CAST(0 AS BIGINT), 'pending', CAST(0 AS BIGINT), TIMESTAMP '1970-01-01', CAST(0 AS BIGINT) FROM events
+          UNION ALL
+          SELECT key, n, CASE WHEN goes THEN 'sending' WHEN ends THEN a ELSE seen END, tries + CASE WHEN goes AND seen <> 'pending' THEN 1 ELSE 0 END, CASE WHEN goes THEN ts ELSE since END,
+            changes + CASE WHEN seen <> status THEN 1 ELSE 0 END + CASE WHEN goes OR ends THEN 1 ELSE 0 END
+          FROM (SELECT *, a = 'claim' AND tries < 3 AND seen IN ('pending', 'failed', 'stale') AS goes, a <> 'claim' AND seen IN ('sending', 'stale') AS ends
+            FROM (SELECT e.key, e.n, e.ts, e.a, status, tries, since, changes, CASE WHEN status = 'sending' AND e.ts - since > INTERVAL 300 SECOND THEN 'stale' ELSE status END AS seen FROM m JOIN e ON e.key = m.key AND e.n = m.n + 1)))
+        SELECT key, CASE WHEN status = 'sending' THEN 'stale' ELSE status END AS status, tries AS retry_count, changes + CASE WHEN status = 'sending' THEN 1 ELSE 0 END AS changes
+        FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC) AS last FROM m) WHERE last = 1""",
+    "stream_run_outcomes": """WITH r AS (SELECT ts, 30 + event_id % 10 * 30 AS took, 60 + event_id % 6 * 60 AS had, CASE WHEN event_id % 7 = 0 THEN 'COLLECTION_CANCELLED' WHEN event_id % 11 = 0 THEN 'COLLECTION_NETWORK' ELSE 'succeeded' END AS said FROM events)
+        SELECT CASE WHEN took > had THEN 'COLLECTION_TIMEOUT' ELSE said END AS outcome, count(*) AS runs, strftime(max(ts + to_seconds(CAST(least(took, had) AS BIGINT))), '%Y-%m-%d %H:%M:%S.%f') AS last_at FROM r GROUP BY 1""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (stream_dedup, stream_tumbling_24h, stream_sessions, stream_delivery_states)}
+    return {f.__name__: f for f in (stream_dedup, stream_tumbling_24h, stream_sessions, stream_delivery_states, stream_run_outcomes)}
 
 
 def oracle_sql() -> dict[str, str]:
