@@ -3,6 +3,8 @@ import json
 from datetime import datetime, timedelta
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.operators import dedup, delivery, feed, fold, normalize, resolve, validate
@@ -256,7 +258,7 @@ def test_nested_payloads(spark):
 
     deep = "[" * 100_000 + "]" * 100_000
     rows = [("marketaux", '{"data":[1,{"TOKEN":"a","b":["api_key=1","ok"]},3],"u":"é TOKEN=x"}'), ("sec_edgar", '{"filings":{"recent":{"form":["a","b","c"],"n":1}}}'), ("eia", '{"response":{"data":[1,2,3]},"data":[1,2,3]}'),
-            ("finnhub", '{"c":NaN}'), (None, "no json"), ("eia", None), ("eia", deep), ("marketaux", '"a token=1"'), ("marketaux", '{"data":{"x":[1,2,3]}}')]
+            ("finnhub", '{"c":NaN}'), (None, "no json"), ("eia", None), ("eia", deep), ("marketaux", '"a token=1"'), ("marketaux", '{"data":{"x":[1,2,3]}}'), ("marketaux", '[{"data":[1,2,3]}]'), ("marketaux", '{"data":[[1,2,3],{"token":1},"token=",4,5]}')]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, p string, b string").withColumn("risk", F.lit("clash")).repartition(3)
     made = payloads.with_secret_flag(payloads.shortened(payloads.redacted(df, "b", "r"), "b", "s", 2, provider="p"), "b", "risk")
     assert made.limit(0).count() == 0 and payloads.redacted(df.where("false"), "b", "r").count() == 0
@@ -264,10 +266,39 @@ def test_nested_payloads(spark):
     none = (None, None, None)
     assert [tuple(r)[1:] for r in got] == [
         ('{"data":[1,{"TOKEN":"[REDACTED]","b":["api_key=1","ok"]},3],"u":"\\u00e9 TOKEN=x"}', '{"data":[1,{"b":["ok"]}]}', True), (rows[1][1], '{"filings":{"recent":{"form":["a","b"],"n":1}}}', False),
-        (rows[2][1], '{"response":{"data":[1,2]},"data":[1,2,3]}', False), none, none, none, none, ('"a token=1"', '"a token=1"', True), (rows[8][1], rows[8][1], False),
+        (rows[2][1], '{"response":{"data":[1,2]},"data":[1,2,3]}', False), none, none, none, (deep, deep, False), ('"a token=1"', '"a token=1"', True), (rows[8][1], rows[8][1], False), (rows[9][1], rows[9][1], False),
+        ('{"data":[[1,2,3],{"token":"[REDACTED]"},"token=",4,5]}', '{"data":[[1,2,3],{}]}', True),
     ]
 
 
+json_values = st.recursive(st.one_of(st.none(), st.booleans(), st.integers(-(10**25), 10**25), st.floats(allow_nan=False, allow_infinity=False), st.text(max_size=6)), lambda v: st.one_of(st.lists(v, max_size=4), st.dictionaries(st.text(max_size=4), v, max_size=4)), max_leaves=20)
+
+
+@settings(max_examples=300, deadline=None)
+@given(json_values, st.sampled_from([None, 1]), st.booleans(), st.integers(0, 10**6), st.sampled_from(",[]{}:\"0-.et "))
+def test_canonical_json_is_pythons(value, indent, plain, place, noise):
+    """Byte for byte the sorted compact form; what Python can't read is refused, and nothing else."""
+    from siltstone.functions import json_text
+
+    said = json.dumps(value, indent=indent, ensure_ascii=plain)
+    assert json_text.canonical(said) == json.dumps(value, sort_keys=True, separators=(",", ":"))
+    assert json_text.rewritten(said) == json.dumps(value, separators=(",", ":"))
+    odd = said[: place % len(said)] + noise + said[place % len(said) :]
+
+    def refuse(constant):
+        raise ValueError(constant)
+
+    try:
+        want = json.dumps(json.loads(odd, parse_constant=refuse), sort_keys=True, separators=(",", ":"), allow_nan=False)
+    except ValueError:
+        want = None
+    try:
+        got = json_text.canonical(odd)
+    except ValueError:
+        got = None
+    assert got == want
+
+
 def test_merged_summaries_without_rows_or_maps(spark):
     from siltstone.operators import coverage
 
