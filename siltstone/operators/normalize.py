@@ -59,9 +59,26 @@ def zipped(df: DataFrame, names, *, padded: bool = False) -> DataFrame:
     return df.select(*(c for c in df.columns if c not in names), F.inline(rows))
 
 
-def response_shape(df: DataFrame, body: str = "body") -> DataFrame:
-    """Sorted top-level keys of each JSON body, as one text."""
-    return df.withColumn("top_level_keys", F.array_join(F.array_sort(F.json_object_keys(body)), ","))
+def response_shape(df: DataFrame, body: str = "body", *, item_path: str | None = None, columnar: bool = False) -> DataFrame:
+    """Adds the sorted top-level keys of each JSON body, as one text; with ``item_path`` (as ``$.a.b``) also item_keys, the
+    sorted keys of the first item, and item_count.
+
+    Items are a list, or one object: that is one item, or with ``columnar`` as many as its longest list has; its keys are then
+    the item's.  A first element that is no object has no keys; where there are no items at the path the count is null.
+    """
+    sorted_keys = lambda c: F.array_join(F.array_sort(F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))), ",")
+    df = df.withColumn("top_level_keys", sorted_keys(F.col(body)))
+    if item_path is None:
+        return df
+    items = F.try_variant_get(F.try_parse_json(body), item_path, "variant")
+    kind, said = F.schema_of_variant(items), F.to_json(items)
+    listed, single = kind.startswith("ARRAY<"), kind.startswith("OBJECT<")
+    columns = F.map_values(F.from_json(said, "map<string,string>"))
+    longest = F.coalesce(F.array_max(F.transform(columns, lambda c: F.json_array_length(c))), F.lit(0))
+    one = longest if columnar else F.when(F.size(F.json_object_keys(said)) > 0, 1).otherwise(0)
+    return df.withColumns({
+        "item_keys": sorted_keys(F.when(listed, F.get_json_object(said, "$[0]")).when(single, said)),
+        "item_count": F.when(listed, F.json_array_length(said)).when(single, one)})
 
 
 def envelope(df: DataFrame, item_type: str, *, item_json: Column, event_time: Column, item_hash: Column, observed_at: Column, **more: Column) -> DataFrame:
@@ -87,6 +104,9 @@ def envelope(df: DataFrame, item_type: str, *, item_json: Column, event_time: Co
 
 
 def _hash_of(df: DataFrame) -> Column:
+    """Of the whole item where rows have its canonical text, as ``payloads.item_texts`` gives it, else of the columns."""
+    if "item_text" in df.columns:
+        return stable_hash(F.col("item_text"))
     return stable_hash(canonical_json(F.to_json(F.struct(*(F.col(c) for c in df.columns)))))
 
 

@@ -7,11 +7,13 @@ read can't be cleared.  Repeated rows stay; an empty table gives an empty result
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import BooleanType, DataType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BooleanType, DataType, StringType, StructField, StructType
 
 from siltstone.functions import json_text
 
@@ -23,6 +25,8 @@ SECRET_QUERY = ("api_key=", "api_token=", "token=")
 #: Where a provider's items are; of the last one, a filing's columns of items.
 ITEM_PATHS = {"marketaux": ("data",), "eia": ("response", "data"), "sec_edgar": ("filings", "recent")}
 COLUMNAR = ("sec_edgar",)
+#: Providers whose body is one item.
+WHOLE = ("finnhub",)
 #: Payloads that are handed to Python at once.
 BATCH_BYTES, BATCH_ROWS = 16_000_000, 1_000
 
@@ -86,7 +90,7 @@ def _added(df: DataFrame, name: str, kind: DataType, payload: str, made: Callabl
         for batch in batches:
             texts = batch.column(payload).to_pylist()
             others = batch.column(beside).to_pylist() if beside else [None] * len(texts)
-            column = pa.array(map(one, texts, others), pa.bool_() if kind == BooleanType() else pa.string())
+            column = pa.array(map(one, texts, others), to_arrow_type(kind))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), column], [*(f.name for f in kept), name])
 
     return df.mapInArrow(run, StructType([*kept, StructField(name, kind)]))
@@ -115,3 +119,28 @@ def shortened(df: DataFrame, payload: str, name: str, limit: int, *, provider: s
 def canonical(df: DataFrame, payload: str, name: str) -> DataFrame:
     """Adds the canonical JSON text: sorted keys, no spaces, ASCII, so that equal values are equal byte for byte."""
     return _added(df, name, StringType(), payload, lambda text, _: json_text.canonical(text))
+
+
+def item_texts(df: DataFrame, payload: str, name: str, *, provider: str = "provider") -> DataFrame:
+    """Adds the provider's items as an array of canonical JSON texts, whole and in order: elements of its list that are
+    objects, rows of its columns (as many as the longest has, each with the columns that reach so far), or the payload itself
+    if it is the one item.  No items, and an unknown provider's, are an empty array."""
+
+    def items(text: str, whose: object) -> list[str]:
+        path = ITEM_PATHS.get(whose)
+        found: dict[object, list[str]] = {}
+
+        def rule(at: tuple[str | None, ...], key: str | int, value: str, string: str | None) -> str:
+            if path and isinstance(key, int) and (at[:-1] if whose in COLUMNAR else at) == path:
+                found.setdefault(at[-1] if whose in COLUMNAR else None, []).append(value)
+            return value
+
+        whole = json_text.rewritten(text, rule, ordered=True)
+        if whose in WHOLE:
+            return [whole] if whole.startswith("{") and whole != "{}" else []
+        if whose in COLUMNAR:
+            longest = max(map(len, found.values()), default=0)
+            return ["{" + ",".join(f"{json.dumps(k)}:{v[i]}" for k, v in sorted(found.items()) if i < len(v)) + "}" for i in range(longest)]
+        return [v for v in found.get(None, []) if v.startswith("{")]
+
+    return _added(df, name, ArrayType(StringType()), payload, items, provider)

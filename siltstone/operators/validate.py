@@ -53,8 +53,19 @@ def flags_consistent() -> Column:
     return reduce(and_, (F.col(f).eqNullSafe(by_item_type(F.col("provider_item_type"), 4 + i)) for i, f in enumerate(FLAGS)))
 
 
+#: The messages that an embedded error may carry.
+SAFE_ERROR_MESSAGES = (
+    "Access level must be explicitly classified.", "Event time is unavailable; no value was inferred.", "Evidence contract value is unknown.", "Evidence flags do not match the provider item type.",
+    "Evidence kind does not match the provider item type.", "Evidence version is not supported.", "Numeric field count cannot be negative.", "Provider does not match the provider item type.",
+    "Provider item hash is missing or invalid.", "Provider item ID is unavailable.", "Raw payload reference is unsafe.", "Source type does not match the provider item type.",
+    "The embedded error is not content-safe.", "This evidence type must allow nullable numeric values.",
+)
+
+
 def embedded_errors_safe(errors: Column) -> Column:
-    ok = lambda e: e["code"].rlike(r"^[a-z][a-z0-9_]{0,79}$") & (e["field"].isNull() | e["field"].rlike(r"^[a-z][a-z0-9_]{0,79}$"))
+    """Whether all errors have a plain code, no field or a plain one, and a message that says nothing of the content."""
+    plain = lambda c: F.coalesce(c.rlike(r"^[a-z][a-z0-9_]*\z"), F.lit(False))
+    ok = lambda e: plain(e["code"]) & (e["field"].isNull() | plain(e["field"])) & F.coalesce(e["safe_message"].isin(*SAFE_ERROR_MESSAGES), F.lit(False))
     return F.coalesce(F.forall(errors, ok), F.lit(True))
 
 
@@ -95,22 +106,28 @@ def projection_error(provider: Column, keys: Column) -> Column:
     return out
 
 
-#: Keys of a display row and of a news request's configuration, and the bounds of both.
-DISPLAY_KEYS = ("provider_item_id", "published_at", "display_title", "display_url", "field_names", "has_title", "has_description", "has_snippet", "has_source_url")
+#: The keys that a display row must have, those it may have, and the bounds of a row and of a news request.
+DISPLAY_REQUIRED = ("provider_item_id", "published_at")
+DISPLAY_KEYS = (*DISPLAY_REQUIRED, "display_title", "display_url")
 TITLE_CHARS, URL_CHARS, NEWS_RECORDS, NEWS_SYMBOLS = 2000, 4000, 3, 10
-_SECRET_VALUE = r"(?i)(secret|token|password|api_?key)="
+#: A secret's name, and one with a value.
+_SECRET_NAME = r"(?i)(api[_-]?key|api[_-]?token|authorization|x-finnhub-token|token|secret|password)"
+_SECRET_VALUE = _SECRET_NAME + "="
 
 
 def _secret(value: Column) -> Column:
     return F.coalesce(value.rlike(_SECRET_VALUE), F.lit(False))
 
 
-def display_error(item_id: Column, published_at: Column, title: Column, url: Column) -> Column:
-    """What makes a row unfit for display: id and time are required, title and address may be missing, but not unsafe."""
+def display_error(item_id: Column, published_at: Column, title: Column, url: Column, keys: Column | None = None) -> Column:
+    """What makes a row unfit for display: its ``keys`` are a closed set, id and time are required, title and address may be
+    missing, but not unsafe."""
+    array = lambda names: F.array(*(F.lit(k) for k in names))
+    closed = F.lit(True) if keys is None else F.coalesce((F.size(F.array_except(array(DISPLAY_REQUIRED), keys)) == 0) & (F.size(F.array_except(keys, array(DISPLAY_KEYS))) == 0), F.lit(False))
     return (
-        F.when(~present(item_id), "provider_item_id_required").when(~present(published_at), "published_at_required")
+        F.when(~closed, "display_keys_invalid").when(~present(item_id), "provider_item_id_required").when(~present(published_at), "published_at_required")
         .when(title.isNotNull() & ((title == "") | (F.char_length(title) > TITLE_CHARS) | _secret(title)), "title_unsafe")
-        .when(url.isNotNull() & ((F.char_length(url) > URL_CHARS) | safe_public_url(url).isNull()), "url_unsafe")
+        .when(url.isNotNull() & ((F.char_length(url) > URL_CHARS) | _secret(url) | safe_public_url(url).isNull()), "url_unsafe")
     )
 
 
@@ -129,14 +146,17 @@ def request_error(limit: Column, deadline: Column, now: Column, config: Column,
 
 def news_item(df: DataFrame) -> DataFrame:
     """Sanitised news items: id and time required and free of secrets; a title or address that is unsafe or too long is left
-    out, and flags say what is left."""
-    free = lambda c: F.when(present(F.col(c)) & ~has_secret_mark(F.col(c)), F.col(c))
+    out, and flags say what is left.  ``field_names`` are the keys of the item (column ``keys``, where the rows have it), sorted,
+    without those that name a secret."""
+    free = lambda c: F.when(present(F.col(c)) & ~F.col(c).rlike(_SECRET_NAME), F.col(c))
     item, when = free("uuid"), free("published_at")
     title, url = squeeze(F.col("title")), safe_public_url(F.col("url"))
     title = F.when(present(title) & (F.char_length(title) <= TITLE_CHARS) & ~_secret(title), title)
-    url = F.when(F.char_length(url) <= URL_CHARS, url)
+    url = F.when((F.char_length(url) <= URL_CHARS) & ~_secret(url), url)
+    keys = F.col("keys") if "keys" in df.columns else F.lit(None).cast("array<string>")
+    names = F.array_sort(F.filter(F.coalesce(keys, F.array().cast("array<string>")), lambda k: ~k.rlike(_SECRET_NAME)))
     return df.select(
-        item.alias("provider_item_id"), when.alias("published_at"), title.alias("title"), url.alias("url"), title.isNotNull().alias("has_title"), present(F.col("description")).alias("has_description"),
+        item.alias("provider_item_id"), when.alias("published_at"), title.alias("title"), url.alias("url"), names.alias("field_names"), title.isNotNull().alias("has_title"), present(F.col("description")).alias("has_description"),
         present(F.col("snippet")).alias("has_snippet"), url.isNotNull().alias("has_url"), (item.isNotNull() & when.isNotNull()).alias("is_valid"))
 
 
@@ -154,6 +174,21 @@ def http_error(status: Column) -> Column:
     return F.when(status == 429, "COLLECTION_RATE_LIMITED").when(status >= 500, "COLLECTION_UPSTREAM_5XX").when(~status.between(200, 299), "COLLECTION_UPSTREAM_PERMANENT")
 
 
+#: What a provider's error is called in a run; an upstream error depends on whether a retry may help.
+PROVIDER_ERRORS = {"provider_config_invalid": "COLLECTION_CONFIG_INVALID", "provider_contract_invalid": "COLLECTION_CONTRACT_INVALID", "provider_rate_limited": "COLLECTION_RATE_LIMITED", "provider_timeout": "COLLECTION_TIMEOUT"}
+
+
+def collection_error(code: Column, may_retry: Column, *, cancelled: Column | None = None, past_deadline: Column | None = None) -> Column:
+    """The run's error for a provider's error: null for none, COLLECTION_UNKNOWN for one that is not declared.  A cancelled run
+    and one past its deadline are told so, whatever the provider said."""
+    said = F.when(code == "provider_upstream_error", F.when(F.coalesce(may_retry, F.lit(False)), "COLLECTION_UPSTREAM_RETRYABLE").otherwise("COLLECTION_CONTRACT_INVALID"))
+    for own, run in PROVIDER_ERRORS.items():
+        said = said.when(code == own, run)
+    said = said.when(code.isNotNull(), "COLLECTION_UNKNOWN")
+    no = F.lit(False)
+    return F.when(F.coalesce(cancelled, no) if cancelled is not None else no, "COLLECTION_CANCELLED").when(F.coalesce(past_deadline, no) if past_deadline is not None else no, "COLLECTION_TIMEOUT").otherwise(said)
+
+
 def retryable(code: Column) -> Column:
     return F.coalesce(code.isin(*RETRYABLE), F.lit(False))
 

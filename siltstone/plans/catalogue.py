@@ -392,7 +392,7 @@ SELECT *, concat_ws(',', CASE WHEN id % 23 = 0 THEN 'unsupported_evidence_versio
   CASE WHEN id % 19 = 0 THEN 'unknown_access_level' END, CASE WHEN provider <> expected THEN 'provider_item_type_mismatch' END,
   CASE WHEN flags_differ THEN 'evidence_flags_mismatch' END, CASE WHEN item_type = 'eia_energy_timeseries' AND id % 2 = 1 THEN 'eia_numeric_nullable_required' END,
   CASE WHEN id % 29 = 0 AND id % 19 <> 0 THEN 'access_level_unknown' END, CASE WHEN id % 31 = 0 THEN 'provider_item_hash_invalid' END, CASE WHEN event_time IS NULL THEN 'event_time_missing' END,
-  CASE WHEN id % 37 = 0 THEN 'numeric_field_count_invalid' END, CASE WHEN id % 41 = 0 OR id % 43 = 0 THEN 'unsafe_raw_payload_reference' END, CASE WHEN id % 47 = 0 THEN 'unsafe_embedded_error' END) AS codes
+  CASE WHEN id % 37 = 0 THEN 'numeric_field_count_invalid' END, CASE WHEN id % 41 = 0 OR id % 43 = 0 THEN 'unsafe_raw_payload_reference' END, CASE WHEN id % 47 = 0 OR id % 53 = 0 OR id % 59 = 0 THEN 'unsafe_embedded_error' END) AS codes
 FROM (SELECT *, CASE id % 5 WHEN 0 THEN 'marketaux_news' WHEN 1 THEN 'finnhub_quote' WHEN 2 THEN 'eia_energy_timeseries' WHEN 3 THEN 'sec_filing' ELSE CASE provider WHEN 'marketaux' THEN 'marketaux_news' WHEN 'finnhub' THEN 'finnhub_quote' WHEN 'eia' THEN 'eia_energy_timeseries' ELSE 'sec_filing' END END AS item_type,
   CASE id % 5 WHEN 0 THEN 'marketaux' WHEN 1 THEN 'finnhub' WHEN 2 THEN 'eia' WHEN 3 THEN 'sec_edgar' ELSE provider END AS expected,
   official_source <> (CASE id % 5 WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN true ELSE provider IN ('eia', 'sec_edgar') END) AS flags_differ FROM v_evidence)
@@ -413,7 +413,7 @@ def _envelopes(evidence: DataFrame) -> DataFrame:
         "official_source_flag": F.col("official_source"), "market_data_flag": by(5), "disclosure_flag": by(6), "news_signal_flag": by(7),
         "numeric_presence": F.struct((F.col("id") % 2 == 0).alias("nullable_allowed"), fault(37, F.lit(-1), F.lit(1)).alias("numeric_field_count")), "provider_item_hash": fault(31, F.lit("no hash"), F.col("provider_item_hash")),
         "raw_payload_reference": fault(41, F.lit("https://x.test/a"), fault(43, F.concat(safe, F.lit("?token=1")), safe)),
-        "errors": F.array(F.struct(fault(47, F.lit("Bad Code"), F.lit("some_code")).alias("code"), F.lit(None).cast("string").alias("field"), F.lit("x").alias("safe_message")))})
+        "errors": F.array(F.struct(fault(47, F.lit("Bad Code"), F.lit("some_code")).alias("code"), fault(59, F.lit("field name"), F.lit(None).cast("string")).alias("field"), fault(53, F.lit("Title: a secret"), F.lit(validate.SAFE_ERROR_MESSAGES[1])).alias("safe_message")))})
 
 
 @_query("WITH v AS (" + _ENVELOPE + ") SELECT id, codes FROM v")

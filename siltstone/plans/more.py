@@ -192,16 +192,47 @@ def capture_limits(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(i.alias("supplier"), validate.capture_within_limit(provider, i % 12, count).alias("within"))
 
 
-@_query("""SELECT c_custkey AS customer, CASE WHEN c_custkey % 7 = 0 THEN 'provider_item_id_required' WHEN c_custkey % 11 = 0 THEN 'published_at_required' WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN 'title_unsafe'
-  WHEN c_custkey % 13 = 0 THEN 'url_unsafe' END AS display_error FROM customer""")
+@_query("""SELECT c_custkey AS customer, CASE WHEN c_custkey % 17 = 0 OR c_custkey % 19 = 0 THEN 'display_keys_invalid' WHEN c_custkey % 7 = 0 THEN 'provider_item_id_required' WHEN c_custkey % 11 = 0 THEN 'published_at_required'
+  WHEN c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN 'title_unsafe' WHEN c_custkey % 13 = 0 OR c_custkey % 23 = 0 THEN 'url_unsafe' END AS display_error FROM customer""")
 def display_errors(spark, sf_dir):
     i = F.col("c_custkey")
     title = F.when(i % 3 == 0, F.repeat(F.lit("x"), F.lit(2001))).when(i % 5 == 0, "my password=abc").when(i % 2 == 0, F.col("c_name"))
-    url = F.when(i % 13 == 0, "https://user@host.test/a").when(i % 2 == 0, "https://host.test/a")
-    error = validate.display_error(F.when(i % 7 != 0, F.col("c_name")), F.when(i % 11 != 0, F.lit("2024-01-01")), title, url)
+    url = F.when(i % 13 == 0, "https://user@host.test/a").when(i % 23 == 0, "https://host.test/a?Authorization=b").when(i % 2 == 0, "https://host.test/a")
+    keys = F.when(i % 17 == 0, F.array(F.lit("provider_item_id"), F.lit("published_at"), F.lit("body"))).when(i % 19 == 0, F.array(F.lit("published_at"))).otherwise(F.array(F.lit("display_url"), F.lit("published_at"), F.lit("provider_item_id")))
+    error = validate.display_error(F.when(i % 7 != 0, F.col("c_name")), F.when(i % 11 != 0, F.lit("2024-01-01")), title, url, keys)
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(i.alias("customer"), error.alias("display_error"))
 
 
+@_query("""WITH n AS (SELECT o_orderkey AS i, trim(regexp_replace(o_orderpriority, '\\s+', ' ', 'g')) AS t FROM orders)
+SELECT 'n' || CAST(i AS VARCHAR) AS provider_item_id, CASE WHEN i % 3 = 0 THEN 'api_token,published_at,title,uuid' ELSE 'description,published_at,title,url,uuid' END AS keys_given, CASE WHEN i % 3 = 0 THEN 'published_at,title,uuid' ELSE 'description,published_at,title,url,uuid' END AS field_names,
+  CASE WHEN i % 5 = 0 THEN NULL ELSE t END AS title, i % 3 <> 0 AS has_description, i % 3 <> 0 AND i % 7 <> 0 AS has_url, i % 11 <> 0 AS is_valid FROM n WHERE i % 11 <> 0
+UNION ALL SELECT NULL, CASE WHEN i % 3 = 0 THEN 'api_token,published_at,title,uuid' ELSE 'description,published_at,title,url,uuid' END, CASE WHEN i % 3 = 0 THEN 'published_at,title,uuid' ELSE 'description,published_at,title,url,uuid' END,
+  CASE WHEN i % 5 = 0 THEN NULL ELSE t END, i % 3 <> 0, i % 3 <> 0 AND i % 7 <> 0, false FROM n WHERE i % 11 = 0""")
+def news_items_sanitised(spark, sf_dir):
+    """Items made of orders as JSON, read back: some lack fields, some name or hold secrets."""
+    i, q = F.col("o_orderkey"), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    uuid = F.when(i % 11 == 0, F.lit('"my token"')).otherwise(q(F.concat(F.lit("n"), i.cast("string"))))
+    title = F.when(i % 5 == 0, F.lit('"see secret=1"')).otherwise(q(F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit("  "))))
+    url = F.when(i % 7 == 0, F.lit('"ftp://host.test/"')).otherwise(F.lit('"https://host.test/a"'))
+    more = F.when(i % 3 == 0, F.lit('"api_token":"x"')).otherwise(F.concat(F.lit('"description":"d","url":'), url))
+    body = F.concat(F.lit('{"uuid":'), uuid, F.lit(',"title":'), title, F.lit(',"published_at":"2024-01-05T10:00:00Z",'), more, F.lit("}"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(body.alias("item"))
+    rows = rows.select(F.json_object_keys("item").alias("keys"), F.from_json("item", "uuid string, title string, url string, snippet string, description string, published_at string").alias("v")).select("keys", "v.*")
+    given = rows.withColumn("keys_given", F.array_join(F.array_sort("keys"), ","))
+    out = validate.news_item(rows).select("provider_item_id", F.array_join("field_names", ",").alias("field_names"), "title", "has_description", "has_url", "is_valid")
+    # The keys that were given depend on one thing only, which what is left of them tells.
+    return out.join(given.select(F.array_join(F.array_sort(F.filter("keys", lambda k: k != "api_token")), ",").alias("field_names"), "keys_given").distinct(), "field_names")
+
+
+@_query("""SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'COLLECTION_CANCELLED' WHEN event_id % 11 = 0 THEN 'COLLECTION_TIMEOUT'
+  ELSE [NULL, 'COLLECTION_CONFIG_INVALID', 'COLLECTION_CONTRACT_INVALID', 'COLLECTION_RATE_LIMITED', 'COLLECTION_TIMEOUT', CASE WHEN event_id % 2 = 0 THEN 'COLLECTION_UPSTREAM_RETRYABLE' ELSE 'COLLECTION_CONTRACT_INVALID' END, 'COLLECTION_UNKNOWN'][event_id % 7 + 1] END AS error FROM events""")
+def collection_errors(spark, sf_dir):
+    i = F.col("event_id")
+    said = F.get(F.array(F.lit(None), *(F.lit(c) for c in ("provider_config_invalid", "provider_contract_invalid", "provider_rate_limited", "provider_timeout", "provider_upstream_error", "provider_on_fire"))), (i % 7).cast("int"))
+    error = validate.collection_error(said, F.when(i % 2 == 0, True), cancelled=i % 13 == 0, past_deadline=F.when(i % 11 == 0, True))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", error.alias("error"))
+
+
 @_query("""SELECT c_custkey AS customer, CASE WHEN c_custkey % 5 NOT BETWEEN 1 AND 3 THEN 'provider_record_limit_invalid' WHEN c_custkey % 7 = 0 THEN 'provider_deadline_invalid' WHEN c_custkey % 11 = 0 THEN 'provider_config_fields_invalid'
   WHEN c_custkey % 13 = 0 THEN 'provider_config_unsafe' WHEN c_custkey % 3 = 0 THEN 'provider_timeout_invalid' WHEN c_custkey % 17 = 0 THEN 'provider_language_invalid' WHEN c_custkey % 19 = 0 THEN 'provider_symbols_invalid' END AS request_error FROM customer""")
 def request_errors(spark, sf_dir):
@@ -277,8 +308,70 @@ def payload_secrets(spark, sf_dir):
     return payloads.with_secret_flag(payloads.cleaned(payloads.redacted(rows, "all", "redacted"), "some", "cleaned"), "some", "has_secret").drop("all", "some")
 
 
-@_query("""SELECT 'items' AS name, CAST(NULL AS VARCHAR) AS key, CAST(sum(l_linenumber) AS BIGINT) AS n FROM lineitem UNION ALL SELECT 'types', l_returnflag, count(*) FROM lineitem GROUP BY l_returnflag UNION ALL SELECT 'captures_seen', NULL, count(*) FROM lineitem""")
+def _captures(spark, sf_dir) -> DataFrame:
+    """A response of each provider, and of an unknown one, made of each supplier."""
+    i = F.col("s_suppkey")
+    n, k = i.cast("string"), (i % 4).cast("int")
+    news = F.concat(F.lit('{"meta":{"token":"t"},"data":['), F.array_join(F.transform(F.sequence(F.lit(1), 1 + i % 3), lambda j: F.concat(F.lit('{"uuid":"'), n, F.lit("-"), j.cast("string"), F.lit('","score":2.50,"title":'), F.when(j == 2, F.lit('""')).otherwise(F.lit('"\u00e9"')), F.lit(',"published_at":"2024-01-05"}'))), ","), F.lit(',"no item"]}'))
+    quote = F.concat(F.lit('{"t":1700000000,"c":'), F.when(i % 3 == 0, F.lit("null")).otherwise(F.lit("1e2")), F.lit("}"))
+    energy = F.concat(F.lit('{"response":{"total":2,"data":[{"stateid":"NY","period":"2024-01","sectorid":'), F.when(i % 3 == 0, F.lit('""')).otherwise(F.lit('"RES"')), F.lit('},{"period":""}]}}'))
+    filing = F.lit('{"filings":{"recent":{"form":["10-K","8-K"],"accessionNumber":["a"],"filingDate":[],"size":3}}}')
+    provider = F.when(i % 9 == 0, "odd").otherwise(F.get(F.array(*(F.lit(p) for p in validate.PROVIDERS)), k))
+    context = F.create_map(F.lit("symbol"), F.when(i % 5 != 0, F.lit("S")), F.when(i % 2 == 0, F.lit("cik")).otherwise("other"), F.lit("1"))
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(i.alias("capture"), provider.alias("provider"), F.get(F.array(news, quote, energy, filing), k).alias("body"), context.alias("context"))
+    return payloads.item_texts(rows, "body", "items")
+
+
+_CAPTURES = """WITH s AS (SELECT s_suppkey AS i, CASE WHEN s_suppkey % 9 = 0 THEN 'odd' ELSE ['marketaux', 'finnhub', 'eia', 'sec_edgar'][s_suppkey % 4 + 1] END AS provider, s_suppkey % 4 AS k FROM supplier)"""
+
+
+@_query(_CAPTURES + """, t AS (
+  SELECT i, unnest(CASE provider WHEN 'marketaux' THEN list_transform(range(1, 2 + i % 3), lambda j: '{"published_at":"2024-01-05","score":2.5,"title":"' || CASE WHEN j = 2 THEN '' ELSE '\\u00e9' END || '","uuid":"' || CAST(i AS VARCHAR) || '-' || CAST(j AS VARCHAR) || '"}')
+    WHEN 'finnhub' THEN ['{"c":' || CASE WHEN i % 3 = 0 THEN 'null' ELSE '100.0' END || ',"t":1700000000}'] WHEN 'eia' THEN ['{"period":"2024-01","sectorid":"' || CASE WHEN i % 3 = 0 THEN '' ELSE 'RES' END || '","stateid":"NY"}', '{"period":""}']
+    WHEN 'sec_edgar' THEN ['{"accessionNumber":"a","form":"10-K"}', '{"form":"8-K"}'] END) AS item FROM s)
+SELECT i AS capture, sha256(item) AS item_hash, length(item) AS chars FROM t""")
+def item_hashes(spark, sf_dir):
+    items = _captures(spark, sf_dir).select("capture", F.explode("items").alias("item"))
+    return items.select("capture", text.stable_hash(F.col("item")).alias("item_hash"), F.char_length("item").alias("chars"))
+
+
+@_query(_CAPTURES + """SELECT i AS capture, provider, CASE provider WHEN 'marketaux' THEN 1 + i % 3 WHEN 'finnhub' THEN 1 WHEN 'odd' THEN 0 ELSE 2 END AS input_items,
+  CASE provider WHEN 'marketaux' THEN 'published_at:0,title:' || CASE WHEN i % 3 >= 1 THEN '1' ELSE '0' END || ',url:' || CAST(1 + i % 3 AS VARCHAR) || ',uuid:0' WHEN 'finnhub' THEN 'c:' || CASE WHEN i % 3 = 0 THEN '1' ELSE '0' END || ',t:0' WHEN 'eia' THEN 'period:1'
+    WHEN 'sec_edgar' THEN 'accessionNumber:1,filingDate:2,form:0' ELSE '' END AS missing,
+  CASE provider WHEN 'marketaux' THEN 1 + i % 3 WHEN 'finnhub' THEN CASE WHEN i % 5 <> 0 THEN 1 ELSE 0 END WHEN 'eia' THEN CASE WHEN i % 3 = 0 THEN 0 ELSE 1 END WHEN 'sec_edgar' THEN 1 ELSE 0 END AS dedup_keys,
+  CASE provider WHEN 'finnhub' THEN 'symbol' WHEN 'eia' THEN 'sectorid,stateid' WHEN 'sec_edgar' THEN CASE WHEN i % 2 = 0 THEN 'cik,form' ELSE 'form' END ELSE '' END AS entities,
+  CASE provider WHEN 'marketaux' THEN 'published_at' WHEN 'finnhub' THEN 't' WHEN 'eia' THEN 'period' ELSE '' END AS times, CASE provider WHEN 'odd' THEN 'unknown_provider,no_input_items' ELSE '' END AS errors, provider <> 'odd' AS replay_ready FROM s""")
+def replay_summaries(spark, sf_dir):
+    found = coverage.replay_summaries(_captures(spark, sf_dir), "capture")
+    missing = F.array_join(F.transform(F.array_sort(F.map_entries("missing_required_fields")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    joined = lambda c, name: F.array_join(c, ",").alias(name)
+    return found.select("capture", "provider", "input_items", missing.alias("missing"), F.col("dedup_key_available_count").alias("dedup_keys"), joined("entity_fields_available", "entities"), joined("timestamp_fields_available", "times"), joined("errors", "errors"), "replay_ready")
+
+
+@_query(_CAPTURES + """SELECT i AS capture, ['data,meta', 'c,t', 'response', 'filings'][k + 1] AS top_level_keys, ['published_at,score,title,uuid', '', '', ''][k + 1] AS news_keys, CASE k WHEN 0 THEN 2 + i % 3 END AS news_count,
+  CASE k WHEN 2 THEN 'period,sectorid,stateid' ELSE '' END AS energy_keys, CASE k WHEN 2 THEN 2 END AS energy_count, CASE k WHEN 3 THEN 'accessionNumber,filingDate,form,size' ELSE '' END AS filing_keys, CASE k WHEN 3 THEN 2 END AS filing_count FROM s""")
+def response_shapes(spark, sf_dir):
+    rows = _captures(spark, sf_dir).select("capture", "body")
+    for name, path, columnar in (("news", "$.data", False), ("energy", "$.response.data", False), ("filing", "$.filings.recent", True)):
+        rows = normalize.response_shape(rows, item_path=path, columnar=columnar).withColumnsRenamed({"item_keys": f"{name}_keys", "item_count": f"{name}_count"})
+    return rows.drop("body")
+
+
+@_query("""SELECT CASE WHEN official_source THEN 'official' ELSE 'other' END AS grp, count(*) FILTER (WHERE provider_item_id IS NOT NULL) AS provider_item_id_available_count, count(*) FILTER (WHERE event_time IS NOT NULL) AS event_time_available_count, count(*) FILTER (WHERE id % 3 <> 0) AS entity_available_count,
+  count(*) AS dedup_key_available_count, count(*) FILTER (WHERE official_source) AS official_source_count, count(*) FILTER (WHERE provider = 'finnhub') AS market_data_count, count(*) FILTER (WHERE provider = 'sec_edgar') AS disclosure_count, count(*) FILTER (WHERE provider = 'marketaux') AS news_signal_count FROM v_evidence GROUP BY 1""")
+def envelope_counts(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    rows = view(spark, sf_dir, "evidence").withColumns({
+        "grp": F.when(F.col("official_source"), "official").otherwise("other"), "entity_refs": F.when(F.col("id") % 3 == 1, F.array("entity")).otherwise(none), "asset_refs": F.when(F.col("id") % 3 == 2, F.array("entity")).otherwise(none),
+        "official_source_flag": F.col("official_source"), "market_data_flag": F.col("provider") == "finnhub", "disclosure_flag": F.col("provider") == "sec_edgar", "news_signal_flag": F.col("provider") == "marketaux"})
+    return coverage.envelope_coverage(rows, "grp")
+
+
+@_query("""SELECT 'items' AS name, CAST(NULL AS VARCHAR) AS key, CAST(sum(l_linenumber) AS BIGINT) AS n FROM lineitem UNION ALL SELECT 'types', l_returnflag, count(*) FROM lineitem GROUP BY l_returnflag UNION ALL SELECT 'captures_seen', NULL, count(*) FROM lineitem
+UNION ALL SELECT 'shipped', NULL, arg_max(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END, l_orderkey * 10 + l_linenumber) FROM lineitem UNION ALL SELECT 'odd', NULL, 1""")
 def summaries_merged(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     one = lambda k, v: F.create_map(k, v.cast("long"))
-    return coverage.merged(lines.select(one(F.lit("items"), F.col("l_linenumber")).alias("counts"), F.create_map(F.lit("types"), one(F.col("l_returnflag"), F.lit(1))).alias("nested")))
+    flags = F.create_map(F.lit("shipped"), F.col("l_linestatus") == "F", F.lit("odd"), F.when(F.col("l_linenumber") == 1, F.lit(True)))
+    rows = lines.select(one(F.lit("items"), F.col("l_linenumber")).alias("counts"), F.create_map(F.lit("types"), one(F.col("l_returnflag"), F.lit(1))).alias("nested"), flags.alias("flags"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"))
+    return coverage.merged(rows, order="place")
