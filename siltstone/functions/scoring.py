@@ -44,6 +44,14 @@ def mock_impact_confidence(sources: Column) -> Column:
     return F.when(sources > 1, F.lit(0.5)).otherwise(F.lit(0.25))
 
 
+def mock_impact(sources: Column, companies: Column, assets: Column, sectors: Column, uncertainty: Column) -> Column:
+    """A whole analysis that says nothing: constants, what it was asked about, and a confidence by the number of sources."""
+    return F.struct(
+        companies.alias("affected_companies"), assets.alias("affected_assets"), sectors.alias("affected_sectors"), F.lit("uncertain").alias("impact_direction"), F.lit("short_term").alias("impact_horizon"),
+        F.array(F.lit("information")).alias("impact_channels"), mock_impact_confidence(sources).alias("confidence"), F.lit(MOCK_RATIONALE).alias("rationale_summary"), uncertainty.alias("uncertainty"),
+        F.lit(True).alias("required_market_validation"), F.lit(1).alias("analysis_version"))
+
+
 def analysis_errors(confidence_: Column, version: Column, rationale: Column) -> Column:
     """Codes of what is wrong with an analysis, in the order of the checks."""
     low, trading = F.lower(rationale), F.lit(False)

@@ -106,6 +106,14 @@ def instant_of_seconds(value: Column) -> Column:
     return F.timestamp_seconds(value)
 
 
+def instant_of_json(value: Column) -> Column:
+    """A time from a JSON value (VARIANT): numbers are seconds since 1970, strings as in ``instant``, all else is none."""
+    kind = F.schema_of_variant(value)
+    number = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(value, "$", "double"))
+    bounded = F.when(number.between(-62_135_596_800, 253_402_300_799), F.timestamp_seconds(number))
+    return F.coalesce(bounded, F.when(kind == "STRING", instant(F.try_variant_get(value, "$", "string"))))
+
+
 def first_instant(*values: Column) -> Column:
     return F.coalesce(*(instant(v) for v in values))
 
@@ -152,8 +160,8 @@ def opaque_refs(namespace: str, values: Column) -> Column:
 
 
 def safe_public_url(value: Column) -> Column:
-    """The text if it is an http(s) address with a host, without user and secrets, else null."""
-    ok = value.rlike(r"^(?i)https?://[^/?#@\s]+([/?#]\S*)?$") & ~value.rlike(r"(?i)(api_?key|token|secret|password)=")
+    """The text if it is an http(s) address of at most 4000 characters, with a host, without user and secrets, else null."""
+    ok = value.rlike(r"^(?i)https?://[^/?#@\s]+([/?#]\S*)?$") & ~value.rlike(r"(?i)(api[_-]?key|authorization|token|secret|password)=") & (F.char_length(value) <= 4000)
     return F.when(ok, value)
 
 

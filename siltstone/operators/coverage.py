@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +87,35 @@ def replay_summaries(captures: DataFrame, by: str) -> DataFrame:
         lists(TIME_FIELDS, lambda f: F.col(f"_has_{f}")).alias("timestamp_fields_available"), errors.alias("errors"), (F.size(errors) == 0).alias("replay_ready"))
 
 
+#: Fields whose values are numbers of a quote.
+PRICE_FIELDS = ("c", "d", "dp", "h", "l", "o", "pc")
+
+
+def replay_candidates(captures: DataFrame) -> DataFrame:
+    """One row for each item of ``captures`` (capture, provider, items as JSON texts, context as a map): which parts of an
+    envelope it could fill, and what kind of source it is.  Null, empty texts and empty lists fill nothing; zero and false do.
+    Items of unknown providers are left out."""
+    item, provider = F.col("_item"), F.col("provider")
+    has = lambda *fields: reduce(or_, (F.coalesce(~item[f].isin("", "[]", "{}"), F.lit(False)) for f in fields))
+    told = lambda key: F.coalesce(F.col("context")[key] != "", F.lit(False))
+    yes, no = F.lit(True), F.lit(False)
+    place, sector = has("stateid", "stateDescription"), has("sectorid", "sectorName")
+    quoted, dated = told("symbol") & has("t"), has("period") & place & sector
+    by = lambda news, quote, energy, filing: F.when(provider == "marketaux", news).when(provider == "finnhub", quote).when(provider == "eia", energy).otherwise(filing)
+    ident = by(has("uuid"), quoted, dated, has("accessionNumber"))
+    rows = captures.where(provider.isin(*REQUIRED)).select("capture", "provider", "context", F.explode("items").alias("_text")).withColumn("_item", F.from_json("_text", "map<string,string>"))
+    return rows.select(
+        "capture", "provider", ident.alias("provider_item_id_available"), by(has("published_at"), has("t"), has("period"), has("acceptanceDateTime", "filingDate", "reportDate")).alias("event_time_available"),
+        by(has("source"), yes, yes, yes).alias("source_available"), by(has("entities"), told("symbol"), place | sector, told("ticker")).alias("entity_available"), by(has("entities"), told("symbol"), no, told("ticker")).alias("asset_or_company_available"),
+        ident.alias("dedup_key_available"), by(has("title", "snippet", "description"), no, no, no).alias("content_text_available"), by(no, has(*PRICE_FIELDS), has("price", "value"), no).alias("numeric_value_available"),
+        provider.isin("eia", "sec_edgar").alias("official_source_flag"), (provider == "finnhub").alias("market_data_flag"), (provider == "sec_edgar").alias("disclosure_flag"), (provider == "marketaux").alias("news_signal_flag"))
+
+
+def report(summary: DataFrame) -> DataFrame:
+    """Each row of a summary as one JSON text (``report``) with sorted keys; nulls are told as null."""
+    return summary.select(F.to_json(F.struct(*sorted(summary.columns)), {"ignoreNullFields": "false"}).alias("report"))
+
+
 #: The counts of an envelope report, and the conditions that they count.
 ENVELOPE_COUNTS = {
     "provider_item_id_available_count": "provider_item_id is not null", "event_time_available_count": "event_time is not null", "entity_available_count": "size(entity_refs) > 0 or size(asset_refs) > 0",

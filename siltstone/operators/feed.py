@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 #: What a provider's items are called.
 LABELS = {"marketaux": "News", "finnhub": "Market data", "eia": "Official energy data", "sec_edgar": "Company filing"}
 MESSAGE_LIMIT = 4096
+#: Providers in the order in which they are asked, shown and reported.
+PROVIDER_ORDER = ("marketaux", "finnhub", "eia", "sec_edgar")
+
+
+def in_provider_order(rows: DataFrame, provider: str = "provider") -> DataFrame:
+    """Adds ``provider_place``, by a join with the four rows of the order; a provider that is none of them comes last, with a
+    null place, and stays."""
+    order = rows.sparkSession.createDataFrame(list(enumerate(PROVIDER_ORDER)), f"provider_place int, {provider} string")
+    return rows.join(F.broadcast(order), provider, "left").select(*rows.columns, "provider_place")
 
 
 def visible() -> Column:

@@ -37,11 +37,13 @@ def _is_number(value: Column) -> Column:
 
 
 def quote_rows(df: DataFrame, body: str = "body") -> DataFrame:
-    """The one quote of a response, with the numbers counted; strings and booleans don't count."""
+    """The one quote of a response, with the numbers counted; strings and booleans don't count, and without a number it is no
+    quote."""
     v = F.try_parse_json(body)
     number = lambda f: _is_number(F.try_variant_get(v, f"$.{f}", "variant"))
     rows = df.select("*", F.try_variant_get(v, "$.t", "bigint").alias("t"), reduce(lambda a, b: a + b, map(number, QUOTE_FIELDS)).alias("numeric_field_count"))
-    return rows.withColumn("item_id", F.when(present(F.col("symbol")) & F.col("t").isNotNull(), F.concat_ws(":", "symbol", F.col("t").cast("string"))))
+    whole = present(F.col("symbol")) & F.col("t").isNotNull() & (F.col("numeric_field_count") > 0)
+    return rows.withColumn("item_id", F.when(whole, F.concat_ws(":", "symbol", F.col("t").cast("string"))))
 
 
 def filing_rows(df: DataFrame, body: str = "body", *, padded: bool = False) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import REFERENCE_PREFIXES, instant, json_list, json_string, opaque_refs, stable_hash
 from siltstone.operators.normalize import QUOTE_FIELDS, envelope
-from siltstone.operators.validate import COMMON_KEYS, PROJECTION_KEYS, projection_error
+from siltstone.operators.validate import COMMON_KEYS, PROJECTION_KEYS, PROVIDERS, projection_error
 
 #: Fixed value: what no text of a projection may hold.
 SECRET = r"(?i)(api[_-]?key|api[_-]?token|authorization|x-finnhub-token|token|secret|password)"
@@ -88,3 +88,26 @@ def projection_evidence(rows: DataFrame) -> DataFrame:
         made("sec_edgar", "sec_filing", filing, item_json=json_string(item), has_url=p("has_primary_document", "boolean"), asset_refs=opaque_refs("asset", F.array(p("ticker"))), topic_refs=opaque_refs("topic", F.array(p("form")))),
     ]
     return reduce(DataFrame.unionByName, out)
+
+
+def raw_mismatch(projections: DataFrame, raw: DataFrame) -> DataFrame:
+    """``projections`` (raw_item_id, source_id, source_account_id, provider, and the projection as JSON) with ``mismatch``: what
+    differs from the raw row that it was made from, in this order; null where all agrees.  A raw row that is not there differs
+    as a whole.  Nulls agree with nulls."""
+    said = F.from_json("projection", "provider_item_id string, payload_hash string, payload_reference string")
+    r = raw.select(F.col("id").alias("_id"), F.col("source_id").alias("_source"), F.col("source_account_id").alias("_account"), F.col("external_id").alias("_item"), F.col("payload_hash").alias("_hash"), F.col("payload_location").alias("_place"))
+    met = projections.withColumn("_p", said).join(r, F.col("raw_item_id") == F.col("_id"), "left")
+    pairs = (("source_id", "_source", "source_id"), ("source_account_id", "_account", "source_account_id"), ("_p.provider_item_id", "_item", "external_id"), ("_p.payload_hash", "_hash", "payload_hash"), ("_p.payload_reference", "_place", "payload_location"))
+    differs = [F.when(~F.col(a).eqNullSafe(F.col(b)), F.lit(name)) for a, b, name in pairs]
+    found = F.concat_ws(",", differs[0], differs[1], F.when(~F.coalesce(F.col("provider").isin(*PROVIDERS), F.lit(False)), "provider"), *differs[2:])
+    return met.withColumn("mismatch", F.when(F.col("_id").isNull(), "raw_item_id").when(found != "", found)).select(*projections.columns, "mismatch")
+
+
+def saved(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` (raw_item_id, provider, projection, observed_at as text) with ``save_error``: an invalid projection, a time
+    without zone, or a raw row that an earlier row (by ``order``) has saved; null for those that are kept, one a raw row."""
+    zoned = F.coalesce(F.col("observed_at").rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.lit(False)) & F.expr("try_cast(observed_at as timestamp)").isNotNull()
+    error = F.when(content_error(F.col("provider"), F.col("projection")).isNotNull(), "projection_invalid").when(~zoned, "projection_observed_at_invalid")
+    judged = rows.withColumn("_error", error)
+    place = F.row_number().over(Window.partitionBy("raw_item_id", F.col("_error").isNull()).orderBy(*order))
+    return judged.withColumn("save_error", F.coalesce("_error", F.when(place > 1, "projection_already_exists"))).drop("_error")

@@ -100,3 +100,9 @@ def cycle_status(statuses: DataFrame, by: str = "cycle") -> DataFrame:
     """PARTIAL if any provider failed, was blocked or must retry, or if delivery failed or was blocked."""
     bad = F.bool_or(F.col("status").isin("FAILED", "BLOCKED", "RETRY") | F.col("delivery").isin("BLOCKED", "FAILED"))
     return statuses.groupBy(by).agg(F.when(F.coalesce(bad, F.lit(False)), "PARTIAL").otherwise("PASS").alias("cycle_status"), F.count("*").alias("providers"))
+
+
+def error_list(errors: Column, run_error: Column) -> Column:
+    """The errors of an outcome and of its run, in lower case, each once and in the order of their first place."""
+    last = F.when(run_error.isNotNull(), F.array(F.lower(run_error))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.coalesce(errors, F.array().cast("array<string>")), last))

@@ -31,17 +31,17 @@ def _query(sql: str | None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from siltstone.plans import changes, more
+    from siltstone.plans import changes, more, records
     from siltstone.streaming import jobs
 
-    return _QUERIES | more.queries() | changes.queries() | jobs.queries()
+    return _QUERIES | more.queries() | changes.queries() | records.queries() | jobs.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from siltstone.plans import changes, more
+    from siltstone.plans import changes, more, records
     from siltstone.streaming import jobs
 
-    return _SQL | more.oracle_sql() | changes.oracle_sql() | jobs.oracle_sql()
+    return _SQL | more.oracle_sql() | changes.oracle_sql() | records.oracle_sql() | jobs.oracle_sql()
 
 
 def _now():
@@ -374,12 +374,15 @@ _PROVENANCE = """
 p AS (SELECT d.*, CASE WHEN r.id IS NULL THEN 'raw_item_id:reference_not_found' WHEN r.source_id <> d.source_id OR r.source_account_id IS DISTINCT FROM d.source_account_id THEN 'raw_item_id:provenance_mismatch'
   WHEN d.source_account_id IS NOT NULL AND a.id IS NULL THEN 'source_account_id:reference_not_found' WHEN d.source_account_id IS NOT NULL AND a.source_id <> d.source_id THEN 'source_account_id:provenance_mismatch'
   WHEN d.content_item_id IS NOT NULL AND c.id IS NULL THEN 'content_item_id:reference_not_found' WHEN d.content_item_id IS NOT NULL AND (c.source_id <> d.source_id OR c.raw_item_id <> d.raw_item_id) THEN 'content_item_id:provenance_mismatch' END AS provenance_error
-  FROM {rows} d LEFT JOIN v_raw r ON r.id = d.raw_item_id AND r.run_id <> 3 LEFT JOIN v_accounts a ON a.id = d.source_account_id LEFT JOIN v_content c ON c.id = d.content_item_id AND c.title IS NOT NULL)
+  FROM {rows} d LEFT JOIN v_raw r ON r.id = CASE WHEN d.raw_item_id % 25 = 3 THEN -d.raw_item_id ELSE d.raw_item_id END LEFT JOIN v_accounts a ON a.id = d.source_account_id LEFT JOIN v_content c ON c.id = CASE WHEN d.content_item_id % 13 = 0 THEN -1 - d.content_item_id ELSE d.content_item_id END)
 """
 
 
 def _provenance(spark, sf_dir, rows):
-    return dedup.provenance_error(rows, view(spark, sf_dir, "raw").where("run_id <> 3"), view(spark, sf_dir, "accounts"), view(spark, sf_dir, "content").where("title is not null"))
+    """Some references point nowhere: to a raw or content row that no table has."""
+    gone = lambda c, n, k: F.when(F.col(c) % n == k, -1 - F.col(c)).otherwise(F.col(c))
+    rows = rows.withColumns({"raw_item_id": gone("raw_item_id", 25, 3), "content_item_id": gone("content_item_id", 13, 0)})
+    return dedup.provenance_error(rows, view(spark, sf_dir, "raw"), view(spark, sf_dir, "accounts"), view(spark, sf_dir, "content"))
 
 
 @_query("WITH " + _PROVENANCE.format(rows="v_evidence") + "SELECT id, provenance_error FROM p")
@@ -436,9 +439,10 @@ def write_summary(spark, sf_dir):
 
 
 @_query("""SELECT count(*) FILTER (WHERE o_orderkey IS NULL) AS missing, count(*) FILTER (WHERE o_custkey % 10 <> l_suppkey % 10) AS differs, count(*) AS links
-FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey""")
+FROM lineitem LEFT JOIN orders ON CASE WHEN l_orderkey % 37 = 0 THEN -l_orderkey ELSE l_orderkey END = o_orderkey""")
 def provenance_audit(spark, sf_dir):
-    links, orders = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey"), _read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey")
+    key = F.col("l_orderkey")
+    links, orders = _read(spark, sf_dir, "lineitem").select(F.when(key % 37 == 0, -key).otherwise(key).alias("l_orderkey"), "l_suppkey"), _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     met = links.join(orders, links.l_orderkey == orders.o_orderkey, "left")
     return met.agg(F.count_if(F.col("o_orderkey").isNull()).alias("missing"), F.count_if(F.col("o_custkey") % 10 != F.col("l_suppkey") % 10).alias("differs"), F.count("*").alias("links"))
 
@@ -490,13 +494,16 @@ def _candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return signed, rolled.select("id", F.col("signatures").alias("identity_signatures"), F.col("fps").alias("title_fingerprints"), F.col("entity_refs").alias("entities"), "first_seen_at", "latest_seen_at")
 
 
-@_query(_SIGNED + _CANDIDATES + """, r AS (
+_RANKED = """, r AS (
   SELECT evidence_id, c.id AS candidate_id, min(CASE split_part(g, ':', 1) WHEN 'official' THEN 1 WHEN 'url' THEN 2 WHEN 'provider' THEN 3 ELSE 5 END) AS rank
   FROM (SELECT evidence_id, unnest(sigs) AS g FROM i) x JOIN (SELECT id, unnest(sigs) AS g FROM c) c USING (g) GROUP BY ALL
   UNION ALL SELECT evidence_id, c.id, 4 FROM i, c WHERE list_contains(fps, fp) AND list_contains(entities, entity) AND seen >= first_at - INTERVAL 24 HOUR AND seen <= last_at + INTERVAL 24 HOUR),
 b AS (SELECT evidence_id, candidate_id, min(rank) AS rank FROM r GROUP BY ALL),
 m AS (SELECT evidence_id, min(rank) AS rank FROM b GROUP BY 1),
-n AS (SELECT evidence_id, m.rank, count(*) AS n, min(candidate_id) AS candidate_id FROM b JOIN m USING (evidence_id) WHERE b.rank = m.rank GROUP BY ALL)
+n AS (SELECT evidence_id, m.rank, count(*) AS n, min(candidate_id) AS candidate_id FROM b JOIN m USING (evidence_id) WHERE b.rank = m.rank GROUP BY ALL)"""
+
+
+@_query(_SIGNED + _CANDIDATES + _RANKED + """
 SELECT i.evidence_id, CASE WHEN n = 1 THEN candidate_id END AS matched_candidate_id, CASE WHEN n IS NULL THEN 'new_candidate' WHEN n > 1 THEN 'ambiguous_new_candidate'
   ELSE ['official_identity', 'canonical_url', 'provider_external_id', 'entity_title_time', 'approved_hash'][rank] END AS match_rule FROM i LEFT JOIN n USING (evidence_id)""")
 def event_match_ranked(spark, sf_dir):
@@ -517,16 +524,20 @@ def event_match_time_window_counts(spark, sf_dir):
     return resolve.time_window_counts(*_candidates(_signed(spark, sf_dir)))
 
 
-@_query(_SIGNED + """, k AS (SELECT *, split_part(sigs[1], ':', 1) AS anchor_type, sha256(split_part(sigs[1], ':', 1) || ':' || split_part(sigs[1], ':', 2)) AS cluster_key FROM s),
-f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_key ORDER BY seen, evidence_id) AS n FROM k) WHERE n = 1)
+@_query(_SIGNED + _CANDIDATES + _RANKED + """, u AS (
+  SELECT i.*, coalesce(n.n > 1, false) AS amb, CASE WHEN coalesce(n.n > 1, false) THEN 'ambiguous_evidence' ELSE split_part(sigs[1], ':', 1) END AS anchor_type,
+    CASE WHEN coalesce(n.n > 1, false) THEN sha256(CAST(i.evidence_id AS VARCHAR)) ELSE split_part(sigs[1], ':', 2) END AS value FROM i LEFT JOIN n USING (evidence_id) WHERE n.n IS NULL OR n.n > 1),
+k AS (SELECT *, sha256(anchor_type || ':' || value) AS cluster_key FROM u),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_key ORDER BY seen, evidence_id) AS place FROM k) WHERE place = 1)
 SELECT cluster_key, anchor_type, array_to_string(sigs, ',') AS identity_signatures, coalesce(fp, '') AS title_fingerprints, 'information_event' AS event_type, 'candidate' AS status, CAST(NULL AS VARCHAR) AS canonical_title,
-  seen AS first_seen_at, seen AS latest_seen_at, event_time AS occurred_at, entity AS primary_entity, entity AS companies, '' AS assets, 1 AS evidence_count, 1 AS source_count, round(CASE WHEN official_source THEN 0.65 ELSE 0.45 END, 4) AS confidence FROM f""")
+  seen AS first_seen_at, seen AS latest_seen_at, event_time AS occurred_at, entity AS primary_entity, entity AS companies, '' AS assets, 1 AS evidence_count, 1 AS source_count, round(CASE WHEN official_source THEN 0.65 ELSE 0.45 END, 4) AS confidence,
+  CAST(15 + CASE WHEN official_source THEN 30 ELSE 0 END AS DOUBLE) AS importance_score FROM f""")
 def event_new_candidates(spark, sf_dir):
-    rows = resolve.with_anchor(_signed(spark, sf_dir)).withColumn("matched_candidate_id", F.lit(None).cast("long"))
+    rows = resolve.match(*_candidates(_signed(spark, sf_dir)))
     text_of = lambda c: F.array_join(c, ",").alias(c)
     return resolve.new_candidates(rows).select(
         "cluster_key", "anchor_type", text_of("identity_signatures"), text_of("title_fingerprints"), "event_type", "status", "canonical_title", "first_seen_at", "latest_seen_at", "occurred_at", "primary_entity", text_of("companies"),
-        text_of("assets"), "evidence_count", "source_count", F.round("confidence", 4).alias("confidence"))
+        text_of("assets"), "evidence_count", "source_count", F.round("confidence", 4).alias("confidence"), F.col("importance_score").cast("double").alias("importance_score"))
 
 
 _ROLLED = """SELECT candidate_id, count(DISTINCT CASE WHEN active THEN evidence_id END) AS evidence_count, count(DISTINCT CASE WHEN active THEN source_id END) AS source_count,

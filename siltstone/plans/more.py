@@ -58,17 +58,6 @@ def sidecar_bind(spark, sf_dir):
     return normalize.bound_sidecar(rows.drop("source_published_at"), pending).select("id", "meta")
 
 
-@_query("""
-SELECT e.id, concat_ws(',', CASE WHEN r.source_id IS DISTINCT FROM e.source_id THEN 'source' END, CASE WHEN r.source_account_id IS DISTINCT FROM e.source_account_id THEN 'account' END, CASE WHEN r.run_id IS DISTINCT FROM e.id % 20 THEN 'run' END) AS mismatch
-FROM v_evidence e LEFT JOIN v_raw r ON r.id = e.raw_item_id AND r.run_id <> 3""")
-def raw_projection_mismatch(spark, sf_dir):
-    raw = view(spark, sf_dir, "raw").where("run_id <> 3").select(F.col("id").alias("r"), F.col("source_id").alias("rs"), F.col("source_account_id").alias("ra"), "run_id")
-    e = view(spark, sf_dir, "evidence")
-    differs = lambda a, b, name: F.when(~a.eqNullSafe(b), F.lit(name))
-    met = e.join(raw, e.raw_item_id == raw.r, "left")
-    return met.select("id", F.concat_ws(",", differs(F.col("rs"), F.col("source_id"), "source"), differs(F.col("ra"), F.col("source_account_id"), "account"), differs(F.col("run_id"), F.col("id") % 20, "run")).alias("mismatch"))
-
-
 @_query("""
 WITH f AS (SELECT provider, provider_item_id IS NULL AS no_id, event_time IS NULL AS no_time, provider_item_id IS NOT NULL AND event_time IS NOT NULL AS ready FROM v_evidence)
 SELECT provider, count(*) AS items, count(*) FILTER (WHERE no_id) AS missing_id, count(*) FILTER (WHERE no_time) AS missing_time, count(*) FILTER (WHERE ready) AS dedup_keys FROM f GROUP BY provider""")
@@ -92,10 +81,12 @@ def link_problems(spark, sf_dir):
     return resolve.link_problems(view(spark, sf_dir, "links"))
 
 
-@_query("SELECT DISTINCT evidence_id FROM v_links WHERE evidence_id NOT IN (SELECT evidence_id FROM v_links WHERE active AND official)")
+@_query("SELECT c_custkey AS evidence_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' OR o_orderkey % 11 = 0)")
 def evidence_unprocessed(spark, sf_dir):
-    links = view(spark, sf_dir, "links")
-    return resolve.unprocessed(links.select("evidence_id").distinct(), links.where("official"))
+    """Customers as evidence, their orders as links, of which a part is active."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    links = orders.select(F.col("o_custkey").alias("evidence_id"), ((F.col("o_orderstatus") == "P") | (F.col("o_orderkey") % 11 == 0)).alias("active"))
+    return resolve.unprocessed(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("evidence_id")), links)
 
 
 @_query("SELECT id // 3 AS verification, CASE WHEN bool_and(http_status = 200) THEN 'PASS' ELSE 'FAIL' END AS verdict, count(*) AS checks FROM v_runs GROUP BY 1")
@@ -137,7 +128,7 @@ def retry_headers(spark, sf_dir):
     return events.select("event_id", timing.retry_after_header(headers).alias("retry_after"), timing.marker_seconds(F.col("event_id") % 500, F.lit(120), F.lit(900)).cast("long").alias("marker_seconds"))
 
 
-@_query(r"""SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/?#@\s]+([/?#]\S*)?$', 'i') AND NOT regexp_matches(url, '(api_?key|token|secret|password)=', 'i') THEN url END AS safe_url FROM pages""")
+@_query(r"""SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/?#@\s]+([/?#]\S*)?$', 'i') AND NOT regexp_matches(url, '(api[_-]?key|authorization|token|secret|password)=', 'i') AND length(url) <= 4000 THEN url END AS safe_url FROM pages""")
 def safe_urls(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", text.safe_public_url(F.col("url")).alias("safe_url"))
 
