@@ -30,13 +30,10 @@ _HEX_LONG = re.compile(r"[0-9a-f]{24,}")
 
 #: Parts of names by how surely their value is secret.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.8, "apikey": 1.0, "api_key": 1.0, "access_key": 1.0, "private_key": 1.0, "credential": 0.8, "credentials": 0.8, "auth": 0.6, "authorization": 0.7, "client_secret": 1.0, "bearer": 0.7}
-PLACEHOLDER = re.compile(r"(?i)change_?me|example|placeholder|your[_-]|dummy|redacted|none|null|true|false|undefined|\*{3,}|x{4,}|\$\{|\{\{|<.*>|%\(")
+PLACEHOLDER = re.compile(r"(?i)change_?me|example|placeholder|your[_-]\w*|dummy|redacted|none|null|true|false|undefined|\*{3,}|x{4,}|\$\{[^{}]*\}?|\{\{[^{}]*\}{0,2}|<[^<>]*>|%\([^()]*\)?")
 THRESHOLD = 0.6
-
-#: A literal of which so much is a placeholder says nothing, however long it is; in short ones any part does.
-SHORT, PLACEHOLDER_PART = 400, 0.25
-#: Characters of a joined literal by which its form is judged; its entropy covers all of it.
-FORM_CHARS = 10_000
+#: A literal of which so much, over all of its parts, is a placeholder says nothing.
+PLACEHOLDER_PART = 0.15
 
 _MAY_HOLD = re.compile("(?i)pass|pwd|secret|token|key|credential|auth|bearer")
 _SCHEME = r"(?:[Bb]earer|[Bb]asic|[Dd]igest|BEARER|BASIC|DIGEST)[ \t]+[A-Za-z0-9+/_.=~-]+"
@@ -44,18 +41,21 @@ _STRING = re.compile(r'''(?:[rRbBuUfF]{1,2}(?=["']))?(?:"""((?:[^"\\]|\\[\s\S]|"
 _WORD = re.compile(r"[A-Za-z0-9_./=-][A-Za-z0-9_./+=~-]*")
 _SCHEME_WORD = re.compile(_SCHEME)
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+"
-_TARGET = re.compile(rf"""(?<![\w.])(?<![A-Za-z_]-)(?:[A-Za-z_][\w.]*+\[[ \t]*["']([^"'\n\[\]]+)["'][ \t]*\]|["']?({_NAME})["']?)[ \t]*(?::[ \t]*[A-Za-z_][\w.]*(?:\[[\w., |\[\]]*\])?(?:[ \t]*\|[ \t]*\w+)*[ \t]*(?==(?![=>])))?(:=|=>|[:=])(?![=:])""")
+#: A name begins where a run of its characters begins, behind dashes: so each run is tried once.
+_TARGET = re.compile(rf"""(?<![\w.-])-*+(?:[A-Za-z_][\w.]*+\[[ \t]*["']([^"'\n\[\]]+)["'][ \t]*\]|["']?({_NAME})["']?)[ \t]*(?::[ \t]*[A-Za-z_][\w.]*(?:\[[\w., |\[\]]*\])?(?:[ \t]*\|[ \t]*\w+)*[ \t]*(?==(?![=>])))?(:=|=>|[:=])(?![=:])""")
 _ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*)(?:\s[^<>]*)?>\s*([^<>\s](?:[^<>]*[^<>\s])?)\s*</\1\s*>")
-_JOIN = re.compile(r"[ \t]*(?:\+|\.\.?|\|\||~)(?=\s)|[ \t]*\+")
-_GAP, _WIDE_GAP = re.compile(r"(?:[ \t]|\\\r?\n)*"), re.compile(r"(?:\s|\\\r?\n|(?:#|//)[^\n]*\n)*")
-_NEXT_LINE = re.compile(r"[ \t]*(?:#[^\n]*)?\r?\n([ \t]+)(?![ \t#-])([^\n]*?)[ \t\r]*$", re.M)
+_JOIN = re.compile(r"[ \t]*(?:\+|\.\.?|\|\||\?\?|~|\bor\b)(?=\s)|[ \t]*\+")
+_DEFINED = re.compile(rf"""^[ \t]*#[ \t]*define[ \t]+({_NAME})[ \t]+(?=["'])|\bsetattr\([ \t]*[\w.]+[ \t]*,[ \t]*["']({_NAME})["'][ \t]*,[ \t]*(?=["'])""", re.M)
+_GAP, _WIDE_GAP = re.compile(r"(?:[ \t]|\\\r?\n)*"), re.compile(r"(?:\s|\\\r?\n|(?:#|//)[^\n]*+(?:\n|\Z))*+")
+_BLANKS = re.compile(r"[ \t]*")
+_NEXT_LINE = re.compile(r"\r?\n([ \t]+)(?![ \t#-])([^\n]*?)[ \t\r]*$", re.M)
 _BLOCK = re.compile(rf"""^([ \t]*(?:- +)?)["']?({_NAME})["']?[ \t]*:[ \t]*[|>][0-9+-]*[ \t]*\n""", re.M)
 _LINE_BEFORE = re.compile(r"[ \t]*(?:(?:export|set|const|let|var|final|-)[ \t]+)*[\"']?")
-_LINE_AFTER = re.compile(r"[ \t]*[;,]?[ \t\r]*(?:(?:#|//).*)?$", re.M)
+_LINE_AFTER = re.compile(r"[ \t]*[;,]?[ \t\r]*(?:#|//|$)", re.M)
 _PRIVATE = re.compile(r"\s*-----BEGIN [A-Z0-9 ]*PRIVATE KEY")
 _PUBLIC = re.compile(r"\s*-----BEGIN ")
 _SCHEMED = re.compile(r"\s*(?:bearer|basic|digest|token)\s+(\S+)\s*", re.I)
-_SENTENCE = re.compile(r"[.!?:;,](?:\s|$)")
+_SENTENCE, _ENDED = re.compile(r"[.!?:;,]\s"), re.compile(r"[.!?:;,]$")
 
 
 def _name_weight(name: str) -> float:
@@ -66,14 +66,16 @@ def _name_weight(name: str) -> float:
 
 class Value:
     """A literal with its span, or a join of values.  Joins share their parts, so names that are joined again and again don't
-    grow; counts and lengths of parts are added up once."""
+    grow; what is known of a value is put together from its parts, each of which is looked at once, as a whole."""
 
-    __slots__ = ("parts", "text", "span", "counts", "seen")
+    __slots__ = ("parts", "text", "span", "counts", "held", "spaced", "said", "seen")
 
     def __init__(self, parts: list[Value] | None = None, text: str = "", span: tuple[int, int] | None = None):
         self.parts, self.text, self.span, self.counts, self.seen = parts or [], text, span, None, False
+        self.held, self.spaced, self.said = 0, False, False
 
-    def count(self) -> Counter:
+    def known(self) -> Value:
+        """Counts of characters, how many are placeholders, and whether there are spaces and ends of sentences inside."""
         todo = [self]
         while todo:
             v = todo[-1]
@@ -84,18 +86,27 @@ class Value:
             todo.pop()
             if v.counts is None:
                 v.counts = Counter(v.text)
+                v.held = sum(m.end() - m.start() for m in PLACEHOLDER.finditer(v.text))
+                v.spaced, v.said = re.search(r"\s", v.text.strip()) is not None, _SENTENCE.search(v.text) is not None
                 for p in v.parts:
                     v.counts.update(p.counts)
-        return self.counts
-
-    def begin(self, most: int) -> str:
-        out, size, todo = [], 0, [self]
-        while todo and size < most:
-            v = todo.pop()
-            out.append(v.text)
-            size += len(v.text)
-            todo += reversed(v.parts)
-        return "".join(out)
+                    v.held += p.held
+                    v.spaced, v.said = v.spaced or p.spaced, v.said or p.said
+                # Where parts meet, a space at an end is one inside.
+                v.spaced = v.spaced or any(p.last()[-1:].isspace() for p in v.parts[:-1]) or any(p.first()[:1].isspace() for p in v.parts[1:])
+        return self
+
+    def first(self) -> str:
+        v = self
+        while v.parts:
+            v = v.parts[0]
+        return v.text
+
+    def last(self) -> str:
+        v = self
+        while v.parts:
+            v = v.parts[-1]
+        return v.text
 
     def spans(self) -> list[tuple[int, int]]:
         """Spans of all parts that were not given before."""
@@ -110,18 +121,18 @@ class Value:
 
 
 def _literal_weight(value: Value) -> float:
-    text = value.begin(FORM_CHARS)
-    if _PUBLIC.match(text):
-        return 1.0 if _PRIVATE.match(text) else 0.0
-    counts = value.count()
-    if (m := _SCHEMED.fullmatch(text)) and len(text) == sum(counts.values()):
-        text = m[1]
-        counts = Counter(text)
-    elif re.search(r"\s", text.strip()) and _SENTENCE.search(text):
+    """How much a literal looks like a secret: one rule for all lengths, over all of its parts in any order."""
+    begin = value.first()
+    if _PUBLIC.match(begin):
+        return 1.0 if _PRIVATE.match(begin) else 0.0
+    known = value.known()
+    counts, held = known.counts, known.held
+    if not value.parts and (m := _SCHEMED.fullmatch(value.text)):
+        counts, held = Counter(m[1]), sum(x.end() - x.start() for x in PLACEHOLDER.finditer(m[1]))
+    elif known.spaced and (known.said or _ENDED.search(value.last())):
         return 0.0
     n = sum(counts.values())
-    held = sum(m.end() - m.start() for m in PLACEHOLDER.finditer(text))
-    if n < 8 or (held and (n <= SHORT or held >= PLACEHOLDER_PART * len(text))):
+    if n < 8 or held >= PLACEHOLDER_PART * n:
         return 0.0
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     said = "".join(counts)
@@ -168,52 +179,99 @@ def _operand(text: str, at: int) -> tuple[Operand, int] | None:
     return None
 
 
-def _expression(text: str, at: int) -> tuple[list[Operand], int]:
-    """The operands from a place on, and where they end.  Inside brackets they go on over lines; strings side by side join."""
+def _expression(text: str, at: int) -> tuple[list[Operand], int, int]:
+    """The operands from a place on, where they end, and where the last comment between them ends.  Inside brackets they go on
+    over lines; strings side by side join."""
     operands: list[Operand] = []
-    depth, gap = 0, _GAP
-    at = gap.match(text, at).end()
+    depth, gap, comment = 0, _GAP, at
+
+    def skip(at: int) -> int:
+        nonlocal comment
+        end = gap.match(text, at).end()
+        if depth and (text.find("#", at, end) >= 0 or text.find("//", at, end) >= 0):
+            comment = end
+        return end
+
+    at = skip(at)
     while text[at : at + 1] == "(":
         depth, gap = depth + 1, _WIDE_GAP
-        at = gap.match(text, at + 1).end()
+        at = skip(at + 1)
     while True:
         got = _operand(text, at)
         if got is None:
-            return ([], at) if depth or not operands else (operands, at)
+            return ([] if depth or not operands else operands), at, comment
         operands.append(got[0])
         end = got[1]
-        next_ = gap.match(text, end).end()
+        next_ = skip(end)
         if (m := _JOIN.match(text, end)) is not None or (m := _JOIN.match(text, next_)) is not None:
-            at = gap.match(text, m.end()).end()
+            at = skip(m.end())
         elif got[0][3] and next_ > end and _STRING.match(text, next_):
             at = next_
         else:
             # A list of several values in brackets is no one literal.
-            return ([] if depth and text[next_ : next_ + 1] == "," else operands), end
+            return ([] if depth and text[next_ : next_ + 1] == "," else operands), end, comment
+
+
+class _Lines:
+    """The line of a place, for places that only move on: each line is looked at once."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.stop, self.at = text, 0, text.find("\n"), 0
+        self.facts()
+
+    def facts(self) -> None:
+        self.stop = len(self.text) if self.stop < 0 else self.stop
+        self.indent = _BLANKS.match(self.text, self.start).end() - self.start
+        self.before = _LINE_BEFORE.match(self.text, self.start).end()
+        self.next = None
+
+    def move(self, at: int) -> None:
+        if at > self.stop:
+            self.start = self.text.rfind("\n", self.stop, at) + 1
+            self.stop = self.text.find("\n", at)
+            self.facts()
+
+    def next_value(self) -> re.Match | None:
+        """The line behind this one, if it is deeper."""
+        if self.next is None:
+            stop = self.stop - 1 if self.text[self.stop - 1 : self.stop] == "\r" else self.stop
+            m = _NEXT_LINE.match(self.text, stop)
+            self.next = (m if m and len(m[1]) > self.indent else None,)
+        return self.next[0]
 
 
 def lex(text: str) -> list[tuple[str, list[Operand]]]:
     """(name, operands) of each assignment; an operand is (content, start, end, literal), its span without the quotes.
 
-    Bare words are literal where name and word are a whole line, unless the word is itself the name of a secret.
+    Bare words are literal where name and word are a whole line, unless the word is itself the name of a secret.  What looks
+    like an assignment inside a bare word, or a comment between operands, is part of it, so all is read once; time grows with
+    the text.
     """
-    pairs = []
+    pairs, lines, taken = [], _Lines(text), 0
     for m in _TARGET.finditer(text):
+        if m.start(3) < taken:
+            continue
         name = m[1] or m[2]
         start = m.start(1) if m[1] else m.start(2)
-        operands, end = _expression(text, m.end())
-        if not operands and m[3] == ":" and (n := _NEXT_LINE.match(text, m.end())) is not None:
-            line = text.rfind("\n", 0, m.start()) + 1
-            deeper = len(n[1]) > len(text[line : m.start()]) - len(text[line : m.start()].lstrip(" \t"))
-            got = _operand(text, n.start(2)) if deeper else None
-            if got is not None and got[1] == n.end(2):
-                operands = [(*got[0][:3], got[0][3] or None)]
+        lines.move(m.start(3))
+        operands, end, comment = _expression(text, m.end())
+        taken = max([taken, comment, *(stop for _, _, stop, literal in operands if not literal)])
+        if not operands and m[3] == ":":
+            after = _BLANKS.match(text, m.end()).end()
+            if text[after : after + 1] in ("#", "\r", "\n") and (n := lines.next_value()) is not None:
+                got = _operand(text, n.start(2))
+                if got is not None and got[1] == n.end(2):
+                    operands = [(*got[0][:3], got[0][3] or None)]
         elif len(operands) == 1 and operands[0][3] is False and re.fullmatch(r"[A-Za-z_.]+", operands[0][0]) and not _name_weight(operands[0][0]):
-            line = text.rfind("\n", 0, m.start()) + 1
-            if _LINE_BEFORE.fullmatch(text, line, start) and _LINE_AFTER.match(text, end):
+            alone = lines.before == start or (lines.before > start and _LINE_BEFORE.fullmatch(text, lines.start, start))
+            if alone and _LINE_AFTER.match(text, end):
                 operands = [(*operands[0][:3], None)]
         if operands:
             pairs.append((start, name, operands))
+    for m in _DEFINED.finditer(text):
+        got = _operand(text, m.end())
+        if got is not None:
+            pairs.append((m.start(m.lastindex), m[m.lastindex], [got[0]]))
     pairs += [(m.start(1), m[1], [(m[2], m.start(2), m.end(2), True)]) for m in _ELEMENT.finditer(text)]
     return [(name, operands) for _, name, operands in sorted(pairs + _blocks(text), key=lambda p: p[0])]
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -202,3 +203,43 @@ def test_more_operators_on_empty_tables(spark):
     odd = spark.createDataFrame([(1, None, None, None, None), (None, "", None, None, None), (2, "x " * 100_000, None, None, None), (2, "x " * 100_000, None, None, None)], empty.schema)
     assert decontaminate.remove(odd, bench).count() == 4 and corpus_pipeline.secrets_stage(spark, odd, "").count() == 4
     assert {r.doc_id for r in corpus_pipeline.near_duplicates_stage(spark, odd, "").collect()} == {1, 2}
+
+
+#: A second set, of forms met in code and configuration of many kinds, written from them and not from the lexer.
+MORE_SNIPPETS = [
+    (f"auth_token = x or '{V}'", [V]), (f'#define AUTH_TOKEN "{V}"', [V]), (f'setattr(cfg, "auth_token", "{V}")', [V]), (f"  password: {V}\n", [V]), (f"MYSQL_PASSWORD: '{V}'", [V]), (f"ENV API_KEY={V}", [V]), (f"spring.datasource.password={V}", [V]),
+    (f'resource "x" "y" {{\n  secret_key = "{V}"\n}}', [V]), (f'{{"db": {{"credentials": "{V}"}}}}', [V]), (f"- name: DB\n  token: {V}\n", [V]), (f'const char *secret = "{V}";', [V]), (f"set PASSWORD={V}", [V]), (f'apiKey: "{V}",', [V]), (f"curl --token={V}", [V]),
+    (f"auth_token: \"{V}\"  # rotate", [V]), (f'this.password = "{V}"', [V]), (f"password = a ?? '{V}'", [V]), ("token = max_tokens", []), ("password: ${{ secrets.PW }}", []), ("# password rules follow", []), ("secret: <%= ENV['SECRET9'] %>", []), ("token=$TOKEN", []), ("api_key = 'XXXXXXXXXXXX'", []),
+    ("token_count = 123456789", []), ('password = "your_password_here"', []), ("auth = None", []), ("The password is: never shared, never written.", []), ('secret = ""', []), ("passwords = load()", []), ("token: { type: string }", []),
+]
+
+
+def test_secrets_of_a_second_set():
+    hits = [(set(_said(text)), set(want)) for text, want in MORE_SNIPPETS]
+    found, wanted = sum(len(a & b) for a, b in hits), sum(len(b) for _, b in hits)
+    assert found >= 0.9 * wanted and sum(len(a - b) for a, b in hits) <= 0.15 * found, [(t, a) for (t, _), (a, b) in zip(MORE_SNIPPETS, hits, strict=True) if a != b]
+
+
+@pytest.mark.parametrize("unit", ["a1-", "a=b ", "a=b", "token=", "a: #", "token: #", "a=b #", "a.-", "a---a", "a=(#", "token = abcdef123\n", "a=b+", '{"token":"a8f7d6s5"},', "auth: bearer abc "])
+def test_scans_take_time_in_proportion(unit):
+    """A megabyte takes two and a half times as long as half of it at most."""
+    import time
+
+    took = []
+    for size in (500_000, 1_000_000):
+        text = "password " + unit * (size // len(unit))
+        began = time.thread_time()
+        secret_scan.scan(text)
+        took.append(time.thread_time() - began)
+    assert took[1] < 2.5 * took[0] + 0.3
+
+
+def test_one_rule_for_all_lengths():
+    """Neither the length of a literal nor the order of its parts decides."""
+    rng = random.Random(3)
+    for n in (40, 380, 420, 20_000):
+        key = "example" + "".join(rng.choice("abcdefghkLMNOPQ0123456789") for _ in range(n))
+        assert _said(f'private_key = "{key}"') == [key]
+    long = "".join(rng.choice("abcdefghkLMNOPQ0123456789") for _ in range(10_100))
+    for parts in ([long, " end. of it"], [" end. of it", long], [long[:300], " end. of it"]):
+        assert _said("token = " + " + ".join(f'"{p}"' for p in parts)) == []
