@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import SECRET_MARKS, canonical_json, stable_hash
 from siltstone.operators.coverage import capture_state, replay_ready, secret_in
-from siltstone.operators.validate import PROVIDERS, capture_within_limit
+from siltstone.operators.payloads import item_texts
+from siltstone.operators.validate import PROVIDERS, capture_within_limit, collection_error
 
 #: Places of the items in each provider's body.
 ITEM_PATHS = {"marketaux": "$.data", "finnhub": None, "eia": "$.response.data", "sec_edgar": "$.filings.recent"}
@@ -43,6 +44,39 @@ def audit(captures: DataFrame) -> DataFrame:
         secret_in(F.col("text")).alias("secret"), capture_state(F.col("text"), F.coalesce("provider", F.lit("")), n, list(PROVIDERS)).alias("state"), F.coalesce(replay_ready(F.col("http_status"), F.col("error")), F.lit(False)).alias("replay_ready"))
 
 
+def capture_error(parsed: Column, provider: Column, http_status: Column, error: Column) -> Column:
+    """What is wrong with one capture, as a provider's error: null if it can be used.  Each file is judged by itself."""
+    return (
+        F.when(~parsed, "provider_contract_invalid").when(~F.coalesce(provider.isin(*PROVIDERS), F.lit(False)), "provider_config_invalid")
+        .when(error == "timeout", "provider_timeout").when(http_status == 429, "provider_rate_limited").when((http_status >= 500) | error.isNotNull(), "provider_upstream_error")
+        .when(~F.coalesce(http_status.between(200, 299), F.lit(False)), "provider_upstream_error")
+    )
+
+
+def collected(captures: DataFrame) -> DataFrame:
+    """(file, provider, items, error_code) of every file of ``read_captures``: the items of those that can be used, as canonical
+    JSON texts, and of every other one the run's error.
+
+    A file that is no JSON, or a provider that failed, leaves the others whole: nothing is raised, each file is a row.  Upstream
+    errors of 500 and above, and rate limits, may pass by themselves; those below are final.  A file that names no provider is
+    told by its name alone; one without a byte is not listed, as Spark passes over it.
+    """
+    parsed = F.coalesce(F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT<"), F.lit(False))
+    wrong = capture_error(parsed, F.col("provider"), F.col("http_status"), F.col("error"))
+    judged = captures.withColumn("_wrong", wrong).withColumn("body", F.when(F.col("_wrong").isNull(), F.col("body")))
+    with_items = item_texts(judged, "body", "items")
+    code = collection_error(F.col("_wrong"), F.coalesce(F.col("http_status") >= 500, F.lit(False)))
+    return with_items.select("file", "provider", F.coalesce("items", F.array().cast("array<string>")).alias("items"), code.alias("error_code"))
+
+
+def outcomes_by_provider(found: DataFrame) -> DataFrame:
+    """Per provider: files, failed, items and the errors with their numbers (map); files that name none are under null."""
+    errors = found.where("error_code is not null").groupBy("provider", "error_code").agg(F.count("*").alias("n"))
+    errors = errors.groupBy(F.col("provider").alias("_p")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("error_code", "n")))).alias("errors"))
+    sums = found.groupBy("provider").agg(F.count("*").alias("files"), F.count("error_code").alias("failed"), F.sum(F.size("items")).alias("items"))
+    return sums.join(errors, F.col("provider").eqNullSafe(F.col("_p")), "left").select("provider", "files", "failed", "items", F.coalesce("errors", F.create_map().cast("map<string,bigint>")).alias("errors"))
+
+
 def write_captures(bodies: DataFrame, path: str) -> DataFrame:
     """Writes (provider, body) as canonical JSON lines under ``path`` and returns the hashes of what was written."""
     rows = bodies.select("provider", canonical_json(F.col("body")).alias("value"))

@@ -72,3 +72,23 @@ def test_captures_keep_to_their_limit(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(json.dumps({"provider": provider, "request": {"limit": limit}, "response_body": body}))
     got = {r.file[0]: r.within_limit for r in captures.audit(captures.read_captures(spark, str(tmp_path))).collect()}
     assert got == {"a": True, "b": False, "c": False, "d": True, "e": False}
+
+
+def test_one_broken_file_leaves_the_others_whole(spark, tmp_path):
+    """Providers and files fail by themselves; the items of the rest are all there."""
+    body = {"marketaux": {"data": [{"uuid": "a"}, {"uuid": "b"}]}, "eia": {"response": {"data": [{"period": "2024-01"}]}}, "finnhub": {"c": 1.0}, "sec_edgar": {"filings": {"recent": {"form": ["a", "b"]}}}}
+    capture = lambda p, status=200, **more: json.dumps({"provider": p, "http_status": status, "response_body": body.get(p), **more})
+    files = {
+        "a.json": capture("marketaux"), "b.json": '{"provider": "marketaux", "http_status": 200, "response_body": {"data": [', "c.json": capture("eia", 503), "d.json": capture("eia"), "e.json": capture("finnhub", 429), "f.json": capture("sec_edgar"), "g.json": capture("odd"),
+        "h.json": capture("finnhub", 404), "i.json": capture("eia", None, error="timeout"), "j.json": "[]", "k.json": "", "note.txt": "no capture",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    found = captures.collected(captures.read_captures(spark, str(tmp_path)))
+    got = {r.file: (len(r["items"]), r.error_code) for r in found.collect()}
+    assert got == {
+        "a.json": (2, None), "b.json": (0, "COLLECTION_CONTRACT_INVALID"), "c.json": (0, "COLLECTION_UPSTREAM_RETRYABLE"), "d.json": (1, None), "e.json": (0, "COLLECTION_RATE_LIMITED"), "f.json": (2, None), "g.json": (0, "COLLECTION_CONFIG_INVALID"),
+        "h.json": (0, "COLLECTION_CONTRACT_INVALID"), "i.json": (0, "COLLECTION_TIMEOUT"), "j.json": (0, "COLLECTION_CONTRACT_INVALID"),
+    }
+    by = {r.provider: (r.files, r.failed, r["items"], r.errors) for r in captures.outcomes_by_provider(found).collect()}
+    assert by["eia"] == (3, 2, 1, {"COLLECTION_TIMEOUT": 1, "COLLECTION_UPSTREAM_RETRYABLE": 1}) and by["marketaux"] == (1, 0, 2, {}) and by[None] == (2, 2, 0, {"COLLECTION_CONTRACT_INVALID": 2})
