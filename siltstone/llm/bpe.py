@@ -159,7 +159,8 @@ def tokenize(docs: DataFrame, path: str, pattern: str, *, keep_ids: bool = True)
     """Token ids of every whole text, and the digests of the ids and of the bytes they decode to.
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256 and, with ``keep_ids``, ids (array of int).  A null text counts
-    as empty: no tokens.  Repeated rows and a null doc_id are carried through; other columns are dropped.  The vocabulary
+    as empty: no tokens.  Repeated rows and a null doc_id are carried through; other columns, clashing names too, are dropped;
+    very long texts are encoded whole, one at a time; ties do not arise; an empty table gives an empty result.  The vocabulary
     file must exist at ``path`` on every executor, as installed packages do.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.shared import bounded
+
 END = "</turn>"
 HEAD = "### "
 #: Turns are marked by HEAD, role, colon and END; what the assistant says is generated, all else is context.
@@ -374,8 +376,9 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
     """One row for each conversation: conv_id, formatted (string), mask (array of start, end pairs in code points).
 
     Turns are ordered by turn, then role and text where turns tie; null turns come first; null roles and texts are empty;
-    rows without conv_id are one conversation; repeated rows stay.  Other columns are dropped.  Rows are dealt by
-    conversation and sorted, and a task holds one conversation at a time: its output is one text.
+    rows without conv_id are one conversation; repeated rows stay.  Other columns are dropped; an empty table gives no rows.
+    Rows are dealt by conversation and sorted, and a task holds one conversation at a time, as its output is one text: so a
+    conversation, with its texts and those without an id taken together, must fit into a string of Arrow (2 GB) and a task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,11 +415,15 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
             yield flush()
 
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, formatted string, mask array<int>")
+    return bounded(rows).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, "conv_id long, formatted string, mask array<int>")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What a reader of the formatted text finds: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """What a reader of the formatted text finds: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    One row for each row of ``format_conversations``: a null conv_id stays, a conversation of empty texts has turns and no
+    loss; a long one is read whole; equal rows stay; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hexed = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -428,4 +435,4 @@ def digests(formatted: DataFrame) -> DataFrame:
                 rows.append({"conv_id": conv, "n_turns": len(turns), "turns_sha256": hexed("".join(f"{r}\n{t}\n" for r, t in turns)), "loss_chars": len(loss), "loss_sha256": hexed(loss), "formatted_chars": len(text)})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return bounded(formatted).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

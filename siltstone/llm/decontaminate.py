@@ -172,7 +172,9 @@ def merged(old: list[int], new: list[tuple[int, int]]) -> list[int]:
 def report(docs: DataFrame, benchmark: DataFrame, *, width: int = 10) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    Items without id contaminate, but are not among the items that n_items and items_sha256 cover.
+    Items without id contaminate, but are not among the items that n_items and items_sha256 cover.  Null texts have no words,
+    and null items no windows; very long texts of both sides count whole; repeated rows and null doc_ids stay, items of equal
+    text all count; other columns are dropped; empty tables on either side give rows without hits, or none.
     """
     hit = F.aggregate(F.sequence(F.lit(0), F.size("hit_words") - 2, F.lit(2)), F.lit(0).cast("long"), lambda s, i: s + F.get("hit_words", i + 1) - F.get("hit_words", i))
     n_hit = F.when(F.size("hit_words") > 0, hit).otherwise(F.lit(0).cast("long"))
@@ -190,7 +192,11 @@ def report(docs: DataFrame, benchmark: DataFrame, *, width: int = 10) -> DataFra
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, whole_documents: bool = True) -> DataFrame:
-    """``docs`` without the contaminated documents, or with the hit words cut out of their texts."""
+    """``docs`` without the contaminated documents, or with the hit words cut out of their texts.
+
+    All other columns stay, clashing names and nulls too; null and empty texts are never hit; very long texts count whole;
+    repeated rows share their fate; an empty benchmark leaves all rows, an empty table stays empty.
+    """
     free, restored = set_aside(docs, ("n_words", "hit_words", "hit_items"))
     found = find_hits(free, benchmark, width=width)
     if whole_documents:

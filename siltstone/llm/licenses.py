@@ -128,8 +128,8 @@ def scan(docs: DataFrame) -> DataFrame:
     comma-joined), n_licenses (long), restricted (boolean: one of them forbids commercial reuse).
 
     A rule matches where its identifiers follow each other among the known sentences, unless that place lies inside the
-    match of a longer rule.  Null and empty texts have no sentences; repeated rows and null doc_ids stay; other
-    columns are dropped.  No exchange and no code outside the JVM.
+    match of a longer rule.  Null and empty texts have no sentences; very long texts are read whole; repeated rows and null
+    doc_ids stay; rules that tie are all told; other columns are dropped; an empty table gives an empty result.  No exchange and no code outside the JVM.
     """
     listed = F.array_join(F.transform(F.col("ids"), lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))), "")
     code = lambda rule: "".join(f"<{i}>" for i in rule[2])

@@ -183,8 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, s
 
 
 def score(docs: DataFrame, net: Network, shift: float = 0.0) -> DataFrame:
-    """``docs`` with score (double) and predicted (int): whole texts, empty and null ones too.  Columns of these names are
-    replaced; nothing but the text counts."""
+    """``docs`` with score (double) and predicted (int): whole texts, empty, null and very long ones too.  Columns of these
+    names are replaced; nothing but the text counts, so equal texts tie; repeated rows and nulls in other columns stay; an
+    empty table stays empty."""
     docs = bounded(docs).drop("score", "predicted")
     net_everywhere = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -199,14 +200,16 @@ def score(docs: DataFrame, net: Network, shift: float = 0.0) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted.  Repeated rows and null doc_ids stay; without labels every score is that
-    of an untrained network."""
+    of an untrained network.  Null texts are scored as empty ones; very long texts count whole, chunk by chunk; equal texts
+    have equal scores; an empty table gives an empty result; other columns are dropped."""
     net, shift = fit(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return score(rows, net, shift).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are predicted to be of good quality."""
+    """The rows of ``docs`` that are predicted to be of good quality, with all their columns, clashing names too.  Null and
+    empty texts are judged as an empty text, very long ones whole; equal texts share their fate; an empty table stays empty."""
     net, shift = fit(docs, labels)
     free, restored = set_aside(docs, ("score", "predicted"))
     return restored(score(free, net, shift).where("predicted = 1"))

@@ -205,6 +205,23 @@ def test_more_operators_on_empty_tables(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates_stage(spark, odd, "").collect()} == {1, 2}
 
 
+def test_pipeline_on_empty_and_odd_tables(spark, tmp_path):
+    """Every stage, and all of them, over nothing and over nulls, repeated rows and long texts; extra columns stay."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, rows in (("none", []), ("odd", [(1, None, None, None, None, "x"), (None, "", None, None, None, "x"), (2, "word " * 30_000, None, None, None, "x"), (2, "word " * 30_000, None, None, None, "x"), (3, "password = 'Xk29fjQq81'", None, None, None, None)])):
+        folder = f"{tmp_path}/{name}"
+        docs = spark.createDataFrame(rows, schema)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, folder)
+            assert out.columns == docs.columns and out.count() <= len(rows)
+        assert corpus_pipeline.tokens_stage(spark, docs, folder).count() == len(rows)
+        assert corpus_pipeline.run(spark, folder).count() <= len(rows)
+
+
 #: A second set, of forms met in code and configuration of many kinds, written from them and not from the lexer.
 MORE_SNIPPETS = [
     (f"auth_token = x or '{V}'", [V]), (f'#define AUTH_TOKEN "{V}"', [V]), (f'setattr(cfg, "auth_token", "{V}")', [V]), (f"  password: {V}\n", [V]), (f"MYSQL_PASSWORD: '{V}'", [V]), (f"ENV API_KEY={V}", [V]), (f"spring.datasource.password={V}", [V]),
