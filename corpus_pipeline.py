@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.  All but the last return the columns
 of ``documents``; every result is written to the shared folder and read again as the next stage's ``docs``.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows and ties, extra columns and empty tables: null
+and empty texts are judged as an empty text, texts count whole, rows that are equal share their fate (of near-duplicates one
+stays), all columns but those that a stage is there to change stay as they are, and nothing comes of nothing.
 """
 
 from __future__ import annotations
