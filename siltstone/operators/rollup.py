@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.scoring import confidence, importance, importance_reasons
+from siltstone.operators.tables import written
 
 
 def active_counts(links: DataFrame, *, by: str = "candidate_id") -> DataFrame:
@@ -111,6 +112,14 @@ def refreshed(counts: DataFrame, state: DataFrame, deltas: DataFrame) -> DataFra
     return counts.join(touched, "candidate_id", "left_anti").select(now.columns).unionByName(now)
 
 
+def kept_up(counts: DataFrame, state: DataFrame, deltas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(counts, state) after ``deltas``, as written tables: what one change leaves is what the next one starts from, and no
+    plan carries the changes before it."""
+    deltas = written(deltas, "deltas")
+    state = written(with_deltas(state, deltas), "multiplicities")
+    return written(refreshed(counts, state, deltas), "counts"), state
+
+
 def regroup_errors(links: DataFrame, moves: DataFrame, candidates: DataFrame) -> DataFrame:
     """``moves`` with ``move_error``: the target is the same or missing, the evidence is unknown, or its one active link is
     not with the candidate that it is to leave."""

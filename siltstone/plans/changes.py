@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import delivery, feed, rollup
+from siltstone.operators.tables import written
 from siltstone.plans.views import NOW, view, with_views
 from siltstone.schemas import broken_checks
 
@@ -81,16 +82,16 @@ a AS (SELECT o.candidate_id, o.evidence_id, o.source_id, o.official, o.entity, o
   CASE WHEN count(DISTINCT CASE WHEN active THEN evidence_id END) = 0 THEN 'rejected' ELSE 'candidate' END AS status FROM a GROUP BY candidate_id""")
 def event_rollup_changes(spark, sf_dir):
     links, which = _links(spark, sf_dir)
-    counts, state = rollup.active_counts(links), rollup.multiplicities(links)
-    closed = rollup.deactivate(links, which, _now())
-    moves = closed.where("active and candidate_id % 4 = 1 and evidence_id % 5 = 0").select("evidence_id", F.col("candidate_id").alias("from_id"), (F.col("candidate_id") + 2).alias("to_id")).distinct()
+    counts, state = written(rollup.active_counts(links), "counts"), written(rollup.multiplicities(links), "multiplicities")
+    keys = ["candidate_id", "evidence_id"]
     # First some links are closed, then others are moved: each time only the links that change make deltas.
-    changes = [rollup.link_deltas(links.join(which.distinct(), ["candidate_id", "evidence_id"]), closed.join(which.distinct(), ["candidate_id", "evidence_id"]))]
-    moving = closed.join(moves.select("evidence_id", F.col("from_id").alias("candidate_id")), ["candidate_id", "evidence_id"], "left_semi")
-    changes.append(rollup.link_deltas(moving, rollup.regroup(moving, moves, _now())))
-    for deltas in changes:
-        state = rollup.with_deltas(state, deltas)
-        counts = rollup.refreshed(counts, state, deltas)
+    which = which.distinct()
+    closing = links.join(which, keys, "left_semi")
+    counts, state = rollup.kept_up(counts, state, rollup.link_deltas(closing, rollup.deactivate(closing, which, _now())))
+    closed = written(rollup.deactivate(links, which, _now()), "links")
+    moves = closed.where("active and candidate_id % 4 = 1 and evidence_id % 5 = 0").select("evidence_id", F.col("candidate_id").alias("from_id"), (F.col("candidate_id") + 2).alias("to_id")).distinct()
+    moving = closed.join(moves.select("evidence_id", F.col("from_id").alias("candidate_id")), keys, "left_semi")
+    counts, _ = rollup.kept_up(counts, state, rollup.link_deltas(moving, rollup.regroup(moving, moves, _now())))
     return rollup.candidate_status(counts)
 
 
