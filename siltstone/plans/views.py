@@ -43,8 +43,8 @@ def _views(d: dict) -> dict[str, str]:
             {d['sha']("concat('h', doc_id % 300)")} AS provider_item_hash, source AS source_id, CASE WHEN doc_id % 8 = 0 THEN NULL ELSE concat('s', doc_id % 100 + 1) END AS source_account_id,
             CASE WHEN doc_id % 6 = 0 THEN NULL ELSE doc_id END AS content_item_id, quality = 1 AS official_source, toxic = 1 AS toxic,
             CASE WHEN doc_id % 7 = 0 THEN NULL ELSE {d['hours']('doc_id % 400', d['base'])} END AS event_time, {d['hours']('doc_id % 500', d['base'])} AS observed_at,
-            CASE WHEN toxic = 1 THEN 'blocked' ELSE 'validated' END AS processing_status, CASE WHEN doc_id % 3 = 0 THEN {d['first_line']} ELSE concat('Story ', doc_id % 7) END AS title, concat('https://news.test/', doc_id % 260, '?utm_source=a') AS canonical_url,
-            concat('e', doc_id % 3) AS entity FROM labels JOIN documents USING (doc_id)""",
+            CASE WHEN toxic = 1 THEN 'blocked' ELSE 'validated' END AS processing_status, CASE WHEN doc_id % 3 = 0 THEN line ELSE concat('Story ', doc_id % 7) END AS title, concat('https://news.test/', doc_id % 260, '?utm_source=a') AS canonical_url,
+            concat('e', doc_id % 3) AS entity FROM labels JOIN (SELECT doc_id, source, {d['first_line']} AS line FROM documents) AS lines USING (doc_id)""",
         "notifications": """SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'failed' ELSE 'sending' END AS status, CAST(o_orderkey % 5 AS INT) AS retry_count,
             CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_orderdate END AS scheduled_at, CAST(NULL AS VARCHAR(20)) AS failure_code, o_custkey AS content_id FROM orders""",
         "links": """SELECT l_orderkey AS candidate_id, l_partkey AS evidence_id, concat('src', l_suppkey % 20) AS source_id, l_linestatus = 'F' AS official, p_brand AS entity,
