@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.scoring import confidence, importance, importance_reasons
 from siltstone.functions.text import canonical_url, present, stable_hash, title_fingerprint
 from siltstone.operators.running import running
+from siltstone.operators.tables import written
 
 DAY_MICROS = 86_400_000_000
 #: Rules by rank.
@@ -116,6 +117,7 @@ def time_window_matches(evidence: DataFrame, candidates: DataFrame, *, hours: in
     evidence, and those whose span ends there the same from the other side; hours are buckets.
     """
     looks, spans, _ = _windowed(evidence, candidates, hours)
+    looks, spans = written(looks, "looks"), written(spans, "spans")
     day = F.expr("interval 1 day")
     days = spans.withColumn("day", F.explode(F.sequence(F.date_trunc("day", "begin"), F.date_trunc("day", "end"), day)))
     begins, stops = F.col("begin") > F.col("day"), F.col("end") < F.col("day") + day
@@ -141,6 +143,8 @@ def match(evidence: DataFrame, candidates: DataFrame) -> DataFrame:
     The best rank decides: one candidate at it is the match, several make the evidence ambiguous, none makes it new.
     ``evidence`` has signatures; REJECTED candidates match like any other.
     """
+    # Both sides are read several times: as tables they are made once, and the plan stays small.
+    evidence, candidates = written(evidence, "evidence"), written(candidates, "candidates")
     hits = signature_matches(evidence, candidates).union(time_window_matches(evidence, candidates))
     best = hits.groupBy("evidence_id", "candidate_id").agg(F.min("rank").alias("rank"))
     # Per evidence: the least rank, how many candidates have it, and one of them; partial aggregates of (rank, count).
