@@ -3,11 +3,17 @@
 Rows wait until the watermark has passed them, so a machine sees them in order whatever the order in which files and batches
 bring them.  What a machine says does not depend on how rows fall into micro-batches: a deadline that passes between two rows
 is told between them, one that passes behind the last row is told by a timer.  State is kept in RocksDB, off the heap.
+
+Keys are dealt out by their hashes into buckets, and a bucket is read, run and stored at once: calls to the state store grow
+with buckets and batches, not with keys.  A bucket in which something happens is read as a whole, so a stream with very many
+keys and small batches wants more buckets; their number stays as it is while a checkpoint is used.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +27,11 @@ from siltstone.operators.delivery import ATTEMPTS, STALE_SECONDS
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SECOND = 1_000_000
+BUCKETS = 1024
+#: Rows or keys in one value of the state store and in one frame of results.
+_CHUNK = 10_000
+#: The time of rows that have none: before all others.
+_NO_TIME = -(2**63)
 
 
 def start(writer: DataStreamWriter, spark) -> StreamingQuery:  # noqa: ANN001
@@ -33,10 +44,14 @@ def start(writer: DataStreamWriter, spark) -> StreamingQuery:  # noqa: ANN001
         spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
 
 
+def _chunks(items: list) -> Iterator[list]:
+    return (items[i : i + _CHUNK] for i in range(0, len(items), _CHUNK))
+
+
 class _InOrder(StatefulProcessor):
     """Rows (at, what, a, b) of a key in order.  ``state`` is a tuple, ``outputs`` are tuples without the key."""
 
-    STATE, FIRST, COLUMNS = "", (), ()
+    FIRST, COLUMNS = (), ()
 
     def step(self, state: tuple, at: int, what: str, a: float, b: float) -> tuple[tuple, list[tuple]]:
         raise NotImplementedError
@@ -50,36 +65,45 @@ class _InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, what string, a double, b double")
-        self.state = handle.getValueState("state", self.STATE)
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.states = handle.getListState("states", "states binary")
+        self.wake = handle.getValueState("wake", "at long")
 
     def close(self) -> None:
         pass
 
     def _wake(self, at: int) -> None:
-        self.handle.registerTimer(-(-at // 1000))
-
-    def _frame(self, key: tuple, outputs: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame([(key[0], *o) for o in outputs], columns=["key", *self.COLUMNS])
-        return out.assign(at=pd.to_datetime(out["at"], unit="us"))
+        """A bucket has one timer, for what comes first."""
+        at, before = -(-at // 1000), self.wake.get()
+        if before is None or at < before[0]:
+            if before is not None:
+                self.handle.deleteTimer(before[0])
+            self.handle.registerTimer(at)
+            self.wake.update((at,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
         least = None
         for pdf in rows:
-            at = pdf["at"].astype("datetime64[us]").astype("int64")
-            self.waiting.appendList(list(zip(at.tolist(), pdf["what"].tolist(), pdf["a"].astype(float).tolist(), pdf["b"].astype(float).tolist(), strict=True)))
-            least = int(at.min()) if least is None else min(least, int(at.min()))
+            new = list(zip(*(pdf[c].tolist() for c in ("key", "us", "what", "a", "b")), strict=True))
+            if new:
+                self.waiting.appendList([(pickle.dumps(part),) for part in _chunks(new)])
+                first = min(r[1] for r in new)
+                least = first if least is None else min(least, first)
         if least is not None:
             self._wake(least)
-        yield self._frame(key, [])
+        yield from ()
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        due, rest = [], []
-        for row in self.waiting.get():
-            (due if row[0] <= now else rest).append(tuple(row))
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        state, outputs = (tuple(self.state.get()) if self.state.exists() else self.FIRST), []
+    def _stored(self, held) -> Iterator[tuple]:  # noqa: ANN001
+        for (part,) in held.get():
+            yield from pickle.loads(part)
+
+    def _store(self, held, items: Iterable[tuple]) -> None:  # noqa: ANN001
+        parts = [(pickle.dumps(part),) for part in _chunks(list(items))]
+        held.put(parts) if parts else held.clear()
+
+    def _run(self, state: tuple, due: list[tuple], now: int) -> tuple[tuple, list[tuple]]:
+        """One key up to ``now``."""
+        outputs = []
 
         def passed(limit: int, included: bool) -> None:
             nonlocal state
@@ -92,21 +116,45 @@ class _InOrder(StatefulProcessor):
             state, more = self.step(state, *row)
             outputs += more
         passed(now, True)
-        self.state.update(state)
-        for at in (min((r[0] for r in rest), default=None), self.deadline(state)):
-            if at is not None:
-                self._wake(at)
-        yield self._frame(key, outputs)
-
+        return state, outputs
 
-def _run(rows: DataFrame, machine: _InOrder, schema: str, delay: str) -> DataFrame:
-    return rows.withWatermark("at", delay).groupBy("key").transformWithStateInPandas(machine, schema, "append", "EventTime")
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        self.wake.clear()
+        due, rest, states = defaultdict(list), [], dict(self._stored(self.states))
+        for row in self._stored(self.waiting):
+            if row[1] <= now:
+                due[row[0]].append(row[1:])
+            else:
+                rest.append(row)
+        said, following = [], min((r[1] for r in rest), default=None)
+        for k in {**states, **due}:
+            before = states.get(k, self.FIRST)
+            states[k], outputs = self._run(before, due.get(k, []), now)
+            said += [(k, *o) for o in outputs]
+            until = self.deadline(states[k])
+            if until is not None and (following is None or until < following):
+                following = until
+        self._store(self.waiting, rest)
+        self._store(self.states, states.items())
+        if following is not None:
+            self._wake(following)
+        for part in _chunks(said):
+            yield pd.DataFrame(part, columns=["key", *self.COLUMNS])
+
+
+def _run(rows: DataFrame, machine: _InOrder, schema: str, delay: str, buckets: int = BUCKETS) -> DataFrame:
+    """Keys and times pass as texts and whole numbers: pandas would make floats of numbers beside nulls, and local times."""
+    kind = rows.schema["key"].dataType
+    rows = rows.withWatermark("at", delay).withColumns({"key": F.col("key").cast("string"), "us": F.coalesce(F.unix_micros("at"), F.lit(_NO_TIME)), "bucket": F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")})
+    said = rows.groupBy("bucket").transformWithStateInPandas(machine, "key string, " + schema.replace("at timestamp", "at long"), "append", "EventTime")
+    return said.withColumns({"key": F.col("key").cast(kind), "at": F.timestamp_micros(F.nullif("at", F.lit(_NO_TIME)))})
 
 
 class _Delivery(_InOrder):
-    """status, attempts, when it was claimed, and how many changes there were."""
+    """State: status, attempts, when it was claimed, and how many changes there were."""
 
-    STATE, FIRST, COLUMNS = "status string, tries long, since long, changes long", ("", 0, 0, 0), ("change", "at", "status", "retry_count")
+    FIRST, COLUMNS = ("", 0, 0, 0), ("change", "at", "status", "retry_count")
 
     def _to(self, state: tuple, at: int, status: str, tries: int, since: int) -> tuple[tuple, list[tuple]]:
         return (status, tries, since, state[3] + 1), [(state[3], at, status, tries)]
@@ -131,7 +179,7 @@ class _Delivery(_InOrder):
         return self._to(state, at, "stale", state[1], state[2])
 
 
-def delivery_states(actions: DataFrame, *, delay: str = "10 minutes") -> DataFrame:
+def delivery_states(actions: DataFrame, *, delay: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """Every change of every notification, from a stream of actions (key, at, action in claim, sent, failed): key, change (a
     number from 0), at, status, retry_count.
 
@@ -141,11 +189,13 @@ def delivery_states(actions: DataFrame, *, delay: str = "10 minutes") -> DataFra
     ``delay`` behind the latest row, are dropped.
     """
     rows = actions.select(F.col("key").cast("long").alias("key"), "at", F.col("action").alias("what"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    return _run(rows, _Delivery(), "key long, change long, at timestamp, status string, retry_count long", delay)
+    return _run(rows, _Delivery(), "change long, at timestamp, status string, retry_count long", delay, buckets)
 
 
 class _Cadence(_InOrder):
-    STATE, FIRST, COLUMNS = "granted long, retry_at long, attempt long", (None, None, 0), ("at", "attempt")
+    """State: the last grant, when a retry is due, and its attempt."""
+
+    FIRST, COLUMNS = (None, None, 0), ("at", "attempt")
 
     def step(self, state: tuple, at: int, what: str, a: float, b: float) -> tuple[tuple, list[tuple]]:
         granted, retry_at, attempt = state
@@ -158,20 +208,20 @@ class _Cadence(_InOrder):
         return state, []
 
 
-def cadence_grants(ticks: DataFrame, *, delay: str = "10 minutes") -> DataFrame:
+def cadence_grants(ticks: DataFrame, *, delay: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """Which polls of a provider may run, over a stream of (key, at, cadence, action, delay): key, at, attempt.
 
     A tick is granted when the cadence since the last grant is over, or when a retry that was asked for is due; a retry (with
     its delay in seconds) opens the gate again and carries the attempt on, a tick by cadence starts at attempt 0.
     """
     rows = ticks.select("key", "at", F.col("action").alias("what"), F.col("cadence").cast("double").alias("a"), F.col("delay").cast("double").alias("b"))
-    return _run(rows, _Cadence(), "key string, at timestamp, attempt long", delay)
+    return _run(rows, _Cadence(), "at timestamp, attempt long", delay, buckets)
 
 
 class _Deadlines(_InOrder):
-    """When the run began, its deadline, and what it ended with."""
+    """State: when the run began, its deadline, and what it ended with."""
 
-    STATE, FIRST, COLUMNS = "began long, until long, outcome string", (None, None, None), ("at", "outcome")
+    FIRST, COLUMNS = (None, None, None), ("at", "outcome")
 
     def step(self, state: tuple, at: int, what: str, a: float, b: float) -> tuple[tuple, list[tuple]]:
         began, until, outcome = state
@@ -188,7 +238,7 @@ class _Deadlines(_InOrder):
         return (state[0], state[1], "timeout"), [(at, "COLLECTION_TIMEOUT")]
 
 
-def run_outcomes(events: DataFrame, *, delay: str = "10 minutes") -> DataFrame:
+def run_outcomes(events: DataFrame, *, delay: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """What each run ended with, from a stream of (key, at, event, deadline): key, at, outcome.
 
     ``event`` is started, cancelled, or how a run says it ended (succeeded, or an error code); ``deadline`` are the seconds
@@ -196,4 +246,4 @@ def run_outcomes(events: DataFrame, *, delay: str = "10 minutes") -> DataFrame:
     timer; what it says later is passed over, as is a second start.
     """
     rows = events.select(F.col("key").cast("string").alias("key"), "at", F.col("event").alias("what"), F.coalesce(F.col("deadline").cast("double"), F.lit(0.0)).alias("a"), F.lit(0.0).alias("b"))
-    return _run(rows, _Deadlines(), "key string, at timestamp, outcome string", delay)
+    return _run(rows, _Deadlines(), "at timestamp, outcome string", delay, buckets)

@@ -139,3 +139,18 @@ def test_a_batch_that_failed_half_way_is_written_once(spark, tmp_path):
         start().awaitTermination()
     start().awaitTermination()
     assert failed == [1] and spark.read.parquet(f"{tmp_path}/out/batch=0", f"{tmp_path}/out/batch=1").count() == 2
+
+
+def test_state_is_stored_by_buckets(spark, tmp_path, monkeypatch):
+    """400 keys are 4 buckets of the state store, in several chunks each; nulls keep what they are."""
+    monkeypatch.setattr(machines, "_CHUNK", 30)
+    rows = [(2**60 + i, at(i % 50), "claim") for i in range(400)] + [(2**60 + i, at(60 + i % 50), "sent") for i in range(0, 400, 2)] + [(None, at(3), "claim")]
+    stream = machines.delivery_states(stream_of(spark, tmp_path, [rows[::-1], [(0, END, "sent")]], "key long, at timestamp, action string"), buckets=4)
+    query = machines.start(stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True), spark)
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) < 100
+    last = {}
+    for r in sorted(spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").collect(), key=lambda r: r.change):
+        last[r.key] = (r.status, r.at)
+    assert last.pop(None) == ("stale", at(303))
+    assert last == {2**60 + i: ("stale", at(300 + i % 50)) if i % 2 else ("sent", at(60 + i % 50)) for i in range(400)}
