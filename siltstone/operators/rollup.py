@@ -6,7 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.scoring import confidence, importance, importance_reasons
-from siltstone.operators.tables import written
+from siltstone.operators.tables import TASK_ROWS, dealt, once, written
+
+
+#: What a link gives its candidate, by kind.
+_KINDS = {"evidence": "evidence_id", "source": "source_id", "entity": "entity", "official": "official"}
+#: So many parts hold the values of a candidate that has more links than one task takes.
+_PARTS = 64
+
+
+def _by_value(links: DataFrame, by: str, weight: Column) -> DataFrame:
+    """(by, part, kind, value, n): the sum of ``weight`` over the active links that give ``by`` a value; a null value stands for
+    links that give none, so that no ``by`` is lost.
+
+    Links go through one exchange by candidate, as they are, and become values behind it.  A candidate with more links than
+    ``TASK_ROWS`` is dealt out by its values instead, into parts; a value is in one part.
+    """
+    on = lambda c: F.when(F.col("active"), F.col(c)).alias(c)
+    official = F.when(F.col("active") & F.col("official"), F.lit(True)).alias("official")
+    table = once(links, "links")
+    rows = table.select(by, on("evidence_id"), on("source_id"), on("entity"), official, weight.alias("n"))
+    hot = rows.groupBy(by).agg(F.count("*").alias("_n")).where(F.col("_n") > TASK_ROWS).select(F.col(by).alias("_hot"))
+    met = rows.join(F.broadcast(hot), F.col(by) == F.col("_hot"), "left")
+    whole = F.lit(-1)
+    split = met.select("*", F.explode(F.when(F.col("_hot").isNull(), F.array(whole)).otherwise(F.array(*map(F.lit, range(len(_KINDS)))))).alias("_k"))
+    split = split.select(by, *(F.when(F.col("_k").isin(-1, i), F.col(c)).alias(c) for i, c in enumerate(_KINDS.values())), "n", "_k")
+    split = split.withColumn("part", F.when(F.col("_k") == whole, 0).otherwise(F.pmod(F.xxhash64(*_KINDS.values()), F.lit(_PARTS))).cast("int")).drop("_k")
+    values = F.map_from_arrays(F.array(*map(F.lit, _KINDS)), F.array(*(F.col(c).cast("string") for c in _KINDS.values())))
+    out = dealt(split, by, "part", rows=table).select(by, "part", "n", F.explode(values).alias("kind", "value")).where("value is not null or kind = 'evidence'")
+    return out.groupBy(by, "part", "kind", "value").agg(F.sum("n").alias("n"))
 
 
 def active_counts(links: DataFrame, *, by: str = "candidate_id") -> DataFrame:
@@ -14,10 +42,9 @@ def active_counts(links: DataFrame, *, by: str = "candidate_id") -> DataFrame:
 
     ``links`` has candidate_id, evidence_id, source_id, official, entity (or null) and active.
     """
-    on = lambda c: F.when(F.col("active"), F.col(c))
-    return links.groupBy(by).agg(
-        F.count_distinct(on("evidence_id")).alias("evidence_count"), F.count_distinct(on("source_id")).alias("source_count"),
-        F.coalesce(F.bool_or(on("official")), F.lit(False)).alias("official"), F.count_distinct(on("entity")).alias("entity_count"))
+    of = lambda kind: F.count_if((F.col("kind") == kind) & F.col("value").isNotNull()).alias(kind)
+    parts = _by_value(links, by, F.lit(1)).groupBy(by, "part").agg(*map(of, _KINDS))
+    return parts.groupBy(by).agg(F.sum("evidence").alias("evidence_count"), F.sum("source").alias("source_count"), (F.sum("official") > 0).alias("official"), F.sum("entity").alias("entity_count"))
 
 
 def candidate_status(rolled: DataFrame) -> DataFrame:
@@ -78,16 +105,14 @@ def multiplicities(links: DataFrame) -> DataFrame:
     ``kind`` is evidence, source, entity or official.  This is the state that roll-ups are kept by: a link adds one to each of
     its values and takes one away when it is closed, and a value counts while its n is above zero.
     """
-    text = lambda c: F.col(c).cast("string")
-    values = F.map_from_arrays(F.array(*map(F.lit, ("evidence", "source", "entity", "official"))), F.array(text("evidence_id"), text("source_id"), text("entity"), F.when(F.col("official"), "true")))
-    rows = links.where("active").select("candidate_id", F.explode(values).alias("kind", "value")).where("value is not null")
-    return rows.groupBy("candidate_id", "kind", "value").agg(F.count("*").alias("n"))
+    return _by_value(links, "candidate_id", F.lit(1)).where("value is not null").select("candidate_id", "kind", "value", "n")
 
 
 def link_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
     """(candidate_id, kind, value, n): what changed, from the links that a change touched as they were and as they are."""
-    gone = multiplicities(before).withColumn("n", -F.col("n"))
-    return gone.unionByName(multiplicities(after)).groupBy("candidate_id", "kind", "value").agg(F.sum("n").alias("n")).where("n <> 0")
+    columns = ["candidate_id", *_KINDS.values(), "active"]
+    both = before.select(*columns, F.lit(-1).alias("_sign")).unionByName(after.select(*columns, F.lit(1).alias("_sign")))
+    return _by_value(both, "candidate_id", F.col("_sign")).where("value is not null and n <> 0").select("candidate_id", "kind", "value", "n")
 
 
 def with_deltas(state: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -114,10 +139,22 @@ def refreshed(counts: DataFrame, state: DataFrame, deltas: DataFrame) -> DataFra
 
 def kept_up(counts: DataFrame, state: DataFrame, deltas: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(counts, state) after ``deltas``, as written tables: what one change leaves is what the next one starts from, and no
-    plan carries the changes before it."""
-    deltas = written(deltas, "deltas")
-    state = written(with_deltas(state, deltas), "multiplicities")
-    return written(refreshed(counts, state, deltas), "counts"), state
+    plan carries the changes before it.
+
+    The state is dealt out once; a value that begins or ceases to count moves the counts by one, so no candidate is counted
+    anew.  All candidates in ``deltas`` are among the counts.
+    """
+    none = F.lit(0).cast("long")
+    told = state.select("candidate_id", "kind", "value", F.col("n").alias("before"), none.alias("delta"))
+    told = told.unionByName(written(deltas, "deltas").select("candidate_id", "kind", "value", none.alias("before"), F.col("n").alias("delta")))
+    moved = dealt(told, "candidate_id", "kind", "value").groupBy("candidate_id", "kind", "value").agg(F.sum("before").alias("before"), F.sum("delta").alias("delta"))
+    moved = written(moved.withColumn("n", F.col("before") + F.col("delta")), "multiplicities")
+    step = (F.col("n") > 0).cast("int") - (F.col("before") > 0).cast("int")
+    steps = moved.where("delta <> 0").groupBy("candidate_id").agg(*(F.sum(F.when(F.col("kind") == k, step).otherwise(0)).alias(f"_{k}") for k in _KINDS))
+    met = counts.join(steps, "candidate_id", "full")
+    count = lambda k: (F.coalesce(f"{k}_count", none) + F.coalesce(f"_{k}", none)).alias(f"{k}_count")
+    official = F.when(F.col("_official") > 0, True).when(F.col("_official") < 0, False).otherwise(F.coalesce("official", F.lit(False))).alias("official")
+    return written(met.select("candidate_id", count("evidence"), count("source"), official, count("entity")), "counts"), moved.where("n <> 0").select("candidate_id", "kind", "value", "n")
 
 
 def regroup_errors(links: DataFrame, moves: DataFrame, candidates: DataFrame) -> DataFrame:

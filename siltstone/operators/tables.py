@@ -43,6 +43,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` itself if it is a written table, or else written."""
+    return df if hasattr(df, "_siltstone_path") else written(df, name)
+
+
+#: About how many rows a task takes of what is dealt out by keys.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: DataFrame | None = None) -> DataFrame:
+    """``df`` dealt out by ``keys`` to as many tasks as its rows need, so a task's memory does not grow with the table.  It is a
+    written table, or derived from ``rows`` that are: they are counted in the footers of the files."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-(df if rows is None else rows).count() // TASK_ROWS))
+    return df.repartition(tasks, *keys)
+
+
 def dispose(*tables: DataFrame) -> None:
     """Deletes tables made by ``written`` that nothing reads any more; what was derived from them must be written itself."""
     for df in tables:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import scoring, text, timing
 from siltstone.operators import coverage, dedup, delivery, feed, fold, normalize, resolve, rollup, schedule, validate
+from siltstone.operators.tables import dealt, written
 from siltstone.plans.views import NOW, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -547,7 +548,7 @@ _ROLLED = """SELECT candidate_id, count(DISTINCT CASE WHEN active THEN evidence_
 @_query("WITH r AS (" + _ROLLED.format("v_links") + """), u AS (SELECT candidate_id, array_to_string(list_sort(list_distinct(list(entity))), ',') AS entities, min(seen_at) AS first_seen_at, max(seen_at) AS latest_seen_at FROM v_links GROUP BY 1)
 SELECT r.*, CASE WHEN evidence_count = 0 THEN 'rejected' ELSE 'candidate' END AS status, entities, first_seen_at, latest_seen_at FROM r JOIN u USING (candidate_id)""")
 def event_rollup(spark, sf_dir):
-    links = view(spark, sf_dir, "links")
+    links = written(view(spark, sf_dir, "links"), "links")
     sets = rollup.accumulated(links.withColumn("entities", F.array("entity")), "candidate_id", ["entities"], "seen_at").withColumn("entities", F.array_join("entities", ","))
     return rollup.candidate_status(rollup.active_counts(links)).join(sets, "candidate_id")
 
@@ -565,7 +566,7 @@ def event_score(spark, sf_dir):
 
 @_query("WITH o AS (SELECT * REPLACE (active AND candidate_id % 3 <> 0 AS active) FROM v_links), r AS (" + _ROLLED.format("o") + ") SELECT *, CASE WHEN evidence_count = 0 THEN 'rejected' ELSE 'candidate' END AS status FROM r")
 def event_deactivate_recalc(spark, sf_dir):
-    links = view(spark, sf_dir, "links")
+    links = dealt(written(view(spark, sf_dir, "links"), "links"), "candidate_id", "evidence_id")
     return rollup.candidate_status(rollup.active_counts(rollup.deactivate(links, links.where("candidate_id % 3 = 0"))))
 
 

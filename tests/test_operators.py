@@ -381,3 +381,39 @@ def test_a_message_is_delivered_as_a_whole(spark):
     answers = spark.createDataFrame([(1, 204, None), (5, 200, "socket"), (6, None, None)], "m long, http_status int, failure string")
     got = {(r.m, r.o): (r.status, r.failure_code) for r in delivery.deliver(items, answers, "m", "o", limit=2, message_chars=30).collect()}
     assert got == {(1, 0): ("sent", None), (1, 1): ("sent", None), (2, 0): ("failed", delivery.UNSUPPORTED), (2, 1): ("failed", delivery.UNSUPPORTED), (3, 0): ("failed", delivery.LEAKING), (3, 9): ("failed", delivery.LEAKING), (4, 0): ("failed", delivery.TOO_LONG), (5, 0): ("failed", delivery.FAILED), (6, 0): ("failed", delivery.REJECTED)}
+
+
+def test_counts_go_through_one_exchange_of_links_and_deal_out_hot_candidates(spark, monkeypatch):
+    """Links are not multiplied before they are dealt out; a candidate with more links than one task takes is dealt by values."""
+    from siltstone.operators import rollup
+
+    rows = [(i % 3 and i, i % 50, f"s{i % 7}", i % 9 == 0, None if i % 4 == 0 else f"x{i % 5}", i % 2 == 0, None) for i in range(300)]
+    links = spark.createDataFrame(rows, LINKS)
+    as_set = lambda df: {tuple(r) for r in df.collect()}
+    plain, state = as_set(rollup.active_counts(links)), as_set(rollup.multiplicities(links))
+    plan = rollup.active_counts(links)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "Expand" not in plan
+    expected = {}
+    for c, e, s, o, x, active, _ in rows:
+        kinds = expected.setdefault(c, (set(), set(), set(), set()))
+        if active:
+            for k, v in zip(kinds, (e, s, o or None, x), strict=True):
+                if v is not None:
+                    k.add(v)
+    assert plain == {(c, len(e), len(s), bool(o), len(x)) for c, (e, s, o, x) in expected.items()}
+    monkeypatch.setattr(rollup, "TASK_ROWS", 20)
+    assert as_set(rollup.active_counts(links)) == plain and as_set(rollup.multiplicities(links)) == state
+    parts = rollup._by_value(links, "candidate_id", F.lit(1)).where("candidate_id = 0").select("part").distinct().count()
+    assert parts > 10
+
+
+def test_kept_up_counts_equal_recomputation(spark):
+    """Values that begin or cease to count move the counts; a candidate without links any more stays with zeros."""
+    from siltstone.operators import rollup
+
+    row = lambda c, e, active=True, entity="x", official=False: (c, e, f"s{e % 2}", official, entity, active, None)
+    before = spark.createDataFrame([row(1, 1), row(1, 2, official=True), row(1, 2, official=True), row(2, 3, official=True), row(3, 4, False)], LINKS)
+    after = spark.createDataFrame([row(1, 1, False), row(1, 2, official=True), row(1, 2, False, official=True), row(2, 3, False, official=True), row(3, 4, False), row(9, 3)], LINKS)
+    counts, state = rollup.kept_up(rollup.active_counts(before), rollup.multiplicities(before), rollup.link_deltas(before, after))
+    as_set = lambda df: {tuple(r) for r in df.collect()}
+    assert as_set(counts) == as_set(rollup.active_counts(after)) and as_set(state) == as_set(rollup.multiplicities(after))
