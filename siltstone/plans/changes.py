@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import delivery, feed, rollup
-from siltstone.operators.tables import written
+from siltstone.operators.tables import dealt, written
 from siltstone.plans.views import NOW, view, with_views
 from siltstone.schemas import broken_checks
 
@@ -65,7 +65,7 @@ def event_close_links(spark, sf_dir):
 WITH n AS (SELECT candidate_id, evidence_id, count(*) FILTER (WHERE active) AS n FROM v_links GROUP BY ALL)
 SELECT candidate_id, evidence_id, CASE WHEN n = 0 THEN 'event_candidate_evidence_not_found' WHEN n > 1 THEN 'event_candidate_association_ambiguous' END AS close_error FROM n""")
 def event_close_errors(spark, sf_dir):
-    links = view(spark, sf_dir, "links")
+    links = dealt(written(view(spark, sf_dir, "links").select("candidate_id", "evidence_id", "active"), "links"), "candidate_id", "evidence_id")
     return rollup.deactivate_errors(links, links.select("candidate_id", "evidence_id").distinct())
 
 
