@@ -50,7 +50,11 @@ o AS (SELECT * REPLACE (active AND NOT (candidate_id % 3 = 0 AND evidence_id % 2
 
 def _links(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     links = view(spark, sf_dir, "links").withColumn("removed_at", F.when(~F.col("active"), F.col("seen_at").cast("timestamp_ntz")))
-    return links, links.where("candidate_id % 3 = 0 and evidence_id % 2 = 0").select("candidate_id", "evidence_id")
+    return links, _closed_now(links)
+
+
+def _closed_now(links: DataFrame) -> DataFrame:
+    return links.where("candidate_id % 3 = 0 and evidence_id % 2 = 0").select("candidate_id", "evidence_id")
 
 
 @_query(_CLOSED + "SELECT candidate_id, count(*) FILTER (WHERE active) AS active, count(*) FILTER (WHERE NOT active) AS closed, max(removed_at) AS last_removed_at, CAST(0 AS BIGINT) AS broken FROM o GROUP BY candidate_id")
@@ -81,7 +85,8 @@ a AS (SELECT o.candidate_id, o.evidence_id, o.source_id, o.official, o.entity, o
   coalesce(bool_or(CASE WHEN active THEN official END), false) AS official, count(DISTINCT CASE WHEN active THEN entity END) AS entity_count,
   CASE WHEN count(DISTINCT CASE WHEN active THEN evidence_id END) = 0 THEN 'rejected' ELSE 'candidate' END AS status FROM a GROUP BY candidate_id""")
 def event_rollup_changes(spark, sf_dir):
-    links, which = _links(spark, sf_dir)
+    links = written(_links(spark, sf_dir)[0], "links")
+    which = _closed_now(links)
     counts, state = written(rollup.active_counts(links), "counts"), written(rollup.multiplicities(links), "multiplicities")
     keys = ["candidate_id", "evidence_id"]
     # First some links are closed, then others are moved: each time only the links that change make deltas.
