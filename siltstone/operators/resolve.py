@@ -14,6 +14,9 @@ DAY_MICROS = 86_400_000_000
 #: Rules by rank.
 RULES = {1: "official_identity", 2: "canonical_url", 3: "provider_external_id", 4: "entity_title_time", 5: "approved_hash"}
 
+#: Rows of a class and day that meet as many of the other side in one task.
+_BLOCK = 4096
+
 
 def seen_at() -> Column:
     return F.coalesce("event_time", "observed_at")
@@ -99,14 +102,50 @@ def time_window_counts(evidence: DataFrame, candidates: DataFrame, *, hours: int
     return open_now.where("kind = 1").groupBy("evidence_id").agg(F.sum("open").alias("matches")).where("matches > 0")
 
 
+def _repeated(df: DataFrame, name: str) -> DataFrame:
+    """Values of ``name`` that several rows have."""
+    return df.groupBy(name).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(name).alias("_id"))
+
+
+def _met(looks: DataFrame, spans: DataFrame) -> DataFrame:
+    """Pairs of rows of one class whose time lies in the span.  Of a class and day with many rows both sides are cut into
+    slices, each of which meets each: a task compares about ``_BLOCK`` x ``_BLOCK`` rows, however large a class is, and rows are
+    repeated once for so many that they meet."""
+    day, on = F.expr("interval 1 day"), ["class", "day"]
+    looks = looks.withColumn("day", F.date_trunc("day", "at"))
+    days = spans.withColumn("day", F.explode(F.sequence(F.date_trunc("day", "begin"), F.date_trunc("day", "end"), day)))
+    sizes = looks.groupBy(*on).agg(F.count("*").alias("i")).join(days.groupBy(*on).agg(F.count("*").alias("j")), on)
+    sizes = written(sizes, "sizes")
+    compared = sizes.agg(F.sum(F.col("i").cast("double") * F.col("j"))).first()[0] or 0
+    tasks = max(looks.sparkSession.sparkContext.defaultParallelism, int(compared // _BLOCK**2) + 1)
+    large = F.broadcast(sizes.where(f"i > {_BLOCK} or j > {_BLOCK}").select(*on, *(F.ceil(F.col(x) / _BLOCK).cast("int").alias(f"_{x}") for x in "ij")))
+
+    def sliced(df: DataFrame, own: str, other: str, *row: str) -> DataFrame:
+        count = lambda x: F.coalesce(F.col(f"_{x}"), F.lit(1))
+        df = df.join(large, on, "left").withColumns({own: F.pmod(F.xxhash64(*row), count(own)).cast("int"), other: F.explode(F.sequence(F.lit(0), count(other) - 1))})
+        return df.drop("_i", "_j").repartition(tasks, *on, "i", "j")
+
+    pairs = sliced(looks, "i", "j", "evidence_id", "at").join(sliced(days, "j", "i", "candidate_id", "begin", "end"), [*on, "i", "j"])
+    return pairs.where(F.col("at").between(F.col("begin"), F.col("end"))).select("evidence_id", "candidate_id", F.lit(4).alias("rank"))
+
+
 def time_window_pairs(evidence: DataFrame, candidates: DataFrame, *, hours: int = 24) -> DataFrame:
     """(evidence_id, candidate_id, rank) of all matches by title, entity and time: as many rows as there are matches, so ask
-    ``time_window_counts`` first.  Evidence and spans meet by class and day, so a large class is dealt out by days."""
-    looks, spans, _ = _windowed(evidence, candidates, hours)
-    day = F.expr("interval 1 day")
-    days = spans.withColumn("day", F.explode(F.sequence(F.date_trunc("day", "begin"), F.date_trunc("day", "end"), day)))
-    met = looks.withColumn("day", F.date_trunc("day", "at")).join(days, ["class", "day"]).where(F.col("at").between(F.col("begin"), F.col("end")))
-    return met.select("evidence_id", "candidate_id", F.lit(4).alias("rank")).distinct()
+    ``time_window_counts`` first.  Evidence and spans meet by class and day, so a large class is dealt out by days.
+
+    Evidence has one title and one day, and a candidate one class of a title: a pair of rows meets once, and pairs are not
+    shuffled.  Only pairs of ids that several rows have are made distinct.
+    """
+    e = written(evidence.where("title_fingerprint is not null").select("evidence_id", "title_fingerprint", "event_time", "observed_at", "entity_refs"), "evidence")
+    c = written(candidates.select("id", "first_seen_at", "latest_seen_at", "entities", "title_fingerprints"), "candidates")
+    looks, spans, _ = _windowed(e, c, hours)
+    looks, spans = written(looks, "looks"), written(spans, "spans")
+    many_e, many_c = written(_repeated(e, "evidence_id"), "repeated"), written(_repeated(c, "id"), "repeated")
+    if many_e.isEmpty() and many_c.isEmpty():
+        return _met(looks, spans)
+    parts = lambda df, ids, name: [df.join(ids, F.col(name).eqNullSafe(F.col("_id")), how) for how in ("left_anti", "left_semi")]
+    (one_e, more_e), (one_c, more_c) = parts(looks, many_e, "evidence_id"), parts(spans, many_c, "candidate_id")
+    return _met(one_e, one_c).union(_met(more_e, spans).union(_met(one_e, more_c)).distinct())
 
 
 def time_window_matches(evidence: DataFrame, candidates: DataFrame, *, hours: int = 24) -> DataFrame:

@@ -332,6 +332,31 @@ def test_time_windows_equal_brute_force(spark):
     assert two == {i: {min(k for j, k in want if j == i), max(k for j, k in want if j == i)} for i in counts}
 
 
+def test_time_window_pairs_are_not_shuffled(spark):
+    """Pairs of ids that one row has come out of the join as they are; others, nulls too, come out once."""
+    t = lambda **more: dict(title="One", entity_refs=["p", "q"], event_time=T) | more
+    e = evidence(spark, t(evidence_id=1), t(evidence_id=2, event_time=T + timedelta(hours=5)))
+    fp = e.first().title_fingerprint
+    c = lambda k, **more: dict(id=k, title_fingerprints=[fp], entities=["p", "q"], first_seen_at=T, latest_seen_at=T + timedelta(days=2)) | more
+    pairs = resolve.time_window_pairs(e, candidate(spark, c(7), c(8)))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Aggregate" not in plan[: plan.index("Join")]
+    assert sorted(tuple(r) for r in pairs.collect()) == [(1, 7, 4), (1, 8, 4), (2, 7, 4), (2, 8, 4)]
+    twice = e.union(evidence(spark, t(evidence_id=1, event_time=T + timedelta(days=1)))).union(e.where("evidence_id = 2").withColumn("evidence_id", F.lit(None).cast("long"))).union(e.where("evidence_id = 1").withColumn("evidence_id", F.lit(None).cast("long")))
+    again = candidate(spark, c(7), c(7, entities=["p"]), c(7), c(8))
+    got = [tuple(r) for r in resolve.time_window_pairs(twice, again).collect()]
+    assert sorted(got, key=str) == sorted(((i, k, 4) for i in (1, 2, None) for k in (7, 8)), key=str)
+
+
+def test_time_window_pairs_of_a_large_class_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "_BLOCK", 16)
+    e = spark.range(100).select(F.col("id").alias("evidence_id"), F.lit("t").alias("title_fingerprint"), F.lit(T).cast("timestamp_ntz").alias("event_time"), F.lit(None).cast("timestamp_ntz").alias("observed_at"), F.array(F.lit("e")).alias("entity_refs"))
+    c = spark.range(60).select("id", F.lit(T).cast("timestamp_ntz").alias("first_seen_at"), F.lit(T).cast("timestamp_ntz").alias("latest_seen_at"), F.array(F.lit("e")).alias("entities"), F.array(F.lit("t")).alias("title_fingerprints"))
+    rows = resolve.time_window_pairs(e, c).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.evidence_id, r.candidate_id) for r in rows) == [(i, k) for i in range(100) for k in range(60)]
+    assert len({r.task for r in rows}) > 10
+
+
 LINKS = "candidate_id long, evidence_id long, source_id string, official boolean, entity string, active boolean, removed_at timestamp"
 
 
