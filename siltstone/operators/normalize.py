@@ -83,9 +83,9 @@ def response_shape(df: DataFrame, body: str = "body", *, item_path: str | None =
         "item_count": F.when(listed, F.json_array_length(said)).when(single, one)})
 
 
-def envelope(df: DataFrame, item_type: str, *, item_json: Column, event_time: Column, item_hash: Column, observed_at: Column, **more: Column) -> DataFrame:
-    """The common envelope of one item type; ``item_json`` is the provider's id as JSON, and rows without it are blocked and
-    say so.  The columns are those of ``schemas.TABLES["evidence_items"]``, without the references of stored rows."""
+def envelope_columns(item_type: str, *, item_json: Column, event_time: Column, item_hash: Column, observed_at: Column, **more: Column) -> dict[str, Column]:
+    """The common envelope of one item type by name; ``item_json`` is the provider's id as JSON, and rows without it are blocked
+    and say so.  The columns are those of ``schemas.TABLES["evidence_items"]``, without the references of stored rows."""
     no_refs = F.array().cast("array<string>")
     false = F.lit(False)
     missing = item_json.isNull()
@@ -93,16 +93,22 @@ def envelope(df: DataFrame, item_type: str, *, item_json: Column, event_time: Co
     kind = F.lit(item_type)
     provider = by_item_type(kind, 1)
     numbers = more.get("numeric_field_count", F.lit(0))
-    return df.select(
-        F.lit(ENVELOPE_VERSION).alias("evidence_version"), provider.alias("provider"), kind.alias("provider_item_type"), by_item_type(kind, 2).alias("evidence_kind"), by_item_type(kind, 3).alias("source_type"),
-        F.when(~missing, opaque_json("provider-item", item_json)).alias("provider_item_id"), item_hash.alias("provider_item_hash"), observed_at.alias("observed_at"), event_time.alias("event_time"),
-        F.lit("link_only").alias("access_level"), F.when(missing, "blocked").otherwise("validated").alias("processing_status"),
-        *(by_item_type(kind, 4 + i).alias(f) for i, f in enumerate(FLAGS)),
-        F.struct(*(more.get(c, false).alias(c) for c in ("has_title", "has_body", "has_url", "has_snippet", "has_description"))).alias("content_presence"),
-        F.struct((numbers > 0).alias("has_numeric_value"), numbers.alias("numeric_field_count"), F.lit(item_type == "eia_energy_timeseries").alias("nullable_allowed")).alias("numeric_presence"),
-        *(more.get(c, no_refs).alias(c) for c in ("entity_refs", "asset_refs", "topic_refs")),
-        F.concat(F.lit("internal://evidence/"), provider, F.lit("/"), item_hash).alias("raw_payload_reference"),
-        F.when(missing, F.array(error)).otherwise(F.array().cast("array<struct<code:string,field:string,safe_message:string>>")).alias("errors"))
+    return {
+        "evidence_version": F.lit(ENVELOPE_VERSION), "provider": provider, "provider_item_type": kind, "evidence_kind": by_item_type(kind, 2), "source_type": by_item_type(kind, 3),
+        "provider_item_id": F.when(~missing, opaque_json("provider-item", item_json)), "provider_item_hash": item_hash, "observed_at": observed_at, "event_time": event_time,
+        "access_level": F.lit("link_only"), "processing_status": F.when(missing, "blocked").otherwise("validated"),
+        **{f: by_item_type(kind, 4 + i) for i, f in enumerate(FLAGS)},
+        "content_presence": F.struct(*(more.get(c, false).alias(c) for c in ("has_title", "has_body", "has_url", "has_snippet", "has_description"))),
+        "numeric_presence": F.struct((numbers > 0).alias("has_numeric_value"), numbers.alias("numeric_field_count"), F.lit(item_type == "eia_energy_timeseries").alias("nullable_allowed")),
+        **{c: more.get(c, no_refs) for c in ("entity_refs", "asset_refs", "topic_refs")},
+        "raw_payload_reference": F.concat(F.lit("internal://evidence/"), provider, F.lit("/"), item_hash),
+        "errors": F.when(missing, F.array(error)).otherwise(F.array().cast("array<struct<code:string,field:string,safe_message:string>>")),
+    }
+
+
+def envelope(df: DataFrame, item_type: str, **parts: Column) -> DataFrame:
+    """Rows with ``envelope_columns`` in place of their own."""
+    return df.select(*(c.alias(name) for name, c in envelope_columns(item_type, **parts).items()))
 
 
 def _hash_of(df: DataFrame) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import REFERENCE_PREFIXES, instant, json_list, json_string, opaque_refs, stable_hash
-from siltstone.operators.normalize import QUOTE_FIELDS, envelope
+from siltstone.operators.normalize import QUOTE_FIELDS, envelope_columns
 from siltstone.operators.validate import COMMON_KEYS, PROJECTION_KEYS, PROVIDERS, projection_error
 
 #: Fixed value: what no text of a projection may hold.
@@ -27,7 +28,17 @@ def content_error(provider: Column, projection: Column) -> Column:
     flags are booleans; a count is a whole number (a boolean counts as 0 or 1) of no more than a quote's fields; the hash is
     64 hex digits and the reference one of ours.  Null, malformed and repeated keys are a mismatch of keys.
     """
-    v = F.try_parse_json(projection)
+    return _parsed(projection, lambda v, keys: _error_of(provider, v, keys))
+
+
+def _parsed(projection: Column, made: Callable[[Column, Column], Column]) -> Column:
+    """``made`` of the parsed text and its keys.  As arguments of lambdas they are computed once for a row; as expressions they would
+    be again at each place that reads them, and what is behind them too: a projection was made and parsed some thirty times."""
+    bound = lambda value, made: F.get(F.transform(F.array(value), made), F.lit(0))
+    return bound(projection, lambda said: bound(F.struct(F.try_parse_json(said).alias("v"), F.json_object_keys(said).alias("keys")), lambda j: made(j["v"], j["keys"])))
+
+
+def _error_of(provider: Column, v: Column, found: Column) -> Column:
     kind = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")), F.lit("VOID"))
     text = lambda k: F.try_variant_get(v, f"$.{k}", "string")
 
@@ -42,12 +53,12 @@ def content_error(provider: Column, projection: Column) -> Column:
     listed = F.coalesce((F.size(names) == 0) | ((kind("field_names") == "ARRAY<STRING>") & F.forall(names, _free)), F.lit(False))
     hashed = (kind("payload_hash") == "STRING") & F.coalesce(text("payload_hash").rlike(r"\A[0-9a-f]{64}\z"), F.lit(False))
     ours = reduce(lambda a, b: a | b, (F.startswith(text("payload_reference"), F.lit(p)) for p in REFERENCE_PREFIXES))
-    keys = projection_error(provider, F.when(v.isNotNull(), F.json_object_keys(projection)))
+    keys = projection_error(provider, F.when(v.isNotNull(), found))
     own = F.lit(True)
     for name, wanted in PROJECTION_KEYS.items():
         own = F.when(provider == name, reduce(and_, (fits(k) for k in wanted[len(COMMON_KEYS) :]))).otherwise(own)
     return (
-        F.when(provider.isNull(), "unknown_provider").when(v.isNull() | F.json_object_keys(projection).isNull(), "projection_keys_mismatch").when(keys.isNotNull(), keys)
+        F.when(provider.isNull(), "unknown_provider").when(v.isNull() | found.isNull(), "projection_keys_mismatch").when(keys.isNotNull(), keys)
         .when(~(fits("provider_item_id") & fits("published_at")), "projection_identity_invalid").when(~listed, "field_names_invalid").when(~hashed, "payload_hash_invalid")
         .when(~((kind("payload_reference") == "STRING") & F.coalesce(ours, F.lit(False)) & _free(text("payload_reference"))), "payload_reference_invalid").when(~own, "provider_fields_invalid")
     )
@@ -65,29 +76,38 @@ def projection_evidence(rows: DataFrame) -> DataFrame:
     A projection says which fields an item has, not what they hold, so the item that is hashed holds true, 0 or null in their
     place; equal projections have equal hashes, whenever they were observed.
     """
-    p = lambda k, kind="string": F.try_variant_get(F.try_parse_json("projection"), f"$.{k}", kind)
-    fine = rows.where(content_error(F.col("provider"), F.col("projection")).isNull())
-    text = lambda k: json_string(p(k))
-    flag = lambda k, said: F.when(p(k, "boolean"), F.lit(said))
-    item, at = p("provider_item_id"), instant(p("published_at"))
-    made = lambda provider, item_type, hashed, **more: envelope(fine.where(F.col("provider") == provider), item_type, item_hash=stable_hash(hashed), observed_at=F.col("observed_at"), event_time=at, **more)
+    fields = {k: "boolean" if k.startswith("has_") else "int" if k == "numeric_field_count" else "string" for wanted in PROJECTION_KEYS.values() for k in (*COMMON_KEYS[:2], *wanted[len(COMMON_KEYS) :])}
+    read = lambda v, keys: F.struct(_error_of(F.col("provider"), v, keys).alias("error"), *(F.try_variant_get(v, f"$.{k}", kind).alias(k) for k, kind in fields.items()))
+    fit = F.filter(F.array(_parsed(F.col("projection"), read)), lambda r: r["error"].isNull())
+    fine = rows.select("provider", "observed_at", F.explode(fit).alias("_p"))
+    p = lambda k: F.col(f"_p.{k}")
+    # Escaped once for all places that read them.
+    strings = [k for k, kind in fields.items() if kind == "string"]
+    fine = fine.select("*", F.transform(F.array(*map(p, strings)), json_string).alias("_t"))
+    text = lambda k: F.get("_t", F.lit(strings.index(k)))
+    flag = lambda k, value: F.when(p(k), F.lit(value))
+    at = instant(p("published_at"))
+    made = lambda provider, item_type, hashed, **more: (provider, envelope_columns(item_type, item_hash=stable_hash(hashed), observed_at=F.col("observed_at"), event_time=at, **more))
 
     parts = {"title": "has_title", "description": "has_description", "snippet": "has_snippet", "url": "has_source_url"}
-    news = _object(published_at=text("published_at"), uuid=json_string(item), **{k: flag(f, "true") for k, f in parts.items()})
-    count = F.greatest(F.coalesce(p("numeric_field_count", "int"), F.lit(0)), F.lit(0))
+    news = _object(published_at=text("published_at"), uuid=text("provider_item_id"), **{k: flag(f, "true") for k, f in parts.items()})
+    count = F.greatest(F.coalesce(p("numeric_field_count"), F.lit(0)), F.lit(0))
     # Fields sort before published_at and t, and in the order in which they are given.
     zeros = F.array_join(F.transform(F.slice(F.array(*(F.lit(f) for f in QUOTE_FIELDS)), F.lit(1), count), lambda f: F.concat(F.lit('"'), f, F.lit('":0,'))), "")
     quote = F.concat(F.lit("{"), zeros, F.lit('"published_at":'), text("published_at"), F.lit(',"t":'), text("published_at"), F.lit("}"))
     energy = _object(published_at=text("published_at"), period=text("published_at"), stateid=text("geography"), sectorid=text("sector"), price=flag("has_numeric_value", "0"))
-    filing = _object(published_at=text("published_at"), accessionNumber=json_string(item), filingDate=text("published_at"), form=text("form"), primaryDocument=flag("has_primary_document", "true"))
+    filing = _object(published_at=text("published_at"), accessionNumber=text("provider_item_id"), filingDate=text("published_at"), form=text("form"), primaryDocument=flag("has_primary_document", "true"))
     out = [
-        made("marketaux", "marketaux_news", news, item_json=json_string(item), **{f"has_{k}": p(f, "boolean") for k, f in parts.items()}),
+        made("marketaux", "marketaux_news", news, item_json=text("provider_item_id"), **{f"has_{k}": p(f) for k, f in parts.items()}),
         made("finnhub", "finnhub_quote", quote, item_json=json_list(text("symbol"), text("published_at")), asset_refs=opaque_refs("asset", F.array(p("symbol"))), numeric_field_count=count),
-        made("eia", "eia_energy_timeseries", energy, item_json=json_list(text("published_at"), text("geography"), text("sector")), numeric_field_count=p("has_numeric_value", "boolean").cast("int"),
+        made("eia", "eia_energy_timeseries", energy, item_json=json_list(text("published_at"), text("geography"), text("sector")), numeric_field_count=p("has_numeric_value").cast("int"),
              entity_refs=opaque_refs("entity", F.array(p("geography"))), topic_refs=opaque_refs("topic", F.array(p("sector")))),
-        made("sec_edgar", "sec_filing", filing, item_json=json_string(item), has_url=p("has_primary_document", "boolean"), asset_refs=opaque_refs("asset", F.array(p("ticker"))), topic_refs=opaque_refs("topic", F.array(p("form")))),
+        made("sec_edgar", "sec_filing", filing, item_json=text("provider_item_id"), has_url=p("has_primary_document"), asset_refs=opaque_refs("asset", F.array(p("ticker"))), topic_refs=opaque_refs("topic", F.array(p("form")))),
     ]
-    return reduce(DataFrame.unionByName, out)
+    # One scan for all providers: each column is that of the row's provider.
+    (*others, (_, last)) = out
+    either = lambda name: reduce(lambda rest, o: F.when(F.col("provider") == o[0], o[1][name]).otherwise(rest), reversed(others), last[name])
+    return fine.select(*(either(name).alias(name) for name in last))
 
 
 def raw_mismatch(projections: DataFrame, raw: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text, timing
 from siltstone.operators import coverage, dedup, normalize, payloads, projections, resolve, rollup, schedule, validate
+from siltstone.operators.tables import dealt
 from siltstone.plans.views import view, with_views
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -262,7 +263,9 @@ def _projections(spark, sf_dir):
     more = F.when(i % 53 == 0, F.lit(',"more":1')).otherwise(F.lit(""))
     body = F.concat(F.lit('{"provider_item_id":'), item, F.lit(',"published_at":"2024-01-05T10:00:00Z","field_names":'), names, F.lit(',"payload_hash":'), hashed, F.lit(',"payload_reference":'), place, F.lit(","), own, more, F.lit("}"))
     provider = F.when(i % 59 == 0, F.lit("odd")).otherwise(F.element_at(F.array(*(F.lit(p) for p in validate.PROVIDERS)), (i % 4 + 1).cast("int")))
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(i.alias("id"), provider.alias("provider"), body.alias("projection"), _observed().alias("observed_at"))
+    # Some 100 microseconds of work follow for a row, so rows of one large file are dealt out to all tasks.
+    orders = dealt(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey")
+    return orders.select(i.alias("id"), provider.alias("provider"), body.alias("projection"), _observed().alias("observed_at"))
 
 
 _PROJECTION_ERROR = """CASE WHEN o_orderkey % 59 = 0 THEN 'unknown_provider' WHEN o_orderkey % 53 = 0 THEN 'projection_keys_mismatch' WHEN o_orderkey % 23 = 0 OR o_orderkey % 29 = 0 THEN 'projection_identity_invalid'

@@ -357,6 +357,16 @@ def test_time_window_pairs_of_a_large_class_are_many_tasks(spark, monkeypatch):
     assert len({r.task for r in rows}) > 10
 
 
+def test_projections_are_parsed_once_in_one_scan(spark, sf_dir):
+    from siltstone.operators import projections
+    from siltstone.plans import more
+
+    rows = more._projections(spark, sf_dir)
+    plan = projections.projection_evidence(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and plan.count("parseJson") == 1
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 LINKS = "candidate_id long, evidence_id long, source_id string, official boolean, entity string, active boolean, removed_at timestamp"
 
 
